@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, pii, quality, simhash, sketch
+from . import bpe, chat, licenses, mixing, pii, quality, simhash, sketch, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "leaf.domain", "leaf.lang", "leaf.source", "tokens", "copies")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, read back from WARC archives: payload size and digest, record type, what it refers to."""
+    found = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation and of conversation -1, read back from its windows."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -109,6 +115,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing_sources": op2_mixing_sources,
+    "op3_warc": op3_warc,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_pii": op5_pii,
     "op7_license_scan": op7_license_scan,

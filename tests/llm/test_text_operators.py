@@ -1,0 +1,239 @@
+import base64
+import hashlib
+import json
+import random
+import re
+
+import pytest
+
+from lexivec.llm import bpe, chat, licenses, pii, quality, queries, sketch
+
+WEIRD = [None, "", " \n\t", "a", "é" * 70, "x " * 5000, "\x1c\x85  z", "<|im_end|> <\\| <<|", "cc by cc  by", "KK ſ İ"]
+
+
+def texts(sf):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+
+
+# --- personal data ---------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    t = [int(x) for x in reversed(d)]
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(t)) % 10 == 0
+
+
+def brute_pii(text):
+    ok = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 13 <= len(d := re.sub("[ -]", "", m)) <= 19 and luhn(d),
+        "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    return [(k, *m.span()) for k, p in BASE.items() for m in re.finditer(p, text) if ok[k](m[0])]
+
+
+def test_pii_base_spans_match_plain_patterns(sf):
+    rng = random.Random(5)
+    made = ["".join(rng.choice("ab.@-+%1204 ()@..") for _ in range(rng.randint(0, 80))) for _ in range(4000)]
+    for t in [*texts(sf), *filter(None, WEIRD), *made, "4111 1111 1111 1111, 4111-1111-1111-1112", "+1 (555) 010-9999 +1 2", "1.2.3.4.5 999.1.1.1 01.002.3.255", "a@b..c d@e.f@g.h"]:
+        assert [x[:3] for x in pii.spans(t) if x[0] in pii.BASE] == brute_pii(t), t[:80]
+
+
+def test_pii_method_and_redaction():
+    t = "IBAN: GB82 WEST 1234 5698 7654 32, not GB83 WEST 1234 5698 7654 32; ssn 078-05-1120 and later, far away from any word of that kind: 078-05-1120"
+    got = pii.spans(t)
+    assert [t[s:e] for k, s, e, _ in got if k == "iban"] == ["GB82 WEST 1234 5698 7654 32"]
+    assert sum(k == "ssn" for k, *_ in got) == 1
+    assert pii.redact("mail a@b.cd or 1.2.3.4!", pii.spans("mail a@b.cd or 1.2.3.4!")) == "mail [EMAIL] or [IP]!"
+    assert pii.spans("1" * 200_000) == [] and pii.spans("a" * 200_000 + "@") == []
+
+
+def test_pii_rows(spark):
+    df = spark.createDataFrame([(1, None, 1), (1, "a@b.cd", 2), (None, "", 3)], "doc_id long, text string, spans int")
+    got = {(r.id, len(r.spans)) for r in pii.find_pii(df).collect()}
+    assert got == {(1, 0), (1, 1), (None, 0)}
+    assert [(r.text, r.spans) for r in pii.redact_column(df).orderBy("spans").collect()] == [(None, 1), ("[EMAIL]", 2), ("", 3)]
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
+# --- quality ----------------------------------------------------------------------
+
+
+def brute_quality(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    hit = {i + k for i, x in enumerate(win) if win.count(x) > 1 for k in range(3)} if len(w) < 1500 else None
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), None if hit is None else len(hit)
+
+
+def test_quality_measures(sf):
+    rng = random.Random(6)
+    made = [" ".join(rng.choice(["a", "b", "cé\n", "d#", " "]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for t in [*texts(sf), *WEIRD, *made]:
+        m = quality.Measures((t or "").encode())
+        want = brute_quality(t)
+        got = (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words)
+        assert got == want or want[4] is None and got[:4] == want[:4], (t or "")[:80]
+
+
+def test_quality_order_and_rows(spark, sf):
+    ordered = quality.order_rules([x.encode() for x in texts(sf)])
+    assert {r.name for r in ordered} == {r.name for r in quality.RULES}
+    assert quality.order_rules([]) == list(quality.RULES)
+    df = spark.createDataFrame([(1, None, "k"), (2, "good words here are many " * 3, "k"), (3, " ".join(f"w{k}" for k in range(60)), "k")], "doc_id long, text string, kept string")
+    assert [(r.id, r.n_words, r.base_failed, r.kept) for r in quality.assess(df).orderBy("id").collect()] == [(1, 0, True, False), (2, 15, True, False), (3, 60, False, True)]
+    assert [r.doc_id for r in quality.filter_documents(df).collect()] == [3]
+    assert quality.assess(df.limit(0)).count() == 0
+
+
+# --- byte-level BPE ---------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def rank_file():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    return tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
+
+
+def test_bpe_equals_the_rank_library(rank_file, sf):
+    import tiktoken
+
+    path, pattern = rank_file
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.Codec(path, pattern)
+    rng = random.Random(7)
+    made = ["".join(rng.choice(["a", "B", " ", "\n", "é", "日", "١", "'s", " ", "\x1c", "😀", "▁", "\x00", "ﬁ", "<unk>"]) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    for t in [*texts(sf), *filter(None, WEIRD), *made, "a" * 5000, "\t" * 300]:
+        ids = own.encode(t)
+        assert ids == want.encode_ordinary(t), t[:60]
+        assert own.decode(ids) == t.encode()
+    for token, rank in list(ranks.items())[:: 7]:
+        assert own.decode([rank]) == token
+
+
+def test_bpe_rows(spark, rank_file):
+    df = spark.createDataFrame([(1, None, 0), (2, "one two", 0), (2, "one two", 0)], "doc_id long, text string, ids int")
+    got = bpe.round_trip(df, *rank_file).orderBy("id").collect()
+    assert [r.n_tokens for r in got][0] == 0 and got[1] == got[2] and got[1].decoded_sha256 == hashlib.sha256(b"one two").hexdigest()
+    back = bpe.decode_documents(bpe.encode_documents(df, *rank_file), *rank_file).orderBy("id").collect()
+    assert [bytes(r.data) for r in back] == [b"", b"one two", b"one two"]
+
+
+# --- licenses ---------------------------------------------------------------------
+
+
+def brute_base(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = sorted((i, label) for p, label in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+    return len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))
+
+
+def test_license_base_and_rules(spark, sf, tmp_path):
+    made = ["CC BY. cc-by, cc by", "GNU General Public License, version 3. All rights reserved", "Licensed under the Apache License, Version 2.0.", "mit license", "ccé by", "general public  license general public license"]
+    rows = [(k, t) for k, t in enumerate([*texts(sf), *WEIRD, *made])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_license_scan(spark, str(tmp_path)).collect()}
+    for k, t in rows:
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(t), (t or "")[:60]
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    n = len(rows)
+    assert "gpl-3" in got[n - 5].labels and got[n - 4].labels == "apache-2.0" and got[n - 3].labels == "mit"
+    assert len(licenses.RULES) >= 200
+
+
+# --- chat -------------------------------------------------------------------------
+
+
+def brute_chat(rows):
+    out = {}
+    for c in {r[0] for r in rows}:
+        turns = sorted(((t is not None, t or 0, role or "", x or "") for k, t, role, x in rows if k == c))
+        said = "".join(f"{r}\n{x}\n" for *_, r, x in turns)
+        loss = "".join(x for *_, r, x in turns if r == "assistant")
+        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def test_chat_round_trip(spark, sf, tmp_path):
+    rng = random.Random(8)
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    bits = ["<|im_end|>", "<|im_start|>", "<\\|", "<", "|", "\\", "\n", "word ", "é", "assistant\n"]
+    rows += [(10_000 + c, t, rng.choice(["user", "assistant"]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for c in range(30) for t in range(rng.randint(1, 200))]
+    rows += [(20_000, 0, "system", "be kind"), *((20_000, t, "assistant", "w " * rng.randint(1, 400)) for t in range(1, 150))]
+    rows += [(None, None, None, None), (None, 1, "a\nb%0A", "x"), (20_001, 3, "assistant", "same"), (20_001, 3, "assistant", "same"), (20_002, 0, "user", "long " * 30000)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, place string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op4_chat_formatting(spark, str(tmp_path)).collect()}
+    said = "<|im_end|><|im_start|>assistant ok"
+    assert got == brute_chat([*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)])
+    made = chat.windows(df.where("conv_id = 20000")).orderBy("place").collect()
+    assert len(made) > 20 and all(w.text.startswith("<|im_start|>system\nbe kind<|im_end|>") for w in made)
+    assert any(w.n_context > 1 for w in made) and chat.windows(df.limit(0)).count() == 0
+    for w in made:
+        new = [x for x in w.text.split("<|im_end|>\n")[w.n_context : -1]]
+        assert len(new) == 1 or sum(len(x.split("\n", 1)[1].split()) + chat.TURN for x in new if "system\n" not in x) <= chat.NEW
+
+
+# --- fingerprints -----------------------------------------------------------------
+
+
+def test_fingerprints(spark, sf, tmp_path):
+    rows = [(i * 3 - 40, t) for i, t in enumerate([*texts(sf)[:150], *WEIRD])] + [(999, "same text of some words here"), (998, "same text of some words here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_document_fingerprints(spark, str(tmp_path)).collect()}
+    ordered = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(ordered):
+        nxt, t = ordered[(k + 1) % len(ordered)][1] or "", t or ""
+        m = len(t) // 3
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest())
+        cut = lambda f: {f[j : j + 16] for j in range(0, len(f), 16)}
+        a, b, c = cut(r.fingerprint), cut(r.edited_fingerprint), cut(got[ordered[(k + 1) % len(ordered)][0]].fingerprint)
+        alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        assert r.near_edited == pytest.approx(alike(a, b)) and r.near_next == pytest.approx(alike(a, c))
+        w = set(zip(*[re.findall(r"[^\x20\x09-\x0D]+", t)[j:] for j in range(5)], strict=False))
+        if len(w) > 400:
+            assert abs(len(a) * sketch.SCALE / len(w) - 1) < 0.6
+    assert got[999].fingerprint == got[998].fingerprint != "" and got[999].near_next == 1.0
+
+
+def test_fingerprint_neighbours_across_stretches(spark):
+    from pyspark.sql import functions as F
+
+    ids = [*range(0, 5000, 2), 10**12, None, None, 7, 7]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = sketch.with_next(df).select("id", "text", "next_text").collect()
+    assert len(got) == len(ids) and len({r.next_text for r in got}) == len(ids)
+    own = {f"t{k}": i for k, i in enumerate(ids)}
+    order = sorted((i for i in ids if i is not None), reverse=True) + [None, None]
+    follow = {a: b for a, b in zip(order, order[1:] + order[:1], strict=True) if a not in (7, None)}
+    assert all(own[r.next_text] == follow[r.id] for r in got if r.id in follow)
+    assert sketch.with_next(df.limit(0)).count() == 0
+    one = sketch.with_next(df.where(F.col("text") == "t0")).collect()
+    assert [(r.text, r.next_text) for r in one] == [("t0", "t0")]
+
+
+def test_sketch_merge(spark):
+    from pyspark.sql import functions as F
+
+    a, b = " ".join(f"a{k}" for k in range(300)), " ".join(f"b{k}" for k in range(900))
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    sa, sb = sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))
+    r = df.select(sketch.containment(sa, sketch.merge(sa, sb)).alias("c"), sketch.likeness(sa, sb).alias("j"), F.size(sketch.merge(sa, sb)).alias("n"), (F.size(sa) + F.size(sb)).alias("m")).first()
+    assert (r.c, r.j) == (1.0, 0.0) and r.n == r.m
+    assert json.dumps(r.asDict())
