@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, pii, quality, simhash, sketch, warc
+from . import bpe, chat, licenses, mixing, pii, quality, simhash, sketch, suffixes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes and runs of every document, and the digest of what is left."""
+    cut = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the base phrases in every document, and the labels of phrases and rules."""
     found = licenses.scan(_read(spark, sf_dir, "documents"))
@@ -118,6 +125,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_pii": op5_pii,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_document_fingerprints": op9_document_fingerprints,
