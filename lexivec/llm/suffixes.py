@@ -272,6 +272,11 @@ def _sent(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
 
 
+def _ordered(docs: pa.Table) -> pa.Table:
+    """A part's documents in an order of their own, as shuffles give rows in any; blocks, and so suffixes, depend on it."""
+    return docs.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
+
+
 def _part(docs: pa.Table) -> Part:
     return Part(docs["id"].to_pylist(), docs["text"].to_pylist())
 
@@ -328,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def runs(docs: pa.Table, sent: pa.Table) -> pa.Table:
         if not docs.num_rows or not sent.num_rows:
             return _sent([])
-        part, number = _part(docs), docs["part"][0].as_py()
+        part, number = _part(_ordered(docs)), docs["part"][0].as_py()
         return _sent([(number, b, _RUN, _pack(*front_code(list(own)), np.fromiter(own.values(), "<i8", len(own)).tobytes())) for b, own in _runs(part, part.shared(bits_of(sent), parts)).items()])
 
     def merged(sent: pa.Table) -> pa.Table:
@@ -338,6 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _sent([(part, bucket, _VERDICT, _pack(np.array([len(v) for v in own], "<u1").tobytes(), np.array([m for v in own for m in v], "<i8").tobytes())) for part, own in zip(sent["part"].to_pylist(), found, strict=True)])
 
     def removed(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        docs = _ordered(docs) if docs.num_rows else docs
         spans: dict[int, np.ndarray] = {}
         texts = docs["text"].to_pylist()
         if docs.num_rows and sent.num_rows:

@@ -51,6 +51,16 @@ def test_edge_rows_and_many_parts(spark, tmp_path, monkeypatch):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_parts_of_several_blocks_in_any_row_order(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).repartition(13)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = suffixes.remove_repeats(docs, part_bytes=400_000).collect()
+    assert sorted(((r.id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows)
+
+
 def test_blocks(monkeypatch):
     rng = random.Random(10)
     texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (3000, 10, 0, 700, 49, 50)]
