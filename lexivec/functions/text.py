@@ -109,4 +109,4 @@ def word_ngram_ids(hashes: Column, n: int, bucket: int) -> Column:
             return F.transform(F.filter(ends, lambda k: i + k <= size), lambda k: bucketed(F.aggregate(F.slice(h, i + 1, k), wide(F.get(h, i - 1)), lambda acc, x: roll(acc, wide(x)))))
         return F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(1), size - 1), at))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(hashes, over)
+    return let(hashes.cast("array<bigint>"), over)

@@ -211,7 +211,7 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
         weights = weights.unionByName(spark.range(n_output).select(F.lit(OUTPUT).alias("mat"), F.col("id").alias("row"), zero.alias("vec")))
     weights, losses = cut(weights), []
     for epoch in range(p.epoch):
-        dealt = needed.join(weights, ["mat", "row"]).select("part", "mat", "row", "vec", "chance")
+        dealt = needed.join(weights, ["mat", "row"]).select(F.col("part").alias("part"), "mat", "row", "vec", "chance")
         changed = cut(dealt.groupBy("part").cogroup(lines.groupBy("part")).applyInArrow(_kernel(p, epoch, paths), _ROWS))
         total, n = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
         losses.append((total or 0.0) / (n or 1.0))

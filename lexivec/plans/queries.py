@@ -439,3 +439,72 @@ def train_cbow(spark, sf_dir):
 @query()
 def quantize_model(spark, sf_dir):
     return quantization.quantize(_trained(spark, sf_dir)).input.codes
+
+
+@query()
+def autotune_model(spark, sf_dir):
+    """One baseline trial and what fits in a second: trials, score."""
+    from ..operators import search
+
+    docs = train_lines(spark, sf_dir)
+    # lines are split by their text, so that copies stay on one side
+    held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
+    p = replace(Params.supervised(dim=8, epoch=1, lr=0.5, thread=8, min_count=2), autotune_duration=1)
+    found = search.autotune(docs.where(~held), docs.where(held), p)
+    return spark.createDataFrame([(found.trials, float(found.score))], "trials int, score double")
+
+
+@query()
+def model_round_trip(spark, sf_dir):
+    """The rows of a trained model's output, saved to a binary file and loaded again: row, vec."""
+    from ..sources import binary
+    from ..storage import shared_dir
+
+    path = f"{shared_dir(spark)}/lexivec-model-{spark.sparkContext.applicationId}.bin"
+    binary.save_binary(_trained(spark, sf_dir, epoch=1), path)
+    return binary.load_binary(spark, path).output
+
+
+@query("SELECT fid, j, x FROM (SELECT 0 AS fid, 0 AS j, 0.0::DOUBLE AS x) WHERE false UNION ALL " + """(WITH RECURSIVE s(b, n, x) AS (SELECT b, 1, CASE WHEN b = 0 THEN 1 ELSE b END::BIGINT * 48271 % 2147483647 FROM range(10) r(b) UNION ALL SELECT b, n + 1, x * 48271 % 2147483647 FROM s WHERE n < 32)
+SELECT ((b * 32 + n - 1) // 16)::INT AS fid, ((b * 32 + n - 1) % 16)::INT AS j, round(((x - 1) / 2147483646.0::DOUBLE * 2 - 1) / 16, 6) AS x FROM s)""")
+def initial_matrix(spark, sf_dir):
+    """The start of an input matrix of 20 rows and 16 columns, seed 0."""
+    rows = training.initial_rows(spark.range(20).select(F.col("id").alias("row")), 20, 16, 0)
+    return rows.select(F.col("row").cast("int").alias("fid"), F.posexplode("vec").alias("j", "x")).select("fid", "j", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+_EVENTS = "SELECT epoch(start)::BIGINT AS start, event_type, count(*)::BIGINT AS n, count(*) FILTER (value >= 50)::BIGINT AS hits, round(count(*) FILTER (value >= 50) / count(*), 6) AS precision FROM ({}) GROUP BY ALL"
+
+
+def _meter(events: DataFrame, **given) -> DataFrame:
+    from ..streaming import operators
+
+    m = operators.window_meter(events, "ts", F.col("value") >= 50, by=("event_type",), **given)
+    return m.select(F.unix_timestamp("start").alias("start"), "event_type", "n", "hits", F.round("precision", 6).alias("precision"))
+
+
+@query(_EVENTS.format("SELECT *, time_bucket(INTERVAL 10 MINUTE, ts) AS start FROM events WHERE ts IS NOT NULL"))
+def meter_tumbling(spark, sf_dir):
+    return _meter(read(spark, sf_dir, "events"))
+
+
+@query(_EVENTS.format("SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS start FROM events, range(2) r(k) WHERE ts IS NOT NULL"))
+def meter_sliding(spark, sf_dir):
+    return _meter(read(spark, sf_dir, "events"), slide="5 minutes")
+
+
+@query(SQL["meter_tumbling"])
+def meter_stream(spark, sf_dir):
+    """meter_tumbling as a stream over the table's files, run to its end."""
+    from ..storage import shared_dir
+
+    import uuid
+
+    where = f"{shared_dir(spark)}/lexivec-meter-{uuid.uuid4().hex}"
+    table = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(table).schema
+    live = spark.readStream.schema(schema).parquet(f"{table}*")
+    out = _meter(live.withColumn("ts", F.col("ts").cast("timestamp")))
+    run = out.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{where}/out")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
