@@ -187,10 +187,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     moved = joined.join(smallest, "label").select("fp", "smallest")
     of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component"))
     return each.join(of, "fp").select("id", "fp", "component")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """docs without the near copies of a document with a smaller id; null ids are kept."""
-    found = near_duplicates(docs, id_col, text_col, words)
-    copies = found.where("id <> component").select(F.col("id").alias("_copy")).distinct()
-    return docs.join(copies, docs[id_col] == copies["_copy"], "left_anti")

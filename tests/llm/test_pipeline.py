@@ -12,8 +12,16 @@ from lexivec.llm import mixing, pii, quality
 
 def fp(text, words=5):
     w = text.encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))]
-    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h)) if w else 0
+    if not w:
+        return 0
+    h = [b"".join(xxhash.xxh3_128_digest(b" ".join(w[i : i + words]), seed) for seed in (1, 2)) for i in range(max(1, len(w) - words + 1))]
+    numbers = [int.from_bytes(x) for x in h]
+    return sum(1 << k for k in range(256) if 2 * sum(x >> k & 1 for x in numbers) > len(h))
+
+
+def linked(a, b):
+    d = a ^ b
+    return d.bit_count() <= 40 and any((d >> (240 - 16 * k) & 0xFFFF).bit_count() <= 1 for k in range(8))
 
 
 def brute(sf):
@@ -31,7 +39,7 @@ def brute(sf):
 
     for i in range(len(docs)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and root(i) != root(j):
+            if linked(prints[i], prints[j]) and root(i) != root(j):
                 group[max(root(i), root(j))] = min(root(i), root(j))
     docs = docs[[root(i) == i for i in range(len(docs))]].copy()
     docs["text"] = [pii.redact(t, pii.spans(t)) for t in docs.text]
