@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lexivec.llm import mixing, pii, quality
+from lexivec.llm import mixing, pii, quality, similar
 
 
 def fp(text, words=5):
@@ -21,7 +21,7 @@ def fp(text, words=5):
 
 def linked(a, b):
     d = a ^ b
-    return d.bit_count() <= 40 and any((d >> (240 - 16 * k) & 0xFFFF).bit_count() <= 1 for k in range(8))
+    return d.bit_count() <= similar.MAX_BITS and any((d >> (240 - 16 * k) & 0xFFFF).bit_count() <= 1 for k in range(similar.BLOCKS))
 
 
 def brute(sf):
