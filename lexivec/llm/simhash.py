@@ -185,5 +185,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = cut(distinct.join(labels, "fp").select("fp", "label", "first"))
     smallest = joined.groupBy("label").agg(F.min("first").alias("smallest"))
     moved = joined.join(smallest, "label").select("fp", "smallest")
-    of = distinct.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component"))
+    # a table of its own, so that both sides of the last join are plain shuffles and AQE can split a hot fingerprint
+    of = cut(distinct.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component")))
     return each.join(of, "fp").select("id", "fp", "component")
