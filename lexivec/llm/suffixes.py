@@ -91,7 +91,8 @@ class Part:
         self.ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
         self.place, self.first, self.last, self.hash = anchors(np.frombuffer(self.data, np.uint8), self.ends)
         self.doc = np.searchsorted(self.ends, self.first, "right")
-        self.short = self.hash >> np.uint64(16)
+        # anchors are the smallest hashes of their windows; mixed anew they spread evenly over buckets
+        self.short = self.hash * np.uint64(_MULTIPLIER) >> np.uint64(16)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """The different hashes (48 bits, sorted), and whether several ids of this part have each."""
