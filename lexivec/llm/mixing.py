@@ -85,9 +85,9 @@ def share_out(children: DataFrame, parents: list[str], budget: str, weight: Colu
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves: domain, lang, source, tokens, docs. Adds allotted, whole (epochs), rest (tokens of one more epoch)."""
     caps = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
-    by_domain = caps.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double") * F.lit(float(mix.share))).cast("long").alias("budget"))
-    top = share_out(by_domain.crossJoin(F.broadcast(total)), [], "budget", mix.weight("domain")).select("domain", F.col("allotted").alias("budget"))
+    by_domain = caps.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row a domain
+    top = share_out(by_domain.withColumn("budget", F.floor(total.cast("double") * F.lit(float(mix.share))).cast("long")), [], "budget", mix.weight("domain")).select("domain", F.col("allotted").alias("budget"))
     by_lang = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(top, "domain")
     mid = share_out(by_lang, ["domain"], "budget", mix.weight("lang")).select("domain", "lang", F.col("allotted").alias("budget"))
     low = share_out(caps.join(mid, ["domain", "lang"]), ["domain", "lang"], "budget", mix.weight("source"))
