@@ -50,16 +50,26 @@ def is_label(token: Column | str, prefix: str = "__label__") -> Column:
 
 
 def token_hash(token: Column | str) -> Column:
-    """FNV-1a of the UTF-8 bytes, each sign-extended to 32 bits first; 0 to 2 ** 32 - 1 as long."""
-    digits = F.hex(_c(token).cast("binary"))
+    """FNV-1a of the UTF-8 bytes, each sign-extended to 32 bits first; 0 to 2 ** 32 - 1 as long.
 
-    def over(h: Column) -> Column:
+    Tokens of ASCII characters, the usual ones, are folded by their characters' codes; only
+    others, and binary columns, are taken apart into bytes by their hexadecimal digits.
+    """
+    word, start = _c(token), F.lit(FNV_START)
+    fold = lambda acc, b: (acc.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(_LOW))
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+    def by_code(w: Column) -> Column:
+        return F.aggregate(places(F.length(w)), start, lambda acc, i: fold(acc, F.ascii(F.substring(w, i, F.lit(1))).cast("long")))
+
+    def by_digits(h: Column) -> Column:
         byte = lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-        step = lambda acc, i: let(byte(i), lambda b: (acc.bitwiseXOR(F.when(b > 127, b.bitwiseOR(F.lit(0xFFFFFF00))).otherwise(b)) * FNV_PRIME).bitwiseAND(F.lit(_LOW)))
-        places = F.when(F.length(h) > 0, F.sequence(F.lit(1), (F.length(h) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.lit(FNV_START), step)
+        step = lambda acc, i: let(byte(i), lambda b: fold(acc, F.when(b > 127, b.bitwiseOR(F.lit(0xFFFFFF00))).otherwise(b)))
+        return F.aggregate(places((F.length(h) / 2).cast("int")), start, step)
 
-    return let(digits, over)
+    # a string's length counts characters, and a binary's bytes are not all below 128
+    plain = word.cast("string").rlike(r"^[\x01-\x7F]*$") & (F.octet_length(word.cast("string")) == F.octet_length(word))
+    return F.when(plain, let(word.cast("string"), by_code)).otherwise(let(F.hex(word.cast("binary")), by_digits))
 
 
 def char_ngrams(token: Column | str, minn: int, maxn: int) -> Column:
