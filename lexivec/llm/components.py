@@ -15,19 +15,21 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     that occurs in a link to another node; null ends and self-links are ignored, repeated
     links count once, an empty table gives an empty one.
 
-    In each round every node points to its smallest neighbour (or itself) and the links
-    are rewritten between the nodes pointed to; they shrink at least to a fraction each
-    round as long as the order of node ids has nothing to do with the links, which holds
-    for hashes. Neighbours are folded with min(), so a node with very many links is
+    In each round every node points to its first neighbour (or itself) in an order that
+    is drawn anew for each round by hashing, and the links are rewritten between the nodes
+    pointed to. As the order has nothing to do with the links, the nodes shrink to a
+    fraction each round, so rounds grow with the logarithm of the longest chain, whatever
+    the ids. Neighbours are folded with min(), so a node with very many links is
     pre-aggregated in each task; joins have one row a node on one side, so AQE can split
     the other. Links stay on the cluster.
     """
     ends = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = cut(links.where("a <> b").select(*ends).distinct())
     steps: list[DataFrame] = []
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
+        drawn = lambda node: F.struct(F.xxhash64(node, F.lit(turn)).alias("place"), F.col(node).alias("node"))  # noqa: B023, E731
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        steps.append(cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))))
+        steps.append(cut(both.groupBy("node").agg(F.min(drawn("other")).alias("m")).select("node", F.least(drawn("node"), "m")["node"].alias("label"))))
         to = steps[-1]
         left = cut(
             left.join(to.select(F.col("node").alias("a"), F.col("label").alias("pa")), "a")

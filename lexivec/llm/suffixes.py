@@ -15,6 +15,10 @@ consecutive windows share theirs. Steps, all over parts of the documents of boun
    to be equal are never compared again. In the merged order suffixes with equal first
    GRAM bytes are neighbours; for each of their windows the smallest document is found.
 4. Each part gets its runs' verdicts back and cuts its documents.
+
+First bytes that are found in very many contexts (a phrase of a third of the documents)
+would all be settled by one task. Their anchors send each window as a suffix of its own,
+dealt to the buckets by its bytes: equal windows still meet, different ones needn't.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 SPAN, GRAM = 50, 16
 #: Bytes of documents in a part, on average; a part is one task's work and memory.
 PART_BYTES = 8 << 20
+#: Different contexts of an anchor's first bytes, counted in each part and summed, beyond which its windows are dealt one by one.
+HOT_CONTEXTS = 8192
 #: Bytes looked at together when anchors are sought.
 BLOCK = 1 << 17
 _LAST = 2**63 - 1  # the place of a null id: after all others
@@ -52,11 +58,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows of documents laid end to end: arrays place, first window, last window, hash.
+    """Anchors of all windows of documents laid end to end: arrays place, first window, last window, hash, hash of the context.
 
     An anchor whose windows lie on both sides of a block's border is given twice.
     """
-    place, first, last, hashes = [], [], [], []
+    place, first, last, hashes, contexts = [], [], [], [], []
     for a in range(0, len(data) - SPAN + 1, BLOCK - SPAN + 1):
         block = data[a : a + BLOCK]
         if len(block) < SPAN:
@@ -78,8 +84,9 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         first.append(start[new])
         last.append(start[np.append(new[1:], len(at)) - 1])
         hashes.append(h[at[new]])
+        contexts.append(h[first[-1] - a] * np.uint64(_MULTIPLIER) ^ h[last[-1] - a + SPAN - GRAM])
     cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return cat(place, np.int64), cat(first, np.int64), cat(last, np.int64), cat(hashes, np.uint64)
+    return cat(place, np.int64), cat(first, np.int64), cat(last, np.int64), cat(hashes, np.uint64), cat(contexts, np.uint64)
 
 
 class Part:
@@ -89,34 +96,53 @@ class Part:
         self.ids = np.array([_LAST if x is None else x for x in ids], np.int64)
         self.data = b"".join(texts)
         self.ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
-        self.place, self.first, self.last, self.hash = anchors(np.frombuffer(self.data, np.uint8), self.ends)
+        self.place, self.first, self.last, self.hash, self.context = anchors(np.frombuffer(self.data, np.uint8), self.ends)
         self.doc = np.searchsorted(self.ends, self.first, "right")
         # anchors are the smallest hashes of their windows; mixed anew they spread evenly over buckets
         self.short = self.hash * np.uint64(_MULTIPLIER) >> np.uint64(16)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The different hashes (48 bits, sorted), and whether several ids of this part have each."""
-        order = np.argsort(self.short, kind="stable")
-        own, ids = self.short[order], self.ids[self.doc[order]]
-        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.empty(0, np.int64)
-        several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(own) else np.empty(0, bool)
-        return own[starts], several
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different hashes (48 bits, sorted), whether several ids of this part have each, and in how many contexts (as a power of two)."""
+        order = np.lexsort((self.context, self.short))
+        own, ids, context = self.short[order], self.ids[self.doc[order]], self.context[order]
+        if not len(own):
+            return own, np.empty(0, bool), np.empty(0, np.uint8)
+        new = np.concatenate(([True], own[1:] != own[:-1]))
+        starts = np.flatnonzero(new)
+        several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
+        different = np.add.reduceat((new | np.concatenate(([True], context[1:] != context[:-1]))).astype(np.int64), starts)
+        return own[starts], several, np.log2(different).astype(np.uint8)
 
     def shared(self, bits: dict[int, bytes], buckets: int) -> list[tuple[int, int, bytes, int]]:
-        """(document, first window, suffix, bucket) of the anchors whose hash other documents have."""
-        own, _ = self.hashes()
+        """(document, first window, suffix, bucket) of the anchors whose hash other documents have; of hot ones, each window alone."""
+        own = np.unique(self.short)
         if not len(own):
             return []
         edges = bucket_edges(own, buckets)
-        kept = np.concatenate([np.unpackbits(np.frombuffer(bits[b], np.uint8), count=e - s).astype(bool) if b in bits else np.zeros(e - s, bool) for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False))])
+        kept, hot = np.zeros(len(own), bool), np.zeros(len(own), bool)
+        for b, s, e in zip(range(buckets), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b in bits:
+                told, n = np.frombuffer(bits[b], np.uint8), (e - s + 7) // 8
+                kept[s:e] = np.unpackbits(told[:n], count=e - s)
+                if len(told) > n:
+                    hot[s:e] = np.unpackbits(told[n:], count=e - s)
         at = np.searchsorted(own, self.short)
         hit = kept[at]
         bucket = np.searchsorted(edges[1:], at[hit], "right")
+        out = []
+        for d, f, p, z, b, many in zip(*(x.tolist() for x in (self.doc[hit], self.first[hit], self.place[hit], self.last[hit], bucket, hot[at[hit]])), strict=True):
+            if many:
+                for w in range(f, z + 1):
+                    s = self._suffix(p, w, w)
+                    out.append((d, w, s, zlib.crc32(s) % buckets))
+            else:
+                out.append((d, f, self._suffix(p, f, z), b))
+        return out
+
+    def _suffix(self, p: int, f: int, z: int) -> bytes:
+        """What stands from place p to the end of window z, then what stands before p from f on, backwards, and its length."""
         data = self.data
-        return [
-            (d, f, data[p : z + SPAN] + data[f:p][::-1] + bytes((p - f,)), b)
-            for d, f, p, z, b in zip(self.doc[hit].tolist(), self.first[hit].tolist(), self.place[hit].tolist(), self.last[hit].tolist(), bucket.tolist(), strict=True)
-        ]
+        return data[p : z + SPAN] + data[f:p][::-1] + bytes((p - f,))
 
 
 def bucket_edges(own: np.ndarray, buckets: int) -> np.ndarray:
@@ -293,7 +319,7 @@ def _runs(part: Part, found: list[tuple[int, int, bytes, int]]) -> dict[int, dic
     return {b: dict(sorted(own.items())) for b, own in out.items()}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(id, n_bytes, spans, kept) for each row of docs: removed byte runs and the bytes that are left.
 
     Null text counts as empty. Rows of the same id are one document: they take nothing
@@ -307,24 +333,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def hashes(docs: pa.Table) -> pa.Table:
         part, number = _part(docs), docs["part"][0].as_py()
-        own, several = part.hashes()
+        own, several, contexts = part.hashes()
         edges = bucket_edges(own, parts)
         six = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, :6])
-        return _sent([(number, b, _BITS, _pack_raw(six[s:e].tobytes(), np.packbits(several[s:e]).tobytes())) for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False)) if e > s])
+        return _sent([(number, b, _BITS, _pack_raw(six[s:e].tobytes(), (several[s:e].astype(np.uint8) << 7 | contexts[s:e]).tobytes())) for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False)) if e > s])
 
     def repeated(sent: pa.Table) -> pa.Table:
         packs = [_unpack_raw(x) for x in sent["data"].to_pylist()]
         sizes = [len(a) // 6 for a, _ in packs]
         wide = np.zeros((sum(sizes), 8), np.uint8)
         wide[:, :6] = np.frombuffer(b"".join(a for a, _ in packs), np.uint8).reshape(-1, 6)
-        several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for (_, m), n in zip(packs, sizes, strict=True)])
+        marks = np.frombuffer(b"".join(m for _, m in packs), np.uint8)
         _, of, counts = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
         many = counts > 1
-        many[of[several]] = True
-        hit, out, at = many[of], [], 0
+        many[of[marks > 127]] = True
+        # each part's count is at least half of the true one
+        crowded = np.bincount(of, np.exp2(marks & 127, dtype=np.float32)) > hot_contexts
+        hit, hot, out, at = many[of], (many & crowded)[of], [], 0
         for part, n in zip(sent["part"].to_pylist(), sizes, strict=True):
             if hit[at : at + n].any():
-                out.append((part, sent["bucket"][0].as_py(), _BITS, np.packbits(hit[at : at + n]).tobytes()))
+                more = np.packbits(hot[at : at + n]).tobytes() if hot[at : at + n].any() else b""
+                out.append((part, sent["bucket"][0].as_py(), _BITS, np.packbits(hit[at : at + n]).tobytes() + more))
             at += n
         return _sent(out)
 

@@ -49,6 +49,24 @@ def test_edge_rows_and_many_parts(spark, tmp_path, monkeypatch):
     got = suffixes.remove_repeats(docs, part_bytes=5000).collect()
     assert sorted(((r.id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == want
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+    for hot in (0, 3):
+        got = suffixes.remove_repeats(docs, part_bytes=5000, hot_contexts=hot).collect()
+        assert sorted(((r.id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == want
+
+
+def test_hot_anchors_are_dealt_by_window():
+    rng = random.Random(12)
+    phrase = b"a phrase that very many documents have"
+    texts = [bytes(rng.choice(b"abcdefgh") for _ in range(30)) + phrase + bytes(rng.choice(b"abcdefgh") for _ in range(30)) for _ in range(200)]
+    part = suffixes.Part(list(range(200)), texts)
+    own, several, contexts = part.hashes()
+    assert several.any() and max(contexts[several]) >= 6
+    edges = suffixes.bucket_edges(own, 8)
+    bits = {b: 2 * suffixes.np.packbits(several[s:e]).tobytes() for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False))}
+    found = part.shared(bits, 8)
+    assert {len(list(suffixes.windows(s))) for _, _, s, _ in found} == {1}
+    used = {b for *_, b in found}
+    assert used == set(range(8))
 
 
 def test_parts_of_several_blocks_in_any_row_order(spark, sf, monkeypatch):
