@@ -39,6 +39,7 @@ HOT_CONTEXTS = 8192
 #: Bytes looked at together when anchors are sought.
 BLOCK = 1 << 17
 _LAST = 2**63 - 1  # the place of a null id: after all others
+_ONE = [bytes((k,)) for k in range(SPAN)]
 _AT = np.uint64(18)  # low bits that hold a position in a block
 
 _TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
@@ -113,11 +114,9 @@ class Part:
         different = np.add.reduceat((new | np.concatenate(([True], context[1:] != context[:-1]))).astype(np.int64), starts)
         return own[starts], several, np.log2(different).astype(np.uint8)
 
-    def shared(self, bits: dict[int, bytes], buckets: int) -> list[tuple[int, int, bytes, int]]:
-        """(document, first window, suffix, bucket) of the anchors whose hash other documents have; of hot ones, each window alone."""
+    def shared(self, bits: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Of the anchors whose hash other documents have: document, first window, suffix, bucket. Hot ones give each window alone."""
         own = np.unique(self.short)
-        if not len(own):
-            return []
         edges = bucket_edges(own, buckets)
         kept, hot = np.zeros(len(own), bool), np.zeros(len(own), bool)
         for b, s, e in zip(range(buckets), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -127,22 +126,25 @@ class Part:
                 if len(told) > n:
                     hot[s:e] = np.unpackbits(told[n:], count=e - s)
         at = np.searchsorted(own, self.short)
-        hit = kept[at]
+        hit = np.flatnonzero(kept[at])
+        alone = np.flatnonzero(hot[at])
+        hit = hit[~hot[at[hit]]] if len(alone) else hit
+        doc, first, place, last = self.doc[hit], self.first[hit], self.place[hit], self.last[hit]
+        suffixes = self._suffixes(place, first, last)
         bucket = np.searchsorted(edges[1:], at[hit], "right")
-        out = []
-        for d, f, p, z, b, many in zip(*(x.tolist() for x in (self.doc[hit], self.first[hit], self.place[hit], self.last[hit], bucket, hot[at[hit]])), strict=True):
-            if many:
-                for w in range(f, z + 1):
-                    s = self._suffix(p, w, w)
-                    out.append((d, w, s, zlib.crc32(s) % buckets))
-            else:
-                out.append((d, f, self._suffix(p, f, z), b))
-        return out
-
-    def _suffix(self, p: int, f: int, z: int) -> bytes:
-        """What stands from place p to the end of window z, then what stands before p from f on, backwards, and its length."""
+        if len(alone):
+            times = self.last[alone] - self.first[alone] + 1
+            window = np.repeat(self.first[alone] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            more = self._suffixes(np.repeat(self.place[alone], times), window, window)
+            doc, first = np.concatenate((doc, np.repeat(self.doc[alone], times))), np.concatenate((first, window))
+            bucket = np.concatenate((bucket, np.array([zlib.crc32(x) for x in more], np.int64) % buckets))
+            suffixes += more
+        return doc, first, suffixes, bucket
+
+    def _suffixes(self, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """What stands from each place to the end of the last window, then what stands before it from the first on, backwards, and its length."""
         data = self.data
-        return data[p : z + SPAN] + data[f:p][::-1] + bytes((p - f,))
+        return [data[p:z] + data[f:p][::-1] + _ONE[p - f] for p, f, z in zip(place.tolist(), first.tolist(), (last + SPAN).tolist(), strict=True)]
 
 
 def bucket_edges(own: np.ndarray, buckets: int) -> np.ndarray:
@@ -162,13 +164,15 @@ def shared_prefix(a: bytes, b: bytes, known: int) -> int:
 
 def front_code(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
     """Of sorted suffixes: shared prefix lengths, lengths of the rests, the rests."""
-    shared, rests, before = bytearray(), [], b""
-    for s in suffixes:
-        k = shared_prefix(before, s, 0)
-        shared.append(k)
-        rests.append(s[k:])
-        before = s
-    return bytes(shared), bytes(map(len, rests)), b"".join(rests)
+    if not suffixes:
+        return b"", b"", b""
+    lengths = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
+    width = int(lengths.max()) + 1  # a column more, which always differs
+    rows = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in suffixes]), np.uint8).reshape(-1, width)
+    differ = rows[1:] != rows[:-1]
+    differ[:, -1] = True
+    shared = np.concatenate(([0], np.minimum(differ.argmax(axis=1), np.minimum(lengths[1:], lengths[:-1]))))
+    return shared.astype(np.uint8).tobytes(), (lengths - shared).astype(np.uint8).tobytes(), b"".join([x[k:] for x, k in zip(suffixes, shared.tolist(), strict=True)])
 
 
 def front_decode(shared: bytes, lengths: bytes, rests: bytes) -> list[bytes]:
@@ -190,19 +194,16 @@ def merge(runs: list[tuple[list[bytes], bytes]]) -> Iterator[tuple[bytes, int, i
     k = 1
     while k < len(runs):
         k *= 2
-    strings: list[bytes | None] = [r[0][0] if r[0] else None for r in runs] + [None] * (k - len(runs))
-    at, shared = [0] * k, [0] * k
-    losers = [0] * k
+    at, losers = [0] * k, [0] * k
+    strings = [r[0][0] if r[0] else b"" for r in runs] + [b""] * (k - len(runs))
+    shared = [0 if r[0] else -1 for r in runs] + [-1] * (k - len(runs))  # -1: the run is at its end, it shares less than any
 
     def play(a: int, b: int) -> tuple[int, int]:
-        x, y = strings[a], strings[b]
-        if y is None:
-            return a, b
-        if x is None:
-            return b, a
+        """(winner, loser)"""
         n, m = shared[a], shared[b]
-        if n != m:
-            return (a, b) if n > m else (b, a)
+        if n != m or n < 0:
+            return (a, b) if n >= m else (b, a)
+        x, y = strings[a], strings[b]
         c = shared_prefix(x, y, n)
         if x[c : c + 1] <= y[c : c + 1]:  # empty at a string's end, which is smallest
             shared[b] = c
@@ -217,19 +218,24 @@ def merge(runs: list[tuple[list[bytes], bytes]]) -> Iterator[tuple[bytes, int, i
         return winner
 
     best = build(1)
-    while (s := strings[best]) is not None:
-        yield s, shared[best], best, at[best]
-        suffixes, prefixes = runs[best]
-        at[best] += 1
-        if at[best] < len(suffixes):
-            strings[best], shared[best] = suffixes[at[best]], prefixes[at[best]]
+    while (n := shared[best]) >= 0:
+        run, place = best, at[best]
+        yield strings[run], n, run, place
+        suffixes, prefixes = runs[run]
+        at[run] = place = place + 1
+        if place < len(suffixes):
+            strings[run], shared[run] = suffixes[place], prefixes[place]
         else:
-            strings[best] = None
-        node = (best + k) // 2
+            shared[run] = -1
+        n = shared[run]
+        node = (run + k) // 2
         while node:
             other = losers[node]
-            winner, loser = play(best, other)
-            best, losers[node] = winner, loser
+            m = shared[other]
+            if m > n:
+                losers[node], best, n = best, other, m
+            elif m == n and n >= 0:
+                best, losers[node] = play(best, other)
             node //= 2
 
 
@@ -308,15 +314,19 @@ def _part(docs: pa.Table) -> Part:
     return Part(docs["id"].to_pylist(), docs["text"].to_pylist())
 
 
-def _runs(part: Part, found: list[tuple[int, int, bytes, int]]) -> dict[int, dict[bytes, int]]:
-    """Of each bucket the different suffixes, sorted, with their smallest document."""
-    out: dict[int, dict[bytes, int]] = {}
-    ids = part.ids.tolist()
-    for d, _, s, b in found:
-        own = out.setdefault(b, {})
-        if ids[d] < own.get(s, _LAST + 1):
-            own[s] = ids[d]
-    return {b: dict(sorted(own.items())) for b, own in out.items()}
+def _runs(suffixes: list[bytes], bucket: np.ndarray) -> tuple[list[bytes], dict[int, np.ndarray], np.ndarray]:
+    """(different suffixes, of each bucket their positions there in sorted order, of each suffix its position there)."""
+    index: dict[bytes, int] = {}
+    at = np.array([index.setdefault(x, len(index)) for x in suffixes], np.int64)
+    keys = list(index)
+    of = np.zeros(len(keys), np.int64)
+    of[at] = bucket
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1]))) if len(keys) else []
+    runs = {}
+    for own in np.split(order, starts[1:]) if len(keys) else []:
+        runs[int(of[own[0]])] = np.array(sorted(own.tolist(), key=keys.__getitem__), np.int64)
+    return keys, runs, at
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -364,7 +374,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not docs.num_rows or not sent.num_rows:
             return _sent([])
         part, number = _part(_ordered(docs)), docs["part"][0].as_py()
-        return _sent([(number, b, _RUN, _pack(*front_code(list(own)), np.fromiter(own.values(), "<i8", len(own)).tobytes())) for b, own in _runs(part, part.shared(bits_of(sent), parts)).items()])
+        doc, _, suffixes, bucket = part.shared(bits_of(sent), parts)
+        keys, runs, at = _runs(suffixes, bucket)
+        smallest = np.full(len(keys), _LAST, "<i8")
+        np.minimum.at(smallest, at, part.ids[doc])
+        return _sent([(number, b, _RUN, _pack(*front_code([keys[k] for k in own.tolist()]), smallest[own].tobytes())) for b, own in runs.items()])
 
     def merged(sent: pa.Table) -> pa.Table:
         read = [_unpack(x) for x in sent["data"].to_pylist()]
@@ -378,34 +392,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = docs["text"].to_pylist()
         if docs.num_rows and sent.num_rows:
             part = _part(docs)
-            found = part.shared(bits_of(sent), parts)
-            own = _runs(part, found)
-            told: dict[bytes, list[int]] = {}
+            doc, first, suffixes, bucket = part.shared(bits_of(sent), parts)
+            keys, runs, at = _runs(suffixes, bucket)
+            size, start, values, filled = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [np.empty(0, "<i8")], 0
             for b, k, data in zip(sent["bucket"].to_pylist(), sent["kind"].to_pylist(), sent["data"].to_pylist(), strict=True):
                 if k == _VERDICT:
-                    sizes, values = _unpack(data)
-                    flat, at = np.frombuffer(values, "<i8").tolist(), 0
-                    for s, n in zip(own[b], sizes, strict=True):
-                        told[s] = flat[at : at + n]
-                        at += n
+                    sizes, told = (np.frombuffer(x, t) for x, t in zip(_unpack(data), ("<u1", "<i8"), strict=True))
+                    own = runs[b]
+                    if len(own) != len(sizes) or sizes.sum(dtype=np.int64) != len(told):
+                        raise ValueError("verdicts don't fit the runs")
+                    size[own] = sizes
+                    start[own] = filled + np.cumsum(sizes, dtype=np.int64) - sizes
+                    values.append(told)
+                    filled += len(told)
+            if (size == 0).any():
+                raise ValueError("runs without verdicts")
+            least, ids = np.concatenate(values), part.ids[doc]
+            # of suffixes with one verdict all windows go or none; of others each on its own
+            one = np.flatnonzero(size[at] == 1)
+            one = one[least[start[at[one]]] < ids[one]]
+            length = np.fromiter(map(len, keys), np.int64, len(keys))
+            each = np.flatnonzero(size[at] > 1)
+            times = size[at[each]]
+            step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            gone = least[np.repeat(start[at[each]], times) + step] < np.repeat(ids[each], times)
+            window = (np.repeat(first[each], times) + step)[gone]
             change = np.zeros(len(part.data) + 1, np.int32)
-            ids = part.ids.tolist()
-            begin, end = [], []
-            for d, f, s, _ in found:
-                v, i = told[s], ids[d]
-                if len(v) == 1:
-                    if v[0] < i:
-                        begin.append(f)
-                        end.append(f + len(s) - 1)
-                else:
-                    for w, m in enumerate(v):
-                        if m < i:
-                            begin.append(f + w)
-                            end.append(f + w + SPAN)
-            np.add.at(change, begin, 1)
-            np.add.at(change, end, -1)
+            np.add.at(change, np.concatenate((first[one], window)), 1)
+            np.add.at(change, np.concatenate((first[one] + length[at[one]] - 1, window + SPAN)), -1)
             gone = np.concatenate(([0], np.cumsum(change[:-1]) > 0, [0])).astype(np.int8)
-            starts = np.concatenate(([0], part.ends))
+            starts = np.concatenate(([0], part.ends)).tolist()
             for d in range(len(texts)):
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], gone[starts[d] + 1 : starts[d + 1] + 1], [0]))))
                 if len(turn):

@@ -63,10 +63,10 @@ def test_hot_anchors_are_dealt_by_window():
     assert several.any() and max(contexts[several]) >= 6
     edges = suffixes.bucket_edges(own, 8)
     bits = {b: 2 * suffixes.np.packbits(several[s:e]).tobytes() for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False))}
-    found = part.shared(bits, 8)
-    assert {len(list(suffixes.windows(s))) for _, _, s, _ in found} == {1}
-    used = {b for *_, b in found}
-    assert used == set(range(8))
+    _, first, found, bucket = part.shared(bits, 8)
+    assert {len(list(suffixes.windows(s))) for s in found} == {1}
+    assert all(next(suffixes.windows(s)) == part.data[f : f + SPAN] for s, f in zip(found, first.tolist(), strict=True))
+    assert set(bucket.tolist()) == set(range(8))
 
 
 def test_parts_of_several_blocks_in_any_row_order(spark, sf, monkeypatch):
