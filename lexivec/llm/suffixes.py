@@ -116,7 +116,7 @@ class Part:
 
     def shared(self, bits: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Of the anchors whose hash other documents have: document, first window, suffix, bucket. Hot ones give each window alone."""
-        own = np.unique(self.short)
+        own, at = np.unique(self.short, return_inverse=True)
         edges = bucket_edges(own, buckets)
         kept, hot = np.zeros(len(own), bool), np.zeros(len(own), bool)
         for b, s, e in zip(range(buckets), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -125,7 +125,6 @@ class Part:
                 kept[s:e] = np.unpackbits(told[:n], count=e - s)
                 if len(told) > n:
                     hot[s:e] = np.unpackbits(told[n:], count=e - s)
-        at = np.searchsorted(own, self.short)
         hit = np.flatnonzero(kept[at])
         alone = np.flatnonzero(hot[at])
         hit = hit[~hot[at[hit]]] if len(alone) else hit
