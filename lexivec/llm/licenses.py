@@ -1,8 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions.
 
-A text that has none of a few key strings is done. Else its words, lower-cased and joined
-by blanks, are searched by the regular expressions of those rules whose keyword they
-contain. Detections are word intervals; one that lies in a longer one, or in the same
+A text's words, lower-cased and joined by blanks, are searched by the regular expressions
+of those rules whose keyword they contain; a text that has none of the keywords is done. Detections are word intervals; one that lies in a longer one, or in the same
 interval by a rule of higher priority, is suppressed. Rules are made from FAMILIES: for
 each name and version a reference, a grant and an identifier, the specific ones first.
 """
@@ -10,6 +9,8 @@ each name and version a reference, a grant and an identifier, the specific ones
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,38 +19,38 @@ from .sketch import let
 
 #: label, names as they read in words, keyword, versions
 FAMILIES = (
-    ("gpl", "(?:gnu )?general public license|(?:gnu )?gpl", "gpl|general public", ("1", "2", "3")),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl", "lgpl|lesser general|library general", ("2", "2.1", "3")),
-    ("agpl", "(?:gnu )?affero general public license|(?:gnu )?agpl", "agpl|affero", ("1", "3")),
-    ("apache", "apache(?: software)? license|apache", "apache", ("1.0", "1.1", "2.0")),
-    ("mit", "mit license|mit", " mit ", ()),
-    ("bsd", "bsd license|bsd", "bsd", ("2 clause", "3 clause", "4 clause")),
+    ("gpl", "(?:gnu )?general public license|(?:gnu )?gpl", "gpl |general public", ("1", "2", "3")),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl", "lgpl |lesser general|library general", ("2", "2.1", "3")),
+    ("agpl", "(?:gnu )?affero general public license|(?:gnu )?agpl", "agpl |affero general", ("1", "3")),
+    ("apache", "apache(?: software)? license|apache", "apache ", ("1.0", "1.1", "2.0")),
+    ("mit", "mit license|mit", "under mit |the mit |of mit |mit licen|mit software", ()),
+    ("bsd", "bsd license|bsd", "bsd ", ("2 clause", "3 clause", "4 clause")),
     ("isc", "isc license", "isc license", ()),
-    ("mpl", "mozilla public license|mpl", "mozilla|mpl", ("1.0", "1.1", "2.0")),
-    ("epl", "eclipse public license|epl", "eclipse|epl", ("1.0", "2.0")),
-    ("eupl", "european union public licen[cs]e|eupl", "european union public|eupl", ("1.0", "1.1", "1.2")),
-    ("cddl", "common development and distribution license|cddl", "common development|cddl", ("1.0", "1.1")),
+    ("mpl", "mozilla public license|mpl", "mozilla public|mpl ", ("1.0", "1.1", "2.0")),
+    ("epl", "eclipse public license|epl", "eclipse public|epl ", ("1.0", "2.0")),
+    ("eupl", "european union public licen[cs]e|eupl", "european union public|eupl ", ("1.0", "1.1", "1.2")),
+    ("cddl", "common development and distribution license|cddl", "common development and|cddl ", ("1.0", "1.1")),
     ("cpl", "common public license", "common public", ("1.0",)),
-    ("artistic", "artistic license", "artistic", ("1.0", "2.0")),
-    ("boost", "boost software license|bsl", "boost|bsl", ("1.0",)),
-    ("zlib", "zlib license", "zlib", ()),
+    ("artistic", "artistic license", "artistic license", ("1.0", "2.0")),
+    ("boost", "boost software license|bsl", "boost software|bsl ", ("1.0",)),
+    ("zlib", "zlib license", "zlib license", ()),
     ("unlicense", "unlicense", "unlicense", ()),
-    ("wtfpl", "do what the fuck you want to public license|wtfpl", "wtfpl|do what the", ("2",)),
-    ("python", "python software foundation license|psf license", "python software|psf", ("2",)),
+    ("wtfpl", "do what the fuck you want to public license|wtfpl", "wtfpl |do what the", ("2",)),
+    ("python", "python software foundation license|psf license", "python software|psf license", ("2",)),
     ("php", "php license", "php license", ("3.0", "3.01")),
-    ("ofl", "sil open font license|ofl", "open font|ofl", ("1.0", "1.1")),
-    ("fdl", "(?:gnu )?free documentation license|gfdl", "free documentation|gfdl", ("1.1", "1.2", "1.3")),
+    ("ofl", "sil open font license|ofl", "open font|ofl ", ("1.0", "1.1")),
+    ("fdl", "(?:gnu )?free documentation license|gfdl", "free documentation|gfdl ", ("1.1", "1.2", "1.3")),
     ("osl", "open software license", "open software", ("1.0", "2.0", "2.1", "3.0")),
     ("afl", "academic free license", "academic free", ("1.2", "2.0", "2.1", "3.0")),
     ("ms-pl", "microsoft public license", "microsoft public", ()),
-    ("odbl", "open database license|odbl", "open database|odbl", ("1.0",)),
-    ("cc0", "cc0|creative commons zero", "cc0|creative commons zero", ("1.0",)),
+    ("odbl", "open database license|odbl", "open database|odbl ", ("1.0",)),
+    ("cc0", "cc0|creative commons zero", "cc0 |creative commons", ("1.0",)),
     ("cc-by", "cc by|creative commons attribution", "cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", "cc by sa|creative commons attribution share ?alike", "cc by sa|share", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", "cc by nd|creative commons attribution no ?deriv(?:ative)?s", "cc by nd|deriv", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", "cc by nc|creative commons attribution non ?commercial", "cc by nc|commercial", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", "cc by nc sa|creative commons attribution non ?commercial share ?alike", "cc by nc sa|share", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", "cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd|deriv", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", "cc by sa|creative commons attribution share ?alike", "cc by sa|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", "cc by nd|creative commons attribution no ?deriv(?:ative)?s", "cc by nd|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", "cc by nc|creative commons attribution non ?commercial", "cc by nc|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", "cc by nc sa|creative commons attribution non ?commercial share ?alike", "cc by nc sa|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-nd", "cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
 )
 #: Rules without families: label, pattern, keyword, weight
 PLAIN = (
@@ -57,19 +58,17 @@ PLAIN = (
     ("copyright", "copyright (?:c )?[0-9]{4}", "copyright", 0.4),
     ("public-domain", "(?:in|into|to) the public domain|public domain dedication", "public domain", 0.8),
     ("proprietary", "proprietary and confidential|unauthori[sz]ed copying", "proprietary|unauthori", 0.6),
-    ("as-is", "provided as is without (?:any )?warrant(?:y|ies)", "as is", 0.4),
+    ("as-is", "provided as is without (?:any )?warrant(?:y|ies)", "provided as is", 0.4),
 )
 #: Phrases that are looked for in every text: words, label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Key strings of the prefilter; each rule's and each phrase's words need one of them in the lower-cased text.
-GATES = ("licen", "reserved", "copyright", "public domain", "proprietary", "unauthori", "as is", "spdx", "creative commons", "released under", "distributed under")
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
     pattern: str
-    keyword: str
+    keyword: str  # each match has one of its alternatives, as words with the blanks around them
     weight: float
 
 
@@ -137,6 +136,12 @@ def unsuppressed(found: Column) -> Column:
     return F.aggregate(found, empty, step)
 
 
+def gates(rules: list[Rule]) -> list[str]:
+    """The strings of which a text's words have one if a rule or a base phrase is in them: all keywords, without those that contain another."""
+    every = {k for r in rules for k in r.keyword.split("|")} | {phrase for phrase, _ in BASE}
+    return sorted(k for k in every if not any(o != k and o in k for o in every))
+
+
 def base_places(words: Column, phrase: str, label: str) -> Column:
     return F.transform(places(words, F.lit(phrase)), lambda x: F.struct(F.lit(label).alias("label"), x["start"].cast("long").alias("start")))
 
@@ -148,19 +153,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     the rules leave after suppression. Repeated rows give a row each; nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lower = F.lower("text")
-
-    def due(low: Column) -> Column:
-        out = low.rlike(r"cc[^0-9a-z]+by")
-        for g in GATES:
-            out = F.contains(low, F.lit(g)) | out
-        return out
+    keys = gates(rules)
 
     def looked(w: Column) -> Column:
         base = F.concat(*(base_places(w, *x) for x in BASE))
         return F.struct(base.alias("base"), unsuppressed(detections(w, rules)).alias("found"))
 
-    result = F.when(let(lower, due), let(in_words(F.col("text")), looked))
+    result = let(in_words(F.col("text")), lambda w: F.when(reduce(or_, (F.contains(w, F.lit(k)) for k in keys)), looked(w)))
     return rows.select("id", F.regexp_count("text", F.lit(_IN_WORDS)).cast("long").alias("n_words"), result.alias("r")).select(
         "id",
         "n_words",

@@ -156,6 +156,40 @@ def test_license_base_and_rules(spark, sf, tmp_path):
     assert len(licenses.RULES) >= 200
 
 
+def matches(tree, rng):
+    """A random text that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif op == "MAX_REPEAT":
+            out += "".join(matches(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], max(arg[0], 2)))))
+        else:
+            out += matches(rng.choice(arg[1]) if op == "BRANCH" else arg[-1], rng)
+    return out
+
+
+def test_every_license_rule_passes_the_gate(spark):
+    rng = random.Random(17)
+    keys = licenses.gates(licenses.RULES)
+    made = []
+    for k, r in enumerate(licenses.RULES):
+        tree = re._parser.parse(r.pattern)
+        for _ in range(100):
+            t = f" {matches(tree, rng)} "
+            assert re.search(f"(?<= )(?:{r.pattern})(?= )", t) and any(x in t for x in r.keyword.split("|")) and any(x in t for x in keys), (r, t)
+        made.append((k, t.upper().replace(" ", "\n- ")))
+    got = {r.id: r for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert all(got[k].labels and got[k].weight >= r.weight - 1e-9 for k, r in enumerate(licenses.RULES))
+    said = {"Available under the GPL": "gpl", "GNU GPL v2": "gpl-2", "see Apache 2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "CC0": "cc0", "published under the\nMIT": "mit", "WTFPL": "wtfpl", "in the public  domain": "public-domain"}
+    got = {r.id: r.labels for r in licenses.scan(spark.createDataFrame([(k, t) for k, t in enumerate(said)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(said))] == [[x] for x in said.values()]
+
+
 # --- chat -------------------------------------------------------------------------
 
 
