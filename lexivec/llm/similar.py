@@ -12,12 +12,14 @@ is (covering radius 1, threshold 1: a fingerprint is replicated to the nine anch
 within distance 2, and is at home at the nearest). Two fingerprints meet if one of the
 blocks differs in at most one bit; with ten blocks texts of similarity 0.85 meet with a
 chance over 0.98 and of 0.8 over 0.95. Large inputs add exact bits to the blocks, so that
-an anchor's members don't grow with the input, and use more blocks.
+an anchor's members don't grow with the input, and use as many more blocks as keep that
+chance; where the fingerprint's bits are used up, further blocks take them in another order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from .simhash import ANCHOR_CHUNK, HOT_BROADCAST
 WORDS, BITS, MAX_BITS, BLOCKS = 5, 256, 44, 10
 #: Different fingerprints up to which blocks have 16 bits; each doubling beyond adds an exact bit, up to MOST_EXACT.
 PLAIN_ROWS, MOST_EXACT = 1 << 20, 16
+#: Blocks with common bits meet less often together than independent ones; so many more of them are made for each exact bit.
+MARGIN = 0.0125
 _F = ("f0", "f1", "f2", "f3")
 
 
@@ -82,11 +86,28 @@ def _near_codewords() -> np.ndarray:
 _NEAR = _near_codewords()
 
 
+def meeting_chance(width: int, differences: int = MAX_BITS) -> float:
+    """Chance that a block of ``width`` bits differs in at most one, for fingerprints with so many differences."""
+    same = BITS - differences
+    return (comb(same, width) + differences * comb(same, width - 1)) / comb(BITS, width)
+
+
 def layout(n: int) -> tuple[int, int]:
-    """(bits of a block, blocks) for n different fingerprints."""
+    """(bits of a block, blocks) for n different fingerprints.
+
+    Wider blocks are as many as it takes for fingerprints at MAX_BITS, which lose most by
+    the width, to meet as often as in BLOCKS blocks of 16 bits.
+    """
     exact = min(MOST_EXACT, max(0, (max(n, 1) - 1).bit_length() - (PLAIN_ROWS - 1).bit_length()))
     width = 16 + exact
-    return width, min(BITS // width, BLOCKS + 2 * exact)
+    return width, BLOCKS if not exact else ceil(BLOCKS * (1 + MARGIN * exact) * log1p(-meeting_chance(16)) / log1p(-meeting_chance(width)))
+
+
+def block_bits(width: int, blocks: int) -> list[np.ndarray]:
+    """The places of each block's bits: one after the other, then the same in another order for each further round."""
+    each = BITS // width
+    orders = [np.arange(BITS), *(np.random.default_rng(k).permutation(BITS) for k in range(1, -(-blocks // each)))]
+    return [orders[b // each][b % each * width : (b % each + 1) * width] for b in range(blocks)]
 
 
 def block_anchors(blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +126,8 @@ def block_anchors(blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _replicate(width: int, n_blocks: int):
+    places = block_bits(width, n_blocks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
@@ -112,8 +135,8 @@ def _replicate(width: int, n_blocks: int):
                 node = part.column(0).to_numpy(zero_copy_only=False)
                 fps = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, BITS // 8), axis=1)
-                for b in range(n_blocks):
-                    block = bits[:, b * width : (b + 1) * width].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+                for b, own in enumerate(places):
+                    block = bits[:, own].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
                     at, anchor, home = block_anchors(block, width)
                     columns = [pa.array(anchor | np.int64(b) << np.int64(40)), pa.array(home), pa.array(node[at]), *(pa.array(fps[at, k]) for k in range(4))]
                     yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", "node", *_F])

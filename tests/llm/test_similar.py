@@ -71,3 +71,33 @@ def test_anchor_links_join_groups():
         for a, b in links:
             parent[find(a)] = find(b)
         assert len({find(k) for k in range(len(fps))}) == 3 and len(links) == len(fps) - 3
+
+
+def test_wide_layouts_lose_no_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(200)] for _ in range(300)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)] + [(1000 + k, " ".join(edited(rng, w, 4))) for k, w in enumerate(base)]
+    texts = dict(rows)
+    near = []
+    for k in range(300):
+        a, b = texts[k], texts[1000 + k]
+        own = [int.from_bytes(similar.fingerprint(t.encode())) for t in (a, b)]
+        if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) and (own[0] ^ own[1]).bit_count() <= similar.MAX_BITS:
+            near.append(1000 + k)
+    monkeypatch.setattr(similar, "PLAIN_ROWS", 1)
+    assert similar.layout(len(rows))[0] == 26
+    gone = {r.id for r in similar.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 150 and sum(i in gone for i in near) >= 0.95 * len(near) and not gone & set(range(300))
+
+
+def test_all_layouts_meet_as_often():
+    rng = np.random.default_rng(22)
+    for most in (39, similar.MAX_BITS):
+        apart = np.zeros((10_000, similar.BITS), bool)
+        apart[np.arange(len(apart))[:, None], rng.random(apart.shape).argpartition(most, axis=1)[:, :most]] = True
+
+        def met(n):
+            return np.any([apart[:, p].sum(axis=1) <= 1 for p in similar.block_bits(*similar.layout(n))], axis=0).mean()
+
+        plain = met(1000)
+        assert all(met(similar.PLAIN_ROWS << k) >= plain - 0.01 for k in range(1, similar.MOST_EXACT + 3))
