@@ -98,11 +98,15 @@ def label_probabilities(z: DataFrame, loss: LossKind, id_col: str = "doc_id", n_
     return z.join(norm, F.col(id_col) == F.col("_id")).select(id_col, "block", F.transform("z", lambda s: F.struct((F.exp(s["z"] - F.col("m")) / F.col("total")).alias("p"), s["row"].alias("label_id"))).alias("scores"))
 
 
-def path_probabilities(z: DataFrame, paths: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def path_probabilities(z: DataFrame, paths: DataFrame, id_col: str = "doc_id", n_rows: int = 1) -> DataFrame:
     """The same for hierarchical softmax: the product over a label's path of exact sigmoids, by shifted logarithms.
 
-    paths (label_id, path, code) is one row a label; z must be one block of inner nodes.
+    paths (label_id, path, code) is one row a label. Paths cross blocks, so the blocks of
+    n_rows inner nodes are put together in a line's row, which has all labels anyway.
     """
+    if n_rows > LABEL_BLOCK:
+        blocks = F.array_sort(F.collect_list(F.struct("block", "z")))
+        z = z.groupBy(id_col).agg(blocks.alias("_b")).select(id_col, F.lit(0).alias("block"), F.flatten(F.transform("_b", lambda b: b["z"])).alias("z"))
     every = paths.agg(F.array_sort(F.collect_list(F.struct("label_id", "path", "code"))).alias("paths"))
 
     def chance(p: Column) -> Column:
@@ -122,7 +126,8 @@ def predict_features(lines: DataFrame, model: Model, k: int = 1, threshold: floa
     rows = v.nwords + (model.params.bucket if model.params.maxn > 0 or model.params.word_ngrams > 1 else 0)
     h = hidden(lines.where(F.size("fids") > 0), model.input, dim, id_col, rows=rows)
     if model.params.loss == LossKind.HS:
-        scored = path_probabilities(logits(h, model.output, 1, dim, id_col), model.hs, id_col)
+        nodes = max(v.nlabels - 1, 1)
+        scored = path_probabilities(logits(h, model.output, nodes, dim, id_col), model.hs, id_col, nodes)
     else:
         scored = label_probabilities(logits(h, model.output, v.nlabels, dim, id_col), model.params.loss, id_col, v.nlabels)
     k = min(k, v.nlabels)

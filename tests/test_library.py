@@ -305,3 +305,23 @@ def test_blocks_of_many_labels(spark):
     for r in p:
         assert r.t == pytest.approx(1) and r.m.label_id == e[r.doc_id].argmax() and r.m.p == pytest.approx(e[r.doc_id].max() / e[r.doc_id].sum())
     assert math.isclose(e[0].sum(), e[0].sum())
+
+
+def test_paths_of_many_labels(spark):
+    rand, n, dim = np.random.default_rng(6), 2100, 3
+    tokens = spark.createDataFrame([(0, "word", 1, 0), *((1 + k, f"__label__{k:04}", 1, 1) for k in range(n))], "id int, token string, count long, entry_type byte")
+    p = Params.supervised(dim=dim, loss=LossKind.HS, minn=0, maxn=0, bucket=0)
+    paths = training.huffman_paths([n - k for k in range(n)])
+    out, h = rand.normal(size=(n, dim)), rand.normal(size=dim)
+    model = scoring.Model(
+        p,
+        vocabulary.Vocabulary(tokens, 1, n, n + 1, p),
+        spark.createDataFrame([(0, h.tolist())], "fid long, vec array<double>"),
+        spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(out)], "row int, vec array<double>"),
+        spark.createDataFrame([(k, a, c) for k, (a, c) in enumerate(paths)], "label_id int, path array<int>, code array<boolean>"),
+    )
+    f = 1 / (1 + np.exp(-(out @ h)))
+    want = [math.exp(sum(math.log((f[k] if c else 1 - f[k]) + 1e-5) for k, c in zip(*x, strict=True))) for x in paths]
+    got = scoring.predict(spark.createDataFrame([(7, "word")], "doc_id long, text string"), model, k=3).orderBy("rank").collect()
+    assert [int(r.label[-4:]) for r in got] == sorted(range(n), key=lambda k: -want[k])[:3]
+    assert [r.prob for r in got] == pytest.approx([want[int(r.label[-4:])] + 1e-5 for r in got], rel=1e-3)
