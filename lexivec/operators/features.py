@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,22 +10,37 @@ from ..params import Params
 from .vocabulary import BROADCAST_ENTRIES, WORD, Vocabulary
 
 
+def with_hashed(rows: DataFrame, key: str, buckets: Column, vocabulary: Vocabulary, name: str) -> DataFrame:
+    """rows with ``name``: row ids of an array of buckets, in its order; with a prune table renumbered, others dropped.
+
+    The table may be large, so it is joined; each value of ``key`` must have one array.
+    """
+    if vocabulary.prune is None:
+        return rows.withColumn(name, F.transform(buckets, lambda g: g + vocabulary.nwords))
+    each = rows.select(F.col(key).alias("_key"), buckets.alias("_g")).dropDuplicates(["_key"]).select("_key", F.posexplode("_g").alias("_at", "bucket"))
+    kept = each.join(vocabulary.prune.select("bucket", "new_id"), "bucket").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "new_id"))).alias("_kept"))
+    ids = F.transform(F.coalesce("_kept", F.array().cast("array<struct<_at:int,new_id:bigint>>")), lambda x: x["new_id"].cast("long") + vocabulary.nwords)
+    return rows.join(kept, F.col(key) == F.col("_key"), "left").withColumn(name, ids).drop("_key", "_kept")
+
+
 def subwords(vocabulary: Vocabulary) -> DataFrame:
     """entries with ``subwords``: own id, then the ids of its character n-grams (none for the end of line)."""
     p = vocabulary.params
-    grams = F.transform(T.ngram_ids("token", p.minn, p.maxn, p.bucket), lambda g: g + vocabulary.nwords)
+    grams = F.col("_grams")
     own = F.array(F.col("id").cast("long"))
-    return vocabulary.entries.withColumn("subwords", F.when(F.col("token") == T.EOS, own).otherwise(F.concat(own, grams)))
+    return with_hashed(vocabulary.entries, "token", T.ngram_ids("token", p.minn, p.maxn, p.bucket), vocabulary, "_grams").withColumn("subwords", F.when(F.col("token") == T.EOS, own).otherwise(F.concat(own, grams))).drop("_grams")
 
 
 def subwords_of(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """tokens (.., token) with ``id`` (null if unknown) and ``subwords``; unknown tokens have their n-grams only."""
     p = vocabulary.params
-    grams = F.transform(T.ngram_ids("token", p.minn, p.maxn, p.bucket), lambda g: g + vocabulary.nwords)
     joined = tokens.join(vocabulary.for_lookup(), "token", "left")
+    if p.maxn > 0:
+        joined = with_hashed(joined, "token", T.ngram_ids("token", p.minn, p.maxn, p.bucket), vocabulary, "_grams")
+    grams = F.col("_grams")
     own = F.when(F.col("id").isNotNull(), F.array(F.col("id").cast("long"))).otherwise(F.array().cast("array<bigint>"))
     ids = F.when(F.col("token") == T.EOS, own).otherwise(F.concat(own, grams))
-    return joined.withColumn("subwords", ids if p.maxn > 0 else own)
+    return joined.withColumn("subwords", ids if p.maxn > 0 else own).drop("_grams")
 
 
 def ngram_strings(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -35,7 +50,8 @@ def ngram_strings(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     joined = tokens.join(vocabulary.for_lookup(), "token", "left")
     own = F.when(F.col("id").isNotNull(), F.array(F.struct(F.col("token").alias("gram"), F.col("id").cast("long").alias("fid")))).otherwise(F.array().cast("array<struct<gram:string,fid:bigint>>"))
     every = F.when((F.col("token") == T.EOS) | F.lit(p.bucket <= 0), own).otherwise(F.concat(own, grams))
-    return joined.select("token", F.posexplode(every).alias("pos", "g")).select("token", "pos", "g.gram", "g.fid")
+    rows = joined.select("token", F.posexplode(every).alias("pos", "g")).select("token", "pos", "g.gram", "g.fid")
+    return rows if vocabulary.prune is None else apply_prune(rows, vocabulary.nwords, vocabulary.prune).select("token", "pos", "gram", "fid")
 
 
 def apply_prune(features: DataFrame, nwords: int, table: DataFrame) -> DataFrame:
@@ -63,8 +79,11 @@ def line_features(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id
     word = F.struct("pos", F.when(~label, F.col("subwords")).alias("ids"), F.when(~label & F.lit(p.word_ngrams > 1 and p.bucket > 0), T.token_hash("token")).alias("hash"), F.when(label & F.col("id").isNotNull(), F.col("id") - nwords).alias("label"))
     lines = known.groupBy("_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
     pick = lambda name: F.filter(F.transform("w", lambda x: x[name]), lambda x: x.isNotNull())
-    hashed = F.transform(T.word_ngram_ids(pick("hash"), p.word_ngrams, p.bucket), lambda g: g + nwords)
-    made = lines.select("_id", F.concat(F.flatten(pick("ids")), hashed).alias("fids"), pick("label").alias("labels"))
+    ids = F.flatten(pick("ids"))
+    if p.word_ngrams > 1 and p.bucket > 0:
+        lines = with_hashed(lines, "_id", T.word_ngram_ids(pick("hash"), p.word_ngrams, p.bucket), vocabulary, "_spans")
+        ids = F.concat(ids, "_spans")
+    made = lines.select("_id", ids.alias("fids"), pick("label").alias("labels"))
     if eos and not eos_in_ngrams and (own := vocabulary.id_of(T.EOS)) is not None:
         made = made.withColumn("fids", F.when(F.size("fids") > 0, F.concat("fids", F.array(F.lit(own).cast("long")))).otherwise(F.col("fids")))
     return made.select(F.col("_id").alias(id_col), "fids", "labels")
@@ -85,4 +104,4 @@ def chunk_lines(lines: DataFrame, ids_col: str = "ids", size: int = T.LINE_TOKEN
     return lines.select(*others, ids_col, F.explode(starts).alias("chunk")).withColumn(ids_col, F.slice(F.col(ids_col), F.col("chunk") * size + 1, F.lit(size)))
 
 
-__all__ = ["BROADCAST_ENTRIES", "apply_prune", "chunk_lines", "context_pairs", "line_features", "ngram_strings", "subwords", "subwords_of"]
+__all__ = ["BROADCAST_ENTRIES", "apply_prune", "chunk_lines", "context_pairs", "line_features", "ngram_strings", "subwords", "subwords_of", "with_hashed"]

@@ -325,3 +325,29 @@ def test_paths_of_many_labels(spark):
     got = scoring.predict(spark.createDataFrame([(7, "word")], "doc_id long, text string"), model, k=3).orderBy("rank").collect()
     assert [int(r.label[-4:]) for r in got] == sorted(range(n), key=lambda k: -want[k])[:3]
     assert [r.prob for r in got] == pytest.approx([want[int(r.label[-4:])] + 1e-5 for r in got], rel=1e-3)
+
+
+def test_pruned_model_reads_its_ngram_rows(spark):
+    docs = spark.createDataFrame([(k, f"__label__{k % 2} " + ("red apple pie red" if k % 2 else "blue sea wave blue")) for k in range(20)] + [(20, "zebra apple"), (21, "")], "doc_id long, text string")
+    full = training.train(docs, Params.supervised(dim=4, epoch=1, lr=0.5, thread=2, minn=2, maxn=3, word_ngrams=2, bucket=500))
+    cutoff = 150
+    pruned = quantization.prune_model(full, cutoff)
+    v, n, m = pruned.vocabulary, full.vocabulary.nwords, pruned.vocabulary.nwords
+    old = {r.token: r.id for r in full.vocabulary.words().collect()}
+    new = {old[r.token]: r.id for r in v.words().collect()} | {n + r.bucket: m + r.new_id for r in v.prune.collect()}
+    assert len(new) == cutoff
+
+    def lines(of):
+        return {r.doc_id: r.fids for r in features.line_features(docs, of).collect()}
+
+    was, got = lines(full.vocabulary), lines(v)
+    assert any(x not in new for x in was[20]) and any(new.get(x, 0) >= m for x in was[20])
+    assert got == {k: [new[x] for x in ids if x in new] for k, ids in was.items()}
+    vecs = {r.fid: r.vec for r in pruned.input.collect()}
+    of = {r.fid: r.vec for r in full.input.collect()}
+    assert all(vecs[b] == of[a] for a, b in new.items())
+    grams = features.ngram_strings(docs.limit(1).select(F.lit("apple").alias("token")), v).collect()
+    whole = features.ngram_strings(docs.limit(1).select(F.lit("apple").alias("token")), full.vocabulary).collect()
+    assert sorted((r.gram, r.fid) for r in grams) == sorted((r.gram, new[r.fid]) for r in whole if r.fid in new)
+    again = quantization.quantize(full, cutoff=cutoff, retrain_on=docs, epoch=1)
+    assert again.model.input.count() == cutoff and scoring.predict(docs, again.as_model()).count() > 0
