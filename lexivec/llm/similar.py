@@ -2,24 +2,26 @@
 
 The 64-bit fingerprints of ``simhash`` link at three bits or fewer, which is a similarity
 of about 0.97; to take texts of similarity 0.8 a fingerprint needs more bits and must
-allow more differences. Here it has 256 bits, and fingerprints are linked at MAX_BITS or
-fewer: texts of Jaccard similarity 0.8 on their shingles differ in about 39 bits (give or
-take 6), of 0.85 in 33 and of 0.7 in 49, so the limit is passed by most pairs from 0.8 on,
-nearly all from 0.85 on, and by some under 0.8.
-
-Blocks of 16 bits are covered by the Hamming code [15, 11] with the last bit kept as it
-is (covering radius 1, threshold 1: a fingerprint is replicated to the nine anchors
-within distance 2, and is at home at the nearest). Two fingerprints meet if one of the
-blocks differs in at most one bit; with ten blocks texts of similarity 0.85 meet with a
-chance over 0.98 and of 0.8 over 0.95. Large inputs add exact bits to the blocks, so that
-an anchor's members don't grow with the input, and use as many more blocks as keep that
-chance; where the fingerprint's bits are used up, further blocks take them in another order.
+allow more differences. Here it has 256 bits. Texts of Jaccard similarity 0.8 on their
+shingles differ in about 39 of them, give or take 6.
+
+1. Candidates. Blocks of 16 bits are covered by the Hamming code [15, 11] with the last
+   bit kept as it is (covering radius 1, threshold 1: a fingerprint is replicated to the
+   nine anchors within distance 2, and is at home at the nearest). Two fingerprints meet
+   if one of the blocks differs in at most one bit; with 16 blocks texts of similarity
+   0.8 meet with a chance over 0.99. Large inputs add exact bits to the blocks, so that
+   an anchor's members don't grow with the input, and as many more blocks as keep that
+   chance. Those that meet and differ in at most NEAR of SHORT bits are put in one loose
+   group.
+2. Proof. Each loose group's shingles are brought together once, and only pairs whose
+   sets of shingles have a Jaccard similarity of LIKENESS or more are linked. So what is
+   linked depends on the two texts alone, not on the size of the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, log1p
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -31,41 +33,80 @@ from .common import cut, per_text, text_bytes
 from .components import connected_components
 from .simhash import ANCHOR_CHUNK, HOT_BROADCAST
 
-WORDS, BITS, MAX_BITS, BLOCKS = 5, 256, 44, 10
+WORDS, BITS, LIKENESS = 5, 256, 0.8
+#: Bits in which pairs of similarity 0.8 differ, on average, and the most in which the proof looks at a pair (three spreads above).
+USUAL_BITS, MAX_BITS = 39, 56
+#: The same for the half of the fingerprint that is compared at the anchors.
+SHORT, NEAR = 128, 32
+#: Chance that a pair with USUAL_BITS doesn't meet at any anchor.
+MISS = 0.005
 #: Different fingerprints up to which blocks have 16 bits; each doubling beyond adds an exact bit, up to MOST_EXACT.
-PLAIN_ROWS, MOST_EXACT = 1 << 20, 16
+PLAIN_ROWS, MOST_EXACT = 1 << 18, 20
 #: Blocks with common bits meet less often together than independent ones; so many more of them are made for each exact bit.
 MARGIN = 0.0125
+#: Members of a loose group whose shingles one task holds; more are split into pairs of chunks.
+PROOF_CHUNK = 1024
+#: Texts to be proved up to this many (50 bytes each) are told to all tasks; more are found by a shuffle.
+PROOF_BROADCAST = 200_000
 _F = ("f0", "f1", "f2", "f3")
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> bytes:
-    """256 bits, each set if it is in over half of the hashes of the lower-cased text's shingles; all 0 without words."""
+def _shingle_spans(text: bytes, words: int) -> tuple[bytes, list[tuple[int, int]]]:
     joined = b" ".join(text.lower().split())
     if not joined:
-        return bytes(BITS // 8)
+        return joined, []
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
     if len(starts) < words:
         starts, ends = starts[:1], ends[-1:]
     else:
         starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
-    digest, counts, n = xxhash.xxh3_128_digest, np.zeros(BITS, np.int64), len(starts)
-    spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
-    for k in range(0, n, 2048):
+    return joined, list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> bytes:
+    """256 bits, each set if it is in over half of the hashes of the lower-cased text's shingles; all 0 without words."""
+    joined, spans = _shingle_spans(text, words)
+    digest, counts = xxhash.xxh3_128_digest, np.zeros(BITS, np.int64)
+    for k in range(0, len(spans), 2048):
         data = b"".join([digest(joined[s:e], 1) + digest(joined[s:e], 2) for s, e in spans[k : k + 2048]])
         counts += np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > n).tobytes()
+    return np.packbits(counts * 2 > len(spans)).tobytes()
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The sorted 64-bit hashes of the lower-cased text's different shingles; a shorter text is one shingle."""
+    joined, spans = _shingle_spans(text, words)
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in spans), np.uint64, len(spans)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = LIKENESS) -> bool:
+    """Whether two sorted sets of shingles have a Jaccard similarity of at least ``least``; two empty ones have."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= least * (small + large - common) - 1e-9
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, f0, f1, f2, f3) for each row; null text counts as empty."""
+    """(id, said, f0, f1, f2, f3) for each row; said is a hash of the text; null text counts as empty."""
 
     def run(texts: list) -> list[pa.Array]:
         own = np.frombuffer(b"".join(fingerprint(x, words) for x in texts), "<i8").reshape(-1, 4)
         return [pa.array(np.ascontiguousarray(own[:, k])) for k in range(4)]
 
-    return per_text(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")), run, "id long, " + ", ".join(f"{x} long" for x in _F))
+    key = F.struct(F.col(id_col).cast("long").alias("id"), said(text_col).alias("said"))
+    made = per_text(docs.select(key.alias("key"), text_bytes(text_col).alias("text")), run, "key struct<id:bigint,said:bigint>, " + ", ".join(f"{x} long" for x in _F))
+    return made.select("key.id", "key.said", *_F)
+
+
+def said(text_col: str):
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _near_codewords() -> np.ndarray:
@@ -86,21 +127,17 @@ def _near_codewords() -> np.ndarray:
 _NEAR = _near_codewords()
 
 
-def meeting_chance(width: int, differences: int = MAX_BITS) -> float:
+def meeting_chance(width: int, differences: int = USUAL_BITS) -> float:
     """Chance that a block of ``width`` bits differs in at most one, for fingerprints with so many differences."""
     same = BITS - differences
     return (comb(same, width) + differences * comb(same, width - 1)) / comb(BITS, width)
 
 
 def layout(n: int) -> tuple[int, int]:
-    """(bits of a block, blocks) for n different fingerprints.
-
-    Wider blocks are as many as it takes for fingerprints at MAX_BITS, which lose most by
-    the width, to meet as often as in BLOCKS blocks of 16 bits.
-    """
+    """(bits of a block, blocks) for n different fingerprints: as many blocks as it takes for all but MISS of the pairs to meet."""
     exact = min(MOST_EXACT, max(0, (max(n, 1) - 1).bit_length() - (PLAIN_ROWS - 1).bit_length()))
     width = 16 + exact
-    return width, BLOCKS if not exact else ceil(BLOCKS * (1 + MARGIN * exact) * log1p(-meeting_chance(16)) / log1p(-meeting_chance(width)))
+    return width, ceil((1 + MARGIN * exact) * log(MISS) / log(1 - meeting_chance(width)))
 
 
 def block_bits(width: int, blocks: int) -> list[np.ndarray]:
@@ -125,7 +162,11 @@ def block_anchors(blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(own)
 
 
+_MEMBER = "anchor long, node long, a long, b long"
+
+
 def _replicate(width: int, n_blocks: int):
+    """Rows (anchor, node, a, b) of (node, f0..f3); node is doubled, and odd where it is at home."""
     places = block_bits(width, n_blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +179,9 @@ def _replicate(width: int, n_blocks: int):
                 for b, own in enumerate(places):
                     block = bits[:, own].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
                     at, anchor, home = block_anchors(block, width)
-                    columns = [pa.array(anchor | np.int64(b) << np.int64(40)), pa.array(home), pa.array(node[at]), *(pa.array(fps[at, k]) for k in range(4))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "home", "node", *_F])
+                    # the half of the bits that is compared goes round, so that it seldom is the block's own half only
+                    two = (0, 2) if b % 2 else (1, 3)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | np.int64(b) << np.int64(40)), pa.array(node[at] * 2 + home), *(pa.array(fps[at, k]) for k in two)], names=["anchor", "node", "a", "b"])
 
     return run
 
@@ -177,78 +219,158 @@ def anchor_links(fps: np.ndarray, homes: np.ndarray, most: int) -> list[tuple[in
     return out
 
 
-def _compare(most: int):
+def _by_key(found, names: list[str]):
+    """A function of batches sorted by their first column: found(key's rows as arrays) for each key, keys that go on in the next batch whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            keys, home, node = rows[:3]
-            fps = np.stack(rows[3:], axis=1).view(np.uint64)
+        def emit(table: pa.Table) -> pa.RecordBatch:
+            keys = table.column(0).to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             a, b = [], []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                if e - s > 1 and home[s:e].any():
-                    for i, j in anchor_links(fps[s:e], np.flatnonzero(home[s:e]), most):
-                        a.append(node[s + i])
-                        b.append(node[s + j])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if e - s > 1:
+                    for x, y in found(table.slice(s, e - s)):
+                        a.append(x)
+                        b.append(y)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
 
-        kept: list[np.ndarray] | None = None
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            rows = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-            if not len(rows[0]):
+            if not batch.num_rows:
                 continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            kept = [x[last:] for x in rows]
-            if last:
-                yield found([x[:last] for x in rows])
-        if kept is not None and len(kept[0]):
-            yield found(kept)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last or (kept and kept[-1].column(0)[0].as_py() != keys[0]):
+                whole = [*kept, batch.slice(0, last)] if last else kept
+                yield emit(pa.Table.from_batches(whole).combine_chunks())
+                kept = []
+            kept.append(batch.slice(last))
+        if kept:
+            yield emit(pa.Table.from_batches(kept).combine_chunks())
 
     return run
 
 
-def links(distinct: DataFrame, n: int, most: int = MAX_BITS, chunk: int = ANCHOR_CHUNK) -> DataFrame:
-    """Links (a, b) of (node, f0..f3), one row a fingerprint. Anchors of over ``chunk`` members are split into pairs of chunks."""
+def _meet(near: int):
+    def found(rows: pa.Table) -> list[tuple[int, int]]:
+        node = rows.column(1).to_numpy()
+        homes = np.flatnonzero(node & 1)
+        if not len(homes):
+            return []
+        fps = np.stack([rows.column(k).to_numpy() for k in (2, 3)], axis=1).view(np.uint64)
+        node = node >> 1
+        return [(node[i], node[j]) for i, j in anchor_links(fps, homes, near)]
+
+    return _by_key(found, ["a", "b"])
+
+
+def candidates(distinct: DataFrame, n: int, near: int = NEAR, chunk: int = ANCHOR_CHUNK) -> DataFrame:
+    """Links (a, b) of (node, f0..f3), one row a fingerprint, that chain together what meets at an anchor within ``near`` bits.
+
+    Anchors of over ``chunk`` members are split into pairs of chunks.
+    """
     width, blocks = layout(n)
-    fields = "anchor long, home boolean, node long, " + ", ".join(f"{x} long" for x in _F)
-    members = distinct.select("node", *_F).mapInArrow(_replicate(width, blocks), fields)
+    members = distinct.select("node", *_F).mapInArrow(_replicate(width, blocks), _MEMBER)
     hot = cut(members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > chunk)) if n > chunk else None
     n_hot = hot.limit(HOT_BROADCAST + 1).count() if hot is not None else 0
     if n_hot:
         every = members.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "anchor", "left")
-        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        split = (
-            every.where("n is not null")
-            .withColumn("parts", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("anchor"), "home", "node", *_F)
-        )
+        split = _pairs_of_chunks(every.where("n is not null"), "anchor", F.shiftright("node", 1), chunk).select("anchor", "node", "a", "b")
         members = every.where("n is null").drop("n").unionByName(split)
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(most), "a long, b long")
+    return members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(near), "a long, b long")
+
+
+def _pairs_of_chunks(rows: DataFrame, key: str, dealt_by, chunk: int) -> DataFrame:
+    """rows (key, n, ..) of groups of n members: dealt to ceil(n / chunk) chunks, and a copy to each pair of chunks as a group of its own."""
+    return (
+        rows.withColumn("_parts", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
+        .withColumn("_own", F.pmod(F.xxhash64(dealt_by), F.col("_parts")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn(key, F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
+        .drop("_parts", "_own", "_other")
+    )
+
 
+def proved(fps: np.ndarray, sets: list[np.ndarray], most: int = MAX_BITS, least: float = LIKENESS) -> list[tuple[int, int]]:
+    """Index pairs that join what is connected by pairs of similarity ``least`` within ``most`` bits; members less one at most.
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MAX_BITS) -> DataFrame:
-    """(id): ids of documents that are near copies, directly or by a chain, of one with a smaller id.
+    Each member reached is compared with all not yet reached, so no pair that could join
+    two chains is left out, and of a tight group each member is compared about once.
+    """
+    out, left = [], np.arange(len(fps))
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            h = front.pop()
+            near = np.bitwise_count(fps[left] ^ fps[h]).sum(axis=1) <= most
+            hit = np.zeros(len(left), bool)
+            for k in np.flatnonzero(near).tolist():
+                hit[k] = alike(sets[h], sets[left[k]], least)
+            front += left[hit].tolist()
+            out += [(h, int(j)) for j in left[hit]]
+            left = left[~hit]
+    return out
+
+
+def _prove(most: int, least: float):
+    def found(rows: pa.Table) -> list[tuple[int, int]]:
+        node = rows.column(1).to_numpy()
+        fps = np.stack([rows.column(k).to_numpy() for k in range(2, 6)], axis=1).view(np.uint64)
+        sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()]
+        return [(node[i], node[j]) for i, j in proved(fps, sets, most, least)]
 
-    Texts without words have equal fingerprints and are copies of each other. Rows without
-    an id are left out.
+    return _by_key(found, ["a", "b"])
+
+
+def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, least: float = LIKENESS, chunk: int = PROOF_CHUNK) -> DataFrame:
+    """Links (a, b) between nodes whose texts have a similarity of ``least`` or more, enough to connect all that are connected.
+
+    distinct: (node, id, said, f0..f3), one row a fingerprint with the row of docs that stands for it.
+    """
+    spark = docs.sparkSession
+    loose = cut(connected_components(candidates(distinct, distinct.count())))
+    sizes = loose.groupBy("label").agg(F.count("*").alias("n"))
+    asked = cut(distinct.join(loose.join(sizes, "label"), "node").select("node", "label", "n", "id", "said", *_F))
+    n_asked = asked.count()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), said(text_col).alias("said"), text_bytes(text_col).alias("text"))
+    # repeated rows: one stands for its fingerprint
+    met = rows.join(F.broadcast(asked) if n_asked <= PROOF_BROADCAST else asked, ["id", "said"])
+
+    def sets(texts: list) -> list[pa.Array]:
+        return [pa.array([shingles(x, words).tobytes() for x in texts], pa.binary())]
+
+    fields = ", ".join(f"{x}:bigint" for x in ("label", "n", "node", *_F))
+    made = per_text(met.select(F.struct("label", "n", "node", *_F).alias("key"), "text"), sets, f"key struct<{fields}>, shingles binary").select("key.*", "shingles")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    few, many = made.where(F.col("n") <= chunk), made.where(F.col("n") > chunk)
+    has_many = not sizes.where(F.col("n") > chunk).isEmpty()
+    own = few.unionByName(_pairs_of_chunks(many, "label", F.col("node"), chunk)) if has_many else few
+    dealt = own.select("label", "node", *_F, "shingles").repartition(parts, "label").sortWithinPartitions("label", "node")
+    return dealt.mapInArrow(_prove(MAX_BITS, least), "a long, b long").where("a <> b")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LIKENESS) -> DataFrame:
+    """(id, said): rows that are near copies, directly or by a chain, of a row with a smaller id; said is said() of the text.
+
+    Texts without words have equal fingerprints and are copies of each other. Texts of
+    equal fingerprints (all 256 bits) are copies without a proof. Rows without an id are
+    left out.
     """
     each = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
-    distinct = cut(each.groupBy(*_F).agg(F.min("id").alias("node")))
-    # a document with an id in several rows may be the smallest of several fingerprints
-    distinct = distinct.withColumn("first", F.col("node")).withColumn("node", F.xxhash64(*_F))
-    labels = connected_components(links(distinct, distinct.count(), most))
-    joined = cut(distinct.join(labels, "node").select("node", "label", "first"))
+    first = F.min(F.struct("id", "said")).alias("first")
+    # numbered in the task that makes the row, and then written, so the numbers stay
+    distinct = cut(each.groupBy(*_F).agg(first).select(F.monotonically_increasing_id().alias("node"), "first.id", "first.said", *_F))
+    labels = connected_components(links(docs, distinct, id_col, text_col, words, least))
+    joined = cut(distinct.join(labels, "node").select("node", "label", F.col("id").alias("first")))
     smallest = joined.groupBy("label").agg(F.min("first").alias("smallest"))
     moved = joined.join(smallest, "label").select("node", "smallest")
     # a table of its own, so that both sides of the last join are plain shuffles and AQE can split a hot fingerprint
-    of = cut(distinct.join(moved, "node", "left").select(*_F, F.coalesce("smallest", "first").alias("component")))
-    return each.join(of, list(_F)).where("id <> component").select("id").distinct()
+    of = cut(distinct.join(moved, "node", "left").select(*_F, F.coalesce("smallest", "id").alias("component")))
+    return each.join(of, list(_F)).where("id <> component").select("id", "said").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs without near copies of a document with a smaller id; rows without an id are kept."""
-    gone = copies(docs, id_col, text_col, words).select(F.col("id").alias("_copy"))
-    return docs.join(gone, docs[id_col] == gone["_copy"], "left_anti")
+    """docs without near copies of a document with a smaller id; rows without an id are kept, as are rows that repeat a kept id."""
+    gone = copies(docs, id_col, text_col, words).select(F.col("id").alias("_copy"), F.col("said").alias("_said"))
+    return docs.join(gone, (docs[id_col] == gone["_copy"]) & (said(text_col) == gone["_said"]), "left_anti")

@@ -4,24 +4,14 @@ import hashlib
 import duckdb
 import pandas as pd
 import pytest
-import xxhash
 
 import corpus_pipeline
 from lexivec.llm import mixing, pii, quality, similar
 
 
-def fp(text, words=5):
-    w = text.encode().lower().split()
-    if not w:
-        return 0
-    h = [b"".join(xxhash.xxh3_128_digest(b" ".join(w[i : i + words]), seed) for seed in (1, 2)) for i in range(max(1, len(w) - words + 1))]
-    numbers = [int.from_bytes(x) for x in h]
-    return sum(1 << k for k in range(256) if 2 * sum(x >> k & 1 for x in numbers) > len(h))
-
-
-def linked(a, b):
-    d = a ^ b
-    return d.bit_count() <= similar.MAX_BITS and any((d >> (240 - 16 * k) & 0xFFFF).bit_count() <= 1 for k in range(similar.BLOCKS))
+def shingles(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
 
 
 def brute(sf):
@@ -30,7 +20,7 @@ def brute(sf):
 
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     docs = docs[[all(not r.rejects(quality.Measures(t.encode())) for r in quality.RULES) for t in docs.text]].sort_values("doc_id").reset_index(drop=True)
-    prints, group = [fp(t) for t in docs.text], list(range(len(docs)))
+    sets, group = [shingles(t) for t in docs.text], list(range(len(docs)))
 
     def root(i):
         while group[i] != i:
@@ -39,7 +29,7 @@ def brute(sf):
 
     for i in range(len(docs)):
         for j in range(i):
-            if linked(prints[i], prints[j]) and root(i) != root(j):
+            if root(i) != root(j) and len(sets[i] & sets[j]) >= similar.LIKENESS * len(sets[i] | sets[j]):
                 group[max(root(i), root(j))] = min(root(i), root(j))
     docs = docs[[root(i) == i for i in range(len(docs))]].copy()
     docs["text"] = [pii.redact(t, pii.spans(t)) for t in docs.text]
