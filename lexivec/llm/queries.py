@@ -106,8 +106,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         sketch.as_text(F.col("sketch")).alias("fingerprint"),
         sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketch.likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("near_edited"),
+        sketch.likeness(F.col("sketch"), F.col("next_sketch"), F.col("text") == F.col("next_text")).alias("near_next"),
+        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+        sketch.containment(F.col("sketch"), F.col("next_sketch")).alias("contained_in_next"),
     )
 
 

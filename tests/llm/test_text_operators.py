@@ -238,25 +238,44 @@ def test_fingerprints(spark, sf, tmp_path):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest())
         cut = lambda f: {f[j : j + 16] for j in range(0, len(f), 16)}
         a, b, c = cut(r.fingerprint), cut(r.edited_fingerprint), cut(got[ordered[(k + 1) % len(ordered)][0]].fingerprint)
-        alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        assert r.near_edited == pytest.approx(alike(a, b)) and r.near_next == pytest.approx(alike(a, c))
+        e = t[: len(t) - m] + nxt[:m]
+        alike = lambda x, y, same: len(x & y) / len(x | y) if x | y else float(same)
+        assert r.near_edited == pytest.approx(alike(a, b, t == e)) and r.near_next == pytest.approx(alike(a, c, t == nxt))
+        assert r.contained_in_edited == pytest.approx(len(a & b) / len(a) if a else 1.0) and r.contained_in_next == pytest.approx(len(a & c) / len(a) if a else 1.0)
+        assert all(int(x, 16) < 2**64 // sketch.SCALE for x in a)
         w = set(zip(*[re.findall(r"[^\x20\x09-\x0D]+", t)[j:] for j in range(5)], strict=False))
         if len(w) > 400:
             assert abs(len(a) * sketch.SCALE / len(w) - 1) < 0.6
-    assert got[999].fingerprint == got[998].fingerprint != "" and got[999].near_next == 1.0
+    assert got[999].fingerprint == got[998].fingerprint and got[999].near_next == 1.0
 
 
-def test_fingerprint_neighbours_across_stretches(spark):
+@pytest.mark.parametrize("kind", ["dense", "far", "hashes", "clustered", "one"])
+def test_fingerprint_neighbours_across_stretches(spark, kind):
     from pyspark.sql import functions as F
 
-    ids = [*range(0, 5000, 2), 10**12, None, None, 7, 7]
+    rng = random.Random(9)
+    ids = {
+        "dense": [*range(0, 3000, 2), 10**12, None, None, 7, 7],
+        "far": [-(2**63), 2**63 - 1, 0],
+        "hashes": [rng.randrange(-(2**63), 2**63) for _ in range(3000)],
+        "clustered": [(5 << 48) + k for k in range(2500)] + [(9 << 48) + 1000 * k for k in range(500)] + [-(2**62), 2**62],
+        "one": [5] * 1500 + [None] * 500,
+    }[kind]
     df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
-    got = sketch.with_next(df).select("id", "text", "next_text").collect()
+    made = sketch.with_next(df, stretch=100)
+    got = made.select("id", "text", "next_text").collect()
     assert len(got) == len(ids) and len({r.next_text for r in got}) == len(ids)
     own = {f"t{k}": i for k, i in enumerate(ids)}
-    order = sorted((i for i in ids if i is not None), reverse=True) + [None, None]
-    follow = {a: b for a, b in zip(order, order[1:] + order[:1], strict=True) if a not in (7, None)}
-    assert all(own[r.next_text] == follow[r.id] for r in got if r.id in follow)
+    low = lambda i: -(2**70) if i is None else i
+    # the next row has the next smaller id, or the same; only one row goes back to the top
+    assert sum(low(own[r.next_text]) > low(r.id) for r in got) == (len(set(ids)) > 1)
+    order = sorted(set(ids), key=low, reverse=True)
+    follow = dict(zip(order, order[1:] + order[:1], strict=True))
+    assert all(own[r.next_text] in (r.id, follow[r.id]) for r in got)
+    if kind != "far":
+        places = df.select(sketch.place(F.col("doc_id"), F.col("text")).alias("place"))
+        sizes = [r["count"] for r in sketch.with_stretch(places, sketch.crowded(places, 100)).groupBy("stretch").count().collect()]
+        assert max(sizes) <= 100 and len(sizes) <= 16 * 2 * len(ids) / 100 + 64
     assert sketch.with_next(df.limit(0)).count() == 0
     one = sketch.with_next(df.where(F.col("text") == "t0")).collect()
     assert [(r.text, r.next_text) for r in one] == [("t0", "t0")]
