@@ -83,11 +83,18 @@ def share_out(children: DataFrame, parents: list[str], budget: str, weight: Colu
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
-    """leaves: domain, lang, source, tokens, docs. Adds allotted, whole (epochs), rest (tokens of one more epoch)."""
-    caps = leaves.withColumn("cap", F.col("tokens") * mix.max_epochs)
-    by_domain = caps.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row a domain
-    top = share_out(by_domain.withColumn("budget", F.floor(total.cast("double") * F.lit(float(mix.share))).cast("long")), [], "budget", mix.weight("domain")).select("domain", F.col("allotted").alias("budget"))
+    """leaves: domain, lang, source, tokens, docs. Adds allotted, whole (epochs), rest (tokens of one more epoch).
+
+    Leaves that have, or are under, a weight of 0 or less get nothing and have no row;
+    what they hold is in the total that the budget is a share of, but in nobody's cap.
+    """
+    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double") * F.lit(float(mix.share))).cast("long")).first()[0] or 0
+    live = leaves
+    for level in LEVELS:
+        live = live.where(mix.weight(level) > 0)
+    caps = live.withColumn("cap", F.col("tokens") * mix.max_epochs)
+    by_domain = caps.groupBy("domain").agg(F.sum("cap").alias("cap"))
+    top = share_out(by_domain.withColumn("budget", F.lit(total)), [], "budget", mix.weight("domain")).select("domain", F.col("allotted").alias("budget"))
     by_lang = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(top, "domain")
     mid = share_out(by_lang, ["domain"], "budget", mix.weight("lang")).select("domain", "lang", F.col("allotted").alias("budget"))
     low = share_out(caps.join(mid, ["domain", "lang"]), ["domain", "lang"], "budget", mix.weight("source"))
@@ -95,42 +102,75 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return low.withColumn("whole", whole).withColumn("rest", F.col("allotted") - F.col("whole") * F.col("tokens")).drop("cap", "budget")
 
 
+def _keys(docs: DataFrame, id_col: str, domain: Column | None) -> DataFrame:
+    """(_id, leaf, tokens, _said) of each row, written once, so that texts are read and counted once."""
+    return cut(with_leaf(docs, domain).select(F.col(id_col).alias("_id"), "leaf", "tokens", F.xxhash64("text").alias("_said")))
+
+
+def _order(mix: Mix) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.coalesce("whole", F.lit(0)).cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _stretch() -> Column:
+    return F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * F.coalesce("stretches", F.lit(1)) / F.lit(2**32)).cast("long")
+
+
+def bounds(keys: DataFrame, mix: Mix) -> tuple[DataFrame, bool]:
+    """(leaf, whole, rest, stretches, _last, _upto) and whether it is small: where each leaf's prefix ends.
+
+    _last is the stretch of the leaf's order in which the budget ends and _upto the last
+    (order, text's hash) there that still fits. Only sums of a leaf or of a stretch are
+    grouped, so a leaf with a third of all rows is pre-aggregated in each task; in each
+    leaf just the one stretch is ordered row by row.
+    """
+    sums = keys.groupBy("leaf").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).select("leaf.*", "tokens", "docs")
+    plan = cut(budgets(cut(sums), mix))
+    few = plan.limit(LEAVES_BROADCAST + 1).count() <= LEAVES_BROADCAST
+    hint = F.broadcast if few else lambda df: df
+    of = plan.select(F.struct(*LEVELS).alias("leaf"), "whole", "rest", (F.floor((F.col("docs") - 1) / STRETCH) + 1).alias("stretches"))
+    dealt = keys.join(hint(of.where("rest > 0")), "leaf").withColumn("_order", _order(mix)).withColumn("_at", _stretch())
+    parts = dealt.groupBy("leaf", "_at").agg(F.sum("tokens").alias("held"), F.first("rest").alias("rest"))
+    run = F.sum("held").over(Window.partitionBy("leaf").orderBy("_at"))
+    ends = parts.withColumn("until", run).where(F.col("until") > F.col("rest")).groupBy("leaf").agg(F.min(F.struct("_at", "until", "held")).alias("e"))
+    ends = cut(ends.select("leaf", F.col("e._at").alias("_last"), (F.col("e.until") - F.col("e.held")).alias("_before")))
+    edge = dealt.join(hint(ends), "leaf").where(F.col("_at") == F.col("_last"))
+    # rows of equal place, repeated rows, go together or not at all
+    upto = Window.partitionBy("leaf").orderBy("_order", "_said").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = edge.withColumn("until", F.sum("tokens").over(upto) + F.col("_before")).where(F.col("until") <= F.col("rest")).groupBy("leaf").agg(F.max(F.struct("_order", "_said")).alias("_upto"))
+    return cut(of.join(ends.drop("_before"), "leaf", "left").join(fits, "leaf", "left")), few
+
+
+def _with_copies(rows: DataFrame, found: tuple[DataFrame, bool], mix: Mix) -> DataFrame:
+    """rows (leaf, _id, _said, ..) with ``copies``."""
+    ends, few = found
+    marked = rows.join(F.broadcast(ends) if few else ends, "leaf", "left").withColumn("_order", _order(mix)).withColumn("_at", _stretch())
+    inside = (F.col("_at") < F.col("_last")) | ((F.col("_at") == F.col("_last")) & (F.struct("_order", "_said") <= F.col("_upto")))
+    more = (F.coalesce("rest", F.lit(0)) > 0) & F.coalesce(inside, F.col("_last").isNull())
+    copies = F.coalesce("whole", F.lit(0)).cast("int") + F.when(more, 1).otherwise(0)
+    return marked.withColumn("copies", copies).drop("whole", "rest", "stretches", "_last", "_upto", "_order", "_at", "_id", "_said")
+
+
+def count_copies(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", domain: Column | None = None) -> DataFrame:
+    """(id, leaf, tokens, copies) for each row of docs, as in select_copies; texts are read once."""
+    keys = _keys(docs, id_col, domain)
+    return _with_copies(keys.withColumn("id", F.col("_id")), bounds(keys, mix), mix).select("id", "leaf", "tokens", "copies")
+
+
 def select_copies(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", domain: Column | None = None) -> DataFrame:
     """docs with ``leaf``, ``tokens`` and ``copies``: how often the mix has each row (0: not at all).
 
     Needs the columns text, lang and source; null texts have no tokens, null languages and
     sources are named "none", null ids are ordered as "". Rows of the same id and leaf are
-    ordered by their text's hash. Existing columns leaf, tokens and copies are replaced.
+    ordered by their text's hash; rows that repeat id and text are in the prefix together
+    or not at all. A leaf of weight 0 has no copies. Existing columns leaf, tokens and
+    copies are replaced; an empty table gives an empty one.
 
-    Only sums of a leaf or of a stretch of its order are grouped, so a leaf with a third of
-    all rows is pre-aggregated in each task; in each leaf just the stretch in which the
-    budget ends is ordered row by row.
+    Texts are read twice: once to count tokens, once to go through.
     """
     names = [c for c in docs.columns if c not in ("leaf", "tokens", "copies")]
-    named = with_leaf(docs.select(*names), domain)
-    sums = named.groupBy("leaf").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).select("leaf.*", "tokens", "docs")
-    plan = cut(budgets(sums, mix))
-    few = plan.limit(LEAVES_BROADCAST + 1).count() <= LEAVES_BROADCAST
-    of = plan.select(F.struct(*LEVELS).alias("leaf"), "whole", "rest", (F.floor((F.col("docs") - 1) / STRETCH) + 1).alias("stretches"))
-    hint = F.broadcast if few else lambda df: df
-    order = F.md5(F.concat_ws(":", F.lit(mix.seed), F.coalesce("whole", F.lit(0)).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    dealt = (
-        named.join(hint(of), "leaf", "left")
-        .withColumn("_order", order)
-        .withColumn("_stretch", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * F.coalesce("stretches", F.lit(1)) / F.lit(2**32)).cast("long"))
-    )
-    parts = dealt.where("rest > 0").groupBy("leaf", "_stretch").agg(F.sum("tokens").alias("in_stretch"), F.first("rest").alias("rest"))
-    run = F.sum("in_stretch").over(Window.partitionBy("leaf").orderBy("_stretch"))
-    ends = parts.withColumn("until", run).where(F.col("until") > F.col("rest")).groupBy("leaf").agg(F.min(F.struct("_stretch", "until", "in_stretch")).alias("last"))
-    ends = cut(ends.select("leaf", F.col("last._stretch").alias("_last"), (F.col("last.until") - F.col("last.in_stretch")).alias("_before")))
-    marked = dealt.join(hint(ends), "leaf", "left")
-    base = F.coalesce("whole", F.lit(0)).cast("int")
-    full = F.col("_last").isNull() | (F.col("_stretch") < F.col("_last"))
-    sure = marked.where(F.col("_last").isNull() | (F.col("_stretch") != F.col("_last"))).withColumn("copies", base + F.when((F.coalesce("rest", F.lit(0)) > 0) & full, 1).otherwise(0))
-    row = Window.partitionBy("leaf").orderBy("_order", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = marked.where(F.col("_stretch") == F.col("_last")).withColumn("copies", base + F.when(F.col("_before") + F.sum("tokens").over(row) <= F.col("rest"), 1).otherwise(0))
-    out = [*names, "leaf", "tokens", "copies"]
-    return sure.select(*out).unionByName(edge.select(*out))
+    found = bounds(_keys(docs, id_col, domain), mix)
+    rows = with_leaf(docs.select(*names), domain).withColumns({"_id": F.col(id_col), "_said": F.xxhash64("text")})
+    return _with_copies(rows, found, mix).select(*names, "leaf", "tokens", "copies")
 
 
 ORACLE = r"""

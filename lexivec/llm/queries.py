@@ -20,8 +20,8 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, its leaf and tokens, and copies: how often the production mix has it."""
-    mixed = mixing.select_copies(_read(spark, sf_dir, "documents"), mixing.PRODUCTION)
-    return mixed.select("doc_id", "leaf.domain", "leaf.lang", "leaf.source", "tokens", "copies")
+    mixed = mixing.count_copies(_read(spark, sf_dir, "documents"), mixing.PRODUCTION)
+    return mixed.select(F.col("id").alias("doc_id"), "leaf.domain", "leaf.lang", "leaf.source", "tokens", "copies")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,46 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {"s1": 10, "s2": 866, "s3": 876, "s4": 1752}
 
 
+def test_weight_zero_takes_nothing_from_others(spark):
+    leaf = [("a", "x", "s1", 1000), ("a", "y", "s2", 1000), ("b", "x", "s3", 5000), ("c", "x", "s4", 0)]
+    df = spark.createDataFrame([(*r, 1) for r in leaf], "domain string, lang string, source string, tokens long, docs long")
+    given = lambda **w: {r.source: r.allotted for r in mixing.budgets(df, mixing.Mix(share=0.5, max_epochs=1, **w)).collect()}
+    assert given(lang_weights={"y": 0}) == {"s1": 1000, "s3": 2500, "s4": 0}
+    assert given(source_weights={"s1": 0, "s2": -1}) == {"s3": 3500, "s4": 0}
+    assert given(domain_weights={"a": 0, "b": 0, "c": 0}) == {}
+    # all three levels on random trees: what can be given is given
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3):
+        rows = [(f"d{rng.randrange(3)}", f"l{rng.randrange(3)}", f"s{k}", rng.randrange(2000), 1) for k in range(20)]
+        tree = spark.createDataFrame(rows, df.schema)
+        mix = mixing.Mix({"d0": rng.randrange(3), "d1": 2}, {"l1": rng.randrange(3)}, {"s3": 0, "s4": 5}, share=0.7, max_epochs=2)
+        live = [r for r in rows if all(getattr(mix, f"{x}_weights").get(r[k], 1) > 0 for k, x in enumerate(mixing.LEVELS))]
+        out = mixing.budgets(tree, mix).collect()
+        most = min(int(sum(r[3] for r in rows) * 0.7), 2 * sum(r[3] for r in live))
+        assert most - len(rows) * 3 <= sum(r.allotted for r in out) <= most
+
+
+def test_both_forms_agree_with_a_plain_prefix(spark, monkeypatch):
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(mixing, "STRETCH", 16)
+    rows = [(k, "w " * rng.randint(0, 30), "en", rng.choice(["src0", "src0", "src0", "src1"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mix = mixing.Mix(share=0.4, seed="z")
+    got = {r.doc_id: r.copies for r in mixing.select_copies(df, mix).collect()}
+    assert got == {r.id: r.copies for r in mixing.count_copies(df, mix).collect()}
+    sums = mixing.with_leaf(df).groupBy("leaf").agg({"tokens": "sum", "*": "count"}).toDF("leaf", "tokens", "docs").select("leaf.*", "tokens", "docs")
+    for r in mixing.budgets(sums, mix).collect():
+        run = 0
+        for _, k, n in sorted((hashlib.md5(f"z:{r.whole}:{k}".encode()).hexdigest(), k, len(t.split())) for k, t, _, s in rows if s == r.source):
+            run += n
+            assert got[k] == r.whole + (run <= r.rest and r.rest > 0)
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None, None, None, 5), (1, None, None, None, 5), (None, "a b c", "en", "src1", 6), (2, "a " * 9, "en", "src1", 7)], "doc_id long, text string, lang string, source string, copies int")
     out = mixing.select_copies(df, mixing.Mix(share=1.0)).collect()
