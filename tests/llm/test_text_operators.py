@@ -223,6 +223,52 @@ def test_chat_round_trip(spark, sf, tmp_path):
         assert len(new) == 1 or sum(len(x.split("\n", 1)[1].split()) + chat.TURN for x in new if "system\n" not in x) <= chat.NEW
 
 
+def brute_windows(turns):
+    """Windows [(context, new)] of one conversation's (turn, role, text), as lists of (role, text)."""
+    turns = sorted(turns, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) + chat.TURN for *_, x in turns]
+    said = [tuple(x[1:]) for x in turns]
+    out = []
+    for a in range(0, len(turns), chat.STRETCH):
+        at, groups = 0, {}
+        for k in range(a, min(a + chat.STRETCH, len(turns))):
+            first, last = at // chat.NEW, (at + size[k] - 1) // chat.NEW
+            groups.setdefault((first, first != last), []).append(k)
+            at += size[k]
+        for key in sorted(groups):
+            own, history, used = groups[key], [], 0
+            for k in range(own[0] - 1, max(own[0] - 1 - chat.HISTORY_TURNS, -1), -1):
+                used += size[k]
+                if used <= chat.HISTORY and not (k == 0 and said[0][0] == "system"):
+                    history.insert(0, said[k])
+            system = [said[0]] if said[0][0] == "system" and own[0] > 0 else []
+            out.append((system + history, [said[k] for k in own]))
+    return out
+
+
+def test_chat_windows_by_place(spark):
+    rng = random.Random(18)
+    convs = {
+        1: [(k, "assistant" if k % 2 else "user", f"t{k} " + "w " * rng.randint(0, 60)) for k in range(150)],
+        2: [(100 * k, "user", f"t{k} few words") for k in range(9)],
+        3: [(0, "system", "be kind"), *((1000 * k + 7, "assistant", f"t{k} " + "w " * rng.randint(0, 200)) for k in range(1, 140))],
+        4: [(None, "user", f"t{k:03d} " + "w " * rng.randint(0, 30)) for k in range(200)],
+        5: [(-5, "user", "a"), (-5, "user", "a"), (None, "system", "s"), (2**40, "assistant", "b")],
+        6: [(3, "user", f"{k:04d}") for k in range(150)],
+        None: [(k * k, "user", f"t{k} " + "x " * 50) for k in range(70)],
+    }
+    rows = [(c, *t) for c, turns in convs.items() for t in turns]
+    rng.shuffle(rows)
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {}
+    for w in made.orderBy("place").collect():
+        parts = [tuple(x.removeprefix(chat.START).split("\n", 1)) for x in w.text.split(f"{chat.END}\n")[:-1]]
+        got.setdefault(w.conv_id, []).append((parts[: w.n_context], parts[w.n_context :]))
+    for c, turns in convs.items():
+        assert got[c] == brute_windows(turns), c
+    assert len(got[2]) == 1
+
+
 # --- fingerprints -----------------------------------------------------------------
 
 
