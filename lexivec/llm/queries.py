@@ -63,8 +63,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in pii.BASE),
         F.sha2(said(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))).cast("binary"), 256).alias("base_sha256"),
         said(F.col("spans")).alias("spans"),
-        count("iban").alias("n_iban"),
-        count("ssn").alias("n_ssn"),
+        *(count(k).alias(f"n_{k}") for k in pii.KINDS if k not in pii.BASE),
+        F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
 
 
