@@ -1,169 +1,103 @@
-"""License scans by ordered signature rules, in DataFrame functions.
+"""License scans by ordered signature rules, in SQL functions.
 
 A text's words, lower-cased and joined by blanks, are searched by the regular expressions
-of those rules whose keyword they contain; a text that has none of the keywords is done. Detections are word intervals; one that lies in a longer one, or in the same
-interval by a rule of higher priority, is suppressed. Rules are made from FAMILIES: for
-each name and version a reference, a grant and an identifier, the specific ones first.
+of those rules whose keywords they contain; a text that has none of the keywords is done.
+Detections are word intervals; one that lies in a longer one, or in the same interval by
+a rule of higher priority, is suppressed. The rules are in ``license_rules``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import let
-
-#: label, names as they read in words, keyword, versions
-FAMILIES = (
-    ("gpl", "(?:gnu )?general public license|(?:gnu )?gpl", "gpl |general public", ("1", "2", "3")),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl", "lgpl |lesser general|library general", ("2", "2.1", "3")),
-    ("agpl", "(?:gnu )?affero general public license|(?:gnu )?agpl", "agpl |affero general", ("1", "3")),
-    ("apache", "apache(?: software)? license|apache", "apache ", ("1.0", "1.1", "2.0")),
-    ("mit", "mit license|mit", "under mit |the mit |of mit |mit licen|mit software", ()),
-    ("bsd", "bsd license|bsd", "bsd ", ("2 clause", "3 clause", "4 clause")),
-    ("isc", "isc license", "isc license", ()),
-    ("mpl", "mozilla public license|mpl", "mozilla public|mpl ", ("1.0", "1.1", "2.0")),
-    ("epl", "eclipse public license|epl", "eclipse public|epl ", ("1.0", "2.0")),
-    ("eupl", "european union public licen[cs]e|eupl", "european union public|eupl ", ("1.0", "1.1", "1.2")),
-    ("cddl", "common development and distribution license|cddl", "common development and|cddl ", ("1.0", "1.1")),
-    ("cpl", "common public license", "common public", ("1.0",)),
-    ("artistic", "artistic license", "artistic license", ("1.0", "2.0")),
-    ("boost", "boost software license|bsl", "boost software|bsl ", ("1.0",)),
-    ("zlib", "zlib license", "zlib license", ()),
-    ("unlicense", "unlicense", "unlicense", ()),
-    ("wtfpl", "do what the fuck you want to public license|wtfpl", "wtfpl |do what the", ("2",)),
-    ("python", "python software foundation license|psf license", "python software|psf license", ("2",)),
-    ("php", "php license", "php license", ("3.0", "3.01")),
-    ("ofl", "sil open font license|ofl", "open font|ofl ", ("1.0", "1.1")),
-    ("fdl", "(?:gnu )?free documentation license|gfdl", "free documentation|gfdl ", ("1.1", "1.2", "1.3")),
-    ("osl", "open software license", "open software", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", "academic free license", "academic free", ("1.2", "2.0", "2.1", "3.0")),
-    ("ms-pl", "microsoft public license", "microsoft public", ()),
-    ("odbl", "open database license|odbl", "open database|odbl ", ("1.0",)),
-    ("cc0", "cc0|creative commons zero", "cc0 |creative commons", ("1.0",)),
-    ("cc-by", "cc by|creative commons attribution", "cc by|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", "cc by sa|creative commons attribution share ?alike", "cc by sa|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", "cc by nd|creative commons attribution no ?deriv(?:ative)?s", "cc by nd|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", "cc by nc|creative commons attribution non ?commercial", "cc by nc|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", "cc by nc sa|creative commons attribution non ?commercial share ?alike", "cc by nc sa|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", "cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd|creative commons", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-)
-#: Rules without families: label, pattern, keyword, weight
-PLAIN = (
-    ("reserved", "(?:some|all|no) rights reserved", "rights reserved", 0.5),
-    ("copyright", "copyright (?:c )?[0-9]{4}", "copyright", 0.4),
-    ("public-domain", "(?:in|into|to) the public domain|public domain dedication", "public domain", 0.8),
-    ("proprietary", "proprietary and confidential|unauthori[sz]ed copying", "proprietary|unauthori", 0.6),
-    ("as-is", "provided as is without (?:any )?warrant(?:y|ies)", "provided as is", 0.4),
-)
+from .license_rules import RULES, STEMS, Rule
+
 #: Phrases that are looked for in every text: words, label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+_APART = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_FOUND = "array<struct<start:int,back:int,priority:int,label:string,weight:double>>"
 
 
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    pattern: str
-    keyword: str  # each match has one of its alternatives, as words with the blanks around them
-    weight: float
+def in_words(text: str) -> str:
+    """SQL: the words of a text, A-Z lower-cased, with a blank before, between and after."""
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"concat(' ', trim(regexp_replace({lower}, '{_APART}', ' ')), ' ')"
 
 
-def make_rules() -> list[Rule]:
-    """In order of priority: grants before references, versions before bare names."""
-    grant = r"(?:licensed|released|distributed|available|published|covered)(?: to you)? under (?:the )?(?:terms of (?:the )?)?(?:conditions of (?:the )?)?"
-    tiers: list[list[Rule]] = [[], [], [], [], []]
-    for label, names, keyword, versions in FAMILIES:
-        for v in versions:
-            said = v.replace(".", " ")
-            tiers[0].append(Rule(f"{label}-{v.replace(' ', '-')}", f"{grant}(?:{names})(?: v| version| licen[cs]e| or later)* v?{said}", keyword, 1.0))
-            tiers[1].append(Rule(f"{label}-{v.replace(' ', '-')}", f"spdx license identifier {label.replace('-', ' ')} {said}", "spdx", 1.0))
-            tiers[2].append(Rule(f"{label}-{v.replace(' ', '-')}", f"(?:{names})(?: v| version| licen[cs]e)* v?{said}", keyword, 0.9))
-        tiers[3].append(Rule(label, f"{grant}(?:{names})(?: licen[cs]e)?", keyword, 0.8))
-        if label not in ("mit", "bsd", "apache"):
-            tiers[4].append(Rule(label, f"(?:{names})", keyword, 0.6))
-        else:
-            tiers[4].append(Rule(label, f"{label}(?: software)? licen[cs]e", keyword, 0.6))
-    return [r for tier in tiers for r in tier] + [Rule(*x) for x in PLAIN]
+def let(value: str, name: str, use: str) -> str:
+    """SQL: ``use``, in which ``name`` is the value, made once a row."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-RULES = make_rules()
-_APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_IN_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+def blanks(x: str) -> str:
+    return f"(octet_length({x}) - octet_length(replace({x}, ' ', '')))"
 
 
-def in_words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased, with a blank before, between and after."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _APART, " ")), F.lit(" "))
+def label_of(rule: Rule) -> str:
+    if "$1" not in rule.label:
+        return f"'{rule.label}'"
+    before, after = rule.label.split("$1")
+    return f"concat('{before}', translate(regexp_extract(substring_index(x, '\\u0002', 1), '^(?:{rule.pattern})$', 1), ' ', '.'), '{after}')"
 
 
-def places(words: Column, pattern: Column) -> Column:
-    """Word intervals array<struct<start,end>> of a pattern's leftmost matches of whole words.
+def detections(rule: Rule, priority: int) -> str:
+    """SQL: a rule's leftmost matches of whole words in ``w``; back is the negative end.
 
-    Matches are marked by control characters, which words don't have, and the marks are
-    then looked up in the split text, so the work is in proportion to the text.
+    Matches are marked by control characters, which words don't have, and the text is
+    split there; words are counted by the blanks of the pieces.
     """
-    marked = F.regexp_replace(words, F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )")), F.lit("\x01$0\x02"))
-    split = F.split(F.trim(marked), " ")
-    starts = lambda w: F.filter(F.transform(w, lambda x, i: F.when(F.startswith(x, F.lit("\x01")), i)), lambda i: i.isNotNull())
-    ends = lambda w: F.filter(F.transform(w, lambda x, i: F.when(F.endswith(x, F.lit("\x02")), i + 1)), lambda i: i.isNotNull())
-    return let(split, lambda w: F.arrays_zip(starts(w).alias("start"), ends(w).alias("end")))
-
-
-def detections(words: Column, rules: list[Rule] = RULES) -> Column:
-    """array<struct<start, back, priority, label, weight>> of all rules whose keyword is in the words; back is the negative end."""
-    table = F.array(*(F.struct(F.lit(k).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.keyword).alias("keyword"), F.lit(r.weight).alias("weight")) for k, r in enumerate(rules)))
-    due = F.filter(table, lambda r: F.exists(F.split(r["keyword"], r"\|"), lambda k: F.contains(words, k)))
-
-    def found(r: Column) -> Column:
-        return F.transform(places(words, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))
+    marked = f"split(regexp_replace(w, '(?<= )(?:{rule.pattern})(?= )', '\\u0001$0\\u0002'), '\\u0001')"
+    one = f"named_struct('start', acc.n - 1, 'back', -(acc.n + {blanks("substring_index(x, '\\u0002', 1)")}), 'priority', {priority}, 'label', {label_of(rule)}, 'weight', {rule.weight}D)"
+    folded = f"aggregate(slice(p, 2, size(p)), named_struct('n', {blanks('p[0]')}, 'found', cast(array() as {_FOUND})), (acc, x) -> named_struct('n', acc.n + {blanks('x')}, 'found', array_append(acc.found, {one})), acc -> acc.found)"
+    return let(marked, "p", folded)
 
-    return F.sort_array(F.flatten(F.transform(due, found)))
 
+def all_detections(rules: list[Rule]) -> str:
+    """SQL: the detections in ``w`` of all rules that have a keyword there, in order of start, longest first, then priority."""
+    has = lambda r: " or ".join(f"contains(w, '{k}')" for k in r.keywords)
+    each = ", ".join(f"case when {has(r)} then {detections(r, k)} else cast(array() as {_FOUND}) end" for k, r in enumerate(rules))
+    return f"sort_array(flatten(array({each})))"
 
-def unsuppressed(found: Column) -> Column:
-    """struct<labels, weight>: detections in order of start, longest first, then priority; one that ends within what came before is dropped."""
-    empty = F.struct(F.lit(0).alias("until"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"))
 
-    def step(acc: Column, d: Column) -> Column:
-        kept = F.struct((-d["back"]).alias("until"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["weight"], d["weight"]).alias("weight"))
-        return F.when(-d["back"] > acc["until"], kept).otherwise(acc)
-
-    return F.aggregate(found, empty, step)
+def unsuppressed(found: str) -> str:
+    """SQL: struct<labels, weight> of sorted detections; one that ends within what came before is dropped."""
+    kept = "named_struct('until', -d.back, 'labels', array_union(s.labels, array(d.label)), 'weight', greatest(s.weight, d.weight))"
+    return f"aggregate({found}, named_struct('until', 0, 'labels', cast(array() as array<string>), 'weight', 0.0D), (s, d) -> case when -d.back > s.until then {kept} else s end, s -> named_struct('labels', s.labels, 'weight', s.weight))"
 
 
 def gates(rules: list[Rule]) -> list[str]:
-    """The strings of which a text's words have one if a rule or a base phrase is in them: all keywords, without those that contain another."""
-    every = {k for r in rules for k in r.keyword.split("|")} | {phrase for phrase, _ in BASE}
+    """Strings of which the words have one if a rule or a base phrase is in them: a stem of each keyword, or itself where it has none."""
+    keywords = {k for r in rules for k in r.keywords} | {f" {phrase} " for phrase, _ in BASE}
+    every = {next((s for s in STEMS if s in k), k) for k in keywords}
     return sorted(k for k in every if not any(o != k and o in k for o in every))
 
 
-def base_places(words: Column, phrase: str, label: str) -> Column:
-    return F.transform(places(words, F.lit(phrase)), lambda x: F.struct(F.lit(label).alias("label"), x["start"].cast("long").alias("start")))
+def result(rules: list[Rule]) -> str:
+    """SQL: struct<n_words, r struct<base, found>> of a column ``text``; r is null without any gate."""
+    base = ", ".join(detections(Rule(label, phrase, 0.0), k) for k, (phrase, label) in enumerate(BASE))
+    looked = f"named_struct('base', transform(flatten(array({base})), b -> named_struct('label', b.label, 'start', cast(b.start as bigint))), 'found', {unsuppressed(all_detections(rules))})"
+    gate = " or ".join(f"contains(w, '{k}')" for k in gates(rules))
+    n_words = f"cast(case when w = '  ' then 0 else {blanks('w')} - 1 end as bigint)"
+    return let(in_words("text"), "w", f"named_struct('n_words', {n_words}, 'r', case when {gate} then {looked} end)")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """(id, n_words, base array<struct<label,start>>, found struct<labels,weight>) for each row of docs.
+    """(id, n_words, base array<struct<label,start>>, labels array<string>, weight) for each row of docs.
 
-    Null text counts as empty; ``base`` has every place of a base phrase, ``found`` what
-    the rules leave after suppression. Repeated rows give a row each; nothing is shuffled.
+    Null text counts as empty; ``base`` has every place of a base phrase, ``labels`` and
+    the largest ``weight`` are of what the rules leave after suppression. Repeated rows
+    give a row each; nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keys = gates(rules)
-
-    def looked(w: Column) -> Column:
-        base = F.concat(*(base_places(w, *x) for x in BASE))
-        return F.struct(base.alias("base"), unsuppressed(detections(w, rules)).alias("found"))
-
-    result = let(in_words(F.col("text")), lambda w: F.when(reduce(or_, (F.contains(w, F.lit(k)) for k in keys)), looked(w)))
-    return rows.select("id", F.regexp_count("text", F.lit(_IN_WORDS)).cast("long").alias("n_words"), result.alias("r")).select(
+    none = lambda column, kind: F.coalesce(column, F.array().cast(kind))
+    return rows.select("id", F.expr(result(rules)).alias("s")).select(
         "id",
-        "n_words",
-        F.coalesce("r.base", F.array().cast("array<struct<label:string,start:bigint>>")).alias("base"),
-        F.coalesce("r.found.labels", F.array().cast("array<string>")).alias("labels"),
-        F.coalesce("r.found.weight", F.lit(0.0)).alias("weight"),
+        F.col("s.n_words").alias("n_words"),
+        none(F.col("s.r.base"), "array<struct<label:string,start:bigint>>").alias("base"),
+        none(F.col("s.r.found.labels"), "array<string>").alias("labels"),
+        F.coalesce("s.r.found.weight", F.lit(0.0)).alias("weight"),
     )
+
+
+__all__ = ["BASE", "RULES", "Rule", "gates", "scan"]
