@@ -16,23 +16,11 @@ from . import text as T
 def register_text(spark: SparkSession) -> None:
     """tv_hash(text), tv_tokens(text) and tv_ngrams(text, minn, maxn) for SQL; per batch, not per row, in Python."""
 
-    @F.pandas_udf("bigint")
-    def tv_hash(words):
-        def one(w: str | None) -> int | None:
-            if w is None:
-                return None
-            h = T.FNV_START
-            for b in w.encode():
-                h = ((h ^ (b | 0xFFFFFF00 if b > 127 else b)) * T.FNV_PRIME) & 0xFFFFFFFF
-            return h
-
-        return words.map({w: one(w) for w in words.unique()})
-
     @F.pandas_udf("array<string>")
     def tv_tokens(texts):
         return texts.map(lambda t: [w for w in (t or "").translate(_SPACES).split(" ") if w])
 
-    spark.udf.register("tv_hash", tv_hash)
+    spark.udf.register("tv_hash", T._hash)
     spark.udf.register("tv_tokens", tv_tokens)
     spark.udtf.register("tv_ngrams", _ngrams_table())
 

@@ -1,16 +1,19 @@
-"""Tokens, hashes and n-grams as column expressions, all evaluated in the JVM."""
+"""Tokens, hashes and n-grams as column expressions: tokens in the JVM, hashes over Arrow batches."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from . import hashing
+from .hashing import FNV_PRIME, FNV_START, NGRAM_MULTIPLIER
 
 EOS = "</s>"
 #: Most tokens that one line of a corpus gives.
 LINE_TOKENS = 1024
-# Fixed values of the hashes.
-FNV_START, FNV_PRIME, NGRAM_MULTIPLIER = 2166136261, 16777619, 116049371
-_LOW = 2**32 - 1
+__all__ = ["EOS", "FNV_PRIME", "FNV_START", "LINE_TOKENS", "NGRAM_MULTIPLIER", "char_ngrams", "corpus_tokens", "is_label", "let", "ngram_ids", "simple_tokens", "token_hash", "token_hashes", "tokens", "word_ngram_ids"]
 
 
 def _c(x: Column | str) -> Column:
@@ -49,27 +52,28 @@ def is_label(token: Column | str, prefix: str = "__label__") -> Column:
     return F.startswith(_c(token), F.lit(prefix))
 
 
+@F.arrow_udf(LongType())
+def _hash(words: pa.Array) -> pa.Array:
+    return hashing.hash_strings(words)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _hashes(lists: pa.Array) -> pa.Array:
+    offsets, words = hashing.list_parts(lists)
+    return hashing.to_lists(offsets, hashing.hash_strings(words).to_numpy(zero_copy_only=False))
+
+
 def token_hash(token: Column | str) -> Column:
-    """FNV-1a of the UTF-8 bytes, each sign-extended to 32 bits first; 0 to 2 ** 32 - 1 as long.
+    """FNV-1a of the UTF-8 bytes, each sign-extended to 32 bits first; 0 to 2 ** 32 - 1 as long, null for null.
 
-    Tokens of ASCII characters, the usual ones, are folded by their characters' codes; only
-    others, and binary columns, are taken apart into bytes by their hexadecimal digits.
+    Whole batches are hashed together, each different token of a batch once.
     """
-    word, start = _c(token), F.lit(FNV_START)
-    fold = lambda acc, b: (acc.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(_LOW))
-    places = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-    def by_code(w: Column) -> Column:
-        return F.aggregate(places(F.length(w)), start, lambda acc, i: fold(acc, F.ascii(F.substring(w, i, F.lit(1))).cast("long")))
+    return _hash(_c(token))
 
-    def by_digits(h: Column) -> Column:
-        byte = lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-        step = lambda acc, i: let(byte(i), lambda b: fold(acc, F.when(b > 127, b.bitwiseOR(F.lit(0xFFFFFF00))).otherwise(b)))
-        return F.aggregate(places((F.length(h) / 2).cast("int")), start, step)
 
-    # a string's length counts characters, and a binary's bytes are not all below 128
-    plain = word.cast("string").rlike(r"^[\x01-\x7F]*$") & (F.octet_length(word.cast("string")) == F.octet_length(word))
-    return F.when(plain, let(word.cast("string"), by_code)).otherwise(let(F.hex(word.cast("binary")), by_digits))
+def token_hashes(tokens: Column | str) -> Column:
+    """token_hash of each element of an array<string> without nulls."""
+    return _hashes(_c(tokens))
 
 
 def char_ngrams(token: Column | str, minn: int, maxn: int) -> Column:
@@ -89,34 +93,25 @@ def char_ngrams(token: Column | str, minn: int, maxn: int) -> Column:
 
 
 def ngram_ids(token: Column | str, minn: int, maxn: int, bucket: int) -> Column:
-    """Bucket ids of the n-grams; none without buckets."""
-    if bucket <= 0:
+    """Bucket ids of the n-grams; none without buckets. Null counts as an empty token."""
+    if bucket <= 0 or maxn <= 0:
         return F.array().cast("array<bigint>")
-    return F.transform(char_ngrams(token, minn, maxn), lambda g: F.pmod(token_hash(g), F.lit(bucket).cast("long")))
 
+    @F.arrow_udf(ArrayType(LongType()))
+    def ids(words: pa.Array) -> pa.Array:
+        return hashing.ngram_lists(words.fill_null(""), minn, maxn, bucket)
 
-def word_ngram_ids(hashes: Column, n: int, bucket: int) -> Column:
-    """Bucket ids of all spans of 2 to n tokens, by first token and then length.
+    return ids(_c(token))
 
-    Hashes are read as signed 32-bit numbers and rolled into unsigned 64 bits; the 64 bits
-    are kept as two halves, so no product leaves the range of a long.
-    """
+
+def word_ngram_ids(hashes: Column, n: int, bucket: int) -> Column:
+    """Bucket ids of all spans of 2 to n tokens of an array of token hashes, by first token and then length."""
     if bucket <= 0 or n <= 1:
         return F.array().cast("array<bigint>")
-    wide = lambda h: F.struct(F.when(h >= 2**31, F.lit(_LOW)).otherwise(F.lit(0).cast("long")).alias("hi"), h.alias("lo"))
-
-    def roll(acc: Column, h: Column) -> Column:
-        lo = acc["lo"] * NGRAM_MULTIPLIER + h["lo"]
-        hi = acc["hi"] * NGRAM_MULTIPLIER + F.shiftrightunsigned(lo, 32) + h["hi"]
-        return F.struct(hi.bitwiseAND(F.lit(_LOW)).alias("hi"), lo.bitwiseAND(F.lit(_LOW)).alias("lo"))
-
-    bucketed = lambda v: F.pmod(F.pmod(v["hi"], F.lit(bucket).cast("long")) * F.lit(2**32 % bucket) + v["lo"], F.lit(bucket).cast("long"))
 
-    def over(h: Column) -> Column:
-        size = F.size(h)
-        def at(i: Column) -> Column:
-            ends = F.sequence(F.lit(1), F.greatest(F.least(F.lit(n - 1), size - i), F.lit(1)))
-            return F.transform(F.filter(ends, lambda k: i + k <= size), lambda k: bucketed(F.aggregate(F.slice(h, i + 1, k), wide(F.get(h, i - 1)), lambda acc, x: roll(acc, wide(x)))))
-        return F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(1), size - 1), at))).otherwise(F.array().cast("array<bigint>"))
+    @F.arrow_udf(ArrayType(LongType()))
+    def ids(lists: pa.Array) -> pa.Array:
+        offsets, values = hashing.list_parts(lists)
+        return hashing.to_lists(*hashing.word_ngrams(offsets, values.to_numpy(zero_copy_only=False), n, bucket))
 
-    return let(hashes.cast("array<bigint>"), over)
+    return ids(hashes.cast("array<bigint>"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +59,12 @@ def table_sigmoid(x: Column) -> Column:
     return F.when(x < -SIGMOID_MAX, 0.0).when(x > SIGMOID_MAX, 1.0).otherwise(exact_sigmoid(step * (2.0 * SIGMOID_MAX) / STEPS - SIGMOID_MAX))
 
 
+def grid_sigmoid(x: np.ndarray) -> np.ndarray:
+    """table_sigmoid of an array, in NumPy."""
+    grid = np.floor((np.clip(x, -SIGMOID_MAX, SIGMOID_MAX) + SIGMOID_MAX) * STEPS / (2 * SIGMOID_MAX)) * (2 * SIGMOID_MAX) / STEPS - SIGMOID_MAX
+    return np.where(x < -SIGMOID_MAX, 0.0, np.where(x > SIGMOID_MAX, 1.0, 1.0 / (1.0 + np.exp(-grid))))
+
+
 def table_log(x: Column) -> Column:
     """The logarithm at the grid point below x in 512 steps up to 1; 0 beyond 1."""
     return F.when(x > 1.0, 0.0).otherwise(F.log((F.floor(x * STEPS) + LOG_SHIFT) / STEPS))

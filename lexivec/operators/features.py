@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import hashing as H
 from ..functions import text as T
-from ..params import Params
-from .vocabulary import BROADCAST_ENTRIES, WORD, Vocabulary
+from ..storage import cut
+from .vocabulary import BROADCAST_ENTRIES, WORD, Lookup, Vocabulary
 
 
 def with_hashed(rows: DataFrame, key: str, buckets: Column, vocabulary: Vocabulary, name: str) -> DataFrame:
@@ -46,8 +53,8 @@ def subwords_of(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def ngram_strings(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(token, pos, gram, fid): the word itself if known, then its n-grams as text."""
     p = vocabulary.params
-    grams = F.transform(T.char_ngrams("token", p.minn, p.maxn), lambda g: F.struct(g.alias("gram"), (F.pmod(T.token_hash(g), F.lit(max(p.bucket, 1)).cast("long")) + vocabulary.nwords).alias("fid")))
-    joined = tokens.join(vocabulary.for_lookup(), "token", "left")
+    joined = tokens.join(vocabulary.for_lookup(), "token", "left").withColumn("_grams", T.char_ngrams("token", p.minn, p.maxn)).withColumn("_hashes", T.token_hashes("_grams"))
+    grams = F.zip_with("_grams", "_hashes", lambda g, h: F.struct(g.alias("gram"), (F.pmod(h, F.lit(max(p.bucket, 1)).cast("long")) + vocabulary.nwords).alias("fid")))
     own = F.when(F.col("id").isNotNull(), F.array(F.struct(F.col("token").alias("gram"), F.col("id").cast("long").alias("fid")))).otherwise(F.array().cast("array<struct<gram:string,fid:bigint>>"))
     every = F.when((F.col("token") == T.EOS) | F.lit(p.bucket <= 0), own).otherwise(F.concat(own, grams))
     rows = joined.select("token", F.posexplode(every).alias("pos", "g")).select("token", "pos", "g.gram", "g.fid")
@@ -60,33 +67,84 @@ def apply_prune(features: DataFrame, nwords: int, table: DataFrame) -> DataFrame
     return joined.withColumn("fid", F.when(F.col("fid") < nwords, F.col("fid")).otherwise(F.col("new_id") + nwords)).where("fid is not null").drop("new_id")
 
 
+def line_lists(lists: pa.Array, look: Lookup, eos: bool) -> tuple[pa.Array, pa.Array]:
+    """(fids, labels) of lists of tokens, for a batch; each different token is looked up and taken apart once."""
+    p, nwords = look.params, look.nwords
+    offsets, words = H.list_parts(lists)
+    coded = words.dictionary_encode()
+    tokens, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    ids = look.ids(tokens)
+    label = np.where(ids >= 0, ids >= nwords, pc.starts_with(tokens, p.label).to_numpy(zero_copy_only=False))
+    at, subs = look.subwords(tokens, np.where(label, -1, ids))
+    sizes = np.where(label, 0, np.diff(at))
+    each = sizes[code]
+    parts = [(np.concatenate(([0], np.cumsum(each)))[offsets], subs[H.ranges(at[:-1][code], each)])]
+    if p.word_ngrams > 1 and p.bucket > 0:
+        hashes = H.fnv1a(*H.utf8(tokens))
+        own, rolled = H.kept(offsets, hashes[code], ~label[code])
+        parts.append(look.hashed(*H.word_ngrams(own, rolled, p.word_ngrams, p.bucket)))
+    if eos and (own := look.ids(pa.array([T.EOS]))[0]) >= 0:
+        some = sum(np.diff(o) for o, _ in parts) > 0
+        parts.append((np.concatenate(([0], np.cumsum(some))), np.full(int(some.sum()), own, np.int64)))
+    known = (label & (ids >= nwords))[code]
+    found = H.kept(offsets, (ids - nwords)[code], known)
+    return H.to_lists(*H.joined(parts)), H.to_lists(found[0], found[1].astype(np.int32))
+
+
+def map_lists(docs: DataFrame, keys: list[Column], tokens: Column, use, fields: str) -> DataFrame:
+    """(keys as key, *use(lists of tokens)) in batches of at most 1000 rows; no row is dropped, added or moved."""
+    named = docs.select(F.struct(*keys).alias("key"), tokens.alias("tokens"))
+    schema = f"key {named.schema['key'].dataType.simpleString()}, {fields}"
+    names = ["key", *StructType.fromDDL(fields).names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), *use(part.column(1))], names=names)
+
+    return named.mapInArrow(run, schema).select("key.*", *names[1:])
+
+
 def line_features(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", eos: bool = True, eos_in_ngrams: bool = False, tokenizer=T.tokens) -> DataFrame:
-    """(id_col, fids array<bigint>, labels array<int>): features of each document in the order of its tokens, then word n-grams.
+    """(id_col, fids array<bigint>, labels array<int>), a row for each row of docs: features in the order of its tokens, then word n-grams.
 
     Tokens that look like labels give label ids if known; unknown words give n-grams only.
     With ``eos`` the end-of-line row is added if the document has any feature (training
-    adds it always, and with eos_in_ngrams its hash takes part in word n-grams). The
-    token table is looked up by broadcast where the vocabulary is small; documents are put
-    together again by one shuffle on id_col. Ids must be unique; null ids are dropped.
+    adds it always, and with eos_in_ngrams its hash takes part in word n-grams). Null
+    texts have no tokens; null and repeated ids are rows of their own. A small vocabulary
+    is looked up in each task, without a shuffle; for a large one tokens are joined and
+    rows are put together again by their own numbers.
     """
-    p, nwords = vocabulary.params, vocabulary.nwords
-    named = docs.select(F.col(id_col).alias("_id"), tokenizer(text_col).alias("_tokens")).where("_id is not null")
+    tokens = tokenizer(text_col)
     if eos_in_ngrams:
-        named = named.withColumn("_tokens", F.concat("_tokens", F.array(F.lit(T.EOS))))
-    rows = named.select("_id", F.posexplode_outer("_tokens").alias("pos", "token"))
+        tokens = F.concat(tokens, F.array(F.lit(T.EOS)))
+    look = vocabulary.for_tasks()
+    if look is not None:
+        add = eos and not eos_in_ngrams
+        return map_lists(docs, [F.col(id_col)], tokens, lambda lists: line_lists(lists, look, add), "fids array<bigint>, labels array<int>")
+    return _joined_features(docs.select(F.col(id_col).alias("_id"), tokens.alias("_tokens")), vocabulary, eos and not eos_in_ngrams).withColumnRenamed("_id", id_col)
+
+
+def _joined_features(named: DataFrame, vocabulary: Vocabulary, eos: bool) -> DataFrame:
+    p, nwords = vocabulary.params, vocabulary.nwords
+    rows = named.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_id", F.posexplode_outer("_tokens").alias("pos", "token"))
+    if p.word_ngrams > 1 and p.bucket > 0:
+        rows = rows.withColumn("_hash", T.token_hash("token"))
     known = subwords_of(rows, vocabulary)
-    label = F.coalesce(F.col("entry_type") != WORD, T.is_label("token", p.label))
-    word = F.struct("pos", F.when(~label, F.col("subwords")).alias("ids"), F.when(~label & F.lit(p.word_ngrams > 1 and p.bucket > 0), T.token_hash("token")).alias("hash"), F.when(label & F.col("id").isNotNull(), F.col("id") - nwords).alias("label"))
-    lines = known.groupBy("_id").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    label = F.coalesce(F.col("entry_type") != WORD, T.is_label("token", p.label), F.lit(False))
+    hashed = F.when(~label, F.col("_hash")) if p.word_ngrams > 1 and p.bucket > 0 else F.lit(None).cast("bigint")
+    word = F.struct("pos", F.when(~label, F.col("subwords")).alias("ids"), hashed.alias("hash"), F.when(label & F.col("id").isNotNull(), F.col("id") - nwords).alias("label"))
+    lines = known.groupBy("_row").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(word)).alias("w"))
     pick = lambda name: F.filter(F.transform("w", lambda x: x[name]), lambda x: x.isNotNull())
     ids = F.flatten(pick("ids"))
     if p.word_ngrams > 1 and p.bucket > 0:
-        lines = with_hashed(lines, "_id", T.word_ngram_ids(pick("hash"), p.word_ngrams, p.bucket), vocabulary, "_spans")
+        lines = with_hashed(cut(lines), "_row", T.word_ngram_ids(pick("hash"), p.word_ngrams, p.bucket), vocabulary, "_spans")
         ids = F.concat(ids, "_spans")
     made = lines.select("_id", ids.alias("fids"), pick("label").alias("labels"))
-    if eos and not eos_in_ngrams and (own := vocabulary.id_of(T.EOS)) is not None:
+    if eos and (own := vocabulary.id_of(T.EOS)) is not None:
         made = made.withColumn("fids", F.when(F.size("fids") > 0, F.concat("fids", F.array(F.lit(own).cast("long")))).otherwise(F.col("fids")))
-    return made.select(F.col("_id").alias(id_col), "fids", "labels")
+    return made
 
 
 def context_pairs(lines: DataFrame, window: int, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -97,11 +155,4 @@ def context_pairs(lines: DataFrame, window: int, id_col: str = "doc_id", ids_col
     return spread.select(id_col, "pos", "center", F.explode(F.concat(near, after)).alias("context"))
 
 
-def chunk_lines(lines: DataFrame, ids_col: str = "ids", size: int = T.LINE_TOKENS + 1) -> DataFrame:
-    """Long lines cut into chunks of ``size`` words; each becomes a row with ``chunk``."""
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(ids_col), F.lit(1)) - 1) / size).cast("int"))
-    others = [c for c in lines.columns if c != ids_col]
-    return lines.select(*others, ids_col, F.explode(starts).alias("chunk")).withColumn(ids_col, F.slice(F.col(ids_col), F.col("chunk") * size + 1, F.lit(size)))
-
-
-__all__ = ["BROADCAST_ENTRIES", "apply_prune", "chunk_lines", "context_pairs", "line_features", "ngram_strings", "subwords", "subwords_of", "with_hashed"]
+__all__ = ["BROADCAST_ENTRIES", "apply_prune", "context_pairs", "line_features", "line_lists", "map_lists", "ngram_strings", "subwords", "subwords_of", "with_hashed"]

@@ -50,6 +50,7 @@ def _kmeans(x: np.ndarray, seed: int) -> np.ndarray:
 
 def nearest(x: np.ndarray, means: np.ndarray) -> np.ndarray:
     """The first nearest mean of each row."""
+    x, means = x.astype(np.float64), means.astype(np.float64)
     return ((means**2).sum(axis=1)[None] - 2 * x @ means.T).argmin(axis=1)
 
 

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
+from ..functions import hashing as H
 from ..functions import text as T
 from ..functions import vectors as V
 from ..params import LossKind, ModelKind, Params
+from ..storage import cut
 from . import features
 from .vocabulary import Vocabulary
 
@@ -48,18 +53,66 @@ def hint_small(table: DataFrame, numbers: int) -> DataFrame:
     return F.broadcast(table) if numbers <= BROADCAST_NUMBERS else table
 
 
+@dataclass
+class Held:
+    """A small table of vectors in tasks: sorted row numbers and a matrix."""
+
+    held: Broadcast
+
+    def means(self, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The mean of the rows of each list of ids, repeats counted; zeros where none is there."""
+        rows, matrix = self.held.value
+        out = np.zeros((len(offsets) - 1, matrix.shape[1]))
+        if not len(rows) or not len(ids):
+            return out
+        at = np.searchsorted(rows, ids).clip(max=len(rows) - 1)
+        own, at = H.kept(offsets, at, rows[at] == ids)
+        for a in range(0, len(out), 64):
+            b = min(a + 64, len(out))
+            n = np.diff(own[a : b + 1])
+            some = np.flatnonzero(n)
+            if len(some):
+                sums = np.add.reduceat(matrix[at[own[a] : own[b]]], own[a:b][some] - own[a], axis=0, dtype=np.float64)
+                out[a + some] = sums / n[some, None]
+        return out
+
+
+def hold(table: DataFrame, numbers: int, dim: int, row_col: str = "fid") -> Held | None:
+    """The table (row_col, vec) for all tasks, if it has at most BROADCAST_NUMBERS numbers; else None."""
+    if numbers > BROADCAST_NUMBERS or table.limit(BROADCAST_NUMBERS // dim + 1).count() > BROADCAST_NUMBERS // dim:
+        return None
+    own = table.select(F.col(row_col).cast("long").alias("row"), F.col("vec").cast("array<float>").alias("vec")).toArrow().sort_by("row").combine_chunks()
+    matrix = np.asarray(own["vec"].combine_chunks().flatten(), np.float32).reshape(-1, dim) if own.num_rows else np.zeros((0, dim), np.float32)
+    return Held(table.sparkSession.sparkContext.broadcast((own["row"].to_numpy(), matrix)))
+
+
+def _vectors(matrix: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)), pa.array(matrix.ravel()))
+
+
 def hidden(lines: DataFrame, table: DataFrame, dim: int, id_col: str = "doc_id", fids_col: str = "fids", rows: int | None = None) -> DataFrame:
-    """(id_col, hidden): the mean of the input rows of each line's ids, repeats counted; zeros if none is there.
+    """(id_col, hidden), a row for each line: the mean of the input rows of its ids, repeats counted; zeros if none is there.
 
-    Ids are counted before the join, the vectors are summed in each task before the
-    shuffle, and a table of at most BROADCAST_NUMBERS (rows * dim) is broadcast.
+    A table of at most BROADCAST_NUMBERS (rows * dim) is held by each task and nothing is
+    shuffled. For larger ones ids are counted before the join and vectors are summed in
+    each task before the shuffle; lines go by their own numbers, so repeated ids stay apart.
     """
-    each = lines.select(id_col, F.explode(fids_col).alias("fid")).groupBy(id_col, "fid").agg(F.count("*").cast("double").alias("n"))
-    small = table if rows is None else hint_small(table, rows * dim)
-    sums = each.join(small, "fid").groupBy(id_col).agg(F.sum("n").alias("_n"), V.sum_of("vec", dim, F.col("n")).alias("_v"))
-    means = sums.select(F.col(id_col).alias("_id"), F.transform("_v", lambda x: x / F.col("_n")).alias("hidden"))
+    small = None if rows is None else hold(table, rows * dim, dim)
+    if small is not None:
+        return features.map_lists(lines, [F.col(id_col)], F.col(fids_col), lambda lists: [_vectors(small.means(*_ids(lists)))], "hidden array<double>")
     zeros = F.array(*(F.lit(0.0) for _ in range(dim)))
-    return lines.select(id_col).join(means, F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("hidden", zeros).alias("hidden"))
+    some = F.coalesce(F.size(fids_col), F.lit(0)) > 0
+    numbered = lines.where(some).select(F.col(id_col).alias("_id"), fids_col, F.monotonically_increasing_id().alias("_row"))
+    each = numbered.select("_row", "_id", F.explode(fids_col).alias("fid")).groupBy("_row", "_id", "fid").agg(F.count("*").cast("double").alias("n"))
+    found = each.join(table.select("fid", "vec"), "fid", "left").withColumn("n", F.when(F.col("vec").isNotNull(), F.col("n")))
+    sums = found.groupBy("_row", "_id").agg(F.sum("n").alias("_n"), V.sum_of("vec", dim, F.col("n")).alias("_v"))
+    means = sums.select(F.col("_id").alias(id_col), F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n"))).otherwise(zeros).alias("hidden"))
+    return means.unionByName(lines.where(~some).select(id_col, zeros.alias("hidden")))
+
+
+def _ids(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets, values = H.list_parts(lists)
+    return offsets, values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
 def label_blocks(output: DataFrame, block: int = LABEL_BLOCK) -> DataFrame:
@@ -113,28 +166,77 @@ def path_probabilities(z: DataFrame, paths: DataFrame, id_col: str = "doc_id", n
         steps = F.zip_with(p["path"], p["code"], lambda node, right: F.get(F.transform(F.array(V.exact_sigmoid(F.get("z", node)["z"])), lambda f: V.std_log(F.when(right, f).otherwise(1.0 - f))), F.lit(0)))
         return F.exp(F.aggregate(steps, F.lit(0.0), lambda s, x: s + x))
 
-    joined = z.withColumn("_one", F.lit(1)).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one")
+    joined = z.withColumn("_one", F.lit(1)).join(hint_small(every.withColumn("_one", F.lit(1)), n_rows * 40), "_one")
     return joined.select(id_col, "block", F.transform("paths", lambda p: F.struct(chance(p).alias("p"), p["label_id"].alias("label_id"))).alias("scores"))
 
 
 def predict_features(lines: DataFrame, model: Model, k: int = 1, threshold: float = 0.0, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, predictions array<struct<p, label_id>>), best first, of (id_col, fids); no ids or k = 0 give none."""
+    """(id_col, predictions array<struct<p, label_id>>), a row for each of (id_col, fids), best first; no ids or k = 0 give none.
+
+    If both tables are small each task holds them, else they are joined block by block.
+    """
     v, dim = model.vocabulary, model.params.dim
     none = F.array().cast("array<struct<p:double,label_id:int>>")
     if k <= 0 or not model.is_supervised or v.nlabels == 0:
         return lines.select(id_col, none.alias("predictions"))
     rows = v.nwords + (model.params.bucket if model.params.maxn > 0 or model.params.word_ngrams > 1 else 0)
-    h = hidden(lines.where(F.size("fids") > 0), model.input, dim, id_col, rows=rows)
+    k = min(k, v.nlabels)
+    table = hold(model.input, rows * dim, dim)
+    output = hold(model.output, v.nlabels * dim, dim, "row") if table is not None else None
+    if output is not None:
+        paths = _held_paths(model) if model.params.loss == LossKind.HS else None
+        loss, least = model.params.loss, max(float(threshold), 0.0)
+        return features.map_lists(lines, [F.col(id_col)], F.col("fids"), lambda lists: [_best(*_ids(lists), table, output, paths, loss, k, least)], "predictions array<struct<p:double,label_id:int>>")
+    numbered = cut(lines.select(F.col(id_col).alias("_id"), "fids", F.monotonically_increasing_id().alias("_row")))
+    h = hidden(numbered.where(F.size("fids") > 0), model.input, dim, "_row", rows=rows)
     if model.params.loss == LossKind.HS:
         nodes = max(v.nlabels - 1, 1)
-        scored = path_probabilities(logits(h, model.output, nodes, dim, id_col), model.hs, id_col, nodes)
+        scored = path_probabilities(logits(h, model.output, nodes, dim, "_row"), model.hs, "_row", nodes)
     else:
-        scored = label_probabilities(logits(h, model.output, v.nlabels, dim, id_col), model.params.loss, id_col, v.nlabels)
-    k = min(k, v.nlabels)
-    best = scored.select(F.col(id_col).alias("_id"), top_k(F.col("scores"), k, threshold).alias("predictions"))
+        scored = label_probabilities(logits(h, model.output, v.nlabels, dim, "_row"), model.params.loss, "_row", v.nlabels)
+    best = scored.select("_row", top_k(F.col("scores"), k, threshold).alias("predictions"))
     if v.nlabels > LABEL_BLOCK and model.params.loss != LossKind.HS:
-        best = best.groupBy("_id").agg(top_k(F.flatten(F.collect_list("predictions")), k, threshold).alias("predictions"))
-    return lines.select(id_col).join(best, F.col(id_col) == F.col("_id"), "left").select(id_col, F.coalesce("predictions", none).alias("predictions"))
+        best = best.groupBy("_row").agg(top_k(F.flatten(F.collect_list("predictions")), k, threshold).alias("predictions"))
+    return numbered.select("_row", "_id").join(best, "_row", "left").select(F.col("_id").alias(id_col), F.coalesce("predictions", none).alias("predictions"))
+
+
+def _held_paths(model: Model) -> Broadcast:
+    """(label ids, offsets, inner nodes, whether from the right) of all labels, as arrays."""
+    own = model.hs.select("label_id", "path", "code").toArrow().sort_by("label_id").combine_chunks()
+    path = own["path"].combine_chunks()
+    return model.input.sparkSession.sparkContext.broadcast((own["label_id"].to_numpy(), np.asarray(path.offsets) - path.offsets[0].as_py(), np.asarray(path.flatten(), np.int64), own["code"].combine_chunks().flatten().to_numpy(zero_copy_only=False)))
+
+
+def _scores(h: np.ndarray, output: Held, paths: Broadcast | None, loss: LossKind) -> tuple[np.ndarray, np.ndarray]:
+    """(label ids, probabilities [lines, labels])."""
+    rows, matrix = output.held.value
+    z = h @ matrix.T.astype(np.float64)
+    if loss == LossKind.SOFTMAX:
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return rows, e / e.sum(axis=1, keepdims=True)
+    if loss in (LossKind.OVA, LossKind.NS):
+        return rows, V.grid_sigmoid(z)
+    labels, offsets, nodes, right = paths.value
+    f = 1.0 / (1.0 + np.exp(-z[:, np.searchsorted(rows, nodes)]))
+    logs = np.log(np.where(right, f, 1.0 - f) + V.LOG_SHIFT)
+    sums = np.concatenate((np.zeros((len(h), 1)), np.cumsum(logs, axis=1)), axis=1)
+    return labels, np.exp(sums[:, offsets[1:]] - sums[:, offsets[:-1]])
+
+
+def _best(offsets: np.ndarray, ids: np.ndarray, table: Held, output: Held, paths: Broadcast | None, loss: LossKind, k: int, least: float) -> pa.Array:
+    h, ends, probabilities, labels = table.means(offsets, ids), [0], [], []
+    step = max(1, (1 << 21) // max(len(output.held.value[0]) if paths is None else len(paths.value[2]), 1))
+    for a in range(0, len(h), step):
+        names, p = _scores(h[a : a + step], output, paths, loss)
+        order = np.lexsort((np.broadcast_to(names, p.shape), p), axis=1)[:, ::-1][:, :k]
+        top = np.take_along_axis(p, order, axis=1)
+        # a NaN is above all in the order and left out here
+        good = (top >= least) & (np.diff(offsets[a : a + len(p) + 1]) > 0)[:, None]
+        probabilities.append(top[good])
+        labels.append(names[order][good].astype(np.int32))
+        ends.append(good.sum(axis=1))
+    structs = pa.StructArray.from_arrays([pa.array(np.concatenate([*probabilities, np.empty(0)])), pa.array(np.concatenate([*labels, np.empty(0, np.int32)]).astype(np.int32))], names=["p", "label_id"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([np.atleast_1d(x) for x in ends])).astype(np.int32)), structs)
 
 
 def with_labels(predictions: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:

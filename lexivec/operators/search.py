@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import threading
 import time
 from dataclasses import dataclass, field, replace
 
@@ -110,20 +111,27 @@ class Found:
     trials: int
 
 
-def autotune(train_docs: DataFrame, valid_docs: DataFrame, params: Params, **columns) -> Found:
+def autotune(train_docs: DataFrame, valid_docs: DataFrame, params: Params, most_trials: int | None = None, **columns) -> Found:
     """The best of the trials that fit in autotune_duration seconds, trained once more on train_docs.
 
-    At least one trial is run. With autotune_model_size a trial counts only if the model
+    At least one trial is run, and at most most_trials. With autotune_model_size a trial counts only if the model
     quantized with its dsub is within the size, and the quantized model is returned. A
     trial that fails (weights that aren't numbers, nothing in the vocabulary) is passed over.
     """
     most = parse_size(params.autotune_model_size) if params.autotune_model_size else None
     began, best = time.monotonic(), None
     ask = Proposals(params, params.autotune_duration, params.seed)
-    while not ask.trials or time.monotonic() - began < params.autotune_duration:
+    over = threading.Event()
+    clock = threading.Timer(params.autotune_duration, over.set)
+    clock.daemon = True
+    clock.start()
+    while not ask.trials or (time.monotonic() - began < params.autotune_duration and ask.trials < (most_trials or math.inf)):
         tried = ask.next(time.monotonic() - began)
         try:
-            model = training.train(train_docs, tried, **columns)
+            # the first trial is run to its end; others are given up when the time is
+            model = training.train(train_docs, tried, stop=over if ask.trials > 1 else None, **columns)
+            if ask.trials > 1 and over.is_set():
+                break
             if most is not None and quantization.quantize(model, tried.dsub, _cutoff(most, tried)).bytes() > most:
                 continue
             value = score(model, valid_docs, params.autotune_metric, params.autotune_predictions, **columns)
@@ -136,6 +144,7 @@ def autotune(train_docs: DataFrame, valid_docs: DataFrame, params: Params, **col
         if best is None or value > best[0]:
             best = (value, tried)
             ask.best = tried
+    clock.cancel()
     if best is None:
         raise InvalidArgument("no trial fits the size")
     model = training.train(train_docs, best[1], **columns)

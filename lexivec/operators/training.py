@@ -1,11 +1,15 @@
-"""Training by local gradient descent in parts, averaged after each epoch.
-
-Lines are dealt to parts. In an epoch every part gets the rows of the two matrices that
-its lines can touch by a join (never a whole matrix through the driver), runs its
-gradient steps, and gives the rows back; rows that several parts changed are averaged.
-One part is plain sequential descent; more parts need more epochs for the same loss.
-Weights are checkpointed after each epoch, so lineages stay short and a lost executor
-repeats one epoch's tasks at most.
+"""Training by local gradient descent in parts, averaged after each wave.
+
+Lines are dealt to parts of at most about PART_TOKENS tokens (and at least ``thread``
+parts), and parts are run in waves of as many as the cluster runs at once. In a wave every
+part gets the rows of the two matrices that its lines can touch by a join (never a whole
+matrix through the driver), runs its gradient steps, and gives the rows back; rows that
+several parts changed are averaged. One part is plain sequential descent; more parts need
+more epochs for the same loss. Weights are checkpointed after each wave, so lineages stay
+short and a lost executor repeats one wave's tasks at most.
+
+Besides rows of weights a part gets what else it needs as rows: the subwords of its words,
+the paths of its targets, and negatives drawn for it from the distribution of all words.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rng
 from ..errors import InvalidArgument, NaNEncountered
+from ..functions import hashing as H
 from ..functions import text as T
 from ..functions import vectors as V
 from ..params import LossKind, ModelKind, Params
@@ -29,11 +34,17 @@ from . import features, kernels, vocabulary
 from .scoring import Model
 from .vocabulary import Vocabulary
 
-INPUT, OUTPUT, LOSS = 0, 1, 2
+INPUT, OUTPUT, LOSS, WORD, PATH, DRAW = range(6)
 _ROWS = "mat int, row long, vec array<float>"
 _VEC = pa.list_(pa.float32())
-#: Words from which a part draws negatives besides its own; drawn for each part by the root of their counts.
-NEGATIVE_POOL = 50_000
+#: Tokens of a part's lines, on average; more make more parts.
+PART_TOKENS = 1_000_000
+#: Negatives drawn for each part, with repeats; steps draw from these.
+NEGATIVE_DRAWS = 1 << 16
+#: Parts of the distribution of negatives that draws are looked up in.
+DRAW_BUCKETS = 1 << 16
+#: Words of a line for word vectors whose steps are summed up.
+CENTRES = 32
 
 
 def initial_rows(rows: DataFrame, n_rows: int, dim: int, seed: int) -> DataFrame:
@@ -62,16 +73,19 @@ def initial_rows(rows: DataFrame, n_rows: int, dim: int, seed: int) -> DataFrame
     return rows.select(F.col("row").cast("long").alias("row")).mapInArrow(run, _ROWS)
 
 
-def huffman_paths(counts: list[int]) -> list[tuple[list[int], list[bool]]]:
-    """For each label, counts falling, the inner nodes from leaf to root and whether each step came from the right.
+def huffman_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parent of each node, -1 for the root; whether it is the right child) for counts that fall; inner nodes follow the leaves.
 
     Leaves from the rarest on and inner nodes in order of making are two sorted queues;
     the two smallest heads are joined, an inner node first where counts are equal.
     """
     n = len(counts)
-    weight, parent, right = [*counts], [-1] * max(2 * n - 1, 0), [False] * max(2 * n - 1, 0)
+    size = max(2 * n - 1, 0)
+    parent, right = np.full(size, -1, np.int64), np.zeros(size, bool)
+    weight = np.zeros(size, np.int64)
+    weight[:n] = counts
     leaf, inner = n - 1, n
-    for made in range(n, 2 * n - 1):
+    for made in range(n, size):
         pair = []
         for _ in range(2):
             if leaf >= 0 and (inner >= made or weight[leaf] < weight[inner]):
@@ -80,108 +94,244 @@ def huffman_paths(counts: list[int]) -> list[tuple[list[int], list[bool]]]:
             else:
                 pair.append(inner)
                 inner += 1
-        weight.append(weight[pair[0]] + weight[pair[1]])
-        parent[pair[0]] = parent[pair[1]] = made
+        weight[made] = weight[pair[0]] + weight[pair[1]]
+        parent[pair] = made
         right[pair[1]] = True
-    out = []
-    for k in range(n):
-        path, code, node = [], [], k
-        while parent[node] >= 0:
-            path.append(parent[node] - n)
-            code.append(right[node])
-            node = parent[node]
-        out.append((path, code))
-    return out
+    return parent, right
+
+
+def _path(parent: np.ndarray, right: np.ndarray, leaf: int) -> tuple[list[int], list[bool]]:
+    n, path, code, node = (len(parent) + 1) // 2, [], [], leaf
+    while parent[node] >= 0:
+        path.append(int(parent[node]) - n)
+        code.append(bool(right[node]))
+        node = parent[node]
+    return path, code
+
+
+def huffman_paths(counts: list[int]) -> list[tuple[list[int], list[bool]]]:
+    """For each label, counts falling, the inner nodes from leaf to root and whether each step came from the right."""
+    parent, right = huffman_tree(np.array(counts, np.int64))
+    return [_path(parent, right, k) for k in range(len(counts))]
+
+
+def path_table(spark: SparkSession, counts: np.ndarray) -> DataFrame:
+    """(label_id, path, code) for counts that fall. The tree, 9 bytes a node, is made on the driver, as it is a chain of choices; paths are walked in tasks."""
+    held = spark.sparkContext.broadcast(huffman_tree(np.asarray(counts, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_path(*held.value, k) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([c for _, c in made], pa.list_(pa.bool_()))], names=["label_id", "path", "code"])
+
+    return spark.range(len(counts)).mapInArrow(run, "label_id int, path array<int>, code array<boolean>")
+
+
+def learning_rate(lr: float, epoch: int, epochs: int, share):
+    """Falls in a line from lr to 0; share (a number or an array): of the epoch that is done."""
+    return np.maximum(0.0, lr * (1.0 - (epoch + share) / max(epochs, 1)))
+
+
+def _mixed(salt: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each salt and place."""
+    with np.errstate(over="ignore"):
+        h = salt.astype(np.int64).view(np.uint64) + np.uint64(seed * 2 + 1) * np.uint64(0x9E3779B97F4A7C15) * (at.astype(np.uint64) + np.uint64(1))
+        for k, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> np.uint64(k)) * np.uint64(m)
+        h ^= h >> np.uint64(31)
+    return (h >> np.uint64(11)).astype(np.float64) / 2**53
 
 
-def learning_rate(lr: float, epoch: int, epochs: int, share: float) -> float:
-    """Falls in a line from lr to 0; share: of the epoch that is done."""
-    return max(0.0, lr * (1.0 - (epoch + share) / max(epochs, 1)))
+def word_lines(docs: DataFrame, v: Vocabulary, text_col: str) -> DataFrame:
+    """(ids array<bigint>): known words, the end of line too, that survive sub-sampling, in pieces of LINE_TOKENS + 1 known tokens.
 
+    Each text is a line; labels count as tokens but are left out. A small vocabulary is
+    looked up in each task, a large one by a join.
+    """
+    p, size = v.params, T.LINE_TOKENS + 1
+    tokens = T.tokens(text_col)
+    ended = F.when(F.array_contains(tokens, F.lit(T.EOS)), tokens).otherwise(F.concat(tokens, F.array(F.lit(T.EOS))))
+    look = v.for_tasks()
+    if look is None:
+        rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(ended).alias("pos", "token"))
+        own = v.words().select("token", F.col("id").cast("long").alias("id"), vocabulary.keep_probability(F.col("count"), F.lit(v.ntokens), p.t).alias("_p"))
+        known = rows.join(own, "token").where(F.rand(p.seed) <= F.col("_p"))
+        return known.groupBy("_row", F.floor(F.col("pos") / size)).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("w")).select(F.transform("w", lambda x: x["id"]).alias("ids"))
+    counts = v.entries.select("id", "count").toArrow().sort_by("id")["count"].to_numpy()
+    with np.errstate(divide="ignore"):
+        ratio = p.t / (counts / max(v.ntokens, 1))
+    keep = docs.sparkSession.sparkContext.broadcast(np.sqrt(ratio) + ratio)
 
-def _lines(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """(part, key, inputs array<array<bigint>>, targets array<int>): a supervised line has one input, others one a word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                offsets, words = H.list_parts(part.column(1))
+                coded = words.dictionary_encode()
+                ids = look.ids(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+                offsets, ids = H.kept(offsets, ids, ids >= 0)
+                sizes = np.diff(offsets)
+                at = np.arange(len(ids)) - np.repeat(offsets[:-1], sizes)
+                good = (ids < look.nwords) & (_mixed(np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes), at, p.seed) <= keep.value[ids])
+                # a piece begins where a line does and at each size-th token
+                pieces = np.append(np.flatnonzero(at % size == 0), len(ids))
+                out, own = H.kept(pieces, ids, good)
+                out = out[np.concatenate(([True], np.diff(out) > 0))]
+                yield pa.RecordBatch.from_arrays([H.to_lists(out, own)], names=["ids"])
+
+    return docs.select(F.xxhash64(text_col).alias("salt"), ended.alias("tokens")).mapInArrow(run, "ids array<bigint>")
+
+
+def _lines(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """((part, key, ids, targets), number of parts). Supervised lines have features and labels, others word ids and no targets."""
     p = v.params
     if p.model == ModelKind.SUPERVISED:
         made = features.line_features(docs, v, id_col, text_col, eos=True, eos_in_ngrams=True)
-        lines = made.where((F.size("fids") > 0) & (F.size("labels") > 0)).select(F.col(id_col).alias("key"), F.array("fids").alias("inputs"), F.col("labels").alias("targets"))
+        lines = made.where((F.size("fids") > 0) & (F.size("labels") > 0)).select(F.col("fids").alias("ids"), F.col("labels").alias("targets"))
     else:
-        tokens = vocabulary.explode_tokens(docs, text_col, (id_col,))
-        kept = vocabulary.subsample(tokens.where(F.col("token") != T.EOS), v, p.seed)
-        known = features.subwords_of(kept, v).where("entry_type = 0")
-        rows = known.groupBy(F.col(id_col).alias("key")).agg(F.array_sort(F.collect_list(F.struct("pos", "subwords", "id"))).alias("w"))
-        lines = rows.select("key", F.transform("w", lambda x: x["subwords"]).alias("inputs"), F.transform("w", lambda x: x["id"]).alias("targets"))
-    return lines.withColumn("part", F.pmod(F.xxhash64("key", F.lit(p.seed)), F.lit(p.thread)).cast("int"))
-
-
-def _needed(lines: DataFrame, v: Vocabulary, n_output: int) -> DataFrame:
-    """(part, mat, row, chance): rows each part may touch; chance is the root of a word's count, for negatives."""
+        lines = word_lines(docs, v, text_col).select("ids", F.array().cast("array<int>").alias("targets"))
+    # numbered before they are written, so the numbers stay; equal lines are dealt apart
+    lines = cut(lines.withColumn("key", F.monotonically_increasing_id()))
+    total = lines.agg(F.sum(F.size("ids"))).first()[0] or 0
+    parts = max(p.thread, -(-int(total) // PART_TOKENS))
+    return lines.withColumn("part", F.pmod(F.xxhash64("key", F.lit(p.seed)), F.lit(parts)).cast("int")), parts
+
+
+def draw_negatives(chances: DataFrame, parts: int, draws: int, seed: int) -> DataFrame:
+    """(part, row, n): how often each entry of chances (id, low, high) is among the ``draws`` of each part."""
+    spark = chances.sparkSession
+    u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(2**53)).cast("double")
+    asked = spark.range(parts * draws).select(F.floor(F.col("id") / draws).cast("int").alias("part"), u.alias("u")).withColumn("bucket", F.floor(F.col("u") * DRAW_BUCKETS))
+    last = F.lit(DRAW_BUCKETS - 1)
+    ends = lambda x: F.least(F.floor(F.col(x) * DRAW_BUCKETS), last)
+    spans = chances.withColumn("bucket", F.explode(F.sequence(ends("low"), ends("high"))))
+    return asked.join(spans, "bucket").where("u >= low and u < high").groupBy("part", F.col("id").cast("long").alias("row")).agg(F.count("*").alias("n"))
+
+
+def _needed(lines: DataFrame, v: Vocabulary, n_output: int, parts: int, hs: DataFrame | None) -> DataFrame:
+    """(part, mat, row, ids): rows of weights each part may touch, subwords of its words, paths of its targets (twice the node, and one if from the right), its negatives (ids: how often)."""
     p = v.params
-    inputs = lines.select("part", F.explode(F.flatten("inputs")).alias("row")).distinct().select("part", F.lit(INPUT).alias("mat"), "row", F.lit(0.0).alias("chance"))
-    parts = lines.select("part").distinct()
-    counted = (v.labels().select(F.col("label_id").cast("long").alias("row"), "count") if p.model == ModelKind.SUPERVISED else v.words().select(F.col("id").cast("long").alias("row"), "count")).select("row", F.sqrt("count").alias("chance"))
-    if p.model != ModelKind.SUPERVISED and p.loss == LossKind.NS and n_output > NEGATIVE_POOL:
-        own = lines.select("part", F.explode("targets").cast("long").alias("row")).distinct().join(counted, "row").select("part", "row", "chance")
-        spread = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(p.thread - 1))))
-        total = counted.agg(F.sum("chance")).first()[0]
-        drawn = spread.where(F.rand(p.seed) < F.col("chance") * NEGATIVE_POOL / total).select("part", "row", "chance")
-        outputs = own.unionByName(drawn).distinct()
+    none = F.lit(None).cast("array<bigint>")
+    said = lambda df, mat, ids=none: df.select("part", F.lit(mat).alias("mat"), F.col("row").cast("long").alias("row"), ids.alias("ids"))
+    own = lines.select("part", F.explode("ids").alias("row")).distinct()
+    if p.model == ModelKind.SUPERVISED:
+        out = said(own, INPUT)
+        targets = lines.select("part", F.explode("targets").alias("row")).distinct().select("part", F.col("row").cast("long").alias("row"))
+        counted = v.labels().select(F.col("label_id").alias("id"), "count")
+    else:
+        words = cut(own.join(features.subwords(v).where("entry_type = 0").select(F.col("id").cast("long").alias("row"), "subwords"), "row"))
+        out = said(words, WORD, F.col("subwords")).unionByName(said(words.select("part", F.explode("subwords").alias("row")).distinct(), INPUT))
+        targets, counted = own, v.words().select("id", "count")
+    if p.loss == LossKind.NS:
+        drawn = cut(draw_negatives(vocabulary.negative_chances(counted), parts, NEGATIVE_DRAWS, p.seed))
+        out = out.unionByName(said(drawn, DRAW, F.array("n"))).unionByName(said(targets.unionByName(drawn.select("part", "row")).distinct(), OUTPUT))
+    elif p.loss == LossKind.HS:
+        steps = F.zip_with("path", "code", lambda node, right: node.cast("long") * 2 + right.cast("long"))
+        paths = cut(targets.join(hs.select(F.col("label_id").cast("long").alias("row"), steps.alias("ids")), "row"))
+        nodes = paths.select("part", F.explode("ids").alias("step")).select("part", F.floor(F.col("step") / 2).alias("row")).distinct()
+        out = out.unionByName(said(paths, PATH, F.col("ids"))).unionByName(said(nodes, OUTPUT))
     else:
-        # every part needs every label, or inner node, as each step changes them all
-        outputs = counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(p.thread - 1)))).join(F.broadcast(parts), "part", "left_semi").select("part", "row", "chance")
-        if p.loss == LossKind.HS:
-            outputs = outputs.where(F.col("row") < max(n_output - 1, 1))
-    return inputs.unionByName(outputs.select("part", F.lit(OUTPUT).alias("mat"), "row", "chance"))
+        # every part needs every label, as each step changes them all
+        every = counted.select(F.col("id").cast("long").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        out = out.unionByName(said(every, OUTPUT))
+    return out
+
 
+def _kernel(p: Params, epoch: int, wave: int, waves: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = ["mat", "row", "vec"]
 
-def _kernel(p: Params, epoch: int, paths: list | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, lines: pa.Table) -> pa.Table:
-        names = ["mat", "row", "vec"]
         empty = pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], _VEC)], names=names)
-        if not lines.num_rows:
+        if not lines.num_rows or not rows.num_rows:
             return empty
-        rows = rows.sort_by([("mat", "ascending"), ("row", "ascending")])
+        rows = rows.sort_by([("mat", "ascending"), ("row", "ascending")]).combine_chunks()
         mat, row = rows["mat"].to_numpy(), rows["row"].to_numpy()
-        flat = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(row), p.dim)
-        in_rows, out_rows = row[mat == INPUT], row[mat == OUTPUT]
-        wi, wo = flat[mat == INPUT].copy(), flat[mat == OUTPUT].copy()
-        local = {} if paths is None else {k: (np.array(a, np.int64), np.array(c, np.float32)) for k, (a, c) in enumerate(paths)}
+        span = lambda k: (int(np.searchsorted(mat, k)), int(np.searchsorted(mat, k, "right")))
+
+        def weights(k: int) -> tuple[np.ndarray, np.ndarray]:
+            a, b = span(k)
+            flat = np.array(rows["vec"].slice(a, b - a).combine_chunks().flatten(), np.float32)
+            return row[a:b], flat.reshape(b - a, p.dim)
+
+        def lists(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b = span(k)
+            offsets, values = H.list_parts(rows["ids"].slice(a, b - a).combine_chunks())
+            return row[a:b], offsets, values.to_numpy(zero_copy_only=False)
+
+        in_rows, wi = weights(INPUT)
+        out_rows, wo = weights(OUTPUT)
         part = lines["part"][0].as_py()
-        step = kernels.Step(wi, wo, p.loss, p.model == ModelKind.SUPERVISED, (p.seed, epoch, part), p.neg, rows["chance"].to_numpy()[mat == OUTPUT] if p.loss == LossKind.NS else None, local)
-        lines = lines.sort_by("key")
-        inputs, targets = lines["inputs"].to_pylist(), lines["targets"].to_pylist()
-        total = max(1, sum(map(len, (inputs if p.model != ModelKind.SUPERVISED else [x[0] for x in inputs]))))
-        seen = 0
-        for ids, wanted in zip(inputs, targets, strict=True):
-            lr = learning_rate(p.lr, epoch, p.epoch, seen / total)
-            if p.model == ModelKind.SUPERVISED:
-                at = np.searchsorted(in_rows, ids[0])
-                right = np.array(wanted) if p.loss == LossKind.OVA else np.array([wanted[int(step.rng.integers(len(wanted)))]])
-                step.update(at, right if p.loss == LossKind.HS else np.searchsorted(out_rows, right), lr)
-                seen += len(ids[0])
-            else:
-                places = [np.searchsorted(in_rows, x) for x in ids]
-                goals = wanted if p.loss == LossKind.HS else np.searchsorted(out_rows, wanted).tolist()
-                for own, goal in kernels.examples(places, goals, p.ws, p.model == ModelKind.CBOW, step.rng):
-                    step.update(np.asarray(own), np.array([goal]), lr)
-                seen += len(ids)
+        draws = paths = None
+        if p.loss == LossKind.NS:
+            own, _, times = lists(DRAW)
+            draws = np.searchsorted(out_rows, np.repeat(own, times))
+        elif p.loss == LossKind.HS:
+            own, offsets, steps = lists(PATH)
+            at = np.searchsorted(out_rows, steps // 2)
+            paths = {int(t): (at[a:b], (steps[a:b] % 2).astype(np.float32)) for t, a, b in zip(own.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}
+        step = kernels.Step(wi, wo, p.loss, p.model == ModelKind.SUPERVISED, (p.seed, epoch, part), p.neg, draws, paths)
+        lines = lines.sort_by("key").combine_chunks()
+        offsets, ids = H.list_parts(lines["ids"].combine_chunks())
+        ids = ids.to_numpy(zero_copy_only=False)
+        total = max(1, len(ids))
+        rate = lambda seen: learning_rate(p.lr, epoch, p.epoch, (wave + seen / total) / waves)
+        if p.model == ModelKind.SUPERVISED:
+            ends, labels = H.list_parts(lines["targets"].combine_chunks())
+            labels, places = labels.to_numpy(zero_copy_only=False), np.searchsorted(in_rows, ids)
+            for k in range(lines.num_rows):
+                wanted = labels[ends[k] : ends[k + 1]]
+                right = wanted if p.loss == LossKind.OVA else wanted[[int(step.rng.integers(len(wanted)))]]
+                step.update(places[offsets[k] : offsets[k + 1]], right if p.loss == LossKind.HS else np.searchsorted(out_rows, right), rate(offsets[k]))
+        else:
+            words, starts, subs = lists(WORD)
+            subs, goals = np.searchsorted(in_rows, subs), None if p.loss == LossKind.HS else np.searchsorted(out_rows, ids)
+            sizes, at = np.diff(starts), np.searchsorted(words, ids)
+            for k in range(lines.num_rows):
+                a, b = int(offsets[k]), int(offsets[k + 1])
+                centre, context = kernels.examples(b - a, p.ws, step.rng)
+                goal = (ids if goals is None else goals)[a:b]
+                for s in range(0, b - a, CENTRES):
+                    i, j = np.searchsorted(centre, (s, s + CENTRES))
+                    _word_steps(step, p, centre[i:j], context[i:j], at[a:b], goal, starts, sizes, subs, rate(a + s))
         vecs = np.concatenate((wi, wo))
         if not np.isfinite(vecs).all():
             raise NaNEncountered(f"weights of part {part} in epoch {epoch}; lower the learning rate")
-        offsets = np.arange(0, vecs.size + 1, p.dim, dtype=np.int32)
+        mats = np.repeat(np.array([INPUT, OUTPUT], np.int32), (len(in_rows), len(out_rows)))
+        lists_of = pa.ListArray.from_arrays(pa.array(np.arange(0, vecs.size + 1, p.dim, dtype=np.int32)), pa.array(vecs.ravel()))
         return pa.concat_tables([
-            pa.Table.from_arrays([pa.array(np.sort(mat).astype(np.int32)), pa.array(np.concatenate((in_rows, out_rows))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(vecs.ravel()))], names=names),
+            pa.Table.from_arrays([pa.array(mats), pa.array(np.concatenate((in_rows, out_rows))), lists_of], names=names),
             pa.Table.from_arrays([pa.array([LOSS], pa.int32()), pa.array([part], pa.int64()), pa.array([[step.total, float(step.n)]], _VEC)], names=names),
         ])
 
     return run
 
 
+def _word_steps(step: kernels.Step, p: Params, centre: np.ndarray, context: np.ndarray, at: np.ndarray, goal: np.ndarray, starts: np.ndarray, sizes: np.ndarray, subs: np.ndarray, lr: float) -> None:
+    """Steps of the pairs of some centres; at: the words of the line, whose subwords are subs[starts[w] : starts[w] + sizes[w]]."""
+    if not len(centre):
+        return
+    own, first, of = np.unique(centre, return_index=True, return_inverse=True)
+    if p.model == ModelKind.CBOW:
+        # a centre's input is all of its contexts' subwords
+        n = sizes[at[context]]
+        ids = subs[H.ranges(starts[at[context]], n)]
+        offsets = np.concatenate((np.concatenate(([0], np.cumsum(n)))[first], [len(ids)]))
+        of, targets = np.arange(len(own)), goal[own]
+    else:
+        n = sizes[at[own]]
+        ids, offsets, targets = subs[H.ranges(starts[at[own]], n)], np.concatenate(([0], np.cumsum(n))), goal[context]
+    if p.loss == LossKind.NS:
+        step.batch(offsets, ids, of, targets, lr)
+    else:
+        for g, t in zip(of.tolist(), targets.tolist(), strict=True):
+            step.update(ids[offsets[g] : offsets[g + 1]], np.array([t]), lr)
+
+
 def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text", pretrained: DataFrame | None = None, start: Model | None = None, stop: threading.Event | None = None, on_epoch: Callable[[int, float], None] | None = None) -> Model:
-    """Train on the lines of docs; labels are the tokens with params.label in the texts.
+    """Train on the lines of docs, one for each row; labels are the tokens with params.label in the texts.
 
     pretrained: (token, vec) that replace the start of words in the vocabulary. start: a
-    model whose vocabulary and weights are trained on. stop: checked after each epoch; the
+    model whose vocabulary and weights are trained on. stop: checked after each wave; the
     model is usable as it is then.
     """
     v = start.vocabulary if start else vocabulary.build(docs, params, text_col)
@@ -192,13 +342,12 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
         raise InvalidArgument(f"no token begins with {p.label!r}")
     n_output = v.nlabels if p.model == ModelKind.SUPERVISED else v.nwords
     n_input = v.nwords + p.bucket
-    lines = cut(_lines(docs, v, id_col, text_col))
-    needed = cut(_needed(lines, v, n_output))
-    paths = hs = None
+    lines, parts = _lines(docs, v, id_col, text_col)
+    hs = None
     if p.loss == LossKind.HS:
-        counts = [r[0] for r in (v.labels().orderBy("label_id") if p.model == ModelKind.SUPERVISED else v.words().orderBy("id")).select("count").collect()]
-        paths = huffman_paths(counts)
-        hs = spark.createDataFrame([(k, a, c) for k, (a, c) in enumerate(paths)], "label_id int, path array<int>, code array<boolean>")
+        entries = v.labels().select(F.col("label_id").alias("id"), "count") if p.model == ModelKind.SUPERVISED else v.words().select("id", "count")
+        hs = cut(path_table(spark, entries.toArrow().sort_by("id")["count"].to_numpy()))
+    needed = cut(_needed(lines, v, n_output, parts, hs))
     if start:
         weights = start.input.select(F.lit(INPUT).alias("mat"), F.col("fid").cast("long").alias("row"), "vec").unionByName(start.output.select(F.lit(OUTPUT).alias("mat"), F.col("row").cast("long").alias("row"), "vec"))
     else:
@@ -210,13 +359,23 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
         zero = F.array(*(F.lit(0.0).cast("float") for _ in range(p.dim)))
         weights = weights.unionByName(spark.range(n_output).select(F.lit(OUTPUT).alias("mat"), F.col("id").alias("row"), zero.alias("vec")))
     weights, losses = cut(weights), []
+    at_once = max(p.thread, spark.sparkContext.defaultParallelism)
+    waves = -(-parts // at_once)
     for epoch in range(p.epoch):
-        dealt = needed.join(weights, ["mat", "row"]).select(F.col("part").alias("part"), "mat", "row", "vec", "chance")
-        changed = cut(dealt.groupBy("part").cogroup(lines.groupBy("part")).applyInArrow(_kernel(p, epoch, paths), _ROWS))
-        total, n = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
-        losses.append((total or 0.0) / (n or 1.0))
-        means = changed.where(F.col("mat") != LOSS).groupBy("mat", "row").agg(V.mean_of("vec", p.dim).cast("array<float>").alias("new"))
-        weights = cut(weights.join(means, ["mat", "row"], "left").select("mat", "row", F.coalesce("new", "vec").alias("vec")))
+        total = n = 0.0
+        for wave in range(waves):
+            inside = F.col("part").between(wave * at_once, (wave + 1) * at_once - 1)
+            mine = needed.where(inside)
+            dealt = mine.where(F.col("mat") <= OUTPUT).join(weights, ["mat", "row"]).select("part", "mat", "row", "vec", "ids")
+            dealt = dealt.unionByName(mine.where(F.col("mat") > OUTPUT).select("part", "mat", "row", F.lit(None).cast("array<float>").alias("vec"), "ids"))
+            changed = cut(dealt.groupBy("part").cogroup(lines.where(inside).groupBy("part")).applyInArrow(_kernel(p, epoch, wave, waves), _ROWS))
+            t, k = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
+            total, n = total + (t or 0.0), n + (k or 0.0)
+            means = changed.where(F.col("mat") != LOSS).groupBy("mat", "row").agg(V.mean_of("vec", p.dim).cast("array<float>").alias("new"))
+            weights = cut(weights.join(means, ["mat", "row"], "left").select("mat", "row", F.coalesce("new", "vec").alias("vec")))
+            if stop is not None and stop.is_set():
+                break
+        losses.append(total / (n or 1.0))
         if on_epoch:
             on_epoch(epoch, losses[-1])
         if stop is not None and stop.is_set():
@@ -229,7 +388,7 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
 
 
 class TrainingHandle:
-    """Training in a thread of its own; abort() ends it after the epoch that runs."""
+    """Training in a thread of its own; abort() ends it after the wave that runs."""
 
     def __init__(self, docs: DataFrame, params: Params, **given):
         self._stop, self._out, self._error = threading.Event(), None, None

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import InvalidArgument
+from ..functions import hashing as H
 from ..functions import text as T
 from ..params import ModelKind, Params
 from ..storage import cut
@@ -51,6 +56,41 @@ def rank(counts: DataFrame) -> DataFrame:
     return dense_index(counts, [F.col("entry_type"), F.col("count").desc(), F.col("token")]).select(F.col("id").cast("int").alias("id"), "token", "count", "entry_type")
 
 
+@dataclass
+class Lookup:
+    """A small vocabulary in tasks: the token of id k is at place k."""
+
+    held: Broadcast
+    nwords: int
+    params: Params
+
+    def ids(self, tokens: pa.Array) -> np.ndarray:
+        """The ids of tokens, -1 for unknown ones."""
+        return pc.index_in(tokens, value_set=self.held.value[0]).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def hashed(self, offsets: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of the row ids of buckets; if the model is pruned, without those that are gone."""
+        pruned = self.held.value[1]
+        if pruned is None:
+            return offsets, buckets + self.nwords
+        own, new = pruned
+        at = np.searchsorted(own, buckets).clip(max=max(len(own) - 1, 0))
+        good = own[at] == buckets if len(own) else np.zeros(len(buckets), bool)
+        return H.kept(offsets, (new[at] if len(own) else buckets) + self.nwords, good)
+
+    def subwords(self, tokens: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, row ids): each token's own if it is known, then its n-grams'; the end of line has none of these."""
+        p = self.params
+        own = np.concatenate(([0], np.cumsum(ids >= 0))), ids[ids >= 0]
+        if p.bucket <= 0 or p.maxn <= 0:
+            return own
+        of, h = H.char_ngrams(tokens, p.minn, p.maxn)
+        eos = pc.equal(tokens, T.EOS).to_numpy(zero_copy_only=False)
+        good = ~eos[of]
+        counts = np.bincount(of[good], minlength=len(tokens))
+        return H.joined([own, self.hashed(np.concatenate(([0], np.cumsum(counts))), h[good] % p.bucket)])
+
+
 @dataclass
 class Vocabulary:
     """entries: id, token, count, entry_type; stats: one row of nwords, nlabels, ntokens, size.
@@ -80,6 +120,18 @@ class Vocabulary:
         row = self.entries.where(F.col("token") == token).select("id").first()
         return row[0] if row else None
 
+    def for_tasks(self) -> Lookup | None:
+        """Tokens and pruned buckets as arrays for all tasks, if there are at most BROADCAST_ENTRIES of each; else None."""
+        if self.size > BROADCAST_ENTRIES or (self.prune is not None and self.prune.limit(BROADCAST_ENTRIES + 1).count() > BROADCAST_ENTRIES):
+            return None
+        spark = self.entries.sparkSession
+        own = self.entries.select("id", "token").toArrow().sort_by("id").combine_chunks()
+        if own.num_rows and own["id"][-1].as_py() != own.num_rows - 1:
+            return None
+        pairs = None if self.prune is None else self.prune.select(F.col("bucket").cast("long"), F.col("new_id").cast("long")).toArrow().sort_by("bucket")
+        pruned = None if pairs is None else (pairs["bucket"].to_numpy(), pairs["new_id"].to_numpy())
+        return Lookup(spark.sparkContext.broadcast((own["token"].combine_chunks(), pruned)), self.nwords, self.params)
+
     def for_lookup(self) -> DataFrame:
         """(token, id, entry_type), to be broadcast if it is small."""
         own = self.entries.select("token", "id", "entry_type")
@@ -107,6 +159,23 @@ def keep_probability(count, ntokens, t: float):
     return F.sqrt(ratio) + ratio
 
 
+def cumulated(table: DataFrame, id_col: str, value: str, block: int = 4096) -> DataFrame:
+    """table with ``below``: the sum of ``value`` over all smaller ids. Sums of blocks of ids are summed up first, so no task gets more than a block of rows, or a row a block."""
+    dealt = table.withColumn("_block", F.floor(F.col(id_col) / block))
+    sums = dealt.groupBy("_block").agg(F.sum(value).alias("_held"))
+    before = sums.select("_block", F.coalesce(F.sum("_held").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_block").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return dealt.withColumn("_inside", inside).join(before, "_block").withColumn("below", F.col("_before") + F.col("_inside")).drop("_block", "_inside", "_before")
+
+
+def negative_chances(entries: DataFrame) -> DataFrame:
+    """(id, chance, low, high): the chance that an entry (id, count) is drawn as a negative, by the square root of its count, and its part of 0 to 1."""
+    rooted = cut(entries.select("id", F.sqrt("count").alias("root")))
+    total = rooted.agg(F.sum("root")).first()[0] or 1.0
+    c = cumulated(rooted, "id", "root")
+    return c.select("id", (F.col("root") / total).alias("chance"), (F.col("below") / total).alias("low"), ((F.col("below") + F.col("root")) / total).alias("high"))
+
+
 def subsample(tokens: DataFrame, vocabulary: Vocabulary, seed: int = 0) -> DataFrame:
     """Rows (.., token) of in-vocabulary words that survive; all for supervised models."""
     if vocabulary.params.model == ModelKind.SUPERVISED:

@@ -7,17 +7,21 @@ number of embeddings, and a label's output row is the mean embedding of its labe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import features, metrics, neighbors, quantization, scoring, training, vocabulary
+from ..operators import features, kernels, metrics, neighbors, quantization, scoring, training, vocabulary
 from ..params import LossKind, Params
+from ..storage import fresh_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,7 +39,9 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; documents of a small file, which may be a single split, are dealt to all cores."""
+    found = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(found) if table == "documents" else found
 
 
 # --- pieces of SQL -----------------------------------------------------------------
@@ -129,11 +135,11 @@ def keep_probability(spark, sf_dir):
     return v.words().select("token", F.round(vocabulary.keep_probability(F.col("count"), F.lit(v.ntokens), 1e-4), 6).alias("p"))
 
 
-@query(f"WITH {VOCAB}, z AS (SELECT sum(round(sqrt(count), 6)) AS z FROM v) SELECT id, floor(round(sqrt(count) * 10000000 / z, 3))::BIGINT AS entries FROM v, z")
+@query(f"WITH {VOCAB}, z AS (SELECT id, sqrt(count) AS r, sum(sqrt(count)) OVER () AS z, sum(sqrt(count)) OVER (ORDER BY id) AS upto FROM v) SELECT id, round(r / z, 9) AS chance, round(upto / z, 6) AS high FROM z")
 def ns_table(spark, sf_dir):
-    words = vocab(spark, sf_dir).words()
-    z = words.agg(F.sum(F.round(F.sqrt("count"), 6)).alias("z"))
-    return words.crossJoin(F.broadcast(z)).select("id", F.floor(F.round(F.sqrt("count") * 10_000_000 / F.col("z"), 3)).cast("long").alias("entries"))
+    """The distribution that training draws negatives from."""
+    found = vocabulary.negative_chances(vocab(spark, sf_dir).words())
+    return found.select("id", F.round("chance", 9).alias("chance"), F.round("high", 6).alias("high"))
 
 
 @query(f"WITH {VOCAB}, k AS (SELECT id, token, count FROM v WHERE count >= 20 OR token = '</s>') SELECT (row_number() OVER (ORDER BY count DESC, token) - 1)::INT AS new_id, token FROM k")
@@ -188,7 +194,7 @@ s AS (SELECT doc_id, (r % {BUCKET})::BIGINT AS id, 2 AS n FROM two UNION ALL SEL
 
 @query(f"WITH {EACH}, {HASHED}, {SPANS} SELECT doc_id, count(id)::INT AS n, coalesce(sum(id), 0)::BIGINT AS sum_ids, coalesce(max(id), -1)::BIGINT AS max_id FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id")
 def word_ngrams(spark, sf_dir):
-    g = read(spark, sf_dir, "documents").select("doc_id", T.word_ngram_ids(F.transform(T.tokens("text"), T.token_hash), 3, BUCKET).alias("g"))
+    g = read(spark, sf_dir, "documents").select("doc_id", T.word_ngram_ids(T.token_hashes(T.tokens("text")), 3, BUCKET).alias("g"))
     return g.select("doc_id", F.size("g").alias("n"), F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_ids"), F.coalesce(F.array_max("g"), F.lit(-1)).alias("max_id"))
 
 
@@ -215,10 +221,16 @@ def window_pairs(spark, sf_dir):
 SELECT doc_id, round(greatest(0.0, 0.1 * (1 - (sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n) / (sum(n) OVER (PARTITION BY source))::DOUBLE)), 6) AS lr FROM d""")
 def lr_schedule(spark, sf_dir):
     """The rate at which each line of a source would be trained on in one epoch, a part for each source."""
+
+    @F.arrow_udf(DoubleType())
+    def rate(share: pa.Array) -> pa.Array:
+        return pa.array(training.learning_rate(0.1, 0, 1, share.to_numpy(zero_copy_only=False)))
+
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.size(T.tokens("text")).cast("long").alias("n"))
     part = Window.partitionBy("source")
     done = F.sum("n").over(part.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    return d.select("doc_id", F.round(F.greatest(F.lit(0.0), 0.1 * (1 - F.coalesce(done, F.lit(0)) / F.sum("n").over(part))), 6).alias("lr"))
+    shares = d.select("doc_id", (F.coalesce(done, F.lit(0)) / F.sum("n").over(part)).alias("share"))
+    return shares.select("doc_id", F.round(rate("share"), 6).alias("lr"))
 
 
 # --- scoring on the tables' model -------------------------------------------------------
@@ -228,7 +240,7 @@ def table_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """(lines (doc_id, fids), input (fid, vec), output (row, vec), rows of input)."""
     own = read(spark, sf_dir, "embeddings")
     n = own.count()
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.transform(T.tokens("text"), lambda t: F.pmod(T.token_hash(t), F.lit(n).cast("long"))).alias("fids"))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.transform(T.token_hashes(T.tokens("text")), lambda h: F.pmod(h, F.lit(n).cast("long"))).alias("fids"))
     output = own.where("label is not null").groupBy(F.col("label").alias("row")).agg(V.mean_of("embedding", DIM).alias("vec"))
     return lines, own.select(F.col("vec_id").alias("fid"), F.col("embedding").alias("vec")), output, n
 
@@ -274,6 +286,19 @@ def ova_probabilities(spark, sf_dir):
     return s.select("doc_id", F.col("s.label_id").cast("int").alias("label_id"), F.round("s.p", 6).alias("p"))
 
 
+#: Label counts of 2 ** (10 - k), whose Huffman tree is a chain: label k turns right at node 8 - k and left at all above.
+CHAIN = [2 ** (LABELS - k) for k in range(LABELS)]
+
+
+@query(f"WITH {_LOGITS}, hf AS (SELECT doc_id, label_id AS node, 1 / (1 + exp(-z)) AS f FROM z WHERE label_id < {LABELS - 1}) SELECT doc_id, k::INT AS label_id, round(exp(sum(ln(CASE WHEN node = {LABELS - 2} - k THEN f ELSE 1 - f END + 1e-5))), 6) AS p FROM hf JOIN range({LABELS}) l(k) ON node >= {LABELS - 2} - k GROUP BY doc_id, k")
+def hs_probabilities(spark, sf_dir):
+    """Hierarchical softmax over a chain; the inner nodes' rows are those of the labels."""
+    lines, table, output, n = table_model(spark, sf_dir)
+    z = scoring.logits(scoring.hidden(lines, table, DIM, rows=n), output.where(F.col("row") < LABELS - 1), LABELS - 1, DIM)
+    s = scoring.path_probabilities(z, training.path_table(spark, np.array(CHAIN)), n_rows=LABELS - 1).select("doc_id", F.explode("scores").alias("s"))
+    return s.select("doc_id", F.col("s.label_id").cast("int").alias("label_id"), F.round("s.p", 6).alias("p"))
+
+
 def table_predictions(spark, sf_dir, k: int, threshold: float = 0.0) -> DataFrame:
     best = table_scores(spark, sf_dir).select("doc_id", scoring.top_k(F.transform("scores", lambda s: F.struct(F.round(s["p"], 9).alias("p"), s["label_id"].cast("int").alias("label_id"))), k, threshold).alias("predictions"))
     return best.select("doc_id", F.posexplode("predictions").alias("rank", "s")).select("doc_id", "rank", F.col("s.label_id").alias("label_id"), F.col("s.p").alias("p"))
@@ -365,6 +390,73 @@ def label_support(spark, sf_dir):
     return table_gold(spark, sf_dir).groupBy("label_id").agg(F.count("*").alias("support"))
 
 
+# --- one step of training -----------------------------------------------------------------
+
+_TABLE_SIGMOID = "CASE WHEN z < -8 THEN 0 WHEN z > 8 THEN 1 ELSE 1 / (1 + exp(-(floor((z + 8) * 32) / 32 - 8))) END"
+_TABLE_LOG = "CASE WHEN q > 1 THEN 0 ELSE ln((floor(q * 512) + 1e-5) / 512) END"
+RATE = 0.1
+
+
+def step_sql(rows: str) -> str:
+    """rows: doc_id, label_id, w (what is wanted), f (what is found), q (whose logarithm is the loss; null: none)."""
+    return f"""WITH {_SOFTMAX}, {_GOLD}, r AS ({rows}), a AS (SELECT doc_id, label_id, {RATE} * (w - f) AS a, CASE WHEN q IS NULL THEN 0 ELSE {_TABLE_LOG} END AS l FROM r),
+g AS (SELECT doc_id, j, sum(a * o.x) AS g FROM a JOIN o USING (label_id) GROUP BY doc_id, j), gl AS (SELECT doc_id, sqrt(sum(g * g)) AS length FROM g GROUP BY doc_id),
+hl AS (SELECT doc_id, sqrt(sum(x * x)) AS h FROM hh GROUP BY doc_id), al AS (SELECT doc_id, -sum(l) AS loss, sqrt(sum(a * a)) AS a FROM a GROUP BY doc_id)
+SELECT doc_id, round(loss, 6) AS loss, round(length, 6) AS gradient, round(a * h, 6) AS moved FROM al JOIN gl USING (doc_id) JOIN hl USING (doc_id) WHERE h > 0"""
+
+
+def _step(spark, sf_dir, loss: LossKind) -> DataFrame:
+    """One step of the training kernel on each document's hidden vector and its language: loss, length of the gradient, length of the output rows' change."""
+    lines, table, output, n = table_model(spark, sf_dir)
+    h = scoring.hidden(lines, table, DIM, rows=n).join(table_gold(spark, sf_dir), "doc_id")
+    own = output.orderBy("row").collect()  # LABELS rows
+    out = np.array([r.vec for r in own], np.float64)
+    paths = {k: (np.array(a), np.array(c, np.float64)) for k, (a, c) in enumerate(training.huffman_paths(CHAIN))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for v, target in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                wi, wo = np.array([v]), out.copy()
+                step = kernels.Step(wi, wo, loss, False, (0,), 1, np.array([(target + 1) % LABELS]), paths)
+                step.update(np.zeros(1, np.int64), np.array([target]), RATE)
+                rows.append((step.total, float(np.linalg.norm(wi[0] - v)), float(np.linalg.norm(wo - out))))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], names=["doc_id", "loss", "gradient", "moved"])
+
+    made = h.where(V.norm(F.col("hidden")) > 0).select("doc_id", "hidden", "label_id").mapInArrow(run, "doc_id long, loss double, gradient double, moved double")
+    return made.select("doc_id", *(F.round(x, 6).alias(x) for x in ("loss", "gradient", "moved")))
+
+
+@query(step_sql("SELECT p.doc_id, p.label_id, (p.label_id = g.label_id)::INT AS w, p AS f, CASE WHEN p.label_id = g.label_id THEN p END AS q FROM p JOIN gold g USING (doc_id)"))
+def step_softmax(spark, sf_dir):
+    return _step(spark, sf_dir, LossKind.SOFTMAX)
+
+
+_SIGMOIDS = f"SELECT z.doc_id, z.label_id, {{}} AS w, {_TABLE_SIGMOID} AS f, CASE WHEN {{}} = 1 THEN {_TABLE_SIGMOID} ELSE 1 - {_TABLE_SIGMOID} END AS q FROM z JOIN gold g USING (doc_id)"
+_TARGET = "(z.label_id = g.label_id)::INT"
+
+
+@query(step_sql(_SIGMOIDS.format(_TARGET, _TARGET)))
+def step_ova(spark, sf_dir):
+    return _step(spark, sf_dir, LossKind.OVA)
+
+
+@query(step_sql(_SIGMOIDS.format(_TARGET, _TARGET) + f" WHERE z.label_id IN (g.label_id, (g.label_id + 1) % {LABELS})"))
+def step_ns(spark, sf_dir):
+    """One negative: the next label."""
+    return _step(spark, sf_dir, LossKind.NS)
+
+
+_RIGHT = f"(z.label_id = {LABELS - 2} - g.label_id)::INT"
+
+
+@query(step_sql(_SIGMOIDS.format(_RIGHT, _RIGHT) + f" WHERE z.label_id < {LABELS - 1} AND z.label_id >= {LABELS - 2} - g.label_id"))
+def step_hs(spark, sf_dir):
+    """Paths of a chain."""
+    return _step(spark, sf_dir, LossKind.HS)
+
+
 # --- quantization ---------------------------------------------------------------------
 
 
@@ -384,6 +476,31 @@ def pq_assign(spark, sf_dir):
     return subs.join(F.broadcast(book), "m").select("vec_id", "m", quantization.assign(F.col("sub"), F.col("book")).alias("code"))
 
 
+_CODES = "s AS (SELECT vec_id, unnest(range(32)) AS m, unnest(list_transform(range(32), lambda i: embedding[2 * i + 1: 2 * i + 2])) AS sub FROM embeddings), b AS (SELECT m, vec_id AS code, sub FROM s WHERE vec_id < 256), d AS (SELECT s.vec_id, s.m, b.code, (s.sub[1]::DOUBLE - b.sub[1]::DOUBLE) * (s.sub[1]::DOUBLE - b.sub[1]::DOUBLE) + (s.sub[2]::DOUBLE - b.sub[2]::DOUBLE) * (s.sub[2]::DOUBLE - b.sub[2]::DOUBLE) AS d FROM s JOIN b USING (m)), c AS (SELECT vec_id, m, min_by(code, (d, code)) AS code, min(d) AS d FROM d GROUP BY vec_id, m)"
+
+
+def _books(spark, sf_dir) -> list[np.ndarray]:
+    """A fixed codebook, 256 rows: the sub-vectors of the first embeddings."""
+    rows = read(spark, sf_dir, "embeddings").where("vec_id < 256").orderBy("vec_id").select("embedding").collect()
+    whole = np.array([r.embedding for r in rows], np.float32)
+    return [whole[:, s : s + n] for s, n in quantization.pieces(DIM, 2)]
+
+
+@query(f"WITH {_CODES} SELECT vec_id, md5(string_agg(code::VARCHAR, ',' ORDER BY m)) AS codes_md5 FROM c GROUP BY vec_id")
+def pq_encode(spark, sf_dir):
+    own = quantization.encode(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("fid"), F.col("embedding").alias("vec")), _books(spark, sf_dir))
+    code = lambda m: F.conv(F.substring(F.hex("codes"), 2 * m + 1, 2), 16, 10)
+    return own.select(F.col("fid").alias("vec_id"), F.md5(F.array_join(F.array(*map(code, range(DIM // 2))), ",").cast("binary")).alias("codes_md5"))
+
+
+@query(f"WITH {_CODES} SELECT vec_id, round(sqrt(sum(d)), 5) AS lost FROM c GROUP BY vec_id")
+def pq_decode(spark, sf_dir):
+    """How far each vector is from what its codes stand for."""
+    own, books = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("fid"), F.col("embedding").alias("vec")), _books(spark, sf_dir)
+    back = quantization.decode(quantization.encode(own, books), books).select("fid", F.col("vec").alias("back"))
+    return own.join(back, "fid").select(F.col("fid").alias("vec_id"), F.round(V.norm(V.add(F.col("vec").cast("array<double>"), F.col("back").cast("array<double>"), -1.0)), 5).alias("lost"))
+
+
 # --- training: rows only ------------------------------------------------------------------
 
 
@@ -443,14 +560,14 @@ def quantize_model(spark, sf_dir):
 
 @query()
 def autotune_model(spark, sf_dir):
-    """One baseline trial and what fits in a second: trials, score."""
+    """The baseline and up to three proposals of a search: trials, score."""
     from ..operators import search
 
     docs = train_lines(spark, sf_dir)
     # lines are split by their text, so that copies stay on one side
     held = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
-    p = replace(Params.supervised(dim=8, epoch=1, lr=0.5, thread=8, min_count=2), autotune_duration=1)
-    found = search.autotune(docs.where(~held), docs.where(held), p)
+    p = replace(Params.supervised(dim=8, epoch=1, lr=0.5, thread=8, min_count=2), autotune_duration=60)
+    found = search.autotune(docs.where(~held), docs.where(held), p, most_trials=4)
     return spark.createDataFrame([(found.trials, float(found.score))], "trials int, score double")
 
 
@@ -458,9 +575,8 @@ def autotune_model(spark, sf_dir):
 def model_round_trip(spark, sf_dir):
     """The rows of a trained model's output, saved to a binary file and loaded again: row, vec."""
     from ..sources import binary
-    from ..storage import shared_dir
 
-    path = f"{shared_dir(spark)}/lexivec-model-{spark.sparkContext.applicationId}.bin"
+    path = fresh_dir(spark, "model") + ".bin"
     binary.save_binary(_trained(spark, sf_dir, epoch=1), path)
     return binary.load_binary(spark, path).output
 
@@ -496,11 +612,7 @@ def meter_sliding(spark, sf_dir):
 @query(SQL["meter_tumbling"])
 def meter_stream(spark, sf_dir):
     """meter_tumbling as a stream over the table's files, run to its end."""
-    from ..storage import shared_dir
-
-    import uuid
-
-    where = f"{shared_dir(spark)}/lexivec-meter-{uuid.uuid4().hex}"
+    where = fresh_dir(spark, "meter")
     table = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(table).schema
     live = spark.readStream.schema(schema).parquet(f"{table}*")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidModel
 from ..operators.quantization import Quantized, QuantizedModel, pieces
 from ..operators.scoring import Model
-from ..operators.training import huffman_paths
+from ..operators.training import path_table
 from ..operators.vocabulary import Vocabulary
 from ..params import FILE_FIELDS, LossKind, ModelKind, Params
 
@@ -183,7 +183,7 @@ def load_binary(spark: SparkSession, path: str) -> Model | QuantizedModel:
     prune = spark.createDataFrame(pairs, "bucket long, new_id long") if pruned >= 0 else None
     v = Vocabulary(entries, nwords, nlabels, ntokens, replace(p, qout=qout), prune)
     counts = [x[2] for x in rows if x[3] == (1 if p.model == ModelKind.SUPERVISED else 0)]
-    hs = spark.createDataFrame([(k, a, c) for k, (a, c) in enumerate(huffman_paths(counts))], "label_id int, path array<int>, code array<boolean>") if p.loss == LossKind.HS else None
+    hs = path_table(spark, np.array(counts, np.int64)) if p.loss == LossKind.HS else None
     dense = lambda x, name: x.dense() if isinstance(x, Quantized) else x  # noqa: E731, ARG005
     model = Model(v.params, v, dense(table, "fid"), dense(out, "row").select(F.col("row").cast("int").alias("row"), "vec"), hs)
     return QuantizedModel(model, table, out if isinstance(out, Quantized) else None) if quant else model

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not own._jsc.sc().getCheckpointDir().isDefined():
         own.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder that nobody else writes to."""
+    return f"{shared_dir(spark)}/lexivec-{name}-{uuid.uuid4().hex}"
+
+
+#: Bytes of a table up to which it is dealt to all cores, whatever its splits.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df; if its files are small, and so few splits, dealt anew to all cores. Large tables have splits enough and aren't moved."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
