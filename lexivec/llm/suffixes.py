@@ -12,8 +12,9 @@ consecutive windows share theirs. Steps, all over parts of the documents of boun
    with their smallest document, and sends them as front-coded sorted runs: the length of
    the prefix shared with the one before, and the rest.
 3. Runs are combined by loser trees that carry the shared prefix lengths; prefixes known
-   to be equal are never compared again. In the merged order suffixes with equal first
-   GRAM bytes are neighbours; for each of their windows the smallest document is found.
+   to be equal are never compared again. Equal windows are runs of neighbours in merged
+   order whose common prefixes are long enough, so they are read off these lengths, and
+   the smallest document of each is found.
 4. Each part gets its runs' verdicts back and cuts its documents.
 
 First bytes that are found in very many contexts (a phrase of a third of the documents)
@@ -238,45 +239,70 @@ def merge(runs: list[tuple[list[bytes], bytes]]) -> Iterator[tuple[bytes, int, i
             node //= 2
 
 
-def windows(suffix: bytes) -> Iterator[bytes]:
-    """The windows of an anchor, the first first."""
-    n = suffix[-1]
-    whole = suffix[len(suffix) - 1 - n : -1][::-1] + suffix[: len(suffix) - 1 - n]
-    return (whole[i : i + SPAN] for i in range(len(whole) - SPAN + 1))
-
-
-def verdicts(runs: list[tuple[list[bytes], bytes, np.ndarray]]) -> list[list[list[int]]]:
-    """For each suffix of each run the smallest document of each of its windows; one number if all are equal."""
-    out: list[list[list[int]]] = [[[]] * len(r[0]) for r in runs]
-    smallest: dict[bytes, int] = {}
-    users: dict[bytes, list[tuple[int, int]]] = {}
-
-    def settle() -> None:
-        if len(smallest) > 1:
-            best: dict[bytes, int] = {}
-            of = {s: list(windows(s)) for s in smallest}
-            for s, m in smallest.items():
-                for w in of[s]:
-                    if best.get(w, _LAST + 1) > m:
-                        best[w] = m
-        for s, m in smallest.items():
-            found = [m]
-            if len(smallest) > 1:
-                found = [best[w] for w in of[s]]
-                found = found[:1] if len(set(found)) == 1 else found
-            for r, k in users[s]:
-                out[r][k] = found
-
-    for s, n, r, k in merge([r[:2] for r in runs]):
-        if n < GRAM and smallest:
-            settle()
-            smallest, users = {}, {}
-        m = int(runs[r][2][k])
-        if m < smallest.get(s, _LAST + 1):
-            smallest[s] = m
-        users.setdefault(s, []).append((r, k))
-    settle()
-    return out
+def classes(shared: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of the runs of neighbours that share at least so many bytes with the one before."""
+    return np.cumsum(shared < least)
+
+
+def backwards(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, prefix shared with the one before, length) of what stands before the anchors, read backwards, in sorted order."""
+    size = -(-SPAN // 8) * 8
+    lengths = np.fromiter((x[-1] for x in suffixes), np.int64, len(suffixes))
+    rows = np.frombuffer(b"".join([x[-1 - x[-1] : -1].ljust(size, b"\0") for x in suffixes]), np.uint8).reshape(-1, size)
+    order = np.lexsort(rows.view(">u8").astype(np.uint64).T[::-1])
+    own = rows[order]
+    differ = own[1:] != own[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
+    return order, np.concatenate(([-1], shared)), lengths
+
+
+def verdicts(runs: list[tuple[list[bytes], bytes, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each run (sizes, documents): the smallest document of each window of each of its suffixes, the first window first; one number if all are equal.
+
+    A window that begins o bytes before its anchor is the first SPAN - o bytes of the
+    suffix and the o bytes before it. Two of them are equal if in merged order all
+    neighbours between them share SPAN - o bytes or more, and if the same holds for o
+    bytes in the order of what stands before the anchors. So repeats are read off the
+    common prefixes of neighbours, which merging gives.
+    """
+    strings, shared, at = [], [], []
+    for s, n, r, k in merge([x[:2] for x in runs]):
+        strings.append(s)
+        shared.append(n)
+        at.append((r, k))
+    empty = (np.empty(0, np.uint8), np.empty(0, np.int64))
+    if not strings:
+        return [empty for _ in runs]
+    common = np.array(shared, np.int64)
+    common[0] = -1
+    run, place = np.array(at, np.int64).T
+    order, before, left = backwards(strings)
+    firsts = np.cumsum([0, *(len(r[0]) for r in runs)])
+    doc = np.concatenate([r[2] for r in runs])[firsts[run] + place]
+    right = np.fromiter(map(len, strings), np.int64, len(strings)) - 1 - left
+    least = SPAN - right  # the last window begins so many bytes before the anchor
+    sizes = left - least + 1
+    starts = np.cumsum(sizes) - sizes
+    found = np.empty(int(sizes.sum()), np.int64)
+    back = np.empty(len(strings), np.int64)
+    for o in range(int(left.max()) + 1):
+        due = np.flatnonzero((least <= o) & (o <= left))
+        if not len(due):
+            continue
+        back[order] = classes(before, o)
+        key = classes(common, SPAN - o)[due] * (len(strings) + 1) + back[due]
+        by = np.argsort(key, kind="stable")
+        new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
+        lowest = np.minimum.reduceat(doc[due[by]], np.flatnonzero(new))
+        found[starts[due[by]] + left[due[by]] - o] = lowest[np.cumsum(new) - 1]
+    one = np.minimum.reduceat(found, starts) == np.maximum.reduceat(found, starts)
+    kept = np.where(one, 1, sizes)
+    # back to the order of each run
+    of = np.argsort(firsts[run] + place)
+    steps = np.repeat(starts[of], kept[of]) + np.arange(kept.sum()) - np.repeat(np.cumsum(kept[of]) - kept[of], kept[of])
+    values, sized = found[steps], kept[of].astype(np.uint8)
+    ends = np.concatenate(([0], np.cumsum(kept[of])))[firsts]
+    return [(sized[firsts[k] : firsts[k + 1]], values[ends[k] : ends[k + 1]]) for k in range(len(runs))]
 
 
 def _pack(*arrays: bytes) -> bytes:
@@ -383,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         read = [_unpack(x) for x in sent["data"].to_pylist()]
         found = verdicts([(front_decode(*x[:3]), x[0], np.frombuffer(x[3], "<i8")) for x in read])
         bucket = sent["bucket"][0].as_py()
-        return _sent([(part, bucket, _VERDICT, _pack(np.array([len(v) for v in own], "<u1").tobytes(), np.array([m for v in own for m in v], "<i8").tobytes())) for part, own in zip(sent["part"].to_pylist(), found, strict=True)])
+        return _sent([(part, bucket, _VERDICT, _pack(sizes.tobytes(), told.astype("<i8").tobytes())) for part, (sizes, told) in zip(sent["part"].to_pylist(), found, strict=True)])
 
     def removed(docs: pa.Table, sent: pa.Table) -> pa.Table:
         docs = _ordered(docs) if docs.num_rows else docs

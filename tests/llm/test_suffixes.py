@@ -6,6 +6,13 @@ from lexivec.llm import queries, suffixes
 SPAN = suffixes.SPAN
 
 
+def windows(suffix):
+    """The windows of an anchor, the first first."""
+    n = suffix[-1]
+    whole = suffix[len(suffix) - 1 - n : -1][::-1] + suffix[: len(suffix) - 1 - n]
+    return [whole[i : i + SPAN] for i in range(len(whole) - SPAN + 1)]
+
+
 def brute(rows):
     first = {}
     key = lambda i: suffixes._LAST if i is None else i
@@ -64,8 +71,8 @@ def test_hot_anchors_are_dealt_by_window():
     edges = suffixes.bucket_edges(own, 8)
     bits = {b: 2 * suffixes.np.packbits(several[s:e]).tobytes() for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False))}
     _, first, found, bucket = part.shared(bits, 8)
-    assert {len(list(suffixes.windows(s))) for s in found} == {1}
-    assert all(next(suffixes.windows(s)) == part.data[f : f + SPAN] for s, f in zip(found, first.tolist(), strict=True))
+    assert {len(windows(s)) for s in found} == {1}
+    assert all(windows(s)[0] == part.data[f : f + SPAN] for s, f in zip(found, first.tolist(), strict=True))
     assert set(bucket.tolist()) == set(range(8))
 
 
@@ -88,7 +95,7 @@ def test_blocks(monkeypatch):
         part = suffixes.Part(list(range(6)), texts)
         found = set()
         for p, f, z in zip(part.place.tolist(), part.first.tolist(), part.last.tolist(), strict=True):
-            found |= set(suffixes.windows(part.data[p : z + SPAN] + part.data[f:p][::-1] + bytes((p - f,))))
+            found |= set(windows(part.data[p : z + SPAN] + part.data[f:p][::-1] + bytes((p - f,))))
         assert found == want
 
 
@@ -102,3 +109,30 @@ def test_merge_and_front_coding():
     for a, b in zip(got, got[1:], strict=False):
         assert b[1] == suffixes.shared_prefix(a[0], b[0], 0)
     assert list(suffixes.merge([([], b"")])) == []
+
+
+def test_verdicts_are_the_smallest_documents_of_equal_windows():
+    rng = random.Random(13)
+    pieces = [bytes(rng.choice(b"ab\0") for _ in range(n)) for n in (16, 20, 30, 60)]
+    texts = [b"".join(rng.choice(pieces) for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    runs, told = [], {}
+    for k in range(3):
+        ids = list(range(k, 60, 3))
+        part = suffixes.Part(ids, [texts[i] for i in ids])
+        least = {}
+        for d, x in zip(part.doc.tolist(), part._suffixes(part.place, part.first, part.last), strict=True):
+            least[x] = min(least.get(x, 99), ids[d])
+        keys = sorted(least)
+        runs.append((keys, suffixes.front_code(keys)[0], suffixes.np.array([least[x] for x in keys])))
+        for x in keys:
+            for w in windows(x):
+                told[w] = min(told.get(w, 99), least[x])
+    runs.append(([], b"", suffixes.np.empty(0, suffixes.np.int64)))
+    found = suffixes.verdicts(runs)
+    for (keys, *_), (sizes, values) in zip(runs, found, strict=True):
+        at = 0
+        for x, n in zip(keys, sizes.tolist(), strict=True):
+            want = [told[w] for w in windows(x)]
+            assert values[at : at + n].tolist() == (want[:1] if len(set(want)) == 1 else want)
+            at += n
+        assert at == len(values)
