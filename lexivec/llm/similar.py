@@ -314,25 +314,32 @@ def proved(fps: np.ndarray, sets: list[np.ndarray], most: int = MAX_BITS, least:
 
 
 def _prove(most: int, least: float):
+    """Links of a group, as _by_key wants it; in a group that is here whole all members get a link to the first of their chain."""
+
     def found(rows: pa.Table) -> list[tuple[int, int]]:
         node = rows.column(1).to_numpy()
         fps = np.stack([rows.column(k).to_numpy() for k in range(2, 6)], axis=1).view(np.uint64)
         sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()]
-        return [(node[i], node[j]) for i, j in proved(fps, sets, most, least)]
+        first = np.arange(len(node))
+        for i, j in proved(fps, sets, most, least):
+            first[j] = first[i]  # i was reached before j
+        return [(node[j], node[i]) for j, i in enumerate(first) if i != j]
 
-    return _by_key(found, ["a", "b"])
+    return _by_key(found, ["node", "label"])
 
 
-def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, least: float = LIKENESS, chunk: int = PROOF_CHUNK) -> DataFrame:
-    """Links (a, b) between nodes whose texts have a similarity of ``least`` or more, enough to connect all that are connected.
+def chains(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, least: float = LIKENESS, chunk: int = PROOF_CHUNK) -> DataFrame:
+    """(node, label) of nodes that are connected to others by pairs of texts of a similarity of ``least`` or more; label is one of the nodes.
 
-    distinct: (node, id, said, f0..f3), one row a fingerprint with the row of docs that stands for it.
+    distinct: (node, id, said, f0..f3), one row a fingerprint with the row of docs that
+    stands for it. A loose group of up to ``chunk`` members is settled by one task; larger
+    ones are settled by pairs of chunks, and what these have linked is then connected.
     """
     spark = docs.sparkSession
     loose = cut(connected_components(candidates(distinct, distinct.count())))
     sizes = loose.groupBy("label").agg(F.count("*").alias("n"))
     asked = cut(distinct.join(loose.join(sizes, "label"), "node").select("node", "label", "n", "id", "said", *_F))
-    n_asked = asked.count()
+    n_asked, n_most = asked.agg(F.count("*"), F.max("n")).first()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), said(text_col).alias("said"), text_bytes(text_col).alias("text"))
     # repeated rows: one stands for its fingerprint
     met = rows.join(F.broadcast(asked) if n_asked <= PROOF_BROADCAST else asked, ["id", "said"])
@@ -343,11 +350,19 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, word
     fields = ", ".join(f"{x}:bigint" for x in ("label", "n", "node", *_F))
     made = per_text(met.select(F.struct("label", "n", "node", *_F).alias("key"), "text"), sets, f"key struct<{fields}>, shingles binary").select("key.*", "shingles")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    few, many = made.where(F.col("n") <= chunk), made.where(F.col("n") > chunk)
-    has_many = not sizes.where(F.col("n") > chunk).isEmpty()
-    own = few.unionByName(_pairs_of_chunks(many, "label", F.col("node"), chunk)) if has_many else few
-    dealt = own.select("label", "node", *_F, "shingles").repartition(parts, "label").sortWithinPartitions("label", "node")
-    return dealt.mapInArrow(_prove(MAX_BITS, least), "a long, b long").where("a <> b")
+
+    def settled(groups: DataFrame) -> DataFrame:
+        dealt = groups.select("label", "node", *_F, "shingles").repartition(parts, "label").sortWithinPartitions("label", "node")
+        return dealt.mapInArrow(_prove(MAX_BITS, least), "node long, label long")
+
+    if (n_most or 0) <= chunk:
+        few = cut(settled(made).distinct())
+        return few.unionByName(few.select(F.col("label").alias("node"), "label")).distinct()
+    made = cut(made)
+    few = cut(settled(made.where(F.col("n") <= chunk)).distinct())
+    split = _pairs_of_chunks(made.where(F.col("n") > chunk), "label", F.col("node"), chunk)
+    many = connected_components(settled(split).select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return few.unionByName(few.select(F.col("label").alias("node"), "label")).distinct().unionByName(many)
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LIKENESS) -> DataFrame:
@@ -361,7 +376,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     first = F.min(F.struct("id", "said")).alias("first")
     # numbered in the task that makes the row, and then written, so the numbers stay
     distinct = cut(each.groupBy(*_F).agg(first).select(F.monotonically_increasing_id().alias("node"), "first.id", "first.said", *_F))
-    labels = connected_components(links(docs, distinct, id_col, text_col, words, least))
+    labels = chains(docs, distinct, id_col, text_col, words, least)
     joined = cut(distinct.join(labels, "node").select("node", "label", F.col("id").alias("first")))
     smallest = joined.groupBy("label").agg(F.min("first").alias("smallest"))
     moved = joined.join(smallest, "label").select("node", "smallest")

@@ -72,26 +72,20 @@ def test_groups_and_edge_rows(spark):
     assert similar.keep_one(docs.limit(0)).count() == 0
 
 
-def test_a_large_group_is_proved_in_chunks(spark, monkeypatch):
+def test_a_large_group_is_proved_in_chunks(spark):
     rng = random.Random(15)
     words = [f"w{rng.randrange(3000)}" for _ in range(200)]
-    rows = [(k, " ".join(edited(rng, words, 2))) for k in range(120)]
-    monkeypatch.setattr(similar, "PROOF_CHUNK", 16)
+    other = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(k, " ".join(edited(rng, words, 2))) for k in range(120)] + [(200 + k, " ".join(edited(rng, other, 1))) for k in range(5)] + [(300, " ".join(words[:100] + other[:100]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     each = similar.fingerprints(docs, "doc_id", "text", 5)
     distinct = similar.cut(each.selectExpr("monotonically_increasing_id() as node", "*"))
-    found = {tuple(sorted((r.a, r.b))) for r in similar.links(docs, distinct, "doc_id", "text", 5, chunk=16).collect()}
-    parent = {r.node: r.node for r in distinct.collect()}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in found:
-        parent[find(a)] = find(b)
-    # all pairs of 120 would be 7140; chunks give less than members times chunks
-    assert len({find(x) for x in parent}) == 1 and len(found) < 120 * 9
+    of = {r.node: r.id for r in distinct.collect()}
+    for chunk in (16, 1024):
+        groups = {}
+        for r in similar.chains(docs, distinct, "doc_id", "text", 5, chunk=chunk).collect():
+            groups.setdefault(r.label, []).append(of[r.node])
+        assert sorted(sorted(g) for g in groups.values()) == [list(range(120)), list(range(200, 205))]
 
 
 def test_proof_leaves_out_no_pair_that_joins_chains():
