@@ -282,13 +282,14 @@ def candidates(distinct: DataFrame, n: int, near: int = NEAR, chunk: int = ANCHO
 
 
 def _pairs_of_chunks(rows: DataFrame, key: str, dealt_by, chunk: int) -> DataFrame:
-    """rows (key, n, ..) of groups of n members: dealt to ceil(n / chunk) chunks, and a copy to each pair of chunks as a group of its own."""
+    """rows (key, n, ..) of groups of n members with ``dealt``: dealt to ceil(n / chunk) chunks, and a copy to each pair of chunks as a group of its own."""
     return (
         rows.withColumn("_parts", F.ceil(F.col("n") / F.lit(chunk)).cast("int"))
         .withColumn("_own", F.pmod(F.xxhash64(dealt_by), F.col("_parts")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .withColumn(key, F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
-        .drop("_parts", "_own", "_other")
+        .withColumnRenamed("_own", "dealt")
+        .drop("_parts", "_other")
     )
 
 
@@ -313,17 +314,34 @@ def proved(fps: np.ndarray, sets: list[np.ndarray], most: int = MAX_BITS, least:
     return out
 
 
+def _firsts(fps: np.ndarray, sets: list[np.ndarray], most: int, least: float) -> np.ndarray:
+    """For each member the first one of its chain."""
+    first = np.arange(len(fps))
+    for i, j in proved(fps, sets, most, least):
+        first[j] = first[i]  # i was reached before j
+    return first
+
+
 def _prove(most: int, least: float):
-    """Links of a group, as _by_key wants it; in a group that is here whole all members get a link to the first of their chain."""
+    """Links of a group, as _by_key wants it. All members get a link to the first of their chain.
+
+    Members of two chunks are linked within their chunk where that is a group of its own;
+    here only the firsts of the chunks' chains are, so a tight group of any size gives
+    about a link a member and one more a pair of chunks.
+    """
 
     def found(rows: pa.Table) -> list[tuple[int, int]]:
-        node = rows.column(1).to_numpy()
+        node, dealt = rows.column(1).to_numpy(), rows.column(7).to_numpy()
         fps = np.stack([rows.column(k).to_numpy() for k in range(2, 6)], axis=1).view(np.uint64)
         sets = [np.frombuffer(x, "<u8") for x in rows.column(6).to_pylist()]
-        first = np.arange(len(node))
-        for i, j in proved(fps, sets, most, least):
-            first[j] = first[i]  # i was reached before j
-        return [(node[j], node[i]) for j, i in enumerate(first) if i != j]
+        first = _firsts(fps, sets, most, least)
+        if (dealt == dealt[0]).all():
+            return [(node[j], node[i]) for j, i in enumerate(first) if i != j]
+        heads: set[int] = set()
+        for k in np.unique(dealt):
+            own = np.flatnonzero(dealt == k)
+            heads.update(own[_firsts(fps[own], [sets[x] for x in own], most, least)].tolist())
+        return [(node[j], node[first[j]]) for j in sorted(heads) if first[j] != j]
 
     return _by_key(found, ["node", "label"])
 
@@ -352,14 +370,14 @@ def chains(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, wor
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def settled(groups: DataFrame) -> DataFrame:
-        dealt = groups.select("label", "node", *_F, "shingles").repartition(parts, "label").sortWithinPartitions("label", "node")
+        dealt = groups.select("label", "node", *_F, "shingles", "dealt").repartition(parts, "label").sortWithinPartitions("label", "node")
         return dealt.mapInArrow(_prove(MAX_BITS, least), "node long, label long")
 
     if (n_most or 0) <= chunk:
-        few = cut(settled(made).distinct())
+        few = cut(settled(made.withColumn("dealt", F.lit(0))).distinct())
         return few.unionByName(few.select(F.col("label").alias("node"), "label")).distinct()
     made = cut(made)
-    few = cut(settled(made.where(F.col("n") <= chunk)).distinct())
+    few = cut(settled(made.where(F.col("n") <= chunk).withColumn("dealt", F.lit(0))).distinct())
     split = _pairs_of_chunks(made.where(F.col("n") > chunk), "label", F.col("node"), chunk)
     many = connected_components(settled(split).select(F.col("node").alias("a"), F.col("label").alias("b")))
     return few.unionByName(few.select(F.col("label").alias("node"), "label")).distinct().unionByName(many)
