@@ -259,11 +259,32 @@ def _meet(near: int):
             return []
         fps = np.stack([rows.column(k).to_numpy() for k in (2, 3)], axis=1).view(np.uint64)
         node = node >> 1
-        return [(node[i], node[j]) for i, j in anchor_links(fps, homes, near)]
+        return starred(node, anchor_links(fps, homes, near))
 
     return _by_key(found, ["a", "b"])
 
 
+def starred(node: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, head) for each node that pairs of places chain to others; a chain's head is its first node in an order that is the same at all anchors."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        up[root(int(j))] = root(int(i))
+    order = lambda x: int(node[x]) * 0x9E3779B97F4A7C15 % 2**64
+    head: dict[int, int] = {}
+    for x in up:
+        r = root(x)
+        if r not in head or order(x) < order(head[r]):
+            head[r] = x
+    return [(node[x], node[head[root(x)]]) for x in up if head[root(x)] != x]
+
+
 def candidates(distinct: DataFrame, n: int, near: int = NEAR, chunk: int = ANCHOR_CHUNK) -> DataFrame:
     """Links (a, b) of (node, f0..f3), one row a fingerprint, that chain together what meets at an anchor within ``near`` bits.
 
@@ -278,7 +299,11 @@ def candidates(distinct: DataFrame, n: int, near: int = NEAR, chunk: int = ANCHO
         split = _pairs_of_chunks(every.where("n is not null"), "anchor", F.shiftright("node", 1), chunk).select("anchor", "node", "a", "b")
         members = every.where("n is null").drop("n").unionByName(split)
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(near), "a long, b long")
+    met = members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(near), "a long, b long")
+    # a node's heads, one an anchor at most, are linked to the first of them instead of to the node:
+    # the same is connected, and the pairs of heads, which a tight group has few of, count once
+    heads = met.groupBy("a").agg(F.collect_set("b").alias("heads"), F.min("b").alias("b"))
+    return heads.select("b", F.explode(F.array_union(F.array("a"), "heads")).alias("a")).where("a <> b").distinct()
 
 
 def _pairs_of_chunks(rows: DataFrame, key: str, dealt_by, chunk: int) -> DataFrame:
