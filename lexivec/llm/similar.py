@@ -11,8 +11,8 @@ shingles differ in about 39 of them, give or take 6.
    if one of the blocks differs in at most one bit; with 16 blocks texts of similarity
    0.8 meet with a chance over 0.99. Large inputs add exact bits to the blocks, so that
    an anchor's members don't grow with the input, and as many more blocks as keep that
-   chance. Those that meet and differ in at most NEAR of SHORT bits are put in one loose
-   group.
+   chance. Those that meet and differ in at most MAX_BITS are put in one loose group; a
+   pair that meets at many anchors is told of at the first block only.
 2. Proof. Each loose group's shingles are brought together once, and only pairs whose
    sets of shingles have a Jaccard similarity of LIKENESS or more are linked. So what is
    linked depends on the two texts alone, not on the size of the table.
@@ -36,8 +36,6 @@ from .simhash import ANCHOR_CHUNK, HOT_BROADCAST
 WORDS, BITS, LIKENESS = 5, 256, 0.8
 #: Bits in which pairs of similarity 0.8 differ, on average, and the most in which the proof looks at a pair (three spreads above).
 USUAL_BITS, MAX_BITS = 39, 56
-#: The same for the half of the fingerprint that is compared at the anchors.
-SHORT, NEAR = 128, 32
 #: Chance that a pair with USUAL_BITS doesn't meet at any anchor.
 MISS = 0.005
 #: Different fingerprints up to which blocks have 16 bits; each doubling beyond adds an exact bit, up to MOST_EXACT.
@@ -162,11 +160,13 @@ def block_anchors(blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(own)
 
 
-_MEMBER = "anchor long, node long, a long, b long"
+_MEMBER = "anchor long, node long, " + ", ".join(f"{x} long" for x in _F)
+#: An anchor's key is its block's number, shifted by so many bits, and its own bits.
+_BLOCK_SHIFT = 40
 
 
 def _replicate(width: int, n_blocks: int):
-    """Rows (anchor, node, a, b) of (node, f0..f3); node is doubled, and odd where it is at home."""
+    """Rows (anchor, node, f0..f3) of (node, f0..f3); node is doubled, and odd where it is at home."""
     places = block_bits(width, n_blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +179,7 @@ def _replicate(width: int, n_blocks: int):
                 for b, own in enumerate(places):
                     block = bits[:, own].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
                     at, anchor, home = block_anchors(block, width)
-                    # the half of the bits that is compared goes round, so that it seldom is the block's own half only
-                    two = (0, 2) if b % 2 else (1, 3)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | np.int64(b) << np.int64(40)), pa.array(node[at] * 2 + home), *(pa.array(fps[at, k]) for k in two)], names=["anchor", "node", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | np.int64(b) << np.int64(_BLOCK_SHIFT)), pa.array(node[at] * 2 + home), *(pa.array(fps[at, k]) for k in range(4))], names=["anchor", "node", *_F])
 
     return run
 
@@ -251,41 +249,45 @@ def _by_key(found, names: list[str]):
     return run
 
 
-def _meet(near: int):
+def met_before(x: np.ndarray, y: np.ndarray, block: int, places: list[np.ndarray]) -> np.ndarray:
+    """For pairs of fingerprints whether a block before the given one differs in at most one bit."""
+    if not block or not len(x):
+        return np.zeros(len(x), bool)
+    differ = np.unpackbits(np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    found = np.zeros(len(x), bool)
+    for own in places[:block]:
+        found |= differ[:, own].sum(axis=1) <= 1
+    return found
+
+
+def _meet(near: int, width: int, n_blocks: int):
+    """Links of an anchor's members, as _by_key wants it: a chain through all that are near, without the pairs that met at a block before.
+
+    Such pairs are near there too, so they are connected by the links of the blocks before
+    (by induction), and a tight group gives few links a member, not one for each anchor of
+    each block.
+    Members are taken in an order that is the same at all anchors, so that chains have
+    many pairs in common.
+    """
+    places = block_bits(width, n_blocks)
+
     def found(rows: pa.Table) -> list[tuple[int, int]]:
         node = rows.column(1).to_numpy()
+        order = np.argsort((node >> 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+        node = node[order]
         homes = np.flatnonzero(node & 1)
         if not len(homes):
             return []
-        fps = np.stack([rows.column(k).to_numpy() for k in (2, 3)], axis=1).view(np.uint64)
-        node = node >> 1
-        return starred(node, anchor_links(fps, homes, near))
+        fps = np.stack([rows.column(k).to_numpy()[order] for k in range(2, 6)], axis=1).view(np.uint64)
+        pairs = np.array(anchor_links(fps, homes, near), np.int64).reshape(-1, 2)
+        block = rows.column(0)[0].as_py() >> _BLOCK_SHIFT
+        pairs = pairs[~met_before(fps[pairs[:, 0]], fps[pairs[:, 1]], block, places)]
+        return (node >> 1)[pairs].tolist()
 
     return _by_key(found, ["a", "b"])
 
 
-def starred(node: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(node, head) for each node that pairs of places chain to others; a chain's head is its first node in an order that is the same at all anchors."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for i, j in pairs:
-        up[root(int(j))] = root(int(i))
-    order = lambda x: int(node[x]) * 0x9E3779B97F4A7C15 % 2**64
-    head: dict[int, int] = {}
-    for x in up:
-        r = root(x)
-        if r not in head or order(x) < order(head[r]):
-            head[r] = x
-    return [(node[x], node[head[root(x)]]) for x in up if head[root(x)] != x]
-
-
-def candidates(distinct: DataFrame, n: int, near: int = NEAR, chunk: int = ANCHOR_CHUNK) -> DataFrame:
+def candidates(distinct: DataFrame, n: int, near: int = MAX_BITS, chunk: int = ANCHOR_CHUNK) -> DataFrame:
     """Links (a, b) of (node, f0..f3), one row a fingerprint, that chain together what meets at an anchor within ``near`` bits.
 
     Anchors of over ``chunk`` members are split into pairs of chunks.
@@ -296,14 +298,12 @@ def candidates(distinct: DataFrame, n: int, near: int = NEAR, chunk: int = ANCHO
     n_hot = hot.limit(HOT_BROADCAST + 1).count() if hot is not None else 0
     if n_hot:
         every = members.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "anchor", "left")
-        split = _pairs_of_chunks(every.where("n is not null"), "anchor", F.shiftright("node", 1), chunk).select("anchor", "node", "a", "b")
+        split = _pairs_of_chunks(every.where("n is not null").withColumn("block", F.shiftright("anchor", _BLOCK_SHIFT)), "anchor", F.shiftright("node", 1), chunk)
+        of_block = F.shiftleft("block", _BLOCK_SHIFT).bitwiseOR(F.col("anchor").bitwiseAND(F.lit((1 << _BLOCK_SHIFT) - 1)))
+        split = split.select(of_block.alias("anchor"), "node", *_F)
         members = every.where("n is null").drop("n").unionByName(split)
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(near), "a long, b long")
-    # a node's heads, one an anchor at most, are linked to the first of them instead of to the node:
-    # the same is connected, and the pairs of heads, which a tight group has few of, count once
-    heads = met.groupBy("a").agg(F.collect_set("b").alias("heads"), F.min("b").alias("b"))
-    return heads.select("b", F.explode(F.array_union(F.array("a"), "heads")).alias("a")).where("a <> b").distinct()
+    return members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(near, width, blocks), "a long, b long")
 
 
 def _pairs_of_chunks(rows: DataFrame, key: str, dealt_by, chunk: int) -> DataFrame:

@@ -93,11 +93,14 @@ def test_components_of_a_long_chain(spark):
     rng = random.Random(2)
     nodes = rng.sample(range(10**9), 100)
     pairs = list(zip(nodes, nodes[1:], strict=False)) + [(1, 1), (2, 3), (3, 2), (2, 3)]
-    got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert len({got[x] for x in nodes}) == 1 and got[2] == got[3] and 1 not in got and got[2] != got[nodes[0]]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for more in ({}, {"last_links": 0}, {"last_links": 20}):
+        got = {r.node: r.label for r in connected_components(links, **more).collect()}
+        assert len({got[x] for x in nodes}) == 1 and got[2] == got[3] and 1 not in got and got[2] != got[nodes[0]]
+    assert connected_components(links.limit(0)).count() == 0
 
 
 def test_components_of_a_chain_in_the_order_of_its_ids(spark):
     links = spark.range(3000).selectExpr("id as a", "id + 1 as b")
-    got = connected_components(links, max_rounds=20)
+    got = connected_components(links, max_rounds=20, last_links=0)
     assert got.count() == 3001 and got.select("label").distinct().count() == 1

@@ -150,3 +150,49 @@ def test_all_layouts_meet_as_often():
     for k in range(0, similar.MOST_EXACT, 2):
         met = np.any([apart[:, p].sum(axis=1) <= 1 for p in similar.block_bits(*similar.layout(similar.PLAIN_ROWS << k))], axis=0).mean()
         assert met >= 0.985, (k, met)
+
+
+@pytest.mark.parametrize(("chunk", "edits"), [(8, 40), (4096, 40), (4096, 12)])
+def test_pairs_told_once_connect_what_meets(spark, chunk, edits):
+    """Links of the first meeting alone give the components of all that meet within the distance, hot anchors included."""
+    rng = np.random.default_rng(7)
+    bits = [rng.random(similar.BITS) < 0.5 for _ in range(3)]
+    rows = []
+    for k in range(150):
+        own = bits[k % 3].copy()
+        own[rng.choice(similar.BITS, int(rng.integers(0, edits)), replace=False)] ^= True
+        rows.append(np.packbits(own).tobytes())
+    fps = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, 4)
+    n, near = len(fps), 45
+    table = spark.createDataFrame([(k, *map(int, fps[k].view(np.int64))) for k in range(n)], "node long, f0 long, f1 long, f2 long, f3 long")
+    links = [(r.a, r.b) for r in similar.candidates(table, n, near=near, chunk=chunk).collect()]
+    width, blocks = similar.layout(n)
+    spread = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1)
+    meets, must = set(), set()
+    for own in similar.block_bits(width, blocks):
+        words = spread[:, own].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+        at, anchor, home = similar.block_anchors(words, width)
+        for i, a in zip(at[home].tolist(), anchor[home].tolist(), strict=True):
+            meets |= {(i, j) for j in at[anchor == a].tolist() if i != j}
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    must = {(i, j) for i, j in meets if apart[i, j] <= near}
+    assert all((i, j) in must or (j, i) in must for i, j in links)
+
+    def components(pairs):
+        up = list(range(n))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        groups = {}
+        for x in range(n):
+            groups.setdefault(find(x), set()).add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    assert components(links) == components(must) and len(components(must)) < n
+    # members of tight groups are at nine anchors of each of 18 blocks, and give no more links than one block has places
+    assert edits > 12 or len(links) < 9 * n
