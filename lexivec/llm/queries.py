@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, pii, quality, simhash, sketch, suffixes, warc
+from . import bpe, chat, divergence, interactions, licenses, mixing, pii, quality, simhash, sketch, suffixes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -121,6 +121,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all their orders, by language."""
+    return interactions.audit(interactions.cells(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from the others of its language, and the terms by which it stands out."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing_sources": op2_mixing_sources,
@@ -132,6 +142,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_interactions": op11_filter_interactions,
+    "op12_source_divergence": op12_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mixing_sources": mixing.ORACLE, "op11_filter_interactions": interactions.ORACLE, "op12_source_divergence": divergence.ORACLE}
