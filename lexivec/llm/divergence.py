@@ -48,9 +48,11 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     terms = F.regexp_extract_all(F.translate(text(text_col), _UPPER, _LOWER), F.lit(TERM), 0)
     own = docs.select(text("lang").alias("lang"), text("source").alias("source"), terms.alias("terms"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    said = F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)), F.array(one(0, 0)(F.lit(None).cast("string"))))
-    return own.select("lang", "source", F.inline(said)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # a document's terms, each of them once, and the null
+    kinds = own.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("kind", "terms"))
+    each = kinds.select("lang", "source", "kind", F.explode("terms").alias("term"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.lit(1)).otherwise(0))
+    return each.groupBy("lang", "source", "term").agg(of(0).alias("n"), of(1).alias("docs"))
 
 
 def _numbered(counts: DataFrame) -> DataFrame:
