@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, interactions, licenses, mixing, pii, quality, simhash, sketch, suffixes, warc
+from . import bpe, chat, divergence, interactions, licenses, lm, mixing, pii, quality, simhash, sketch, suffixes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -131,6 +131,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Every document's log10 probability, by counts of words and by a model trained on four fifths of the documents."""
+    import public_tokenizers
+
+    coding = lm.Coding(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return lm.score(_read(spark, sf_dir, "documents"), coding).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_mixing_sources": op2_mixing_sources,
@@ -144,6 +152,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_filter_interactions": op11_filter_interactions,
     "op12_source_divergence": op12_source_divergence,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing_sources": mixing.ORACLE, "op11_filter_interactions": interactions.ORACLE, "op12_source_divergence": divergence.ORACLE}
