@@ -2,20 +2,24 @@
 
 The 64-bit fingerprints of ``simhash`` link at three bits or fewer, which is a similarity
 of about 0.97; to take texts of similarity 0.8 a fingerprint needs more bits and must
-allow more differences. Here it has 256 bits. Texts of Jaccard similarity 0.8 on their
-shingles differ in about 39 of them, give or take 6.
-
-1. Candidates. Blocks of 16 bits are covered by the Hamming code [15, 11] with the last
-   bit kept as it is (covering radius 1, threshold 1: a fingerprint is replicated to the
-   nine anchors within distance 2, and is at home at the nearest). Two fingerprints meet
-   if one of the blocks differs in at most one bit; with 16 blocks texts of similarity
-   0.8 meet with a chance over 0.99. Large inputs add exact bits to the blocks, so that
-   an anchor's members don't grow with the input, and as many more blocks as keep that
-   chance. Those that meet and differ in at most MAX_BITS are put in one loose group; a
-   pair that meets at many anchors is told of at the first block only.
+allow more differences. Here it has 256 bits, of the set of a text's shingles: a shingle
+counts once, however often it is repeated. Texts of Jaccard similarity 0.8 on their
+shingles differ in about 39 bits, give or take 6.
+
+1. Candidates. A block is 7 bits of the fingerprint and two minima of the shingles (the
+   smallest in two orders drawn by hashing). Bits are covered by the Hamming code [7, 4]
+   (covering radius 1, threshold 1: a fingerprint is replicated to the one or four anchors
+   within distance 2, and is at home at the nearest); minima must be equal. Two texts meet
+   if in one of the blocks the bits differ in at most one place and the minima agree. The
+   blocks are as many as it takes for texts of similarity 0.8 to meet with a chance over
+   0.995. Minima are as selective as a table of any size needs, so neither the blocks nor
+   the rows of a text depend on its size. Those that meet and differ in at most MAX_BITS
+   are put in one loose group; a pair that meets at many anchors is told of at the first
+   block only.
 2. Proof. Each loose group's shingles are brought together once, and only pairs whose
-   sets of shingles have a Jaccard similarity of LIKENESS or more are linked. So what is
-   linked depends on the two texts alone, not on the size of the table.
+   sets of shingles have a Jaccard similarity of LIKENESS or more are linked. Texts of
+   equal fingerprints are proved like others; only texts of the same set are one from the
+   start. So what is linked depends on the two texts alone, not on the size of the table.
 """
 
 from __future__ import annotations
@@ -34,19 +38,19 @@ from .components import connected_components
 from .simhash import ANCHOR_CHUNK, HOT_BROADCAST
 
 WORDS, BITS, LIKENESS = 5, 256, 0.8
-#: Bits in which pairs of similarity 0.8 differ, on average, and the most in which the proof looks at a pair (three spreads above).
-USUAL_BITS, MAX_BITS = 39, 56
-#: Chance that a pair with USUAL_BITS doesn't meet at any anchor.
+#: Bits in which pairs of similarity 0.8 differ, on average, and the most in which the proof looks at a pair (over five spreads above; unrelated texts differ in about 128).
+USUAL_BITS, MAX_BITS = 39, 72
+#: Chance that a pair of similarity LIKENESS doesn't meet at any anchor.
 MISS = 0.005
-#: Different fingerprints up to which blocks have 16 bits; each doubling beyond adds an exact bit, up to MOST_EXACT.
-PLAIN_ROWS, MOST_EXACT = 1 << 18, 20
-#: Blocks with common bits meet less often together than independent ones; so many more of them are made for each exact bit.
-MARGIN = 0.0125
+#: Bits and minima of a block.
+WIDTH, MINIMA = 7, 2
 #: Members of a loose group whose shingles one task holds; more are split into pairs of chunks.
 PROOF_CHUNK = 1024
 #: Texts to be proved up to this many (50 bytes each) are told to all tasks; more are found by a shuffle.
 PROOF_BROADCAST = 200_000
 _F = ("f0", "f1", "f2", "f3")
+#: What texts of the same set of shingles, and no others, have in common.
+_SAME = ("same", *_F)
 
 
 def _shingle_spans(text: bytes, words: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -62,16 +66,6 @@ def _shingle_spans(text: bytes, words: int) -> tuple[bytes, list[tuple[int, int]
     return joined, list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> bytes:
-    """256 bits, each set if it is in over half of the hashes of the lower-cased text's shingles; all 0 without words."""
-    joined, spans = _shingle_spans(text, words)
-    digest, counts = xxhash.xxh3_128_digest, np.zeros(BITS, np.int64)
-    for k in range(0, len(spans), 2048):
-        data = b"".join([digest(joined[s:e], 1) + digest(joined[s:e], 2) for s, e in spans[k : k + 2048]])
-        counts += np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, BITS // 8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > len(spans)).tobytes()
-
-
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """The sorted 64-bit hashes of the lower-cased text's different shingles; a shorter text is one shingle."""
     joined, spans = _shingle_spans(text, words)
@@ -79,6 +73,43 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e]) for s, e in spans), np.uint64, len(spans)))
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for k, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(k)) * np.uint64(m)
+    return h ^ h >> np.uint64(31)
+
+
+def fingerprint(own: np.ndarray) -> bytes:
+    """256 bits, each set if it is in over half of the hashes of a set of shingles; all 0 without any."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, len(own), 2048):
+        part = own[k : k + 2048, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        counts += np.unpackbits(_mixed(part).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(own)).tobytes()
+
+
+def meeting_chance(width: int = WIDTH, differences: int = USUAL_BITS) -> float:
+    """Chance that a block of ``width`` bits differs in at most one, for fingerprints with so many differences."""
+    same = BITS - differences
+    return (comb(same, width) + differences * comb(same, width - 1)) / comb(BITS, width)
+
+
+BLOCKS = ceil(log(MISS) / log(1 - LIKENESS**MINIMA * meeting_chance()))
+#: An odd number for each minimum of each block; a shingle's place in the order is its product.
+_ORDERS = np.random.default_rng(1).integers(1, 2**63, (BLOCKS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(own: np.ndarray) -> np.ndarray:
+    """A 32-bit number for each block, equal if the block's minima of a set of shingles are; 0 without shingles."""
+    if not len(own):
+        return np.zeros(BLOCKS, np.uint32)
+    least = np.array([[(own * k).min() for k in of] for of in _ORDERS])
+    key = np.zeros(BLOCKS, np.uint64)
+    for k in range(MINIMA):
+        key = _mixed(key + least[:, k])
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
 def alike(a: np.ndarray, b: np.ndarray, least: float = LIKENESS) -> bool:
     """Whether two sorted sets of shingles have a Jaccard similarity of at least ``least``; two empty ones have."""
     small, large = sorted((len(a), len(b)))
@@ -91,15 +122,17 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = LIKENESS) -> bool:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, said, f0, f1, f2, f3) for each row; said is a hash of the text; null text counts as empty."""
+    """(id, said, same, f0, f1, f2, f3, minima) for each row; said is a hash of the text, same one of its set of shingles; null text counts as empty."""
 
     def run(texts: list) -> list[pa.Array]:
-        own = np.frombuffer(b"".join(fingerprint(x, words) for x in texts), "<i8").reshape(-1, 4)
-        return [pa.array(np.ascontiguousarray(own[:, k])) for k in range(4)]
+        sets = [shingles(x, words) for x in texts]
+        own = np.frombuffer(b"".join(map(fingerprint, sets)), "<i8").reshape(-1, 4)
+        same = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        return [pa.array(same), *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(4)), pa.array([minima(x).tobytes() for x in sets], pa.binary())]
 
     key = F.struct(F.col(id_col).cast("long").alias("id"), said(text_col).alias("said"))
-    made = per_text(docs.select(key.alias("key"), text_bytes(text_col).alias("text")), run, "key struct<id:bigint,said:bigint>, " + ", ".join(f"{x} long" for x in _F))
-    return made.select("key.id", "key.said", *_F)
+    made = per_text(docs.select(key.alias("key"), text_bytes(text_col).alias("text")), run, "key struct<id:bigint,said:bigint>, same long, " + ", ".join(f"{x} long" for x in _F) + ", minima binary")
+    return made.select("key.id", "key.said", *_SAME, "minima")
 
 
 def said(text_col: str):
@@ -108,80 +141,58 @@ def said(text_col: str):
 
 
 def _near_codewords() -> np.ndarray:
-    """For each 15-bit word its nearest codeword and then those at distance 2 (-1: none)."""
-    words = np.arange(1 << 15)
-    syndrome = np.zeros(1 << 15, np.int64)
-    for i in range(15):
+    """For each 7-bit word its nearest codeword and then those at distance 2 (-1: none)."""
+    words = np.arange(1 << WIDTH)
+    syndrome = np.zeros(1 << WIDTH, np.int64)
+    for i in range(WIDTH):
         syndrome ^= (words >> i & 1) * (i + 1)
-    out = np.full((1 << 15, 8), -1, np.int64)
+    out = np.full((1 << WIDTH, 1 + WIDTH // 2), -1, np.int64)
     out[:, 0] = np.where(syndrome > 0, words ^ (1 << np.maximum(syndrome - 1, 0)), words)
-    for s in range(1, 16):
-        pairs = [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 16) if i < i ^ s]
+    for s in range(1, WIDTH + 1):
+        pairs = [1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, WIDTH + 1) if i < i ^ s]
         own = words[syndrome == s]
         out[own, 1:] = own[:, None] ^ np.array(pairs)
     return out
 
 
 _NEAR = _near_codewords()
+#: The places of each block's bits.
+_PLACES = [np.arange(b * WIDTH, (b + 1) * WIDTH) for b in range(BLOCKS)]
 
 
-def meeting_chance(width: int, differences: int = USUAL_BITS) -> float:
-    """Chance that a block of ``width`` bits differs in at most one, for fingerprints with so many differences."""
-    same = BITS - differences
-    return (comb(same, width) + differences * comb(same, width - 1)) / comb(BITS, width)
-
-
-def layout(n: int) -> tuple[int, int]:
-    """(bits of a block, blocks) for n different fingerprints: as many blocks as it takes for all but MISS of the pairs to meet."""
-    exact = min(MOST_EXACT, max(0, (max(n, 1) - 1).bit_length() - (PLAIN_ROWS - 1).bit_length()))
-    width = 16 + exact
-    return width, ceil((1 + MARGIN * exact) * log(MISS) / log(1 - meeting_chance(width)))
-
+def block_anchors(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of blocks of WIDTH bits: (index, anchor, is home) of all anchors within distance 2."""
+    near = _NEAR[blocks]
+    at, col = np.nonzero(near >= 0)
+    return at, near[at, col], col == 0
 
-def block_bits(width: int, blocks: int) -> list[np.ndarray]:
-    """The places of each block's bits: one after the other, then the same in another order for each further round."""
-    each = BITS // width
-    orders = [np.arange(BITS), *(np.random.default_rng(k).permutation(BITS) for k in range(1, -(-blocks // each)))]
-    return [orders[b // each][b % each * width : (b % each + 1) * width] for b in range(blocks)]
 
+def _bits(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, BITS // 8), axis=1)
 
-def block_anchors(blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of blocks of ``width`` bits: (index, anchor, is home) of all anchors within distance 2."""
-    low, high = blocks & 0x7FFF, blocks >> 15 << 15
-    near = _NEAR[low]
-    every = np.arange(len(blocks))
-    at, col = np.nonzero(near >= 0)
-    home = near[:, 0]
-    index, anchor, own = [at], [near[at, col] | high[at]], [col == 0]
-    for b in range(15, width):
-        index.append(every)
-        anchor.append(home | (high ^ (1 << b)))
-        own.append(np.zeros(len(blocks), bool))
-    return np.concatenate(index), np.concatenate(anchor), np.concatenate(own)
 
+_MEMBER = "anchor long, node long, " + ", ".join(f"{x} long" for x in _F) + ", minima binary"
+#: An anchor's key ends with its block's number, in so many bits.
+_BLOCK_BITS = 8
 
-_MEMBER = "anchor long, node long, " + ", ".join(f"{x} long" for x in _F)
-#: An anchor's key is its block's number, shifted by so many bits, and its own bits.
-_BLOCK_SHIFT = 40
 
+def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, node, f0..f3, minima) of (node, f0..f3, minima); node is doubled, and odd where it is at home."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 4096):
+            part = batch.slice(start, 4096)
+            node = part.column(0).to_numpy(zero_copy_only=False)
+            fps = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1)
+            bits, own = _bits(fps), part.column(5)
+            keys = _keys(own)
+            for b, places in enumerate(_PLACES):
+                at, anchor, home = block_anchors(bits[:, places].astype(np.int64) @ (1 << np.arange(WIDTH)))
+                key = _mixed(keys[at, b].astype(np.uint64) << np.uint64(WIDTH) | anchor.astype(np.uint64)) >> np.uint64(_BLOCK_BITS) << np.uint64(_BLOCK_BITS) | np.uint64(b)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[at] * 2 + home), *(pa.array(fps[at, k]) for k in range(4)), own.take(pa.array(at))], names=["anchor", "node", *_F, "minima"])
 
-def _replicate(width: int, n_blocks: int):
-    """Rows (anchor, node, f0..f3) of (node, f0..f3); node is doubled, and odd where it is at home."""
-    places = block_bits(width, n_blocks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                node = part.column(0).to_numpy(zero_copy_only=False)
-                fps = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, BITS // 8), axis=1)
-                for b, own in enumerate(places):
-                    block = bits[:, own].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-                    at, anchor, home = block_anchors(block, width)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | np.int64(b) << np.int64(_BLOCK_SHIFT)), pa.array(node[at] * 2 + home), *(pa.array(fps[at, k]) for k in range(4))], names=["anchor", "node", *_F])
-
-    return run
+def _keys(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BLOCKS)
 
 
 def anchor_links(fps: np.ndarray, homes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -249,18 +260,17 @@ def _by_key(found, names: list[str]):
     return run
 
 
-def met_before(x: np.ndarray, y: np.ndarray, block: int, places: list[np.ndarray]) -> np.ndarray:
-    """For pairs of fingerprints whether a block before the given one differs in at most one bit."""
-    if not block or not len(x):
-        return np.zeros(len(x), bool)
-    differ = np.unpackbits(np.ascontiguousarray(x ^ y).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+def met_before(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, block: int) -> np.ndarray:
+    """For pairs of fingerprints and minima whether they meet at a block before the given one."""
     found = np.zeros(len(x), bool)
-    for own in places[:block]:
-        found |= differ[:, own].sum(axis=1) <= 1
+    if block and len(x):
+        differ = _bits(x ^ y)
+        for b in range(block):
+            found |= (mx[:, b] == my[:, b]) & (differ[:, _PLACES[b]].sum(axis=1) <= 1)
     return found
 
 
-def _meet(near: int, width: int, n_blocks: int):
+def _meet(near: int):
     """Links of an anchor's members, as _by_key wants it: a chain through all that are near, without the pairs that met at a block before.
 
     Such pairs are near there too, so they are connected by the links of the blocks before
@@ -269,7 +279,6 @@ def _meet(near: int, width: int, n_blocks: int):
     Members are taken in an order that is the same at all anchors, so that chains have
     many pairs in common.
     """
-    places = block_bits(width, n_blocks)
 
     def found(rows: pa.Table) -> list[tuple[int, int]]:
         node = rows.column(1).to_numpy()
@@ -280,30 +289,33 @@ def _meet(near: int, width: int, n_blocks: int):
             return []
         fps = np.stack([rows.column(k).to_numpy()[order] for k in range(2, 6)], axis=1).view(np.uint64)
         pairs = np.array(anchor_links(fps, homes, near), np.int64).reshape(-1, 2)
-        block = rows.column(0)[0].as_py() >> _BLOCK_SHIFT
-        pairs = pairs[~met_before(fps[pairs[:, 0]], fps[pairs[:, 1]], block, places)]
-        return (node >> 1)[pairs].tolist()
+        if not len(pairs):
+            return []
+        keys = _keys(rows.column(6))[order]
+        block = rows.column(0)[0].as_py() & ((1 << _BLOCK_BITS) - 1)
+        a, b = pairs[:, 0], pairs[:, 1]
+        return (node >> 1)[pairs[~met_before(fps[a], fps[b], keys[a], keys[b], block)]].tolist()
 
     return _by_key(found, ["a", "b"])
 
 
-def candidates(distinct: DataFrame, n: int, near: int = MAX_BITS, chunk: int = ANCHOR_CHUNK) -> DataFrame:
-    """Links (a, b) of (node, f0..f3), one row a fingerprint, that chain together what meets at an anchor within ``near`` bits.
+def candidates(distinct: DataFrame, near: int = MAX_BITS, chunk: int = ANCHOR_CHUNK) -> DataFrame:
+    """Links (a, b) of (node, f0..f3, minima), one row a set of shingles, that chain together what meets at an anchor within ``near`` bits.
 
     Anchors of over ``chunk`` members are split into pairs of chunks.
     """
-    width, blocks = layout(n)
-    members = distinct.select("node", *_F).mapInArrow(_replicate(width, blocks), _MEMBER)
-    hot = cut(members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > chunk)) if n > chunk else None
+    members = distinct.select("node", *_F, "minima").mapInArrow(_replicate, _MEMBER)
+    hot = cut(members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > chunk)) if distinct.count() > chunk else None
     n_hot = hot.limit(HOT_BROADCAST + 1).count() if hot is not None else 0
     if n_hot:
         every = members.join(F.broadcast(hot) if n_hot <= HOT_BROADCAST else hot, "anchor", "left")
-        split = _pairs_of_chunks(every.where("n is not null").withColumn("block", F.shiftright("anchor", _BLOCK_SHIFT)), "anchor", F.shiftright("node", 1), chunk)
-        of_block = F.shiftleft("block", _BLOCK_SHIFT).bitwiseOR(F.col("anchor").bitwiseAND(F.lit((1 << _BLOCK_SHIFT) - 1)))
-        split = split.select(of_block.alias("anchor"), "node", *_F)
+        block = F.col("anchor").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1))
+        split = _pairs_of_chunks(every.where("n is not null").withColumn("block", block), "anchor", F.shiftright("node", 1), chunk)
+        of_block = F.shiftleft(F.shiftrightunsigned("anchor", _BLOCK_BITS), _BLOCK_BITS).bitwiseOR(F.col("block"))
+        split = split.select(of_block.alias("anchor"), "node", *_F, "minima")
         members = every.where("n is null").drop("n").unionByName(split)
     parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(near, width, blocks), "a long, b long")
+    return members.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_meet(near), "a long, b long")
 
 
 def _pairs_of_chunks(rows: DataFrame, key: str, dealt_by, chunk: int) -> DataFrame:
@@ -374,17 +386,18 @@ def _prove(most: int, least: float):
 def chains(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, least: float = LIKENESS, chunk: int = PROOF_CHUNK) -> DataFrame:
     """(node, label) of nodes that are connected to others by pairs of texts of a similarity of ``least`` or more; label is one of the nodes.
 
-    distinct: (node, id, said, f0..f3), one row a fingerprint with the row of docs that
-    stands for it. A loose group of up to ``chunk`` members is settled by one task; larger
-    ones are settled by pairs of chunks, and what these have linked is then connected.
+    distinct: (node, id, said, f0..f3, minima), one row a set of shingles with the row of
+    docs that stands for it. A loose group of up to ``chunk`` members is settled by one
+    task; larger ones are settled by pairs of chunks, and what these have linked is then
+    connected.
     """
     spark = docs.sparkSession
-    loose = cut(connected_components(candidates(distinct, distinct.count())))
+    loose = cut(connected_components(candidates(distinct)))
     sizes = loose.groupBy("label").agg(F.count("*").alias("n"))
     asked = cut(distinct.join(loose.join(sizes, "label"), "node").select("node", "label", "n", "id", "said", *_F))
     n_asked, n_most = asked.agg(F.count("*"), F.max("n")).first()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), said(text_col).alias("said"), text_bytes(text_col).alias("text"))
-    # repeated rows: one stands for its fingerprint
+    # repeated rows: one stands for its set
     met = rows.join(F.broadcast(asked) if n_asked <= PROOF_BROADCAST else asked, ["id", "said"])
 
     def sets(texts: list) -> list[pa.Array]:
@@ -411,21 +424,20 @@ def chains(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, wor
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LIKENESS) -> DataFrame:
     """(id, said): rows that are near copies, directly or by a chain, of a row with a smaller id; said is said() of the text.
 
-    Texts without words have equal fingerprints and are copies of each other. Texts of
-    equal fingerprints (all 256 bits) are copies without a proof. Rows without an id are
-    left out.
+    Texts without words have the same, empty set and are copies of each other. Rows without
+    an id are left out.
     """
     each = cut(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
     first = F.min(F.struct("id", "said")).alias("first")
     # numbered in the task that makes the row, and then written, so the numbers stay
-    distinct = cut(each.groupBy(*_F).agg(first).select(F.monotonically_increasing_id().alias("node"), "first.id", "first.said", *_F))
+    distinct = cut(each.groupBy(*_SAME).agg(first, F.first("minima").alias("minima")).select(F.monotonically_increasing_id().alias("node"), "first.id", "first.said", *_SAME, "minima"))
     labels = chains(docs, distinct, id_col, text_col, words, least)
     joined = cut(distinct.join(labels, "node").select("node", "label", F.col("id").alias("first")))
     smallest = joined.groupBy("label").agg(F.min("first").alias("smallest"))
     moved = joined.join(smallest, "label").select("node", "smallest")
-    # a table of its own, so that both sides of the last join are plain shuffles and AQE can split a hot fingerprint
-    of = cut(distinct.join(moved, "node", "left").select(*_F, F.coalesce("smallest", "id").alias("component")))
-    return each.join(of, list(_F)).where("id <> component").select("id", "said").distinct()
+    # a table of its own, so that both sides of the last join are plain shuffles and AQE can split a hot set
+    of = cut(distinct.join(moved, "node", "left").select(*_SAME, F.coalesce("smallest", "id").alias("component")))
+    return each.select("id", "said", *_SAME).join(of, list(_SAME)).where("id <> component").select("id", "said").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

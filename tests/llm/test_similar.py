@@ -50,11 +50,52 @@ def test_pairs_of_at_least_the_similarity_are_caught_and_no_others(spark):
     check(spark, *made_pairs(12))
 
 
-@pytest.mark.parametrize("n", [10**5, 10**7, 10**9])
-def test_the_same_at_layouts_of_every_size(spark, monkeypatch, n):
-    rows, near = made_pairs(13, 120)
-    wide = similar.layout(n)
-    monkeypatch.setattr(similar, "layout", lambda _: wide)
+def with_repeats(seed, n=200):
+    """As made_pairs, but texts say some lines and words again, and copies say them more or less often."""
+    rng = random.Random(seed)
+    rows, near = [], {}
+    for k in range(n):
+        lines = [[f"w{rng.randrange(3000)}" for _ in range(10)] for _ in range(rng.randint(15, 40))]
+        extra = lambda: [x for line in rng.sample(lines, 2) for x in [line] * rng.choice([0, 1, 3, 6, 12])] + [[rng.choice("-=#")] * rng.choice([0, 5, 40, 150])]  # noqa: B023, E731
+        copy = [edited(rng, line, 1) if rng.random() < rng.choice([0.05, 0.15, 0.25]) else line for line in lines]
+        text = lambda x: "\n".join(" ".join(line) for line in x)
+        rows += [(k, text(lines + extra())), (1000 + k, text(copy + extra()))]
+        near[1000 + k] = jaccard(rows[-2][1], rows[-1][1])
+    return rows, near
+
+
+def test_the_same_for_texts_that_repeat_themselves(spark):
+    check(spark, *with_repeats(13))
+
+
+@pytest.mark.parametrize("run", [40, 60, 100, 190])
+def test_a_repeated_word_makes_no_copies(spark, run):
+    rng = random.Random(run)
+    rows = [(k, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(200)), *["-"] * run])) for k in range(40)]
+    assert similar.copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("first", "second"), [(0, 3), (0, 6), (0, 12), (1, 6), (2, 12)])
+def test_a_repeated_line_hides_no_copies(spark, first, second):
+    rng = random.Random(first * 100 + second)
+    rows, n = [], 60
+    for k in range(n):
+        lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(10)) for _ in range(30)]
+        more = " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))
+        rows += [(k, "\n".join(lines + [more] * first)), (1000 + k, "\n".join(lines + [more] * second))]
+        assert jaccard(rows[-2][1], rows[-1][1]) >= 0.9
+    gone = {r.id for r in similar.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone <= {*range(1000, 1000 + n)} and len(gone) >= 0.97 * n
+
+
+def test_short_texts_of_few_shingles(spark):
+    rng = random.Random(21)
+    rows, near = [], {}
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(24, 34))]
+        other = words + [f"x{rng.randrange(10**6)}" for _ in range(rng.randint(1, 7))]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(other))]
+        near[1000 + k] = jaccard(rows[-2][1], rows[-1][1])
     check(spark, rows, near)
 
 
@@ -111,17 +152,15 @@ def test_proof_leaves_out_no_pair_that_joins_chains():
 
 
 def test_blocks_meet_at_one_bit():
-    rng = np.random.default_rng(3)
-    for width in (16, 19):
-        x = rng.integers(0, 1 << width, 500)
-        y = x ^ np.where(rng.random(500) < 0.8, 1 << rng.integers(0, width, 500), 0)
-        at, anchor, home = similar.block_anchors(x, width)
-        homes = {int(i): int(a) for i, a, h in zip(at, anchor, home, strict=True) if h}
-        ya, yb, _ = similar.block_anchors(y, width)
-        of = {}
-        for i, a in zip(ya.tolist(), yb.tolist(), strict=True):
-            of.setdefault(i, set()).add(a)
-        assert all(homes[i] in of[i] for i in range(500))
+    x = np.repeat(np.arange(1 << similar.WIDTH), similar.WIDTH + 1)
+    y = x ^ np.tile([0, *(1 << k for k in range(similar.WIDTH))], 1 << similar.WIDTH)
+    at, anchor, home = similar.block_anchors(x)
+    homes = {int(i): int(a) for i, a, h in zip(at, anchor, home, strict=True) if h}
+    ya, yb, _ = similar.block_anchors(y)
+    of = {}
+    for i, a in zip(ya.tolist(), yb.tolist(), strict=True):
+        of.setdefault(i, set()).add(a)
+    assert all(homes[i] in of[i] for i in range(len(x)))
 
 
 def test_anchor_links_join_groups():
@@ -143,13 +182,17 @@ def test_anchor_links_join_groups():
         assert len({find(k) for k in range(len(fps))}) == 3 and len(links) == len(fps) - 3
 
 
-def test_all_layouts_meet_as_often():
+def test_sets_of_the_similarity_meet():
     rng = np.random.default_rng(22)
-    apart = np.zeros((10_000, similar.BITS), bool)
-    apart[np.arange(len(apart))[:, None], rng.random(apart.shape).argpartition(similar.USUAL_BITS, axis=1)[:, : similar.USUAL_BITS]] = True
-    for k in range(0, similar.MOST_EXACT, 2):
-        met = np.any([apart[:, p].sum(axis=1) <= 1 for p in similar.block_bits(*similar.layout(similar.PLAIN_ROWS << k))], axis=0).mean()
-        assert met >= 0.985, (k, met)
+    met = bits = 0
+    for n in (20, 100, 500):
+        for _ in range(500):
+            own = rng.integers(0, 2**63, n + n // 4, dtype=np.uint64)
+            x, y = own[:n], own  # n of n + n / 4 shingles: a similarity of 0.8
+            fx, fy = (np.frombuffer(similar.fingerprint(v), np.uint64)[None] for v in (x, y))
+            met += similar.met_before(fx, fy, similar.minima(x)[None], similar.minima(y)[None], similar.BLOCKS)[0]
+            bits += int(np.bitwise_count(fx ^ fy).sum()) <= similar.MAX_BITS
+    assert met >= 0.985 * 1500 and bits >= 0.999 * 1500
 
 
 @pytest.mark.parametrize(("chunk", "edits"), [(8, 40), (4096, 40), (4096, 12)])
@@ -164,16 +207,17 @@ def test_pairs_told_once_connect_what_meets(spark, chunk, edits):
         rows.append(np.packbits(own).tobytes())
     fps = np.frombuffer(b"".join(rows), np.uint64).reshape(-1, 4)
     n, near = len(fps), 45
-    table = spark.createDataFrame([(k, *map(int, fps[k].view(np.int64))) for k in range(n)], "node long, f0 long, f1 long, f2 long, f3 long")
-    links = [(r.a, r.b) for r in similar.candidates(table, n, near=near, chunk=chunk).collect()]
-    width, blocks = similar.layout(n)
+    keys = rng.integers(0, 3, (n, similar.BLOCKS)).astype(np.uint32)
+    keys[rng.random(n) < 0.7] = 1
+    table = spark.createDataFrame([(k, *map(int, fps[k].view(np.int64)), bytearray(keys[k].tobytes())) for k in range(n)], "node long, f0 long, f1 long, f2 long, f3 long, minima binary")
+    links = [(r.a, r.b) for r in similar.candidates(table, near=near, chunk=chunk).collect()]
     spread = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1)
     meets, must = set(), set()
-    for own in similar.block_bits(width, blocks):
-        words = spread[:, own].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-        at, anchor, home = similar.block_anchors(words, width)
+    for b in range(similar.BLOCKS):
+        words = spread[:, b * similar.WIDTH : (b + 1) * similar.WIDTH].astype(np.int64) @ (1 << np.arange(similar.WIDTH))
+        at, anchor, home = similar.block_anchors(words)
         for i, a in zip(at[home].tolist(), anchor[home].tolist(), strict=True):
-            meets |= {(i, j) for j in at[anchor == a].tolist() if i != j}
+            meets |= {(i, j) for j in at[anchor == a].tolist() if i != j and keys[i, b] == keys[j, b]}
     apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
     must = {(i, j) for i, j in meets if apart[i, j] <= near}
     assert all((i, j) in must or (j, i) in must for i, j in links)
@@ -194,5 +238,5 @@ def test_pairs_told_once_connect_what_meets(spark, chunk, edits):
         return {frozenset(g) for g in groups.values()}
 
     assert components(links) == components(must) and len(components(must)) < n
-    # members of tight groups are at nine anchors of each of 18 blocks, and give no more links than one block has places
+    # members of tight groups are at up to four anchors of each of nine blocks, and give fewer links than there are blocks
     assert edits > 12 or len(links) < 9 * n
