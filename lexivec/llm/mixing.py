@@ -9,7 +9,11 @@ documents and then the token-prefix of one more, in a new seeded order.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from decimal import Decimal
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,25 +26,34 @@ LEAVES_BROADCAST = 50_000
 #: Documents in a leaf's stretch of the seeded order, on average; one stretch a leaf is ordered.
 STRETCH = 1024
 LEVELS = ("domain", "lang", "source")
+#: The largest weight, as a whole number.
+MOST_WEIGHT = 10**9
 
 
 @dataclass(frozen=True)
 class Mix:
-    """Weights by name at each level (1 where none is given; 0 or less: nothing), and the budget."""
+    """Weights by name at each level (1 where none is given; 0 or less: nothing), and the budget.
 
-    domain_weights: dict[str, int] = field(default_factory=dict)
-    lang_weights: dict[str, int] = field(default_factory=dict)
-    source_weights: dict[str, int] = field(default_factory=dict)
+    Weights may be fractions: floats count as their shortest decimals.
+    """
+
+    domain_weights: Mapping[str, float | Decimal | Fraction] = field(default_factory=dict)
+    lang_weights: Mapping[str, float | Decimal | Fraction] = field(default_factory=dict)
+    source_weights: Mapping[str, float | Decimal | Fraction] = field(default_factory=dict)
     #: Tokens to give out, as a share of all tokens.
     share: float = 0.6
     max_epochs: int = 3
     seed: str = "mix-1"
 
     def weight(self, level: str) -> Column:
-        given = getattr(self, f"{level}_weights")
-        out = F.lit(1)
+        """The weights of a level, all multiplied by what makes them whole numbers."""
+        given = {name: Fraction(str(w) if isinstance(w, float) else w) for name, w in getattr(self, f"{level}_weights").items()}
+        scale = lcm(*(w.denominator for w in given.values()))
+        if any(abs(w) * scale > MOST_WEIGHT for w in (1, *given.values())):
+            raise ValueError(f"{level}_weights: more than {len(str(MOST_WEIGHT)) - 1} digits in all")
+        out = F.lit(scale)
         for name, w in given.items():
-            out = F.when(F.col(level) == name, F.lit(int(w))).otherwise(out)
+            out = F.when(F.col(level) == name, F.lit(int(w * scale))).otherwise(out)
         return out.cast("long")
 
 
@@ -64,22 +77,21 @@ def share_out(children: DataFrame, parents: list[str], budget: str, weight: Colu
     """children with ``allotted``: least(cap, level * weight), where the level uses up the budget.
 
     Children are taken from the one that is full first; each gives the level that holds if
-    all before it are full, and the highest of these is the right one.
+    all before it are full, and the highest of these is the right one. Those that are full
+    at the same level come one after the other and have their highest level at the first or
+    after the last, so they are added up first: a node of very many children, most of them
+    alike, is a few rows in the task that orders them.
     """
+    live = children.withColumn("w", weight).where("w > 0").withColumn("full", F.col("cap") / F.col("w"))
+    runs = live.groupBy(*parents, "full").agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.max(budget).alias("budget"))
     own = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
-    name = F.col([c for c in LEVELS if c in children.columns][-1])
-    order = own.orderBy(F.col("cap") / F.col("w"), name)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    before = own.orderBy("full").rowsBetween(Window.unboundedPreceding, -1)
     every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        children.withColumn("w", weight)
-        .where("w > 0")
-        .withColumn("left_tokens", F.col(budget) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left_weight", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        .withColumn("level", F.max(F.col("left_tokens").cast("double") / F.col("left_weight").cast("double")).over(every))
-        .withColumn("allotted", F.least("cap", F.floor(F.greatest(F.col("level"), F.lit(0.0)) * F.col("w")).cast("long")))
-        .drop("w", "left_tokens", "left_weight", "level")
-    )
+    left_tokens = F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))
+    left_weight = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))
+    levels = runs.withColumn("level", left_tokens.cast("double") / left_weight.cast("double")).groupBy(*parents).agg(F.max("level").alias("level"))
+    met = live.join(levels, parents) if parents else live.crossJoin(F.broadcast(levels))  # one row
+    return met.withColumn("allotted", F.least("cap", F.floor(F.greatest(F.col("level"), F.lit(0.0)) * F.col("w")).cast("long"))).drop("w", "full", "level")
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:

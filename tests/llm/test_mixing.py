@@ -67,3 +67,42 @@ def test_edge_rows(spark):
     assert len(out) == 4 and all(r.copies >= 0 for r in out)
     assert sum(r.tokens * r.copies for r in out) <= 12
     assert mixing.select_copies(df.limit(0)).count() == 0
+
+
+def test_weights_may_be_fractions(spark):
+    from decimal import Decimal
+    from fractions import Fraction
+
+    import pytest
+
+    leaf = [("a", "x", "s1", 1000), ("b", "x", "s2", 1000)]
+    df = spark.createDataFrame([(*r, 1) for r in leaf], "domain string, lang string, source string, tokens long, docs long")
+    given = lambda a, b: {r.source: r.allotted for r in mixing.budgets(df, mixing.Mix({"a": a, "b": b}, share=0.5)).collect()}
+    assert given(0.7, 0.3) == {"s1": 700, "s2": 300} == given(7, 3) == given(Decimal("0.07"), Fraction(3, 100))
+    assert given(1.5, 1) == {"s1": 600, "s2": 400} == given(3, 2)
+    assert given(0.25, 0.0) == {"s1": 1000} == given(1, -0.5)
+    with pytest.raises(ValueError):
+        given(float("nan"), 1)
+    with pytest.raises(ValueError):
+        given(1e-10, 1)
+
+
+def test_wide_nodes_of_equal_children_are_few_rows(spark):
+    """Children that are full at the same level are added up before one task orders them; the shares are those of filling level by level."""
+    import random
+
+    rng = random.Random(6)
+    rows = [("d", "l", f"s{k}", rng.choice([1, 2, 3, 5, 8, 40]), rng.choice([0.5, 1, 2])) for k in range(3000)]
+    df = spark.createDataFrame([(*r[:4], 1) for r in rows], "domain string, lang string, source string, tokens long, docs long")
+    mix = mixing.Mix(source_weights={r[2]: r[4] for r in rows[:30]}, share=0.6, max_epochs=1)
+    caps = {r[2]: (r[3], r[4] if k < 30 else 1) for k, r in enumerate(rows)}
+    budget, left, fixed = int(sum(r[3] for r in rows) * 0.6), dict(caps), {}
+    while True:
+        level = (budget - sum(fixed.values())) / sum(w for _, w in left.values())
+        full = {s: c for s, (c, w) in left.items() if c <= level * w}
+        if not full:
+            break
+        fixed |= full
+        left = {s: x for s, x in left.items() if s not in full}
+    want = fixed | {s: int(level * w + 1e-9) for s, (_, w) in left.items()}
+    assert {r.source: r.allotted for r in mixing.budgets(df, mix).collect()} == want
