@@ -133,9 +133,11 @@ def _joined_features(named: DataFrame, vocabulary: Vocabulary, eos: bool) -> Dat
         rows = rows.withColumn("_hash", T.token_hash("token"))
     known = subwords_of(rows, vocabulary)
     label = F.coalesce(F.col("entry_type") != WORD, T.is_label("token", p.label), F.lit(False))
-    hashed = F.when(~label, F.col("_hash")) if p.word_ngrams > 1 and p.bucket > 0 else F.lit(None).cast("bigint")
-    word = F.struct("pos", F.when(~label, F.col("subwords")).alias("ids"), hashed.alias("hash"), F.when(label & F.col("id").isNotNull(), F.col("id") - nwords).alias("label"))
-    lines = known.groupBy("_row").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(word)).alias("w"))
+    # a text without tokens has one row, of a null token, which is no word
+    word = ~label & F.col("token").isNotNull()
+    hashed = F.when(word, F.col("_hash")) if p.word_ngrams > 1 and p.bucket > 0 else F.lit(None).cast("bigint")
+    each = F.struct("pos", F.when(word, F.col("subwords")).alias("ids"), hashed.alias("hash"), F.when(label & F.col("id").isNotNull(), F.col("id") - nwords).alias("label"))
+    lines = known.groupBy("_row").agg(F.first("_id").alias("_id"), F.array_sort(F.collect_list(each)).alias("w"))
     pick = lambda name: F.filter(F.transform("w", lambda x: x[name]), lambda x: x.isNotNull())
     ids = F.flatten(pick("ids"))
     if p.word_ngrams > 1 and p.bucket > 0:

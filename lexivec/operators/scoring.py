@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,23 +152,136 @@ def label_probabilities(z: DataFrame, loss: LossKind, id_col: str = "doc_id", n_
     return z.join(norm, F.col(id_col) == F.col("_id")).select(id_col, "block", F.transform("z", lambda s: F.struct((F.exp(s["z"] - F.col("m")) / F.col("total")).alias("p"), s["row"].alias("label_id"))).alias("scores"))
 
 
-def path_probabilities(z: DataFrame, paths: DataFrame, id_col: str = "doc_id", n_rows: int = 1) -> DataFrame:
-    """The same for hierarchical softmax: the product over a label's path of exact sigmoids, by shifted logarithms.
+def path_probabilities(z: DataFrame, paths: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, label_id, p) of logits() of all inner nodes, for hierarchical softmax: the product over a label's path of exact sigmoids, by shifted logarithms.
 
-    paths (label_id, path, code) is one row a label. Paths cross blocks, so the blocks of
-    n_rows inner nodes are put together in a line's row, which has all labels anyway.
+    id_col tells lines apart. Each step of a path is a row that is joined with its node; a
+    label without steps, the only one, has probability 1.
     """
-    if n_rows > LABEL_BLOCK:
-        blocks = F.array_sort(F.collect_list(F.struct("block", "z")))
-        z = z.groupBy(id_col).agg(blocks.alias("_b")).select(id_col, F.lit(0).alias("block"), F.flatten(F.transform("_b", lambda b: b["z"])).alias("z"))
-    every = paths.agg(F.array_sort(F.collect_list(F.struct("label_id", "path", "code"))).alias("paths"))
+    each = z.select(id_col, F.inline("z")).withColumn("f", V.exact_sigmoid(F.col("z")))
+    steps = paths.select("label_id", F.inline(F.arrays_zip(F.col("path").alias("node"), F.col("code").alias("right")))).select("label_id", F.col("node").alias("row"), "right")
+    log_p = V.std_log(F.when(F.col("right"), F.col("f")).otherwise(1.0 - F.col("f")))
+    found = each.join(steps, "row").groupBy(id_col, "label_id").agg(F.exp(F.sum(log_p)).alias("p"))
+    only = paths.where(F.size("path") == 0).select("label_id", F.lit(1.0).alias("p")).limit(1)
+    return found.unionByName(z.select(id_col).distinct().crossJoin(F.broadcast(only)).select(id_col, "label_id", "p"))
 
-    def chance(p: Column) -> Column:
-        steps = F.zip_with(p["path"], p["code"], lambda node, right: F.get(F.transform(F.array(V.exact_sigmoid(F.get("z", node)["z"])), lambda f: V.std_log(F.when(right, f).otherwise(1.0 - f))), F.lit(0)))
-        return F.exp(F.aggregate(steps, F.lit(0.0), lambda s, x: s + x))
 
-    joined = z.withColumn("_one", F.lit(1)).join(hint_small(every.withColumn("_one", F.lit(1)), n_rows * 40), "_one")
-    return joined.select(id_col, "block", F.transform("paths", lambda p: F.struct(chance(p).alias("p"), p["label_id"].alias("label_id"))).alias("scores"))
+@dataclass
+class Tree:
+    """The tree of hierarchical softmax: children of inner nodes (left, right; label l as -1 - l), how many steps the longest way down has, and the root."""
+
+    children: np.ndarray
+    height: np.ndarray
+    root: int
+
+    @classmethod
+    def of(cls, labels: np.ndarray, offsets: np.ndarray, nodes: np.ndarray, right: np.ndarray) -> Tree:
+        """From the paths of labels, leaf to root: label labels[i] has the inner nodes nodes[offsets[i] : offsets[i + 1]], and right tells which child the step before was."""
+        if not len(nodes):
+            return cls(np.zeros((0, 2), np.int64), np.zeros(0, np.int64), -1 - int(labels[0]) if len(labels) else 0)
+        children, height = np.zeros((int(nodes.max()) + 1, 2), np.int64), np.zeros(int(nodes.max()) + 1, np.int64)
+        starts = offsets[:-1][np.diff(offsets) > 0]
+        below = np.concatenate(([0], nodes[:-1]))
+        below[starts] = -1 - labels[np.diff(offsets) > 0]
+        children[nodes, right.astype(np.int64)] = below
+        np.maximum.at(height, nodes, np.arange(len(nodes)) - np.repeat(offsets[:-1], np.diff(offsets)) + 1)
+        return cls(children, height, int(nodes[offsets[1] - 1] if offsets[1] else nodes[-1]))
+
+    def best(self, h: np.ndarray, rows: np.ndarray, matrix: np.ndarray, k: int, least: float) -> tuple[list[list[tuple[float, int]]], int]:
+        """For each vector of h the k best (p, label) with p at ``least`` or above, equal ones by higher label; and how many inner nodes were looked at.
+
+        Best first: in each round every vector opens the most likely inner node that it has
+        reached, all of them in one product, until none can lead to a label above its k
+        best. A step multiplies by at most 1 + LOG_SHIFT, which bounds what is below a node.
+        """
+        n, looked = len(h), 0
+        floor = np.log(least) - 1e-12 if least > 0 else -np.inf
+        step = float(np.log1p(V.LOG_SHIFT))
+        found: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        ahead: list[list[tuple[float, int, float]]] = [[] for _ in range(n)]
+        at = np.zeros(int(self.children.shape[0]), np.int64)
+        if len(at):
+            at = np.searchsorted(rows, np.arange(len(at)))
+
+        def reach(i: int, node: int, log_p: float) -> None:
+            if node < 0:
+                # the best labels, the worst first
+                (heapq.heappush if len(found[i]) < k else heapq.heappushpop)(found[i], (log_p, -1 - node))
+            else:
+                heapq.heappush(ahead[i], (-(log_p + step * self.height[node]), node, log_p))
+
+        for i in range(n):
+            reach(i, self.root, 0.0)
+        live = list(range(n))
+        while live:
+            opened = []
+            for i in live:
+                if ahead[i] and (bound := -ahead[i][0][0]) >= floor and (len(found[i]) < k or bound >= found[i][0][0]):
+                    opened.append((i, *heapq.heappop(ahead[i])[1:]))
+            live = [i for i, _, _ in opened]
+            if not opened:
+                break
+            looked += len(opened)
+            nodes = np.array([node for _, node, _ in opened])
+            f = _sigmoid(np.einsum("ij,ij->i", h[live], matrix[at[nodes]].astype(np.float64)))
+            logs = np.log(np.stack((1.0 - f, f), axis=1) + V.LOG_SHIFT)
+            for (i, node, log_p), (left, right) in zip(opened, logs.tolist(), strict=True):
+                reach(i, int(self.children[node, 0]), log_p + left)
+                reach(i, int(self.children[node, 1]), log_p + right)
+        return [[(p, label) for x, label in sorted(own, reverse=True) if (p := float(np.exp(x))) >= least] for own in found], looked
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-z))
+
+
+def tree_table(paths: DataFrame) -> DataFrame:
+    """(node, left, right, height) of paths (label_id, path, code): each inner node's children, label l as -1 - l; a row a node."""
+    steps = F.transform("path", lambda node, i: F.struct(node.cast("long").alias("node"), F.get("code", i).alias("right"), (i + 1).alias("height"), F.when(i == 0, -1 - F.col("label_id").cast("long")).otherwise(F.get("path", i - 1).cast("long")).alias("child")))
+    each = paths.select(F.inline(steps))
+    side = lambda right: F.max(F.when(F.col("right") == right, F.col("child")))
+    return each.groupBy("node").agg(side(False).alias("left"), side(True).alias("right"), F.max("height").alias("height"))
+
+
+def search_paths(hidden_rows: DataFrame, output: DataFrame, paths: DataFrame, k: int, threshold: float, id_col: str) -> DataFrame:
+    """(id_col, predictions) as predict_features has them, for a tree too large for one task: level by level, by joins of what lines have reached with the nodes.
+
+    id_col tells lines apart. What can't be above a line's k best, or the threshold, isn't
+    followed; each node of a level is met by a line at most once.
+    """
+    nodes = cut(tree_table(paths).join(output.select(F.col("row").cast("long").alias("node"), "vec"), "node"))
+    root = nodes.orderBy(F.col("height").desc()).select("node").first()
+    step, floor = float(np.log1p(V.LOG_SHIFT)), float(np.log(threshold) - 1e-12) if threshold > 0 else None
+    best = lambda column: F.slice(F.reverse(F.array_sort(column)), 1, k)
+    if root is None:
+        own = F.array(F.struct(F.lit(1.0).alias("p"), F.lit(0).alias("label_id")))
+        return hidden_rows.select(id_col, F.filter(own, lambda s: s["p"] >= threshold).alias("predictions"))
+    ahead = hidden_rows.select(id_col, F.lit(root.node).alias("node"), F.lit(0.0).alias("log_p"))
+    found = None
+    while True:
+        f = V.exact_sigmoid(V.dot(F.col("hidden"), F.col("vec")))
+        met = ahead.join(hidden_rows.select(id_col, "hidden"), id_col).join(nodes, "node").withColumn("f", f)
+        ways = F.array(
+            F.struct(F.col("left").alias("node"), (F.col("log_p") + V.std_log(1.0 - F.col("f"))).alias("log_p")),
+            F.struct(F.col("right").alias("node"), (F.col("log_p") + V.std_log(F.col("f"))).alias("log_p")),
+        )
+        reached = cut(met.select(id_col, F.inline(ways)))
+        new = reached.where("node < 0").select(id_col, F.struct("log_p", (-1 - F.col("node")).cast("int").alias("label_id")).alias("s"))
+        every = new.groupBy(id_col).agg(best(F.collect_list("s")).alias("b"))
+        if found is not None:
+            both = found.unionByName(every).select(id_col, F.explode("b").alias("s"))
+            every = both.groupBy(id_col).agg(best(F.collect_list("s")).alias("b"))
+        found = cut(every)
+        bound = F.col("log_p") + step * F.col("height")
+        least = F.when(F.size("b") >= k, F.get("b", F.lit(k - 1))["log_p"])
+        open_nodes = reached.where("node >= 0").join(nodes.select("node", "height"), "node").join(found, id_col, "left")
+        kept = open_nodes.where((bound >= least) | least.isNull())
+        ahead = cut((kept if floor is None else kept.where(bound >= floor)).select(id_col, "node", "log_p"))
+        if ahead.isEmpty():
+            break
+    scored = F.transform("b", lambda s: F.struct(F.exp(s["log_p"]).alias("p"), s["label_id"].alias("label_id")))
+    return found.select(id_col, F.filter(scored, lambda s: s["p"] >= max(float(threshold), 0.0)).alias("predictions"))
 
 
 def predict_features(lines: DataFrame, model: Model, k: int = 1, threshold: float = 0.0, id_col: str = "doc_id") -> DataFrame:
@@ -184,50 +298,53 @@ def predict_features(lines: DataFrame, model: Model, k: int = 1, threshold: floa
     table = hold(model.input, rows * dim, dim)
     output = hold(model.output, v.nlabels * dim, dim, "row") if table is not None else None
     if output is not None:
-        paths = _held_paths(model) if model.params.loss == LossKind.HS else None
+        paths = _held_tree(model) if model.params.loss == LossKind.HS else None
         loss, least = model.params.loss, max(float(threshold), 0.0)
         return features.map_lists(lines, [F.col(id_col)], F.col("fids"), lambda lists: [_best(*_ids(lists), table, output, paths, loss, k, least)], "predictions array<struct<p:double,label_id:int>>")
     numbered = cut(lines.select(F.col(id_col).alias("_id"), "fids", F.monotonically_increasing_id().alias("_row")))
     h = hidden(numbered.where(F.size("fids") > 0), model.input, dim, "_row", rows=rows)
     if model.params.loss == LossKind.HS:
-        nodes = max(v.nlabels - 1, 1)
-        scored = path_probabilities(logits(h, model.output, nodes, dim, "_row"), model.hs, "_row", nodes)
+        best = search_paths(cut(h), model.output, model.hs, k, max(float(threshold), 0.0), "_row")
     else:
         scored = label_probabilities(logits(h, model.output, v.nlabels, dim, "_row"), model.params.loss, "_row", v.nlabels)
-    best = scored.select("_row", top_k(F.col("scores"), k, threshold).alias("predictions"))
-    if v.nlabels > LABEL_BLOCK and model.params.loss != LossKind.HS:
-        best = best.groupBy("_row").agg(top_k(F.flatten(F.collect_list("predictions")), k, threshold).alias("predictions"))
+        best = scored.select("_row", top_k(F.col("scores"), k, threshold).alias("predictions"))
+        if v.nlabels > LABEL_BLOCK:
+            best = best.groupBy("_row").agg(top_k(F.flatten(F.collect_list("predictions")), k, threshold).alias("predictions"))
     return numbered.select("_row", "_id").join(best, "_row", "left").select(F.col("_id").alias(id_col), F.coalesce("predictions", none).alias("predictions"))
 
 
-def _held_paths(model: Model) -> Broadcast:
-    """(label ids, offsets, inner nodes, whether from the right) of all labels, as arrays."""
+def _held_tree(model: Model) -> Broadcast:
+    """The tree in all tasks, a few numbers a label."""
     own = model.hs.select("label_id", "path", "code").toArrow().sort_by("label_id").combine_chunks()
     path = own["path"].combine_chunks()
-    return model.input.sparkSession.sparkContext.broadcast((own["label_id"].to_numpy(), np.asarray(path.offsets) - path.offsets[0].as_py(), np.asarray(path.flatten(), np.int64), own["code"].combine_chunks().flatten().to_numpy(zero_copy_only=False)))
+    offsets = np.asarray(path.offsets) - path.offsets[0].as_py()
+    tree = Tree.of(own["label_id"].to_numpy(), offsets, np.asarray(path.flatten(), np.int64), own["code"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
+    return model.input.sparkSession.sparkContext.broadcast(tree)
 
 
-def _scores(h: np.ndarray, output: Held, paths: Broadcast | None, loss: LossKind) -> tuple[np.ndarray, np.ndarray]:
+def _scores(h: np.ndarray, output: Held, loss: LossKind) -> tuple[np.ndarray, np.ndarray]:
     """(label ids, probabilities [lines, labels])."""
     rows, matrix = output.held.value
     z = h @ matrix.T.astype(np.float64)
     if loss == LossKind.SOFTMAX:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return rows, e / e.sum(axis=1, keepdims=True)
-    if loss in (LossKind.OVA, LossKind.NS):
-        return rows, V.grid_sigmoid(z)
-    labels, offsets, nodes, right = paths.value
-    f = 1.0 / (1.0 + np.exp(-z[:, np.searchsorted(rows, nodes)]))
-    logs = np.log(np.where(right, f, 1.0 - f) + V.LOG_SHIFT)
-    sums = np.concatenate((np.zeros((len(h), 1)), np.cumsum(logs, axis=1)), axis=1)
-    return labels, np.exp(sums[:, offsets[1:]] - sums[:, offsets[:-1]])
+    return rows, V.grid_sigmoid(z)
 
 
 def _best(offsets: np.ndarray, ids: np.ndarray, table: Held, output: Held, paths: Broadcast | None, loss: LossKind, k: int, least: float) -> pa.Array:
     h, ends, probabilities, labels = table.means(offsets, ids), [0], [], []
-    step = max(1, (1 << 21) // max(len(output.held.value[0]) if paths is None else len(paths.value[2]), 1))
+    if paths is not None:
+        some = np.flatnonzero(np.diff(offsets))
+        found, _ = paths.value.best(h[some], *output.held.value, k, least)
+        sizes = np.zeros(len(h), np.int64)
+        sizes[some] = [len(x) for x in found]
+        each = [x for own in found for x in own]
+        structs = pa.StructArray.from_arrays([pa.array([p for p, _ in each], pa.float64()), pa.array([i for _, i in each], pa.int32())], names=["p", "label_id"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), structs)
+    step = max(1, (1 << 21) // max(len(output.held.value[0]), 1))
     for a in range(0, len(h), step):
-        names, p = _scores(h[a : a + step], output, paths, loss)
+        names, p = _scores(h[a : a + step], output, loss)
         order = np.lexsort((np.broadcast_to(names, p.shape), p), axis=1)[:, ::-1][:, :k]
         top = np.take_along_axis(p, order, axis=1)
         # a NaN is above all in the order and left out here

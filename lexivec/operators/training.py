@@ -5,11 +5,15 @@ parts), and parts are run in waves of as many as the cluster runs at once. In a
 part gets the rows of the two matrices that its lines can touch by a join (never a whole
 matrix through the driver), runs its gradient steps, and gives the rows back; rows that
 several parts changed are averaged. One part is plain sequential descent; more parts need
-more epochs for the same loss. Weights are checkpointed after each wave, so lineages stay
-short and a lost executor repeats one wave's tasks at most.
-
-Besides rows of weights a part gets what else it needs as rows: the subwords of its words,
-the paths of its targets, and negatives drawn for it from the distribution of all words.
+more epochs for the same loss.
+
+Everything a wave needs is written by waves beforehand, in the shared folder: its lines,
+the rows its parts touch, the subwords of its words, the paths of its targets, and
+negatives drawn for it, anew for each epoch, from the distribution of all words. As it is
+known which wave touches a row next, the weights are a log: a wave reads the rows that are
+filed under it, and files each, changed, under the wave that touches it next. So a wave
+reads its own lines and rows, no weights are read or written that aren't touched, and the
+last filing of each row is its value whenever training ends.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import rng
 from ..errors import InvalidArgument, NaNEncountered
@@ -29,7 +34,7 @@ from ..functions import hashing as H
 from ..functions import text as T
 from ..functions import vectors as V
 from ..params import LossKind, ModelKind, Params
-from ..storage import cut
+from ..storage import cut, fresh_dir
 from . import features, kernels, vocabulary
 from .scoring import Model
 from .vocabulary import Vocabulary
@@ -39,8 +44,8 @@ _ROWS = "mat int, row long, vec array<float>"
 _VEC = pa.list_(pa.float32())
 #: Tokens of a part's lines, on average; more make more parts.
 PART_TOKENS = 1_000_000
-#: Negatives drawn for each part, with repeats; steps draw from these.
-NEGATIVE_DRAWS = 1 << 16
+#: Negatives drawn for each part and epoch, with repeats, for each of its tokens, but at least and at most so many; steps draw from these.
+NEGATIVE_DRAWS, LEAST_DRAWS, MOST_DRAWS = 1.0, 1 << 12, 1 << 21
 #: Parts of the distribution of negatives that draws are looked up in.
 DRAW_BUCKETS = 1 << 16
 #: Words of a line for word vectors whose steps are summed up.
@@ -132,54 +137,40 @@ def learning_rate(lr: float, epoch: int, epochs: int, share):
     return np.maximum(0.0, lr * (1.0 - (epoch + share) / max(epochs, 1)))
 
 
-def _mixed(salt: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
-    """A number in [0, 1) for each salt and place."""
-    with np.errstate(over="ignore"):
-        h = salt.astype(np.int64).view(np.uint64) + np.uint64(seed * 2 + 1) * np.uint64(0x9E3779B97F4A7C15) * (at.astype(np.uint64) + np.uint64(1))
-        for k, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ h >> np.uint64(k)) * np.uint64(m)
-        h ^= h >> np.uint64(31)
-    return (h >> np.uint64(11)).astype(np.float64) / 2**53
-
-
 def word_lines(docs: DataFrame, v: Vocabulary, text_col: str) -> DataFrame:
-    """(ids array<bigint>): known words, the end of line too, that survive sub-sampling, in pieces of LINE_TOKENS + 1 known tokens.
+    """(ids array<bigint>): known words, the end of line too, in pieces of LINE_TOKENS + 1 known tokens.
 
-    Each text is a line; labels count as tokens but are left out. A small vocabulary is
-    looked up in each task, a large one by a join.
+    Each text is a line; labels count as tokens but are left out; pieces without words have
+    no row. A small vocabulary is looked up in each task, a large one by a join, with rows
+    numbered before their tokens are parted; both give the same. Sub-sampling comes later,
+    anew in each epoch.
     """
-    p, size = v.params, T.LINE_TOKENS + 1
+    size, nwords = T.LINE_TOKENS + 1, v.nwords
     tokens = T.tokens(text_col)
     ended = F.when(F.array_contains(tokens, F.lit(T.EOS)), tokens).otherwise(F.concat(tokens, F.array(F.lit(T.EOS))))
     look = v.for_tasks()
     if look is None:
-        rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(ended).alias("pos", "token"))
-        own = v.words().select("token", F.col("id").cast("long").alias("id"), vocabulary.keep_probability(F.col("count"), F.lit(v.ntokens), p.t).alias("_p"))
-        known = rows.join(own, "token").where(F.rand(p.seed) <= F.col("_p"))
-        return known.groupBy("_row", F.floor(F.col("pos") / size)).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("w")).select(F.transform("w", lambda x: x["id"]).alias("ids"))
-    counts = v.entries.select("id", "count").toArrow().sort_by("id")["count"].to_numpy()
-    with np.errstate(divide="ignore"):
-        ratio = p.t / (counts / max(v.ntokens, 1))
-    keep = docs.sparkSession.sparkContext.broadcast(np.sqrt(ratio) + ratio)
+        rows = docs.select(F.monotonically_increasing_id().alias("_row"), ended.alias("_tokens")).select("_row", F.posexplode("_tokens").alias("pos", "token"))
+        known = rows.join(v.entries.select("token", F.col("id").cast("long").alias("id")), "token")
+        whole = known.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("w")).select(F.transform("w", lambda x: x["id"]).alias("w"))
+        pieces = whole.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int")), lambda k: F.slice("w", k * size + 1, size))).alias("w"))
+        return pieces.select(F.filter("w", lambda x: x < nwords).alias("ids")).where(F.size("ids") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                offsets, words = H.list_parts(part.column(1))
+                offsets, words = H.list_parts(batch.column(0).slice(start, 1000))
                 coded = words.dictionary_encode()
                 ids = look.ids(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
                 offsets, ids = H.kept(offsets, ids, ids >= 0)
-                sizes = np.diff(offsets)
-                at = np.arange(len(ids)) - np.repeat(offsets[:-1], sizes)
-                good = (ids < look.nwords) & (_mixed(np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes), at, p.seed) <= keep.value[ids])
+                at = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
                 # a piece begins where a line does and at each size-th token
                 pieces = np.append(np.flatnonzero(at % size == 0), len(ids))
-                out, own = H.kept(pieces, ids, good)
+                out, own = H.kept(pieces, ids, ids < look.nwords)
                 out = out[np.concatenate(([True], np.diff(out) > 0))]
                 yield pa.RecordBatch.from_arrays([H.to_lists(out, own)], names=["ids"])
 
-    return docs.select(F.xxhash64(text_col).alias("salt"), ended.alias("tokens")).mapInArrow(run, "ids array<bigint>")
+    return docs.select(ended.alias("tokens")).mapInArrow(run, "ids array<bigint>")
 
 
 def _lines(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -197,34 +188,37 @@ def _lines(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> tuple[
     return lines.withColumn("part", F.pmod(F.xxhash64("key", F.lit(p.seed)), F.lit(parts)).cast("int")), parts
 
 
-def draw_negatives(chances: DataFrame, parts: int, draws: int, seed: int) -> DataFrame:
-    """(part, row, n): how often each entry of chances (id, low, high) is among the ``draws`` of each part."""
-    spark = chances.sparkSession
-    u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(2**53)).cast("double")
-    asked = spark.range(parts * draws).select(F.floor(F.col("id") / draws).cast("int").alias("part"), u.alias("u")).withColumn("bucket", F.floor(F.col("u") * DRAW_BUCKETS))
+def draw_negatives(chances: DataFrame, asked: DataFrame, seed: int) -> DataFrame:
+    """(step, part, row, n): how often each entry of chances (id, low, high) is among the ``draws`` of each row of asked (step, part, draws)."""
+    each = asked.select("step", "part", F.explode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("_k"))
+    u = (F.shiftrightunsigned(F.xxhash64("step", "part", "_k", F.lit(seed)), 11) / F.lit(2**53)).cast("double")
+    drawn = each.select("step", "part", u.alias("u")).withColumn("bucket", F.floor(F.col("u") * DRAW_BUCKETS))
     last = F.lit(DRAW_BUCKETS - 1)
     ends = lambda x: F.least(F.floor(F.col(x) * DRAW_BUCKETS), last)
     spans = chances.withColumn("bucket", F.explode(F.sequence(ends("low"), ends("high"))))
-    return asked.join(spans, "bucket").where("u >= low and u < high").groupBy("part", F.col("id").cast("long").alias("row")).agg(F.count("*").alias("n"))
+    return drawn.join(spans, "bucket").where("u >= low and u < high").groupBy("step", "part", F.col("id").cast("long").alias("row")).agg(F.count("*").alias("n"))
+
+
+_NEEDED = "part int, mat int, row long, ids array<bigint>, keep float"
 
 
-def _needed(lines: DataFrame, v: Vocabulary, n_output: int, parts: int, hs: DataFrame | None) -> DataFrame:
-    """(part, mat, row, ids): rows of weights each part may touch, subwords of its words, paths of its targets (twice the node, and one if from the right), its negatives (ids: how often)."""
+def _needed(lines: DataFrame, v: Vocabulary, parts: int, hs: DataFrame | None) -> DataFrame:
+    """(part, mat, row, ids, keep): rows of weights each part may touch in every epoch, subwords of its words and the chance that sub-sampling keeps them, paths of its targets (twice the node, and one if from the right)."""
     p = v.params
-    none = F.lit(None).cast("array<bigint>")
-    said = lambda df, mat, ids=none: df.select("part", F.lit(mat).alias("mat"), F.col("row").cast("long").alias("row"), ids.alias("ids"))
+    none, all_kept = F.lit(None).cast("array<bigint>"), F.lit(None).cast("float")
+    said = lambda df, mat, ids=none, keep=all_kept: df.select("part", F.lit(mat).alias("mat"), F.col("row").cast("long").alias("row"), ids.alias("ids"), keep.alias("keep"))
     own = lines.select("part", F.explode("ids").alias("row")).distinct()
     if p.model == ModelKind.SUPERVISED:
         out = said(own, INPUT)
         targets = lines.select("part", F.explode("targets").alias("row")).distinct().select("part", F.col("row").cast("long").alias("row"))
         counted = v.labels().select(F.col("label_id").alias("id"), "count")
     else:
-        words = cut(own.join(features.subwords(v).where("entry_type = 0").select(F.col("id").cast("long").alias("row"), "subwords"), "row"))
-        out = said(words, WORD, F.col("subwords")).unionByName(said(words.select("part", F.explode("subwords").alias("row")).distinct(), INPUT))
+        chance = vocabulary.keep_probability(F.col("count"), F.lit(max(v.ntokens, 1)), p.t).cast("float")
+        words = cut(own.join(features.subwords(v).where("entry_type = 0").select(F.col("id").cast("long").alias("row"), "subwords", chance.alias("keep")), "row"))
+        out = said(words, WORD, F.col("subwords"), F.col("keep")).unionByName(said(words.select("part", F.explode("subwords").alias("row")).distinct(), INPUT))
         targets, counted = own, v.words().select("id", "count")
     if p.loss == LossKind.NS:
-        drawn = cut(draw_negatives(vocabulary.negative_chances(counted), parts, NEGATIVE_DRAWS, p.seed))
-        out = out.unionByName(said(drawn, DRAW, F.array("n"))).unionByName(said(targets.unionByName(drawn.select("part", "row")).distinct(), OUTPUT))
+        out = out.unionByName(said(targets, OUTPUT))
     elif p.loss == LossKind.HS:
         steps = F.zip_with("path", "code", lambda node, right: node.cast("long") * 2 + right.cast("long"))
         paths = cut(targets.join(hs.select(F.col("label_id").cast("long").alias("row"), steps.alias("ids")), "row"))
@@ -237,6 +231,92 @@ def _needed(lines: DataFrame, v: Vocabulary, n_output: int, parts: int, hs: Data
     return out
 
 
+class Waves:
+    """What training reads and writes, filed by waves in a folder of its own; steps count the waves of all epochs.
+
+    lines/wave, needed/wave, draws/step and schedule/step are written once; weights/step is
+    the log of the weights, each row filed under the step that reads it next, or under
+    ``last`` if none does.
+    """
+
+    _SCHEMAS = {
+        "lines": "part int, key long, ids array<bigint>, targets array<int>, wave int",
+        "needed": f"{_NEEDED}, wave int",
+        "draws": "part int, row long, n long, step int",
+        "schedule": "mat int, row long, next int, step int",
+        "weights": "mat int, row long, vec array<float>, step int",
+    }
+
+    def __init__(self, lines: DataFrame, v: Vocabulary, parts: int, hs: DataFrame | None):
+        p, spark = v.params, lines.sparkSession
+        self.spark, self.where = spark, fresh_dir(spark, "training")
+        self.at_once = max(p.thread, spark.sparkContext.defaultParallelism)
+        self.count = -(-parts // self.at_once)
+        self.last = p.epoch * self.count
+        wave = F.floor(F.col("part") / self.at_once).cast("int")
+        self._file("lines", lines.withColumn("wave", wave), "wave", "part")
+        self._file("needed", _needed(self.read("lines"), v, parts, hs).withColumn("wave", wave), "wave", "part")
+        epochs = F.explode(F.sequence(F.lit(0), F.lit(p.epoch - 1)))
+        touched = self.read("needed").where(F.col("mat") <= OUTPUT)
+        uses = touched.select("wave", "mat", "row").distinct().withColumn("epoch", epochs).select((F.col("epoch") * self.count + F.col("wave")).cast("int").alias("step"), "mat", "row") if p.epoch else touched.select(F.col("wave").alias("step"), "mat", "row").limit(0)
+        if p.loss == LossKind.NS and p.epoch:
+            counted = v.labels().select(F.col("label_id").alias("id"), "count") if p.model == ModelKind.SUPERVISED else v.words().select("id", "count")
+            sizes = self.read("lines").groupBy("part", "wave").agg(F.sum(F.size("ids" if p.model != ModelKind.SUPERVISED else "targets")).alias("n")).withColumn("epoch", epochs)
+            asked = sizes.select((F.col("epoch") * self.count + F.col("wave")).cast("int").alias("step"), "part", F.least(F.greatest(F.ceil(F.col("n") * NEGATIVE_DRAWS), F.lit(LEAST_DRAWS)), F.lit(MOST_DRAWS)).cast("int").alias("draws"))
+            self._file("draws", draw_negatives(vocabulary.negative_chances(counted), asked, p.seed), "step", "part")
+            uses = uses.unionByName(self.read("draws").select("step", F.lit(OUTPUT).alias("mat"), "row")).distinct()
+        following = F.lead("step").over(Window.partitionBy("mat", "row").orderBy("step"))
+        self._file("schedule", uses.withColumn("next", F.coalesce(following, F.lit(self.last))), "step", "mat", "row")
+
+    def _file(self, name: str, rows: DataFrame, by: str, *order: str) -> None:
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        rows.repartitionByRange(parts, by, *order).write.mode("append").partitionBy(by).parquet(f"{self.where}/{name}")
+
+    def read(self, name: str, at: int | None = None) -> DataFrame:
+        """All rows of a table, or those filed under a wave or step, from their own folder: no other files are listed or read."""
+        fields, by = self._SCHEMAS[name].rsplit(", ", 1)
+        if at is None:
+            return self.spark.read.schema(self._SCHEMAS[name]).parquet(f"{self.where}/{name}")
+        own = f"{name}/{by.split()[0]}={at}"
+        return self.spark.read.schema(fields).parquet(f"{self.where}/{own}") if self.has(own) else self.spark.createDataFrame([], fields)
+
+    def start(self, weights: DataFrame) -> None:
+        """File the first weights (mat, row, vec) under the step that reads them first."""
+        first = self.read("schedule").groupBy("mat", "row").agg(F.min("step").alias("step"))
+        filed = weights.join(first, ["mat", "row"], "left").withColumn("step", F.coalesce("step", F.lit(self.last)))
+        self._file("weights", filed.select("mat", "row", F.col("vec").cast("array<float>").alias("vec"), "step"), "step", "mat", "row")
+
+    def take(self, step: int) -> tuple[DataFrame, DataFrame]:
+        """(lines; rows part, mat, row, vec, ids, keep) of the wave of a step."""
+        wave = step % self.count
+        needed = self.read("needed", wave)
+        if self.has("draws"):
+            draws = self.read("draws", step)
+            none = F.lit(None).cast("float").alias("keep")
+            output = needed.where(F.col("mat") == OUTPUT).select("part", "row").unionByName(draws.select("part", "row")).distinct()
+            output = output.select("part", F.lit(OUTPUT).alias("mat"), "row", F.lit(None).cast("array<bigint>").alias("ids"), none)
+            needed = needed.where(F.col("mat") != OUTPUT).unionByName(output).unionByName(draws.select("part", F.lit(DRAW).alias("mat"), "row", F.array("n").alias("ids"), none))
+        dealt = needed.where(F.col("mat") <= OUTPUT).join(self.read("weights", step), ["mat", "row"])
+        rest = needed.where(F.col("mat") > OUTPUT).withColumn("vec", F.lit(None).cast("array<float>"))
+        return self.read("lines", wave), dealt.select("part", "mat", "row", "vec", "ids", "keep").unionByName(rest.select("part", "mat", "row", "vec", "ids", "keep"))
+
+    def has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.where}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def put(self, step: int, changed: DataFrame, dim: int) -> None:
+        """File what a step has changed (mat, row, vec), the mean where parts differ, under the next steps; then drop what it has read."""
+        means = changed.where(F.col("mat") != LOSS).groupBy("mat", "row").agg(V.mean_of("vec", dim).cast("array<float>").alias("new"))
+        now = self.read("weights", step).join(means, ["mat", "row"], "left").join(self.read("schedule", step), ["mat", "row"])
+        self._file("weights", now.select("mat", "row", F.coalesce("new", "vec").alias("vec"), F.col("next").alias("step")), "step", "mat", "row")
+        self.drop(f"weights/step={step}")
+
+    def drop(self, name: str = "") -> None:
+        """Delete a table, or the whole folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.where}/{name}" if name else self.where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _kernel(p: Params, epoch: int, wave: int, waves: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = ["mat", "row", "vec"]
 
@@ -284,6 +364,11 @@ def _kernel(p: Params, epoch: int, wave: int, waves: int) -> Callable[[pa.Table,
                 step.update(places[offsets[k] : offsets[k + 1]], right if p.loss == LossKind.HS else np.searchsorted(out_rows, right), rate(offsets[k]))
         else:
             words, starts, subs = lists(WORD)
+            a, b = span(WORD)
+            keep = rows["keep"].to_numpy()[a:b]
+            ends = offsets[1:]
+            # sub-sampling, drawn anew in each epoch
+            offsets, ids = H.kept(offsets, ids, step.rng.random(len(ids)) <= keep[np.searchsorted(words, ids)])
             subs, goals = np.searchsorted(in_rows, subs), None if p.loss == LossKind.HS else np.searchsorted(out_rows, ids)
             sizes, at = np.diff(starts), np.searchsorted(words, ids)
             for k in range(lines.num_rows):
@@ -292,7 +377,7 @@ def _kernel(p: Params, epoch: int, wave: int, waves: int) -> Callable[[pa.Table,
                 goal = (ids if goals is None else goals)[a:b]
                 for s in range(0, b - a, CENTRES):
                     i, j = np.searchsorted(centre, (s, s + CENTRES))
-                    _word_steps(step, p, centre[i:j], context[i:j], at[a:b], goal, starts, sizes, subs, rate(a + s))
+                    _word_steps(step, p, centre[i:j], context[i:j], at[a:b], goal, starts, sizes, subs, rate(ends[k]))
         vecs = np.concatenate((wi, wo))
         if not np.isfinite(vecs).all():
             raise NaNEncountered(f"weights of part {part} in epoch {epoch}; lower the learning rate")
@@ -347,32 +432,28 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
     if p.loss == LossKind.HS:
         entries = v.labels().select(F.col("label_id").alias("id"), "count") if p.model == ModelKind.SUPERVISED else v.words().select("id", "count")
         hs = cut(path_table(spark, entries.toArrow().sort_by("id")["count"].to_numpy()))
-    needed = cut(_needed(lines, v, n_output, parts, hs))
+    waves = Waves(lines, v, parts, hs)
     if start:
         weights = start.input.select(F.lit(INPUT).alias("mat"), F.col("fid").cast("long").alias("row"), "vec").unionByName(start.output.select(F.lit(OUTPUT).alias("mat"), F.col("row").cast("long").alias("row"), "vec"))
     else:
-        touched = needed.where(F.col("mat") == INPUT).select("row").distinct()
+        touched = waves.read("needed").where(F.col("mat") == INPUT).select("row").distinct()
         weights = initial_rows(touched, n_input, p.dim, p.seed)
         if pretrained is not None:
             given = pretrained.join(v.words().select("token", "id"), "token").select(F.lit(INPUT).alias("mat"), F.col("id").cast("long").alias("row"), F.col("vec").cast("array<float>").alias("vec"))
             weights = given.unionByName(weights.join(given.select("row"), "row", "left_anti").select("mat", "row", "vec"))
         zero = F.array(*(F.lit(0.0).cast("float") for _ in range(p.dim)))
         weights = weights.unionByName(spark.range(n_output).select(F.lit(OUTPUT).alias("mat"), F.col("id").alias("row"), zero.alias("vec")))
-    weights, losses = cut(weights), []
-    at_once = max(p.thread, spark.sparkContext.defaultParallelism)
-    waves = -(-parts // at_once)
+    waves.start(weights)
+    losses = []
     for epoch in range(p.epoch):
         total = n = 0.0
-        for wave in range(waves):
-            inside = F.col("part").between(wave * at_once, (wave + 1) * at_once - 1)
-            mine = needed.where(inside)
-            dealt = mine.where(F.col("mat") <= OUTPUT).join(weights, ["mat", "row"]).select("part", "mat", "row", "vec", "ids")
-            dealt = dealt.unionByName(mine.where(F.col("mat") > OUTPUT).select("part", "mat", "row", F.lit(None).cast("array<float>").alias("vec"), "ids"))
-            changed = cut(dealt.groupBy("part").cogroup(lines.where(inside).groupBy("part")).applyInArrow(_kernel(p, epoch, wave, waves), _ROWS))
+        for wave in range(waves.count):
+            step = epoch * waves.count + wave
+            own_lines, rows = waves.take(step)
+            changed = cut(rows.groupBy("part").cogroup(own_lines.groupBy("part")).applyInArrow(_kernel(p, epoch, wave, waves.count), _ROWS))
             t, k = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
             total, n = total + (t or 0.0), n + (k or 0.0)
-            means = changed.where(F.col("mat") != LOSS).groupBy("mat", "row").agg(V.mean_of("vec", p.dim).cast("array<float>").alias("new"))
-            weights = cut(weights.join(means, ["mat", "row"], "left").select("mat", "row", F.coalesce("new", "vec").alias("vec")))
+            waves.put(step, changed, p.dim)
             if stop is not None and stop.is_set():
                 break
         losses.append(total / (n or 1.0))
@@ -380,6 +461,8 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
             on_epoch(epoch, losses[-1])
         if stop is not None and stop.is_set():
             break
+    weights = cut(waves.read("weights").drop("step"))
+    waves.drop()
     own = weights.where(F.col("mat") == INPUT).select("row", "vec")
     rest = initial_rows(spark.range(n_input).select(F.col("id").alias("row")).join(own.select("row"), "row", "left_anti"), n_input, p.dim, p.seed).select("row", "vec") if not start else None
     table = cut((own.unionByName(rest) if rest is not None else own).select(F.col("row").alias("fid"), "vec"))

@@ -295,8 +295,8 @@ def hs_probabilities(spark, sf_dir):
     """Hierarchical softmax over a chain; the inner nodes' rows are those of the labels."""
     lines, table, output, n = table_model(spark, sf_dir)
     z = scoring.logits(scoring.hidden(lines, table, DIM, rows=n), output.where(F.col("row") < LABELS - 1), LABELS - 1, DIM)
-    s = scoring.path_probabilities(z, training.path_table(spark, np.array(CHAIN)), n_rows=LABELS - 1).select("doc_id", F.explode("scores").alias("s"))
-    return s.select("doc_id", F.col("s.label_id").cast("int").alias("label_id"), F.round("s.p", 6).alias("p"))
+    found = scoring.path_probabilities(z, training.path_table(spark, np.array(CHAIN)))
+    return found.select("doc_id", F.col("label_id").cast("int").alias("label_id"), F.round("p", 6).alias("p"))
 
 
 def table_predictions(spark, sf_dir, k: int, threshold: float = 0.0) -> DataFrame:
