@@ -112,8 +112,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
                 say(metrics.label_report(metrics.per_label(counts).join(names, "label_id").orderBy("label_id").collect()))
             say(metrics.report(metrics.micro(counts, n, args.k, model.vocabulary.nlabels).first(), args.k))
         elif args.verb == "print-word-vectors":
-            words = lines_of(spark, args.input).select(F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''").distinct()
-            for r in scoring.word_vectors(words, model).orderBy("token").toLocalIterator():
+            # each word as often and in the order in which it is read; vectors are made once for each different word
+            words = lines_of(spark, args.input).select("line_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "token")).where("token <> ''")
+            own = scoring.word_vectors(words.select("token").distinct(), model)
+            for r in words.join(own, "token").orderBy("line_id", "pos").toLocalIterator():
                 say(r.token, _vector(r.vec))
         elif args.verb == "print-sentence-vectors":
             for r in scoring.sentence_vectors(lines_of(spark, args.input), model, "line_id").orderBy("line_id").toLocalIterator():

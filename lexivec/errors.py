@@ -15,3 +15,7 @@ class InvalidModel(LexivecError, ValueError):
 
 class NaNEncountered(LexivecError, ArithmeticError):
     """Training or a norm gave a value that isn't a number."""
+
+
+class Aborted(LexivecError, RuntimeError):
+    """Training or a search was ended before it had a result."""

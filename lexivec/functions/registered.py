@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgument
 from ..operators import neighbors, scoring
-from ..operators.scoring import BROADCAST_NUMBERS, Model
+from ..operators.scoring import Model
 from . import text as T
+from .held import HeldModel
 
 
 def register_text(spark: SparkSession) -> None:
@@ -45,22 +47,47 @@ def _ngrams_table():
 
 
 def register_model(spark: SparkSession, model: Model, name: str = "tv") -> None:
-    """Views <name>_labels, <name>_words (token, vec at length 1) and, for small models, the scalar <name>_word_vector(token).
-
-    Prediction in SQL is a query over a view made by scoring.predict, so that it stays a
-    plan of joins; a scalar function would have to hold the model in every Python worker.
+    """Views <name>_labels and <name>_words (token, vec at length 1), and for models that tasks can hold functions for SQL.
+
+    Scalars, a batch at a time: <name>_word_vector(token), of unknown tokens by their
+    n-grams; <name>_sentence_vector(text). Table functions, by lateral join: <name>_predict
+    (text, k, threshold) gives rank, label, prob; <name>_nn(word, k) gives rank, token,
+    sim. Each Python worker holds the model once. They agree with scoring.predict,
+    scoring.sentence_vectors and neighbors.nearest; models beyond BROADCAST_NUMBERS or
+    BROADCAST_ENTRIES have the views only and are asked by these.
     """
     model.vocabulary.labels().createOrReplaceTempView(f"{name}_labels")
     words = model.vocabulary.words().select("token")
     neighbors.normalized(scoring.word_vectors(words, model), "token", "vec").createOrReplaceTempView(f"{name}_words")
-    if model.vocabulary.nwords * model.params.dim <= BROADCAST_NUMBERS // 10:
-        own = {r.token: r.vec for r in scoring.word_vectors(words, model).toLocalIterator()}
-        held = spark.sparkContext.broadcast(own)
-        dim = model.params.dim
-
-        @F.arrow_udf("array<double>")
-        def word_vector(tokens: pa.Array) -> pa.Array:
-            zero = [0.0] * dim
-            return pa.array([held.value.get(t, zero) for t in tokens.to_pylist()], pa.list_(pa.float64()))
-
-        spark.udf.register(f"{name}_word_vector", word_vector)
+    try:
+        held = HeldModel.of(model)
+    except InvalidArgument:
+        return
+
+    def lists(matrix) -> pa.Array:
+        return pa.array(list(matrix), pa.list_(pa.float64()))
+
+    @F.arrow_udf("array<double>")
+    def word_vector(tokens: pa.Array) -> pa.Array:
+        return lists(held.word_vectors(tokens.to_pylist()))
+
+    @F.arrow_udf("array<double>")
+    def sentence_vector(texts: pa.Array) -> pa.Array:
+        return lists(held.sentence_vectors(texts.to_pylist()))
+
+    @F.udtf(returnType="rank int, label string, prob double", useArrow=True)
+    class Predict:
+        def eval(self, text: str, k: int, threshold: float) -> Iterator[tuple[int, str, float]]:
+            for rank, (label, prob) in enumerate(held.predict([text], int(k), float(threshold))[0]):
+                yield rank, label, prob
+
+    @F.udtf(returnType="rank int, token string, sim double", useArrow=True)
+    class Nearest:
+        def eval(self, word: str, k: int) -> Iterator[tuple[int, str, float]]:
+            for rank, (token, sim) in enumerate(held.nearest(word, int(k))):
+                yield rank + 1, token, sim
+
+    spark.udf.register(f"{name}_word_vector", word_vector)
+    spark.udf.register(f"{name}_sentence_vector", sentence_vector)
+    spark.udtf.register(f"{name}_predict", Predict)
+    spark.udtf.register(f"{name}_nn", Nearest)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rng
-from ..errors import InvalidArgument
+from ..errors import Aborted, InvalidArgument
 from ..params import LossKind, Params, parse_metric, parse_size
 from . import features, metrics, quantization, scoring, training
 from .scoring import Model
@@ -111,41 +111,54 @@ class Found:
     trials: int
 
 
-def autotune(train_docs: DataFrame, valid_docs: DataFrame, params: Params, most_trials: int | None = None, **columns) -> Found:
+def autotune(train_docs: DataFrame, valid_docs: DataFrame, params: Params, most_trials: int | None = None, stop: threading.Event | None = None, **columns) -> Found:
     """The best of the trials that fit in autotune_duration seconds, trained once more on train_docs.
 
     At least one trial is run, and at most most_trials. With autotune_model_size a trial counts only if the model
     quantized with its dsub is within the size, and the quantized model is returned. A
     trial that fails (weights that aren't numbers, nothing in the vocabulary) is passed over.
+    When the time is up, the jobs of the trial that runs are ended, those of its score too;
+    so they are once stop is set, and the best trial until then is trained.
     """
     most = parse_size(params.autotune_model_size) if params.autotune_model_size else None
     began, best = time.monotonic(), None
     ask = Proposals(params, params.autotune_duration, params.seed)
-    over = threading.Event()
-    clock = threading.Timer(params.autotune_duration, over.set)
-    clock.daemon = True
-    clock.start()
+
+    def trial(tried: Params):
+        def run(over: threading.Event) -> float | None:
+            model = training.train(train_docs, tried, stop=over, **columns)
+            if over.is_set():
+                raise Aborted("the time is up")
+            if most is not None and quantization.quantize(model, tried.dsub, _cutoff(most, tried)).bytes() > most:
+                return None
+            return score(model, valid_docs, params.autotune_metric, params.autotune_predictions, **columns)
+
+        return run
+
     while not ask.trials or (time.monotonic() - began < params.autotune_duration and ask.trials < (most_trials or math.inf)):
         tried = ask.next(time.monotonic() - began)
-        try:
-            # the first trial is run to its end; others are given up when the time is
-            model = training.train(train_docs, tried, stop=over if ask.trials > 1 else None, **columns)
-            if ask.trials > 1 and over.is_set():
+        running = training.Interruptible(train_docs.sparkSession, trial(tried), whole=True)
+        while not running.wait(0.1):
+            # the first trial is run to its end
+            if (stop is not None and stop.is_set()) or (ask.trials > 1 and time.monotonic() - began >= params.autotune_duration):
+                running.abort()
                 break
-            if most is not None and quantization.quantize(model, tried.dsub, _cutoff(most, tried)).bytes() > most:
-                continue
-            value = score(model, valid_docs, params.autotune_metric, params.autotune_predictions, **columns)
+        try:
+            value = running.result()
+        except Aborted:
+            break
         except Exception as error:
             if ask.trials == 1:
                 raise
             if not isinstance(error, ArithmeticError | ValueError) and "NaNEncountered" not in str(error):
                 raise
             continue
-        if best is None or value > best[0]:
+        if value is not None and (best is None or value > best[0]):
             best = (value, tried)
             ask.best = tried
-    clock.cancel()
     if best is None:
+        if stop is not None and stop.is_set():
+            raise Aborted("ended before the first trial had a score")
         raise InvalidArgument("no trial fits the size")
     model = training.train(train_docs, best[1], **columns)
     if most is not None:

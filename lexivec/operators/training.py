@@ -19,17 +19,19 @@ last filing of each row is its value whenever training ends.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import rng
-from ..errors import InvalidArgument, NaNEncountered
+from ..errors import Aborted, InvalidArgument, LexivecError, NaNEncountered
 from ..functions import hashing as H
 from ..functions import text as T
 from ..functions import vectors as V
@@ -417,7 +419,7 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
 
     pretrained: (token, vec) that replace the start of words in the vocabulary. start: a
     model whose vocabulary and weights are trained on. stop: checked after each wave; the
-    model is usable as it is then.
+    model is usable as it is then. The waves' jobs have the tag of a Stop.
     """
     v = start.vocabulary if start else vocabulary.build(docs, params, text_col)
     if start:
@@ -445,15 +447,23 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
         weights = weights.unionByName(spark.range(n_output).select(F.lit(OUTPUT).alias("mat"), F.col("id").alias("row"), zero.alias("vec")))
     waves.start(weights)
     losses = []
+    if isinstance(stop, Stop):
+        spark.sparkContext.addJobTag(stop.tag)
     for epoch in range(p.epoch):
         total = n = 0.0
         for wave in range(waves.count):
             step = epoch * waves.count + wave
-            own_lines, rows = waves.take(step)
-            changed = cut(rows.groupBy("part").cogroup(own_lines.groupBy("part")).applyInArrow(_kernel(p, epoch, wave, waves.count), _ROWS))
-            t, k = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
+            try:
+                own_lines, rows = waves.take(step)
+                changed = cut(rows.groupBy("part").cogroup(own_lines.groupBy("part")).applyInArrow(_kernel(p, epoch, wave, waves.count), _ROWS))
+                t, k = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
+                waves.put(step, changed, p.dim)
+            except Exception:
+                # an interrupted wave leaves the weights as the last one filed them
+                if stop is None or not stop.is_set():
+                    raise
+                break
             total, n = total + (t or 0.0), n + (k or 0.0)
-            waves.put(step, changed, p.dim)
             if stop is not None and stop.is_set():
                 break
         losses.append(total / (n or 1.0))
@@ -461,6 +471,8 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
             on_epoch(epoch, losses[-1])
         if stop is not None and stop.is_set():
             break
+    if isinstance(stop, Stop):
+        spark.sparkContext.removeJobTag(stop.tag)
     weights = cut(waves.read("weights").drop("step"))
     waves.drop()
     own = weights.where(F.col("mat") == INPUT).select("row", "vec")
@@ -470,26 +482,56 @@ def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str
     return Model(p, v, table, output, hs, tuple(losses))
 
 
-class TrainingHandle:
-    """Training in a thread of its own; abort() ends it after the wave that runs."""
+class Stop(threading.Event):
+    """Set to end work, whose Spark jobs have its tag."""
+
+    def __init__(self):
+        super().__init__()
+        self.tag = f"lexivec-{uuid.uuid4().hex}"
 
-    def __init__(self, docs: DataFrame, params: Params, **given):
-        self._stop, self._out, self._error = threading.Event(), None, None
+
+class Interruptible:
+    """Work in a thread of its own; abort() ends the jobs that run and have the tag of its Stop: all of them if ``whole``."""
+
+    def __init__(self, spark: SparkSession, work: Callable[[Stop], object], whole: bool = False):
+        self._stop, self._out, self._error, self._done = Stop(), None, None, threading.Event()
+        self._context = spark.sparkContext
 
         def run() -> None:
             try:
-                self._out = train(docs, params, stop=self._stop, **given)
+                if whole:
+                    self._context.addJobTag(self._stop.tag)
+                self._out = work(self._stop)
             except Exception as error:
-                self._error = error
+                self._error = Aborted("ended before there was a result") if self._stop.is_set() and not isinstance(error, LexivecError) else error
+            finally:
+                self._done.set()
 
-        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread = InheritableThread(target=run, session=spark)
+        self._thread.daemon = True
         self._thread.start()
 
     def abort(self) -> None:
+        """Ends the jobs that run; the thread goes on after them."""
         self._stop.set()
+        self._context.cancelJobsWithTag(self._stop.tag)
+
+    def wait(self, seconds: float) -> bool:
+        """Whether it has ended, after so many seconds at most."""
+        return self._done.wait(seconds)
 
-    def result(self) -> Model:
+    def result(self):
         self._thread.join()
         if self._error:
             raise self._error
         return self._out
+
+
+class TrainingHandle(Interruptible):
+    """Training in a thread of its own; abort() ends the wave that runs, and the result is the model as the waves before left it.
+
+    What comes before the first wave isn't ended, nor a first wave that begins after abort().
+    """
+
+    def __init__(self, docs: DataFrame, params: Params, **given):
+        super().__init__(docs.sparkSession, lambda stop: train(docs, params, stop=stop, **given))

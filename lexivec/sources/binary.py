@@ -244,25 +244,53 @@ def save_binary(model: Model | QuantizedModel, path: str) -> None:
             _write_matrix(sink, m.output, m.output.count(), p.dim, "row")
 
 
-def save(model: Model, path: str) -> None:
-    """The model as a folder of Parquet tables and one of parameters; every table is written by its tasks."""
-    spark = model.input.sparkSession
-    v = model.vocabulary
-    model.input.write.mode("overwrite").parquet(f"{path}/input")
-    model.output.write.mode("overwrite").parquet(f"{path}/output")
+def _save_quantized(q: Quantized, path: str) -> dict:
+    """Codes and codebooks as tables; returns what else is needed."""
+    spark = q.codes.sparkSession
+    q.codes.write.mode("overwrite").parquet(f"{path}/codes")
+    rows = [(m, k, c.tolist()) for m, book in enumerate(q.books) for k, c in enumerate(book)]
+    if q.norm_book is not None:
+        rows += [(-1, k, c.tolist()) for k, c in enumerate(q.norm_book)]
+    spark.createDataFrame(rows, "m int, code int, centroid array<float>").coalesce(1).write.mode("overwrite").parquet(f"{path}/books")
+    return {"row_col": q.row_col}
+
+
+def _load_quantized(spark: SparkSession, path: str, facts: dict) -> Quantized:
+    books: dict[int, list] = {}
+    for r in spark.read.parquet(f"{path}/books").orderBy("m", "code").collect():
+        books.setdefault(r.m, []).append(r.centroid)
+    made = {m: np.array(b, np.float32) for m, b in books.items()}
+    return Quantized(spark.read.parquet(f"{path}/codes"), [made[m] for m in sorted(made) if m >= 0], facts["row_col"], made.get(-1))
+
+
+def save(model: Model | QuantizedModel, path: str) -> None:
+    """The model as a folder of Parquet tables and one of parameters; every table is written by its tasks. Quantized matrices are written as codes."""
+    quantized = model if isinstance(model, QuantizedModel) else None
+    m = model.model if quantized else model
+    spark, v = m.input.sparkSession, m.vocabulary
+    facts = {"params": asdict(m.params), "nwords": v.nwords, "nlabels": v.nlabels, "ntokens": v.ntokens, "losses": m.losses, "prune": v.prune is not None, "hs": m.hs is not None}
+    for name in ("input", "output"):
+        codes = getattr(quantized, name) if quantized else None
+        if codes is not None:
+            facts[name] = _save_quantized(codes, f"{path}/{name}")
+        else:
+            getattr(m, name).write.mode("overwrite").parquet(f"{path}/{name}")
     v.entries.write.mode("overwrite").parquet(f"{path}/entries")
     if v.prune is not None:
         v.prune.write.mode("overwrite").parquet(f"{path}/prune")
-    if model.hs is not None:
-        model.hs.write.mode("overwrite").parquet(f"{path}/paths")
-    facts = {"params": asdict(model.params), "nwords": v.nwords, "nlabels": v.nlabels, "ntokens": v.ntokens, "losses": model.losses, "prune": v.prune is not None, "hs": model.hs is not None}
+    if m.hs is not None:
+        m.hs.write.mode("overwrite").parquet(f"{path}/paths")
     spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").json(f"{path}/facts")
 
 
-def load(spark: SparkSession, path: str) -> Model:
+def load(spark: SparkSession, path: str) -> Model | QuantizedModel:
     facts = json.loads(spark.read.schema("facts string").json(f"{path}/facts").first()[0])
     given = facts["params"]
     p = Params(**{**given, "loss": LossKind(given["loss"]), "model": ModelKind(given["model"])})
     table = lambda name: spark.read.parquet(f"{path}/{name}")
     v = Vocabulary(table("entries"), facts["nwords"], facts["nlabels"], facts["ntokens"], p, table("prune") if facts["prune"] else None)
-    return Model(p, v, table("input"), table("output"), table("paths") if facts["hs"] else None, tuple(facts["losses"]))
+    codes = {name: _load_quantized(spark, f"{path}/{name}", facts[name]) if name in facts else None for name in ("input", "output")}
+    inputs = codes["input"].dense() if codes["input"] else table("input")
+    outputs = codes["output"].dense().select(F.col("row").cast("int").alias("row"), "vec") if codes["output"] else table("output")
+    model = Model(p, v, inputs, outputs, table("paths") if facts["hs"] else None, tuple(facts["losses"]))
+    return QuantizedModel(model, codes["input"], codes["output"]) if codes["input"] else model
