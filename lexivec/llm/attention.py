@@ -202,9 +202,15 @@ class Adam:
         flat -= np.float32(scale) * self.m / (np.sqrt(self.v) + np.float32(1e-7))
 
 
-def take_windows(ids: np.ndarray, before: np.ndarray, start: np.ndarray, first: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, live) of windows over ids and the ids before each; places after the end repeat the last and aren't live."""
-    at = start[:, None] + np.arange(size)
-    live = (at < end[:, None]) & (np.arange(size) >= first[:, None])
-    at = np.minimum(at, end[:, None] - 1)
-    return before[at], ids[at], live
+class Windows:
+    """Windows over ids and the ids before each."""
+
+    def __init__(self, ids: np.ndarray, before: np.ndarray, size: int):
+        self.place = np.arange(size)
+        wide = lambda a: np.lib.stride_tricks.sliding_window_view(np.concatenate((a, np.zeros(size, a.dtype))), size)
+        self.ids, self.before = wide(ids), wide(before)
+
+    def take(self, start: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, live) of windows; places after the end have what follows there and aren't live."""
+        live = (self.place < (end - start)[:, None]) & (self.place >= first[:, None])
+        return self.before[start], self.ids[start], live

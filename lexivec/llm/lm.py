@@ -39,6 +39,8 @@ PART_WORDS, PART_TOKENS = 400_000, 6_000_000
 PIECE_BYTES = 1 << 20
 #: Windows of a training step, and of a piece that is scored.
 STEP_WINDOWS, SCORE_WINDOWS = 256, 1024
+#: Words whose windows are made together.
+STEP_WORDS = 50_000
 #: Waves of training: the sixteenths of the documents up to which each goes, and its rate.
 WAVES = ((1, 0.03), (6, 0.02), (16, 0.006))
 #: The end of a text as a word; no word is empty.
@@ -80,7 +82,7 @@ class Words(dict):
 
 
 class Pieces(dict):
-    """Words to numbers; ``ids`` and ``ends`` have the subword ids of word n at ids[ends[n - 1] : ends[n]]."""
+    """Words to numbers, in the order of their coming; ``table`` has their subword ids."""
 
     def __init__(self, coding: Coding):
         import tiktoken
@@ -90,31 +92,38 @@ class Pieces(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines)) if int(b) < coding.shape.ids - 1}
         self.encoding = tiktoken.Encoding("pieces", pat_str=coding.pattern, mergeable_ranks=ranks, special_tokens={})
         # ids go by the order of their bytes, so that classes are alike
-        self.of_rank = {ranks[t]: k for k, t in enumerate(sorted(ranks))}
+        self.of_rank, self.end = {ranks[t]: k for k, t in enumerate(sorted(ranks))}, coding.shape.ids - 1
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.ids, self.ends = array.array("h"), array.array("q")
+        self.ids, self.sizes = array.array("h"), array.array("i")
 
     def __missing__(self, word: bytes) -> int:
-        text, of = " " + word.decode(), self.of_rank
-        for k in range(0, len(text), 1000):
-            self.ids.extend([of[r] for r in self.encoding.encode_ordinary(text[k : k + 1000])])
-        self.ends.append(len(self.ids))
+        text, of, before = " " + word.decode(), self.of_rank, len(self.ids)
+        if word == END:
+            self.ids.append(self.end)
+        else:
+            for k in range(0, len(text), 1000):
+                self.ids.extend([of[r] for r in self.encoding.encode_ordinary(text[k : k + 1000])])
+        self.sizes.append(len(self.ids) - before)
         self[word] = n = len(self)
         return n
 
-    def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many each word has) of words by number."""
-        return spread(np.array(self.ids), np.array(self.ends), numbers)
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start of each word's, how many it has)."""
+        sizes = np.array(self.sizes, np.int64)
+        return np.array(self.ids, np.int16), np.cumsum(sizes) - sizes, sizes
 
 
-def spread(ids: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.concatenate(([0], ends[:-1]))
-    n = (ends - starts)[numbers]
+def spread(table: tuple[np.ndarray, np.ndarray, np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all lists of word numbers, one after the other; how many each list has)."""
+    ids, starts, sizes = table
+    words = np.concatenate(numbers)
+    n = sizes[words]
     after = np.cumsum(n)
-    return ids[np.arange(after[-1] if len(n) else 0) + np.repeat(starts[numbers] - after + n, n)], n
+    ends = np.cumsum([len(x) for x in numbers])
+    return ids[np.arange(after[-1]) + np.repeat(starts[words] - after + n, n)], np.diff(after[ends - 1], prepend=0)
 
 
 _PIECES: dict[Coding, Pieces] = {}
@@ -200,10 +209,10 @@ def _id_counts(coding: Coding):
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
             own.forget()
-            end = np.array([w == END for w in words], bool)
-            total[-1] += n[end].sum()
-            ids, sizes = own.spread(np.fromiter((own[w] for w in words if w != END), np.int64))
-            total += np.bincount(ids, np.repeat(n[~end], sizes), len(total))
+            for w in words:
+                own[w]
+            ids, _, sizes = own.table()
+            total += np.bincount(ids, np.repeat(n, sizes), len(total))
         own.forget()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["id", "n"])
@@ -229,33 +238,26 @@ def _train(coding: Coding, flat: np.ndarray, rate: float):
         def step(x: np.ndarray, y: np.ndarray, live: np.ndarray) -> None:
             adam.step(net.flat, net.gradient(x, y, live)[1] / np.float32(live.sum()))
 
-        def sequences() -> Iterator[np.ndarray]:
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    if len(own) > PART_WORDS:
-                        own.forget()
-                    found = [np.fromiter(map(own.__getitem__, words), np.int64) for words in words_of(text)]
-                    yield np.append(own.spread(np.concatenate(found))[0], np.int16(shape.ids - 1))
-
-        def ready(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            ids, lengths = np.concatenate(held), np.array([len(h) for h in held])
-            before = _before(ids, lengths, shape.ids - 1)
+        def learn(numbers: list[np.ndarray]) -> int:
+            ids, lengths = spread(own.table(), numbers)
             places = attention.windows(lengths, shape.window, shape.window)
+            look = attention.Windows(ids, _before(ids, lengths, shape.ids - 1), shape.window)
             for k in range(0, len(places[0]), STEP_WINDOWS):
-                yield attention.take_windows(ids, before, *(p[k : k + STEP_WINDOWS] for p in places), shape.window)
+                step(*look.take(*(p[k : k + STEP_WINDOWS] for p in places)))
+            return len(ids)
 
         held, n = [], 0
-        for ids in sequences():
-            held.append(ids)
-            n += len(ids)
-            if n >= STEP_WINDOWS * shape.window * 8:
-                for w in ready(held):
-                    step(*w)
-                seen, held, n = seen + n, [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = [np.fromiter(map(own.__getitem__, words), np.int64) for words in words_of(text)]
+                held.append(np.concatenate([*found, [own[END]]]).astype(np.int64))
+                n += len(held[-1])
+                if n >= STEP_WORDS or len(own) > PART_WORDS:
+                    seen, held, n = seen + learn(held), [], 0
+                    if len(own) > PART_WORDS:
+                        own.forget()
         if held:
-            for w in ready(held):
-                step(*w)
-            seen += n
+            seen += learn(held)
         own.forget()
         if seen:
             vec = np.zeros(-(-shape.size // shape.dim) * shape.dim, np.float32)
@@ -304,48 +306,33 @@ def _scored(coding: Coding, flat: np.ndarray, total: int, different: int):
         logs = np.log10((c + 0.5) / (total + 0.5 * (different + 1)))
         own, net = pieces(coding), attention.Net(shape, flat)
         own.forget()
-        end = words["word"].map(len).to_numpy() == 0
         for w in words["word"]:
-            if w:
-                own[bytes(w)]
-        # the end of a text is the last id, and a word of one id
-        sizes = np.diff(np.array(own.ends), prepend=0)
-        n = np.ones(len(words), np.int64)
-        n[~end] = sizes
-        ids = np.empty(int(n.sum()), np.int16)
-        is_end = np.repeat(end, n)
-        ids[is_end], ids[~is_end] = shape.ids - 1, np.array(own.ids)
-        ends = np.cumsum(n)
+            own[w]
+        table = own.table()
         own.forget()
-        out = []
-        for numbers in docs["numbers"]:
-            numbers = np.frombuffer(numbers, "<i4")
-            out.append((len(numbers), int((c[numbers] > 0).sum()), float(logs[numbers].sum())))
-        score = np.zeros(len(docs))
-        waiting: list[tuple[int, np.ndarray]] = []
+        out, score, waiting, held = [], np.zeros(len(docs)), [], 0
 
-        def settle() -> None:
-            which, lengths = np.array([k for k, _ in waiting]), np.array([len(x) for _, x in waiting])
-            seq = np.concatenate([x for _, x in waiting])
-            before, of = _before(seq, lengths, shape.ids - 1), np.repeat(which, lengths)
+        def settle(first: int) -> None:
+            """Score the documents that wait, the first of which is the ``first`` of all."""
+            ids, lengths = spread(table, waiting)
+            of = first + np.repeat(np.arange(len(lengths)), lengths)
             places = attention.windows(lengths, shape.window, shape.fresh)
+            look = attention.Windows(ids, _before(ids, lengths, shape.ids - 1), shape.window)
             for k in range(0, len(places[0]), SCORE_WINDOWS):
-                start, first, last = (p[k : k + SCORE_WINDOWS] for p in places)
-                x, y, live = attention.take_windows(seq, before, start, first, last, shape.window)
-                owner = np.broadcast_to(of[start][:, None], live.shape)[live]
-                score[:] += np.bincount(owner, net.scores(x, y, live), len(score))
-            waiting.clear()
+                start, begin, end = (p[k : k + SCORE_WINDOWS] for p in places)
+                x, y, live = look.take(start, begin, end)
+                score[:] += np.bincount(np.repeat(of[start], live.sum(axis=1)), net.scores(x, y, live), len(score))
 
-        held = 0
         for k, numbers in enumerate(docs["numbers"]):
-            own_ids, _ = spread(ids, ends, np.frombuffer(numbers, "<i4").astype(np.int64))
-            waiting.append((k, own_ids))
-            held += len(own_ids)
-            if held > SCORE_WINDOWS * shape.fresh * 16:
-                settle()
-                held = 0
+            numbers = np.frombuffer(numbers, "<i4").astype(np.int64)
+            out.append((len(numbers), int((c[numbers] > 0).sum()), float(logs[numbers].sum())))
+            waiting.append(numbers)
+            held += len(numbers)
+            if held > STEP_WORDS:
+                settle(k + 1 - len(waiting))
+                waiting, held = [], 0
         if waiting:
-            settle()
+            settle(len(docs) - len(waiting))
         known = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
         return pd.DataFrame({"id": docs["id"].to_numpy(), "held": docs["held"].to_numpy(), "n_tokens": known["n_tokens"], "n_known": known["n_known"], "base_score": known["base_score"], "score": score / np.log(10)})
 
