@@ -10,6 +10,7 @@ points; ends are exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from math import log2
 
@@ -65,9 +66,12 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 #: Keys whose form tells what they are, and runs of letters and digits that may be one.
 _FORMS = re.compile(
-    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"
     r"|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?"
 )
+#: Three-part tokens: where one may begin, and what follows its first part, which is looked for from the dot before it.
+_TOKEN_HEAD, _TOKEN_REST, _TOKEN = re.compile(r"(?<![A-Za-z0-9])eyJ"), re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
 #: Score of a key whose form tells it, and the least bits a character of a run that may be a key.
 FORM_SCORE, LEAST_BITS = 0.9, 3.0
@@ -146,12 +150,47 @@ def bits(run: str) -> float:
     return -sum(n / len(run) * log2(n / len(run)) for n in map(run.count, set(run)))
 
 
+def three_parts(text: str, at: int) -> tuple[int, int] | None:
+    """The first match of ``eyJ..``, ``eyJ..`` and a third part, parted by dots, from a place on; each run between dots is looked at once."""
+    dot = text.find(".", at)
+    while dot >= 0:
+        rest = _TOKEN_REST.match(text, dot)
+        if rest:
+            head = _TOKEN_HEAD.search(text, at + len(text[at:dot].rstrip(_TOKEN)), dot)
+            if head and dot - head.end() >= 8:
+                return head.start(), rest.end()
+        at = dot + 1
+        dot = text.find(".", at)
+    return None
+
+
+def forms(text: str) -> list[tuple[int, int]]:
+    """Leftmost, non-overlapping keys whose form tells what they are."""
+    out: list[tuple[int, int]] = []
+    at, end = 0, (len(text) + 1, 0)
+    key, token = (-1, 0), (-1, 0)
+    while True:
+        # what was found stands as long as nothing found before reaches into it
+        if key[0] < at:
+            found = _FORMS.search(text, at)
+            key = found.span() if found else end
+        if token[0] < at:
+            token = three_parts(text, at) or end
+        first = min(key, token)
+        if first == end:
+            return out
+        out.append(first)
+        at = first[1]
+
+
 def secrets(text: str) -> list[tuple[int, int]]:
-    """Keys of known forms, and runs of 20 characters or more with digits and letters that look random; none within another."""
-    out = [m.span() for m in _FORMS.finditer(text)]
+    """Keys of known forms, and runs of 20 characters or more with digits and letters that look random and aren't UUIDs; none within another."""
+    known = forms(text)
+    ends, out = [e for _, e in known], list(known)
     for m in _RUN.finditer(text):
         run = m[0]
-        if _DIGIT.search(run) and not run.isdigit() and bits(run) >= LEAST_BITS and not any(s < m.end() and m.start() < e for s, e in out):
+        k = bisect_right(ends, m.start())  # the first key that ends after the run's start
+        if _DIGIT.search(run) and not run.isdigit() and bits(run) >= LEAST_BITS and not _UUID.fullmatch(run) and not (k < len(known) and known[k][0] < m.end()):
             out.append(m.span())
     return sorted(out)
 
@@ -164,7 +203,7 @@ _SAID = {k: (re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, CONTEXT[k]))
 def score(kind: str, text: str, start: int, end: int) -> float:
     """The kind's score, raised by words for it and lowered by words against it, before or after the span."""
     near = f"{text[max(0, start - CONTEXT_BEFORE) : start]}\n{text[end : end + CONTEXT_AFTER]}".lower()
-    base = FORM_SCORE if kind == "secret" and _FORMS.fullmatch(text, start, end) else SCORE[kind]
+    base = FORM_SCORE if kind == "secret" and (_FORMS.fullmatch(text, start, end) or three_parts(text[start:end], 0) == (0, end - start)) else SCORE[kind]
     words, against = _SAID[kind]
     return round(min(1.0, max(0.0, base + CONTEXT_GAIN * (bool(words.search(near)) - bool(against.search(near))))), 2)
 
