@@ -13,19 +13,39 @@ def _ratio(a, b, none):
     return F.coalesce(F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b), none)
 
 
+def marks(predictions: DataFrame, gold: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, label_id, _p, _g): a row for each label that an example is given or has; _p is 1 if it is given, _g how often it has it."""
+    golds = gold.groupBy(id_col, "label_id").agg(F.count("*").alias("_g"))
+    given = predictions.select(id_col, "label_id").distinct().withColumn("_p", F.lit(1))
+    return given.join(golds, [id_col, "label_id"], "full")
+
+
+def _counts() -> list:
+    return [F.count("_p").alias("predicted"), F.coalesce(F.sum("_g"), F.lit(0)).alias("gold"), F.count(F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), 1)).alias("hits")]
+
+
 def confusion(predictions: DataFrame, gold: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(label_id, predicted, gold, hits) of predictions (id, label_id, ..) and gold (id, label_id).
 
     Repeated gold labels count as gold each time but hit once.
     """
-    golds = gold.groupBy(id_col, "label_id").agg(F.count("*").alias("_g"))
-    given = predictions.select(id_col, "label_id").distinct().withColumn("_p", F.lit(1))
-    both = given.join(golds, [id_col, "label_id"], "full")
-    return both.groupBy("label_id").agg(
-        F.count("_p").alias("predicted"),
-        F.coalesce(F.sum("_g"), F.lit(0)).alias("gold"),
-        F.count(F.when(F.col("_p").isNotNull() & F.col("_g").isNotNull(), 1)).alias("hits"),
-    )
+    return marks(predictions, gold, id_col).groupBy("label_id").agg(*_counts())
+
+
+def grouped(predictions: DataFrame, gold: DataFrame, examples: DataFrame, by: list[str], id_col: str = "doc_id", sets: str = "cube") -> DataFrame:
+    """Counts, precision, recall and f1 for each label and each group of examples (id_col, *by), and for their combinations, in one pass.
+
+    ``level`` (bits from the last of by and label_id) tells what a row is summed over: 0 is
+    a label in a group, all bits set the whole. sets: cube for all combinations, rollup for
+    those that drop columns from the right. Predictions and gold of ids that examples lacks
+    are left out; a repeated id's groups count each. Null groups are groups; where a sum is
+    over a column it is null too, which level tells apart. Ratios without a denominator are
+    null. Precision is over the predictions given.
+    """
+    rows = marks(predictions, gold, id_col).join(examples.select(id_col, *by), id_col)
+    keys = [*by, "label_id"]
+    sums = getattr(rows, sets)(*keys).agg(F.grouping_id().cast("int").alias("level"), *_counts())
+    return per_label(sums).select(*keys, "level", "predicted", "gold", "hits", "precision", "recall", "f1")
 
 
 def per_label(counts: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import features, kernels, metrics, neighbors, quantization, scoring, training, vocabulary
+from ..operators import features, frequent, kernels, metrics, neighbors, quantization, scoring, training, vocabulary
 from ..params import LossKind, Params
 from ..storage import fresh_dir, spread
 
@@ -129,6 +129,15 @@ def labelled(docs: DataFrame, column: str = "lang") -> DataFrame:
     return docs.withColumn("text", F.concat_ws(" ", F.concat(F.lit("__label__"), F.col(column)), "text"))
 
 
+@query(f"WITH {EACH}, c AS (SELECT token, count(*)::BIGINT AS count FROM e GROUP BY token) SELECT token, count FROM c WHERE count > (SELECT sum(count) FROM c) / 200")
+def frequent_tokens(spark, sf_dir):
+    """Tokens that are over a two-hundredth of all: found with 800 counters a task, then counted."""
+    tokens = vocabulary.explode_tokens(read(spark, sf_dir, "documents"))
+    near = frequent.frequent(tokens, 800)  # at most 800 tokens
+    counts = tokens.join(F.broadcast(near.select("token")), "token").groupBy("token").agg(F.count("*").alias("count"))
+    return counts.crossJoin(F.broadcast(tokens.agg(F.count("*").alias("total")))).where("count > total / 200").select("token", "count")
+
+
 @query(f"WITH {VOCAB}, s AS (SELECT sum(count)::DOUBLE AS n FROM c) SELECT token, round(sqrt(1e-4 / (count / n)) + 1e-4 / (count / n), 6) AS p FROM v, s")
 def keep_probability(spark, sf_dir):
     v = vocab(spark, sf_dir)
@@ -385,6 +394,23 @@ def pr_curve(spark, sf_dir):
     return metrics.curve(s, table_gold(spark, sf_dir)).select("label_id", "threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+@query(f"WITH {_RANKED}, {_GOLD}, c AS (SELECT doc_id, label_id, r.doc_id AS p, g.doc_id AS g FROM (SELECT * FROM r WHERE rank < 3) r FULL JOIN gold g USING (doc_id, label_id)), x AS (SELECT lang, source, label_id, p, g FROM c JOIN documents USING (doc_id)), s AS (SELECT lang, source, label_id, grouping(lang, source, label_id)::INT AS level, count(p) AS predicted, count(g) AS gold, count(*) FILTER (p IS NOT NULL AND g IS NOT NULL) AS hits FROM x GROUP BY CUBE (lang, source, label_id)) SELECT lang, source, label_id, level, predicted::BIGINT AS predicted, gold::BIGINT AS gold, hits::BIGINT AS hits, round(hits / nullif(predicted, 0), 6) AS precision, round(hits / nullif(gold, 0), 6) AS recall, round(2 * hits / nullif(predicted + gold, 0), 6) AS f1 FROM s")
+def eval_grouped(spark, sf_dir):
+    """Hits of the three best labels by language, source, label and all their combinations."""
+    found = metrics.grouped(table_predictions(spark, sf_dir, 3), table_gold(spark, sf_dir), read(spark, sf_dir, "documents"), ["lang", "source"])
+    return found.select("lang", "source", "label_id", "level", "predicted", "gold", "hits", *(F.round(x, 6).alias(x) for x in ("precision", "recall", "f1")))
+
+
+@query(f"WITH t AS (SELECT unnest(list_filter({_SPLIT}, lambda x: x <> '</s>')) AS token FROM documents), e AS (SELECT token FROM t UNION ALL SELECT '__label__' || lang FROM documents UNION ALL SELECT '</s>' FROM documents), c AS (SELECT token, count(*)::BIGINT AS count, (starts_with(token, '__label__'))::TINYINT AS kind FROM e GROUP BY token) SELECT token, count, kind FROM c WHERE count >= 2 OR kind = 1")
+def saved_dictionary(spark, sf_dir):
+    """The dictionary of a trained model, from the file that the data source wrote and read."""
+    from ..sources import model_format
+
+    path = fresh_dir(spark, "model") + ".bin"
+    model_format.write_model(_trained(spark, sf_dir, epoch=0), path)
+    return spark.read.format("lexivec").option("table", "entries").load(path).select("token", "count", "kind")
+
+
 @query(f"WITH {_GOLD} SELECT label_id, count(*)::BIGINT AS support FROM gold GROUP BY label_id")
 def label_support(spark, sf_dir):
     return table_gold(spark, sf_dir).groupBy("label_id").agg(F.count("*").alias("support"))
