@@ -23,6 +23,12 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def checked_norm(v):
+    """norm, but an error where it isn't a number."""
+    n = norm(v)
+    return F.when(F.isnan(n), F.raise_error(F.lit("a norm isn't a number"))).otherwise(n)
+
+
 def add(a: Column, b: Column, scale: float = 1.0) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y * F.lit(scale))
 

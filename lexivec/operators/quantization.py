@@ -132,7 +132,7 @@ def quantize_matrix(table: DataFrame, dim: int, dsub: int, qnorm: bool = False,
     """Codes of (row_col, vec); with qnorm the rows' lengths are quantized apart from their directions."""
     own, lengths, norm_book = table.select(row_col, "vec"), None, None
     if qnorm:
-        length = V.norm(F.col("vec"))
+        length = V.checked_norm(F.col("vec"))
         own = cut(own.withColumn("n", length))
         norms = own.select(row_col, F.array(F.col("n").cast("float")).alias("vec"))
         norm_book = codebook_array(fit(norms, 1, 1, row_col))[0]
@@ -147,7 +147,7 @@ def select_rows(model: Model, cutoff: int) -> DataFrame:
     """(fid): the end-of-line row first, then the longest rows, ``cutoff`` in all; ties by id."""
     eos = model.vocabulary.id_of(T.EOS)
     first = F.col("fid") == F.lit(-1 if eos is None else eos)
-    return model.input.select("fid", first.cast("int").alias("eos"), V.norm(F.col("vec")).alias("n")).orderBy(F.desc("eos"), F.desc("n"), "fid").limit(cutoff).select("fid")
+    return model.input.select("fid", first.cast("int").alias("eos"), V.checked_norm(F.col("vec")).alias("n")).orderBy(F.desc("eos"), F.desc("n"), "fid").limit(cutoff).select("fid")
 
 
 def prune_model(model: Model, cutoff: int) -> Model:

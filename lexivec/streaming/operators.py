@@ -37,7 +37,9 @@ def window_meter(events: DataFrame, ts_col: str, hit: Column, late: str = "10 mi
     """
     timed = events.withWatermark(ts_col, late) if events.isStreaming else events
     frame = F.session_window(ts_col, session_gap) if session_gap else F.window(ts_col, size, slide) if slide else F.window(ts_col, size)
-    sums = timed.groupBy(frame.alias("w"), *by).agg(F.count("*").alias("n"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"))
+    # Spark wants another key beside session windows on a stream; this one is 0 for all rows
+    keys = [*by] or ([(F.unix_micros(F.col(ts_col).cast("timestamp")) % 1).alias("_all")] if session_gap and events.isStreaming else [])
+    sums = timed.groupBy(frame.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"))
     return sums.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "hits", (F.col("hits") / F.col("n")).alias("precision"))
 
 
