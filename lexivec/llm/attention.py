@@ -18,7 +18,7 @@ from math import prod
 
 import numpy as np
 
-#: exp() of more than this is held at it; both the choice and its alternatives are.
+#: What exp() is taken of is held between this and its negative, for a choice and for its alternatives alike.
 _TOP = np.float32(30)
 #: Windows that are scored at once up to the choices, so that what they need stays near the processor.
 ATTEND_WINDOWS = 256
@@ -99,7 +99,7 @@ class Net:
         v = np.empty((n, size, d + 1), np.float32)
         v[:, :, :d], v[:, :, d] = qkv[:, :, 2 * d :], 1  # the last column adds up the weights
         s = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(s, _TOP, out=s)
+        np.clip(s, -_TOP, _TOP, out=s)
         np.exp(s, out=s)
         s *= self.causal
         c = np.matmul(s, v)
@@ -127,8 +127,8 @@ class Net:
             p = z[:, :size] if size < z.shape[1] else z
             for g, i, j in spans:
                 np.matmul(own[i:j], u[g].T, out=p[i:j])
-            if len(p) and p.max() > _TOP:
-                np.minimum(p, _TOP, out=p)
+            if len(p) and (p.max() > _TOP or p.min() < -_TOP):
+                np.clip(p, -_TOP, _TOP, out=p)
             total += p[rows, pick]
             np.exp(p, out=p)
             sums = p.sum(axis=1)
