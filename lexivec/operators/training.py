@@ -496,7 +496,7 @@ class Interruptible:
     def __init__(self, spark: SparkSession, work: Callable[[Stop], object], whole: bool = False):
         self._stop, self._out, self._error, self._done = Stop(), None, None, threading.Event()
         self._context = spark.sparkContext
-        # an interrupted task would give its Python worker back with a closed channel, and the next task there fails; left alone, Spark ends such a worker
+        # an interrupted task may give its Python worker back with a closed channel, and the next task there fails; this makes it rarer, not impossible
         spark.conf.set("spark.sql.execution.interruptOnCancel", "false")
 
         def run() -> None:
