@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 import threading
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rng
@@ -28,6 +29,8 @@ STEPS = (
 )
 MINN = (0, 2, 3)
 DEFAULT_BUCKET = 2_000_000
+#: Trials of a round are compared when they have run one part in so many of their epochs; each time the better half goes on.
+RUNGS = (4, 2, 1)
 
 
 def spread_at(start: float, end: float, share: float) -> float:
@@ -54,7 +57,7 @@ class Proposals:
         self.trials += 1
         if self.trials == 1:
             return self.best
-        share = min(elapsed / self.duration, 1.0)
+        share = min(elapsed / self.duration, 1.0) if self.duration > 0 else 1.0
         b = self.best
         now = {"epoch": b.epoch, "lr": b.lr, "dim": b.dim, "word_ngrams": b.word_ngrams, "dsub": round(math.log2(max(b.dsub, 1))), "minn": MINN.index(b.minn) if b.minn in MINN else 0, "bucket": b.bucket or DEFAULT_BUCKET}
         new = {}
@@ -111,56 +114,121 @@ class Found:
     trials: int
 
 
-def autotune(train_docs: DataFrame, valid_docs: DataFrame, params: Params, most_trials: int | None = None, stop: threading.Event | None = None, **columns) -> Found:
+@dataclass
+class Trial:
+    """Parameters that are tried: the training so far, and the score of the model that it has come to; none if that is too large."""
+
+    params: Params
+    course: training.Course | None = None
+    score: float | None = None
+
+
+def side_by_side(spark: SparkSession, works: list[Callable], at_once: int, over: Callable[[int], bool]) -> list[training.Interruptible | None]:
+    """Works, each given a Stop, in threads of their own, so many at once; the k-th is ended, or not begun (then None), once over(k)."""
+    out: list[training.Interruptible | None] = [None] * len(works)
+    waiting, live = list(range(len(works))), []
+    while waiting or live:
+        waiting = [k for k in waiting if not over(k)]
+        while waiting and len(live) < at_once:
+            k = waiting.pop(0)
+            out[k] = training.Interruptible(spark, works[k], whole=True)
+            live.append(k)
+        for k in list(live):
+            if out[k].wait(0.1 / len(live)):
+                live.remove(k)
+            elif over(k):
+                out[k].abort()
+                live.remove(k)
+    return out
+
+
+def autotune(train_docs: DataFrame, valid_docs: DataFrame, params: Params, most_trials: int | None = None, stop: threading.Event | None = None, together: int = 1, at_once: int | None = None, **columns) -> Found:
     """The best of the trials that fit in autotune_duration seconds, trained once more on train_docs.
 
     At least one trial is run, and at most most_trials. With autotune_model_size a trial counts only if the model
     quantized with its dsub is within the size, and the quantized model is returned. A
     trial that fails (weights that aren't numbers, nothing in the vocabulary) is passed over.
-    When the time is up, the jobs of the trial that runs are ended, those of its score too;
+    When the time is up, the jobs of the trials that run are ended, those of their scores too;
     so they are once stop is set, and the best trial until then is trained.
+
+    Trials go by rounds of ``together``, whose parameters are all proposed from the best of
+    the rounds before. They share the vocabulary and, where their parameters allow, the
+    lines. A round's trials are scored after a quarter and a half of their epochs, and each
+    time the worse half is given up. at_once of them (all if None) run at the same time, as
+    Spark jobs side by side; this changes the time, not the result.
     """
     most = parse_size(params.autotune_model_size) if params.autotune_model_size else None
     began, best = time.monotonic(), None
     ask = Proposals(params, params.autotune_duration, params.seed)
+    prepared = training.Prepared(train_docs, params, **columns)
+    time_up = lambda: time.monotonic() - began >= params.autotune_duration
+    stopped = lambda: stop is not None and stop.is_set()
+
+    def work(trial: Trial, part: int, checked: bool) -> Callable[[threading.Event], float | None]:
+        tried = trial.params
 
-    def trial(tried: Params):
         def run(over: threading.Event) -> float | None:
-            model = training.train(train_docs, tried, stop=over, **columns)
+            upto = -(-tried.epoch // part)
+            if trial.course is None and part == 1:
+                model = training.train(train_docs, tried, stop=over, prepared=prepared, **columns)
+            else:
+                if trial.course is None:
+                    trial.course = training.Course(train_docs, tried, prepared=prepared, **columns)
+                if trial.score is not None and trial.course.epochs == upto:
+                    return trial.score
+                trial.course.run(upto, over)
+                model = trial.course.model()
             if over.is_set():
                 raise Aborted("the time is up")
-            if most is not None and quantization.quantize(model, tried.dsub, _cutoff(most, tried)).bytes() > most:
+            # a model's size doesn't change as it is trained
+            if most is not None and not checked and quantization.quantize(model, tried.dsub, _cutoff(most, tried)).bytes() > most:
                 return None
             return score(model, valid_docs, params.autotune_metric, params.autotune_predictions, **columns)
 
         return run
 
-    while not ask.trials or (time.monotonic() - began < params.autotune_duration and ask.trials < (most_trials or math.inf)):
-        tried = ask.next(time.monotonic() - began)
-        running = training.Interruptible(train_docs.sparkSession, trial(tried), whole=True)
-        while not running.wait(0.1):
-            # the first trial is run to its end
-            if (stop is not None and stop.is_set()) or (ask.trials > 1 and time.monotonic() - began >= params.autotune_duration):
-                running.abort()
-                break
+    def race(trials: list[Trial], first: bool) -> list[Trial]:
+        """The trials that were run to their end."""
+        rungs, left = RUNGS if len(trials) > 1 else (1,), list(trials)
+        for part in rungs:
+            # of the first round, the one that leads is run to its end
+            over = lambda k: stopped() or (time_up() and not (first and k == 0))
+            runs = side_by_side(train_docs.sparkSession, [work(t, part, part != rungs[0]) for t in left], at_once or len(left), over)
+            on = []
+            for trial, run in zip(left, runs, strict=True):
+                try:
+                    trial.score = None if run is None else run.result()
+                except Aborted:
+                    trial.score = None
+                except Exception as error:
+                    if first and trial is trials[0]:
+                        raise
+                    if not isinstance(error, ArithmeticError | ValueError) and "NaNEncountered" not in str(error):
+                        raise
+                    trial.score = None
+                if trial.score is not None:
+                    on.append(trial)
+            left = on if part == 1 else sorted(on, key=lambda t: -t.score)[: len(on) - len(on) // 2]
+        return [t for t in trials if any(t is x for x in left)]
+
+    while not ask.trials or (not time_up() and not stopped() and ask.trials < (most_trials or math.inf)):
+        first, elapsed = not ask.trials, time.monotonic() - began
+        trials = [Trial(ask.next(elapsed)) for _ in range(int(min(max(together, 1), (most_trials or math.inf) - ask.trials)))]
         try:
-            value = running.result()
-        except Aborted:
-            break
-        except Exception as error:
-            if ask.trials == 1:
-                raise
-            if not isinstance(error, ArithmeticError | ValueError) and "NaNEncountered" not in str(error):
-                raise
-            continue
-        if value is not None and (best is None or value > best[0]):
-            best = (value, tried)
-            ask.best = tried
+            ended = race(trials, first)
+        finally:
+            for t in trials:
+                if t.course is not None:
+                    t.course.end()
+        for t in ended:
+            if best is None or t.score > best[0]:
+                best = (t.score, t.params)
+                ask.best = t.params
     if best is None:
-        if stop is not None and stop.is_set():
+        if stopped():
             raise Aborted("ended before the first trial had a score")
         raise InvalidArgument("no trial fits the size")
-    model = training.train(train_docs, best[1], **columns)
+    model = training.train(train_docs, best[1], prepared=prepared, **columns)
     if most is not None:
         model = quantization.quantize(model, best[1].dsub, _cutoff(most, best[1]))
     return Found(model, best[1], best[0], ask.trials)

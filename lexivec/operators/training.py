@@ -414,72 +414,132 @@ def _word_steps(step: kernels.Step, p: Params, centre: np.ndarray, context: np.n
             step.update(ids[offsets[g] : offsets[g + 1]], np.array([t]), lr)
 
 
-def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text", pretrained: DataFrame | None = None, start: Model | None = None, stop: threading.Event | None = None, on_epoch: Callable[[int, float], None] | None = None) -> Model:
+class Prepared:
+    """What trainings on the same documents have in common, made once and by the first that asks: the vocabulary, and the lines by the parameters that decide them.
+
+    Trainings may ask at the same time. They may differ in what is decided after the
+    vocabulary, so not in counts, labels' prefix or the kind of model.
+    """
+
+    def __init__(self, docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text"):
+        self.docs, self.params, self.id_col, self.text_col = docs, params, id_col, text_col
+        self._made: dict[tuple, object] = {}
+        self._locks: dict[tuple, threading.Lock] = {}
+        self._lock = threading.Lock()
+
+    def _once(self, key: tuple, make: Callable[[], object]):
+        with self._lock:
+            own = self._locks.setdefault(key, threading.Lock())
+        with own:
+            if key not in self._made:
+                self._made[key] = make()
+            return self._made[key]
+
+    def vocabulary(self, params: Params) -> Vocabulary:
+        given = ("min_count", "min_count_label", "label", "model")
+        if any(getattr(params, x) != getattr(self.params, x) for x in given):
+            raise InvalidArgument(f"trainings on prepared documents have the same {', '.join(given)}")
+        return replace(self._once(("vocabulary",), lambda: vocabulary.build(self.docs, self.params, self.text_col)), params=params)
+
+    def lines(self, v: Vocabulary) -> tuple[DataFrame, int]:
+        p = v.params
+        key = ("lines", p.minn, p.maxn, p.bucket, p.word_ngrams, p.thread, p.seed)
+        return self._once(key, lambda: _lines(self.docs, v, self.id_col, self.text_col))
+
+
+class Course:
+    """A training that can be gone on with: ``run`` takes it up to an epoch, ``model`` is what it has come to, ``end`` deletes what it has written."""
+
+    def __init__(self, docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text", pretrained: DataFrame | None = None, start: Model | None = None, prepared: Prepared | None = None):
+        if start:
+            v = replace(start.vocabulary, params=params)
+        else:
+            v = prepared.vocabulary(params) if prepared else vocabulary.build(docs, params, text_col)
+        p, spark = v.params, docs.sparkSession
+        if p.model == ModelKind.SUPERVISED and not v.nlabels:
+            raise InvalidArgument(f"no token begins with {p.label!r}")
+        self.vocabulary, self.params, self.begun, self.losses, self.epochs = v, p, start is not None, [], 0
+        n_output = v.nlabels if p.model == ModelKind.SUPERVISED else v.nwords
+        self.n_input = v.nwords + p.bucket
+        lines, parts = prepared.lines(v) if prepared and not start else _lines(docs, v, id_col, text_col)
+        self.hs = None
+        if p.loss == LossKind.HS:
+            entries = v.labels().select(F.col("label_id").alias("id"), "count") if p.model == ModelKind.SUPERVISED else v.words().select("id", "count")
+            self.hs = cut(path_table(spark, entries.toArrow().sort_by("id")["count"].to_numpy()))
+        self.waves = waves = Waves(lines, v, parts, self.hs)
+        if start:
+            weights = start.input.select(F.lit(INPUT).alias("mat"), F.col("fid").cast("long").alias("row"), "vec").unionByName(start.output.select(F.lit(OUTPUT).alias("mat"), F.col("row").cast("long").alias("row"), "vec"))
+        else:
+            touched = waves.read("needed").where(F.col("mat") == INPUT).select("row").distinct()
+            weights = initial_rows(touched, self.n_input, p.dim, p.seed)
+            if pretrained is not None:
+                given = pretrained.join(v.words().select("token", "id"), "token").select(F.lit(INPUT).alias("mat"), F.col("id").cast("long").alias("row"), F.col("vec").cast("array<float>").alias("vec"))
+                weights = given.unionByName(weights.join(given.select("row"), "row", "left_anti").select("mat", "row", "vec"))
+            zero = F.array(*(F.lit(0.0).cast("float") for _ in range(p.dim)))
+            weights = weights.unionByName(spark.range(n_output).select(F.lit(OUTPUT).alias("mat"), F.col("id").alias("row"), zero.alias("vec")))
+        waves.start(weights)
+
+    def run(self, upto: int, stop: threading.Event | None = None, on_epoch: Callable[[int, float], None] | None = None) -> None:
+        """Goes on to an epoch, the learning rate by the epochs of the parameters. Once stop is set it ends after the wave that runs, and can't be gone on with."""
+        p, waves, context = self.params, self.waves, self.waves.spark.sparkContext
+        # the tag stays if the thread had it before
+        own_tag = isinstance(stop, Stop) and stop.tag not in context.getJobTags()
+        if own_tag:
+            context.addJobTag(stop.tag)
+        for epoch in range(self.epochs, min(upto, p.epoch)):
+            total = n = 0.0
+            for wave in range(waves.count):
+                step = epoch * waves.count + wave
+                try:
+                    own_lines, rows = waves.take(step)
+                    changed = cut(rows.groupBy("part").cogroup(own_lines.groupBy("part")).applyInArrow(_kernel(p, epoch, wave, waves.count), _ROWS))
+                    t, k = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
+                    waves.put(step, changed, p.dim)
+                except Exception:
+                    # an interrupted wave leaves the weights as the last one filed them
+                    if stop is None or not stop.is_set():
+                        raise
+                    break
+                total, n = total + (t or 0.0), n + (k or 0.0)
+                if stop is not None and stop.is_set():
+                    break
+            self.epochs = epoch + 1
+            self.losses.append(total / (n or 1.0))
+            if on_epoch:
+                on_epoch(epoch, self.losses[-1])
+            if stop is not None and stop.is_set():
+                break
+        if own_tag:
+            context.removeJobTag(stop.tag)
+
+    def model(self) -> Model:
+        p, spark = self.params, self.waves.spark
+        weights = cut(self.waves.read("weights").drop("step"))
+        own = weights.where(F.col("mat") == INPUT).select("row", "vec")
+        if not self.begun:
+            rest = spark.range(self.n_input).select(F.col("id").alias("row")).join(own.select("row"), "row", "left_anti")
+            own = own.unionByName(initial_rows(rest, self.n_input, p.dim, p.seed).select("row", "vec"))
+        table = cut(own.select(F.col("row").alias("fid"), "vec"))
+        output = weights.where(F.col("mat") == OUTPUT).select(F.col("row").cast("int").alias("row"), "vec")
+        return Model(p, self.vocabulary, table, output, self.hs, tuple(self.losses))
+
+    def end(self) -> None:
+        self.waves.drop()
+
+
+def train(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text", pretrained: DataFrame | None = None, start: Model | None = None, stop: threading.Event | None = None, on_epoch: Callable[[int, float], None] | None = None, prepared: Prepared | None = None) -> Model:
     """Train on the lines of docs, one for each row; labels are the tokens with params.label in the texts.
 
     pretrained: (token, vec) that replace the start of words in the vocabulary. start: a
     model whose vocabulary and weights are trained on. stop: checked after each wave; the
-    model is usable as it is then. The waves' jobs have the tag of a Stop.
+    model is usable as it is then. The waves' jobs have the tag of a Stop. prepared: the
+    same documents, prepared for several trainings.
     """
-    v = start.vocabulary if start else vocabulary.build(docs, params, text_col)
-    if start:
-        v = replace(v, params=params)
-    p, spark = v.params, docs.sparkSession
-    if p.model == ModelKind.SUPERVISED and not v.nlabels:
-        raise InvalidArgument(f"no token begins with {p.label!r}")
-    n_output = v.nlabels if p.model == ModelKind.SUPERVISED else v.nwords
-    n_input = v.nwords + p.bucket
-    lines, parts = _lines(docs, v, id_col, text_col)
-    hs = None
-    if p.loss == LossKind.HS:
-        entries = v.labels().select(F.col("label_id").alias("id"), "count") if p.model == ModelKind.SUPERVISED else v.words().select("id", "count")
-        hs = cut(path_table(spark, entries.toArrow().sort_by("id")["count"].to_numpy()))
-    waves = Waves(lines, v, parts, hs)
-    if start:
-        weights = start.input.select(F.lit(INPUT).alias("mat"), F.col("fid").cast("long").alias("row"), "vec").unionByName(start.output.select(F.lit(OUTPUT).alias("mat"), F.col("row").cast("long").alias("row"), "vec"))
-    else:
-        touched = waves.read("needed").where(F.col("mat") == INPUT).select("row").distinct()
-        weights = initial_rows(touched, n_input, p.dim, p.seed)
-        if pretrained is not None:
-            given = pretrained.join(v.words().select("token", "id"), "token").select(F.lit(INPUT).alias("mat"), F.col("id").cast("long").alias("row"), F.col("vec").cast("array<float>").alias("vec"))
-            weights = given.unionByName(weights.join(given.select("row"), "row", "left_anti").select("mat", "row", "vec"))
-        zero = F.array(*(F.lit(0.0).cast("float") for _ in range(p.dim)))
-        weights = weights.unionByName(spark.range(n_output).select(F.lit(OUTPUT).alias("mat"), F.col("id").alias("row"), zero.alias("vec")))
-    waves.start(weights)
-    losses = []
-    if isinstance(stop, Stop):
-        spark.sparkContext.addJobTag(stop.tag)
-    for epoch in range(p.epoch):
-        total = n = 0.0
-        for wave in range(waves.count):
-            step = epoch * waves.count + wave
-            try:
-                own_lines, rows = waves.take(step)
-                changed = cut(rows.groupBy("part").cogroup(own_lines.groupBy("part")).applyInArrow(_kernel(p, epoch, wave, waves.count), _ROWS))
-                t, k = changed.where(F.col("mat") == LOSS).agg(F.sum(F.get("vec", F.lit(0)).cast("double")), F.sum(F.get("vec", F.lit(1)).cast("double"))).first()
-                waves.put(step, changed, p.dim)
-            except Exception:
-                # an interrupted wave leaves the weights as the last one filed them
-                if stop is None or not stop.is_set():
-                    raise
-                break
-            total, n = total + (t or 0.0), n + (k or 0.0)
-            if stop is not None and stop.is_set():
-                break
-        losses.append(total / (n or 1.0))
-        if on_epoch:
-            on_epoch(epoch, losses[-1])
-        if stop is not None and stop.is_set():
-            break
-    if isinstance(stop, Stop):
-        spark.sparkContext.removeJobTag(stop.tag)
-    weights = cut(waves.read("weights").drop("step"))
-    waves.drop()
-    own = weights.where(F.col("mat") == INPUT).select("row", "vec")
-    rest = initial_rows(spark.range(n_input).select(F.col("id").alias("row")).join(own.select("row"), "row", "left_anti"), n_input, p.dim, p.seed).select("row", "vec") if not start else None
-    table = cut((own.unionByName(rest) if rest is not None else own).select(F.col("row").alias("fid"), "vec"))
-    output = weights.where(F.col("mat") == OUTPUT).select(F.col("row").cast("int").alias("row"), "vec")
-    return Model(p, v, table, output, hs, tuple(losses))
+    course = Course(docs, params, id_col, text_col, pretrained, start, prepared)
+    course.run(params.epoch, stop, on_epoch)
+    model = course.model()
+    course.end()
+    return model
 
 
 class Stop(threading.Event):
