@@ -607,11 +607,14 @@ def model_round_trip(spark, sf_dir):
     return binary.load_binary(spark, path).output
 
 
-@query("SELECT fid, j, x FROM (SELECT 0 AS fid, 0 AS j, 0.0::DOUBLE AS x) WHERE false UNION ALL " + """(WITH RECURSIVE s(b, n, x) AS (SELECT b, 1, CASE WHEN b = 0 THEN 1 ELSE b END::BIGINT * 48271 % 2147483647 FROM range(10) r(b) UNION ALL SELECT b, n + 1, x * 48271 % 2147483647 FROM s WHERE n < 32)
-SELECT ((b * 32 + n - 1) // 16)::INT AS fid, ((b * 32 + n - 1) % 16)::INT AS j, round(((x - 1) / 2147483646.0::DOUBLE * 2 - 1) / 16, 6) AS x FROM s)""")
+@query("""WITH RECURSIVE size AS (SELECT (max(vec_id) + 1) * 16 AS n FROM embeddings),
+s(b, k, x) AS (SELECT b, 1::BIGINT, CASE WHEN b = 0 THEN 1 ELSE b END::BIGINT * 48271 % 2147483647 FROM range(10) r(b) UNION ALL SELECT b, k + 1, x * 48271 % 2147483647 FROM s, size WHERE k < n // 10 + CASE WHEN b = 9 THEN n % 10 ELSE 0 END),
+m AS (SELECT b * (n // 10) + k - 1 AS place, x FROM s, size)
+SELECT vec_id::INT AS fid, (place % 16)::INT AS j, round(((x - 1) / 2147483646.0::DOUBLE * 2 - 1) / 16, 6) AS x FROM m JOIN embeddings ON vec_id = place // 16""")
 def initial_matrix(spark, sf_dir):
-    """The start of an input matrix of 20 rows and 16 columns, seed 0."""
-    rows = training.initial_rows(spark.range(20).select(F.col("id").alias("row")), 20, 16, 0)
+    """The start of an input matrix of 16 columns with a row for each embedding, seed 0."""
+    own = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"))
+    rows = training.initial_rows(own, own.agg(F.max("row")).first()[0] + 1, 16, 0)
     return rows.select(F.col("row").cast("int").alias("fid"), F.posexplode("vec").alias("j", "x")).select("fid", "j", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
