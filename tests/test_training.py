@@ -209,3 +209,16 @@ def test_one_label_and_the_joined_search(spark, large):
     alone = spark.createDataFrame([(0, [], [])], table.schema)
     assert [r.predictions[0].p for r in scoring.search_paths(hid, output, alone, 1, 0.0, "_row").collect()] == [1.0] * 6
     assert scoring.path_probabilities(z, alone, "_row").count() == 6
+
+
+def test_initial_matrix_to_its_last_decimal(spark, sf):
+    """Rounded from doubles: floats put two of its 8000 numbers on the other side of a half."""
+    import duckdb
+
+    from lexivec.plans.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    want = {(i, j): x for i, j, x in con.execute(f"SELECT fid, j, x FROM ({SQL['initial_matrix']})").fetchall()}
+    got = {(r.fid, r.j): r.x for r in QUERIES["initial_matrix"](spark, sf).collect()}
+    assert got == want and len(want) == 8000
