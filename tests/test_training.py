@@ -222,3 +222,21 @@ def test_initial_matrix_to_its_last_decimal(spark, sf):
     want = {(i, j): x for i, j, x in con.execute(f"SELECT fid, j, x FROM ({SQL['initial_matrix']})").fetchall()}
     got = {(r.fid, r.j): r.x for r in QUERIES["initial_matrix"](spark, sf).collect()}
     assert got == want and len(want) == 8000
+
+
+def test_large_vocabularies_are_looked_up_by_parts(lines, large, monkeypatch):
+    """Without a row a token that is joined and put together again; many parts give what one gives."""
+    v = vocabulary.build(lines, Params.supervised(min_count=2, word_ngrams=2, bucket=100))
+    small = listed(features.line_features(lines, v), "doc_id", "fids", "labels")
+    large()
+    monkeypatch.setattr(features, "_joined_features", None)
+    monkeypatch.setattr(features, "PART_ITEMS", 100)
+    assert listed(features.line_features(lines, v), "doc_id", "fids", "labels") == small
+
+
+def test_the_number_of_waves_is_bounded(lines, monkeypatch):
+    monkeypatch.setattr(training, "PART_TOKENS", 10)
+    counts, drop = [], training.Waves.drop
+    monkeypatch.setattr(training.Waves, "drop", lambda self, name="": (counts.append((self.count, self.read("lines").count())) if not name else None, drop(self, name)))
+    training.train(lines, Params.supervised(dim=4, epoch=1, lr=0.1, thread=1, min_count=1))
+    assert counts[0][0] <= training.MOST_WAVES and counts[0][1] == 201
