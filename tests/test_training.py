@@ -240,3 +240,17 @@ def test_the_number_of_waves_is_bounded(lines, monkeypatch):
     monkeypatch.setattr(training.Waves, "drop", lambda self, name="": (counts.append((self.count, self.read("lines").count())) if not name else None, drop(self, name)))
     training.train(lines, Params.supervised(dim=4, epoch=1, lr=0.1, thread=1, min_count=1))
     assert counts[0][0] <= training.MOST_WAVES and counts[0][1] == 201
+
+
+def test_many_negatives_are_never_rows(spark):
+    # as rows, so many draws were broadcast, as Spark took them for as few as were asked for
+    chances = spark.createDataFrame([(0, 0.5), (1, 0.25), (2 * training.DRAW_BLOCK, 0.25), (2 * training.DRAW_BLOCK + 1, 0.0)], "id int, chance double")
+    asked = spark.createDataFrame([(0, 0, 2_000_000_000), (0, 1, 10), (1, 0, 1_000_000), (1, 1, 0)], "step int, part int, draws int")
+    found = {}
+    for r in training.draw_negatives(chances, asked, 3).collect():
+        found.setdefault((r.step, r.part), {})[r.row] = r.n
+    assert {k: sum(v.values()) for k, v in found.items()} == {(0, 0): 2_000_000_000, (0, 1): 10, (1, 0): 1_000_000}
+    for key, few in (((0, 0), 1e-3), ((1, 0), 1e-2)):
+        n = sum(found[key].values())
+        assert set(found[key]) == {0, 1, 2 * training.DRAW_BLOCK} and abs(found[key][0] / n - 0.5) < few and abs(found[key][1] / n - 0.25) < few
+    assert listed(training.draw_negatives(chances, asked, 3), "step", "part", "row", "n") == sorted((str(s), str(p), str(r), str(n)) for (s, p), v in found.items() for r, n in v.items())
