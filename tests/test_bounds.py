@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from lexivec import storage
 from lexivec.functions import text as T
-from lexivec.operators import features
+from lexivec.operators import features, training
+from lexivec.params import Params
 from lexivec.plans import queries
+from lexivec.sources import binary, model_format
 
 
 def batches_of(df):
@@ -34,3 +36,20 @@ def test_batches_are_bounded_by_rows_and_by_bytes(spark, sf):
     storage.small_batches(spark)
     assert spark.conf.get(keys[0]) == "7"
     spark.conf.unset(keys[0])
+
+
+def test_a_dictionary_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"__label__{k % 3} w{k} w{k} ü{k}x") for k in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(training, "_lines", None)  # without epochs no line is read
+    m = training.train(docs, Params.supervised(dim=4, epoch=0, min_count=1))
+    path = str(tmp_path / "m.bin")
+    model_format.write_model(m, path)
+    monkeypatch.setattr(binary, "READ_ROWS", 64)
+    reader = model_format.ModelReader(path, "entries", model_format.StructType.fromDDL(model_format._SCHEMAS["entries"]))
+    parts = reader.partitions()
+    assert len(parts) == -(-m.vocabulary.size // 64)
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    wanted = sorted(map(tuple, m.vocabulary.entries.select("id", "token", "count", "entry_type").collect()))
+    assert [tuple(r.values()) for r in rows] == wanted
+    assert len(model_format.ModelReader(path, "input", model_format.StructType.fromDDL("row long")).partitions()) == -(-m.input.count() // 64)
+    assert m.input.count() == m.vocabulary.nwords + m.params.bucket and m.output.count() == 3
