@@ -1,11 +1,13 @@
 """What Python workers and readers hold doesn't grow with the input."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexivec import storage
+from lexivec import rng, storage
 from lexivec.functions import text as T
 from lexivec.operators import features, training
+from lexivec.operators.vocabulary import Vocabulary
 from lexivec.params import Params
 from lexivec.plans import queries
 from lexivec.sources import binary, model_format
@@ -53,3 +55,20 @@ def test_a_dictionary_is_read_by_ranges(spark, tmp_path, monkeypatch):
     assert [tuple(r.values()) for r in rows] == wanted
     assert len(model_format.ModelReader(path, "input", model_format.StructType.fromDDL("row long")).partitions()) == -(-m.input.count() // 64)
     assert m.input.count() == m.vocabulary.nwords + m.params.bucket and m.output.count() == 3
+
+
+def test_many_places_of_a_generator_are_those_of_one_after_the_other():
+    seeds, places = np.array([0, 1, 7, rng.M, 9, 9]), np.array([1, 4096, 4097, 10**9 + 7, 2**41 + 5, 2])
+    assert rng.uniform_at(seeds, places).tolist() == [rng.uniform(int(s), int(p), 1)[0] for s, p in zip(seeds, places, strict=True)]
+
+
+def test_a_wave_fills_rounds_of_cores(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(training.Waves, "_file", lambda *_: None)
+    monkeypatch.setattr(training, "_needed", lambda lines, *_: lines)
+    for thread, parts in ((cores + 1, 3 * cores), (1, 26 * cores - 1), (1, 10 * cores), (1, 1)):
+        lines = spark.createDataFrame([], "part int, key long, ids array<bigint>, targets array<int>")
+        p = Params.supervised(thread=thread, epoch=1)
+        monkeypatch.setattr(training.Waves, "read", lambda self, name, at=None: spark.createDataFrame([], self._SCHEMAS[name]))
+        w = training.Waves(lines, Vocabulary(lines, 1, 1, 1, p), parts, None)
+        assert w.size % cores == 0 and w.size >= thread and w.count <= training.MOST_WAVES and (w.count - 1) * w.size < parts <= w.count * w.size
