@@ -20,8 +20,10 @@ import numpy as np
 
 #: What exp() is taken of is held between this and its negative, for a choice and for its alternatives alike.
 _TOP = np.float32(30)
-#: Windows that are scored at once up to the choices, so that what they need stays near the processor.
-ATTEND_WINDOWS = 256
+#: Windows that are taken at once up to the choices and back from them, so that what they need stays near the processor.
+ATTEND_WINDOWS = 64
+#: Weights that are stepped at once, likewise.
+ADAM_BLOCK = 16384
 
 
 @dataclass(frozen=True)
@@ -82,110 +84,137 @@ def windows(lengths: np.ndarray, size: int, fresh: int) -> tuple[np.ndarray, np.
 
 
 class Net:
-    """A model with its weights; ``step`` changes them."""
+    """A model with its weights, which are used as they are at each call."""
 
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.flat = shape, flat
         self.w = shape.views(flat)
         self.causal = np.tril(np.ones((shape.window, shape.window), np.float32))
+        levels = [self.w[f"u{k}"] for k in range(len(shape.fan))]
+        self.choices = [(list(u), list(u.transpose(0, 2, 1))) for u in levels]
+        self.picks = [np.arange(shape.ids) // prod(shape.fan[k + 1 :]) % n for k, n in enumerate(shape.fan)]
+        self.rooms: dict[str, np.ndarray] = {}
 
-    def attend(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """What each place of windows of ids x [n, window] has after attention, and what the way back needs."""
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that the next call with this name writes over; new memory for each step costs more than its arithmetic."""
+        n, held = prod(shape), self.rooms.get(name)
+        if held is None or held.size < n:
+            held = self.rooms[name] = np.empty(n, np.float32)
+        return held[:n].reshape(shape)
+
+    def attend(self, x: np.ndarray, h: np.ndarray, name: str = "") -> tuple:
+        """Write to h [n, window, dim + 1] what each place of windows of ids x [n, window] has after attention, and a 1; what the way back needs, until the next call with this name."""
         w, (n, size), d = self.w, x.shape, self.shape.dim
-        own = np.take(w["embed"], x, axis=0)
+        own, qkv = self.room(f"own{name}", n, size, d), self.room(f"qkv{name}", n, size, 3 * d + 1)
+        np.take(w["embed"], x, axis=0, out=own, mode="clip")
         own += w["place"]
-        qkv = (own.reshape(-1, d) @ w["qkv"]).reshape(n, size, 3 * d)
-        q, k = qkv[:, :, :d], qkv[:, :, d : 2 * d]
-        v = np.empty((n, size, d + 1), np.float32)
-        v[:, :, :d], v[:, :, d] = qkv[:, :, 2 * d :], 1  # the last column adds up the weights
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        np.clip(s, -_TOP, _TOP, out=s)
+        np.matmul(own.reshape(-1, d), w["qkv"], out=qkv.reshape(-1, 3 * d + 1)[:, : 3 * d])
+        qkv[:, :, 3 * d] = 1  # stands behind the values, so it adds up the weights
+        q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+        s = np.matmul(q, k.transpose(0, 2, 1), out=self.room(f"s{name}", n, size, size))
+        _bound(s)
         np.exp(s, out=s)
         s *= self.causal
-        c = np.matmul(s, v)
-        r = 1 / c[:, :, d:]
-        c = c[:, :, :d] * r
-        h = own + (c.reshape(-1, d) @ w["out"]).reshape(n, size, d)
-        return h, (x, own, q, k, v, s, c, r)
-
-    def choose(self, h: np.ndarray, ids: np.ndarray, back: bool = False):
-        """The logarithms of the probabilities of ids after h [n, dim]; with ``back`` also the gradients of -their sum by h and by the choices' weights."""
-        d, fan = self.shape.dim, self.shape.fan
+        sums = np.matmul(s, v, out=self.room("sums", n, size, d + 1))
+        r = np.divide(1, sums[:, :, d:], out=self.room(f"r{name}", n, size, 1))
+        c = np.multiply(sums[:, :, :d], r, out=self.room(f"c{name}", n, size, d))
+        np.add(np.dot(c.reshape(-1, d), w["out"], self.room("turned", n * size, d)).reshape(n, size, d), own, out=h[:, :, :d])
+        h[:, :, d] = 1
+        return own, q, k, v, s, c, r
+
+    def choose(self, h: np.ndarray, at: np.ndarray, ids: np.ndarray, out: dict | None = None):
+        """The logarithms of the probabilities of ids after the rows ``at`` of h [places, dim + 1].
+
+        With ``out``: in another order, with the gradient of -their sum by h; that by the choices' weights goes to ``out``.
+        """
+        width, fan, n = h.shape[1], self.shape.fan, len(ids)
         order = np.argsort(ids, kind="stable")
-        code, n = ids[order].astype(np.int64), len(order)
-        own = np.ones((n, d + 1), np.float32)
-        own[:, :d] = h[order]
-        total, rows, z = np.zeros(n, np.float32), np.arange(n), np.empty((n, max(fan)), np.float32)
-        dh, grads = (np.zeros((n, d), np.float32), {}) if back else (None, None)
+        code, at = ids[order].astype(np.int64), at[order]
+        own = np.take(h, at, axis=0, out=self.room("told", n, width), mode="clip")
+        total, rows, often = np.zeros(n, np.float32), np.arange(n), np.bincount(code, minlength=self.shape.ids)
+        back, more = (self.room("back", n + 1, width), self.room("more", n, width)) if out is not None else (None, None)
         for level, size in enumerate(fan):
-            below = prod(fan[level + 1 :])
-            at = code // below
-            u, pick = self.w[f"u{level}"], at % size
-            ends = np.searchsorted(at, np.arange(len(u) + 1) * size)
-            some = np.flatnonzero(ends[1:] > ends[:-1])
-            spans = list(zip(some.tolist(), ends[some].tolist(), ends[some + 1].tolist(), strict=True))
-            p = z[:, :size] if size < z.shape[1] else z
+            straight, turned = self.choices[level]
+            ends = np.cumsum(often.reshape(len(straight), -1).sum(axis=1))
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            ends = ends[some].tolist()
+            spans = list(zip(some.tolist(), [0, *ends[:-1]], ends, strict=True)) if n else []
+            pick = rows * size
+            pick += self.picks[level][code]
+            p = self.room(f"p{level}", n, size)
             for g, i, j in spans:
-                np.matmul(own[i:j], u[g].T, out=p[i:j])
-            if len(p) and (p.max() > _TOP or p.min() < -_TOP):
-                np.clip(p, -_TOP, _TOP, out=p)
-            total += p[rows, pick]
+                np.dot(own[i:j], turned[g], p[i:j])
+            _bound(p)
+            each = p.reshape(-1)
+            total += each[pick]
             np.exp(p, out=p)
-            sums = p.sum(axis=1)
+            sums = p @ np.ones(size, np.float32)
             total -= np.log(sums)
-            if back:
-                p /= sums[:, None]
-                p[rows, pick] -= 1
-                du = np.zeros_like(u)
+            if out is not None:
+                p *= (1 / sums)[:, None]
+                each[pick] -= 1
+                du, to = list(out[f"u{level}"]), more if level else back
                 for g, i, j in spans:
-                    np.matmul(p[i:j].T, own[i:j], out=du[g])
-                    dh[i:j] += p[i:j] @ u[g, :, :d]
-                grads[f"u{level}"] = du
-        undo = np.empty_like(order)
-        undo[order] = rows
-        return (total[undo], dh[undo], grads) if back else total[undo]
+                    q = p[i:j]
+                    np.dot(q.T, own[i:j], du[g])
+                    np.dot(q, straight[g], to[i:j])
+                if level:
+                    back[:n] += more
+        if out is not None:
+            back[n] = 0
+            where = np.full(len(h), n)
+            where[at] = rows
+            return total, np.take(back, where, axis=0, out=self.room("two", *h.shape), mode="clip")
+        told = np.empty_like(total)
+        told[order] = total
+        return told
 
     def gradient(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray]:
         """(-sum of log probabilities of the ids y at live places of windows x, its gradient)."""
         w, d, (n, size) = self.w, self.shape.dim, x.shape
-        h, (x, own, q, k, v, s, c, r) = self.attend(x)
-        at = np.flatnonzero(live)
-        p, told, grads = self.choose(h.reshape(-1, d)[at], y.ravel()[at], True)
-        two = np.zeros((n * size, d), np.float32)
-        two[at] = told
+        blocks = [slice(k, min(k + ATTEND_WINDOWS, n)) for k in range(0, n, ATTEND_WINDOWS)]
+        h = self.room("h", n, size, d + 1)
+        held = [self.attend(x[b], h[b], str(k)) for k, b in enumerate(blocks)]
         flat = np.zeros_like(self.flat)
         out = self.shape.views(flat)
-        for name, g in grads.items():
-            out[name][:] = g
-        np.matmul(c.reshape(-1, d).T, two, out=out["out"])
-        dc = (two @ w["out"].T).reshape(n, size, d)
-        mean = np.einsum("nsd,nsd->ns", dc, c)[:, :, None] * r
-        dc *= r
-        ds = np.matmul(dc, v[:, :, :d].transpose(0, 2, 1))
-        ds -= mean
-        ds *= s
-        dqkv = np.empty((n, size, 3 * d), np.float32)
-        dqkv[:, :, :d] = np.matmul(ds, k)
-        dqkv[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
-        dqkv[:, :, 2 * d :] = np.matmul(s.transpose(0, 2, 1), dc)
-        dqkv = dqkv.reshape(-1, 3 * d)
-        np.matmul(own.reshape(-1, d).T, dqkv, out=out["qkv"])
-        two += dqkv @ w["qkv"].T
-        out["place"][:] = two.reshape(n, size, d).sum(axis=0)
+        p, two = self.choose(h.reshape(-1, d + 1), np.flatnonzero(live), y[live], out)
+        for b, (own, q, k, v, s, c, r) in zip(blocks, held, strict=True):
+            m, some = len(own), two[b.start * size : b.stop * size, :d]
+            out["out"] += np.dot(c.reshape(-1, d).T, some)
+            dc = np.dot(some, w["out"].T, self.room("turned", m * size, d)).reshape(m, size, d)
+            # the last column, against the ones behind the values, takes the mean off
+            wide = self.room("wide", m, size, d + 1)
+            dv = np.multiply(dc, r, out=wide[:, :, :d])
+            np.negative(np.einsum("nsd,nsd->ns", dv, c), out=wide[:, :, d])
+            ds = np.matmul(wide, v.transpose(0, 2, 1), out=self.room("ds", m, size, size))
+            ds *= s
+            dqkv = self.room("dqkv", m, size, 3 * d)
+            np.matmul(ds, k, out=dqkv[:, :, :d])
+            np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
+            np.matmul(s.transpose(0, 2, 1), dv, out=dqkv[:, :, 2 * d :])
+            dqkv = dqkv.reshape(-1, 3 * d)
+            out["qkv"] += np.dot(own.reshape(-1, d).T, dqkv)
+            some += np.dot(dqkv, w["qkv"].T, self.room("turned", m * size, d))
+        out["place"][:] = (np.ones(n, np.float32) @ two.reshape(n, -1)).reshape(size, d + 1)[:, :d]
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        out["embed"][ids[first]] = np.add.reduceat(two[order], first, axis=0)
+        two = np.take(two, order, axis=0, out=self.room("sorted", n * size, d + 1), mode="clip")
+        out["embed"][ids[first]] = np.add.reduceat(two, first, axis=0)[:, :d]
         return -float(p.sum(dtype=np.float64)), flat
 
     def scores(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> np.ndarray:
         """The natural logarithms of the probabilities of the ids y at live places of windows x, in their order."""
-        d, held = self.shape.dim, []
+        h = self.room("h", *x.shape, self.shape.dim + 1)
         for k in range(0, len(x), ATTEND_WINDOWS):
-            at = np.flatnonzero(live[k : k + ATTEND_WINDOWS])
-            held.append(self.attend(x[k : k + ATTEND_WINDOWS])[0].reshape(-1, d)[at])
-        return self.choose(np.concatenate(held), y[live])
+            self.attend(x[k : k + ATTEND_WINDOWS], h[k : k + ATTEND_WINDOWS])
+        return self.choose(h.reshape(-1, self.shape.dim + 1), np.flatnonzero(live), y[live])
+
+
+def _bound(a: np.ndarray) -> None:
+    if a.size and (a.max() > _TOP or a.min() < -_TOP):
+        np.clip(a, -_TOP, _TOP, out=a)
 
 
 class Adam:
@@ -196,10 +225,21 @@ class Adam:
 
     def step(self, flat: np.ndarray, g: np.ndarray, rate: float | None = None) -> None:
         self.n += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        scale = (self.rate if rate is None else rate) * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)
-        flat -= np.float32(scale) * self.m / (np.sqrt(self.v) + np.float32(1e-7))
+        scale = np.float32((self.rate if rate is None else rate) * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n))
+        for k in range(0, len(flat), ADAM_BLOCK):
+            m, v, own = (a[k : k + ADAM_BLOCK] for a in (self.m, self.v, g))
+            t = own - m
+            t *= np.float32(0.1)
+            m += t
+            np.multiply(own, own, out=t)
+            t -= v
+            t *= np.float32(0.01)
+            v += t
+            np.sqrt(v, out=t)
+            t += np.float32(1e-7)
+            np.divide(m, t, out=t)
+            t *= scale
+            flat[k : k + ADAM_BLOCK] -= t
 
 
 class Windows:

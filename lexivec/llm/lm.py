@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import array
 import base64
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,10 @@ from .common import fresh_dir, text_bytes
 
 #: Different words, and words, after which a task begins a new part; also the words whose ids a task remembers.
 PART_WORDS, PART_TOKENS = 400_000, 6_000_000
-#: Bytes of a text that are taken apart at once.
-PIECE_BYTES = 1 << 20
+#: Texts, and bytes of them, after which those that are taken apart at once end.
+TAKEN_TEXTS, TAKEN_BYTES = 500, 4 << 20
+#: Words that are encoded by one call.
+ENCODED_WORDS = 2000
 #: Windows of a training step, and of a piece that is scored.
 STEP_WINDOWS, SCORE_WINDOWS = 256, 1024
 #: Words whose windows are made together.
@@ -45,7 +47,6 @@ STEP_WORDS = 50_000
 WAVES = ((1, 0.03), (6, 0.02), (16, 0.006))
 #: The end of a text as a word; no word is empty.
 END = b""
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @dataclass(frozen=True)
@@ -62,15 +63,29 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def words_of(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, A-Z in lower case, piece by piece."""
+def stretches(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, some at once: TAKEN_TEXTS at most, and no more after TAKEN_BYTES of their texts."""
+    sizes = pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
-    while at < len(text) or not at:
-        end = at + PIECE_BYTES
-        if end < len(text):
-            end = found.start() if (found := _SPACE.search(text, end)) else len(text)
-        yield text[at:end].lower().split()
-        at = max(end, 1)
+    while at < len(sizes):
+        n = 1 + int(np.searchsorted(np.cumsum(sizes[at : at + TAKEN_TEXTS]), TAKEN_BYTES))
+        yield batch.slice(at, min(n, TAKEN_TEXTS))
+        at += min(n, TAKEN_TEXTS)
+
+
+def taken(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(numbers of the words of all texts, one after the other; these words; how many each text has): A-Z in lower case, END after each text."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(kind)))
+    found = lists.flatten().dictionary_encode()
+    words, numbers = found.dictionary.view(texts.type).to_pylist(), found.indices.to_numpy()
+    # white space at either side of a text leaves an empty word there
+    if END not in words:
+        words.append(END)
+    end = words.index(END)
+    some = numbers != end
+    begins = np.concatenate(([0], np.cumsum(some)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return np.insert(numbers[some], begins[1:], end), words, np.diff(begins) + 1
 
 
 class Words(dict):
@@ -92,7 +107,9 @@ class Pieces(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines)) if int(b) < coding.shape.ids - 1}
         self.encoding = tiktoken.Encoding("pieces", pat_str=coding.pattern, mergeable_ranks=ranks, special_tokens={})
         # ids go by the order of their bytes, so that classes are alike
-        self.of_rank, self.end = {ranks[t]: k for k, t in enumerate(sorted(ranks))}, coding.shape.ids - 1
+        self.of_rank, self.end = np.zeros(max(ranks.values()) + 1, np.int16), coding.shape.ids - 1
+        self.of_rank[[ranks[t] for t in sorted(ranks)]] = np.arange(len(ranks))
+        self.blank = np.array([t.startswith(b" ") for t in sorted(ranks)] + [False] * (coding.shape.ids - len(ranks)))
         self.forget()
 
     def forget(self) -> None:
@@ -100,20 +117,44 @@ class Pieces(dict):
         self.ids, self.sizes = array.array("h"), array.array("i")
 
     def __missing__(self, word: bytes) -> int:
-        text, of, before = " " + word.decode(), self.of_rank, len(self.ids)
-        if word == END:
-            self.ids.append(self.end)
-        else:
-            for k in range(0, len(text), 1000):
-                self.ids.extend([of[r] for r in self.encoding.encode_ordinary(text[k : k + 1000])])
-        self.sizes.append(len(self.ids) - before)
-        self[word] = n = len(self)
-        return n
+        self.add([word])
+        return self[word]
+
+    def add(self, words: list[bytes]) -> None:
+        """Give numbers to words that have none, each once in the list."""
+        ids, sizes = self.encoded(words)
+        self.ids.frombytes(ids.tobytes())
+        self.sizes.frombytes(sizes.astype(np.int32).tobytes())
+        self.update(zip(words, range(len(self), len(self) + len(words)), strict=True))
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after the other; how many each has)."""
+        found = [self._encoded(words[k : k + ENCODED_WORDS]) for k in range(0, len(words), ENCODED_WORDS)]
+        return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (np.zeros(0, np.int16), np.zeros(0, np.int64))
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = " " + b" ".join(words).decode()
+        # words without white space of any kind are apart by the blanks before them, so one call encodes them all
+        if len(words) > 1 and text.split() == text[1:].split(" ") and max(map(len, words)) < 1000:
+            ids = self.of_rank[self.encoding.encode_ordinary(text)]
+            begins = np.flatnonzero(self.blank[ids])
+            if len(begins) == len(words):
+                return ids, np.diff(begins, append=len(ids))
+        if len(words) > 1:
+            halves = self._encoded(words[: len(words) // 2]), self._encoded(words[len(words) // 2 :])
+            return tuple(np.concatenate(x) for x in zip(*halves, strict=True))
+        if words == [END]:
+            return np.array([self.end], np.int16), np.ones(1, np.int64)
+        ids = np.concatenate([self.of_rank[self.encoding.encode_ordinary(text[k : k + 1000])] for k in range(0, len(text), 1000)])
+        return ids, np.array([len(ids)])
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start of each word's, how many it has)."""
-        sizes = np.array(self.sizes, np.int64)
-        return np.array(self.ids, np.int16), np.cumsum(sizes) - sizes, sizes
+        return table(np.array(self.ids, np.int16), np.array(self.sizes, np.int64))
+
+
+def table(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return ids, np.cumsum(sizes) - sizes, sizes
 
 
 def spread(table: tuple[np.ndarray, np.ndarray, np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +191,9 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = lambda k, kind: pa.nulls(k, kind)
         columns = [
             pa.array(np.full(rows + more, part)),
-            pa.concat_arrays([pa.array(ids, pa.int64()), none(more, pa.int64())]),
-            pa.concat_arrays([pa.array(held, pa.bool_()), none(more, pa.bool_())]),
-            pa.concat_arrays([pa.array(numbers, pa.binary()), none(more, pa.binary())]),
+            pa.concat_arrays([ids, none(more, pa.int64())]),
+            pa.concat_arrays([held, none(more, pa.bool_())]),
+            pa.concat_arrays([numbers, none(more, pa.binary())]),
             pa.concat_arrays([none(rows, pa.int32()), pa.array(np.arange(more, dtype=np.int32))]),
             pa.concat_arrays([none(rows, pa.binary()), pa.array(words, pa.binary())]),
             pa.concat_arrays([none(rows, pa.int64()), pa.array(n, pa.int64())]),
@@ -160,29 +201,22 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=_COLUMNS)
 
     def flush() -> pa.RecordBatch:
-        return emit([], [], [], list(own), counts[: len(own)])
+        return emit(*(pa.nulls(0, kind) for kind in (pa.int64(), pa.bool_(), pa.binary())), list(own), counts[: len(own)])
 
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            some = batch.slice(start, 500)
-            ids, held, numbers = [], [], []
-            for i, out, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                found = [np.fromiter(map(own.__getitem__, words), np.int32) for words in words_of(text)]
-                found = np.concatenate([*found, [own[END]]]).astype(np.int32)
-                tokens += len(found)
-                if len(own) > len(counts):
-                    counts = np.concatenate((counts, np.zeros(len(own), np.int64)))
-                if not out:
-                    np.add.at(counts, found, 1)
-                ids.append(i)
-                held.append(out)
-                numbers.append(found.tobytes())
-                if len(own) > PART_WORDS or tokens > PART_TOKENS:
-                    yield emit(ids, held, numbers, [], [])
-                    yield flush()
-                    ids, held, numbers = [], [], []
-                    own, counts, tokens, part = Words(), np.zeros(0, np.int64), 0, part + 1
-            yield emit(ids, held, numbers, [], [])
+        for some in stretches(batch, 2):
+            found, words, lengths = taken(some.column(2))
+            found = np.fromiter(map(own.__getitem__, words), np.int32, len(words))[found]
+            tokens += len(found)
+            if len(own) > len(counts):
+                counts = np.concatenate((counts, np.zeros(len(own), np.int64)))
+            learned = np.bincount(found[np.repeat(~some.column(1).to_numpy(zero_copy_only=False), lengths)])
+            counts[: len(learned)] += learned
+            ends = np.concatenate(([0], np.cumsum(4 * lengths))).astype(np.int32)
+            yield emit(some.column(0), some.column(1), pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(found)]), [], [])
+            if len(own) > PART_WORDS or tokens > PART_TOKENS:
+                yield flush()
+                own, counts, tokens, part = Words(), np.zeros(0, np.int64), 0, part + 1
     yield flush()
 
 
@@ -208,12 +242,8 @@ def _id_counts(coding: Coding):
         own, total = pieces(coding), np.zeros(coding.shape.ids)
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            own.forget()
-            for w in words:
-                own[w]
-            ids, _, sizes = own.table()
+            ids, sizes = own.encoded(words)
             total += np.bincount(ids, np.repeat(n, sizes), len(total))
-        own.forget()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["id", "n"])
 
@@ -236,7 +266,9 @@ def _train(coding: Coding, flat: np.ndarray, rate: float):
         net, adam = attention.Net(shape, flat.copy()), attention.Adam(shape.size, rate)
 
         def step(x: np.ndarray, y: np.ndarray, live: np.ndarray) -> None:
-            adam.step(net.flat, net.gradient(x, y, live)[1] / np.float32(live.sum()))
+            g = net.gradient(x, y, live)[1]
+            g /= np.float32(live.sum())
+            adam.step(net.flat, g)
 
         def learn(numbers: list[np.ndarray]) -> int:
             ids, lengths = spread(own.table(), numbers)
@@ -247,15 +279,18 @@ def _train(coding: Coding, flat: np.ndarray, rate: float):
             return len(ids)
 
         held, n = [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = [np.fromiter(map(own.__getitem__, words), np.int64) for words in words_of(text)]
-                held.append(np.concatenate([*found, [own[END]]]).astype(np.int64))
-                n += len(held[-1])
-                if n >= STEP_WORDS or len(own) > PART_WORDS:
+        for some in (s for batch in batches for s in stretches(batch, 0)):
+            found, words, lengths = taken(some.column(0))
+            own.add([w for w in words if w not in own])
+            found = np.fromiter(map(own.__getitem__, words), np.int64, len(words))[found]
+            for numbers in np.split(found, np.cumsum(lengths)[:-1]):
+                held.append(numbers)
+                n += len(numbers)
+                if n >= STEP_WORDS:
                     seen, held, n = seen + learn(held), [], 0
-                    if len(own) > PART_WORDS:
-                        own.forget()
+            if len(own) > PART_WORDS:
+                seen, held, n = seen + (learn(held) if held else 0), [], 0
+                own.forget()
         if held:
             seen += learn(held)
         own.forget()
@@ -304,17 +339,12 @@ def _scored(coding: Coding, flat: np.ndarray, total: int, different: int):
         words = words.sort_values("number")
         c = words["c"].to_numpy(np.float64)
         logs = np.log10((c + 0.5) / (total + 0.5 * (different + 1)))
-        own, net = pieces(coding), attention.Net(shape, flat)
-        own.forget()
-        for w in words["word"]:
-            own[w]
-        table = own.table()
-        own.forget()
+        net, known_words = attention.Net(shape, flat), table(*pieces(coding).encoded(words["word"].tolist()))
         out, score, waiting, held = [], np.zeros(len(docs)), [], 0
 
         def settle(first: int) -> None:
             """Score the documents that wait, the first of which is the ``first`` of all."""
-            ids, lengths = spread(table, waiting)
+            ids, lengths = spread(known_words, waiting)
             of = first + np.repeat(np.arange(len(lengths)), lengths)
             places = attention.windows(lengths, shape.window, shape.fresh)
             look = attention.Windows(ids, _before(ids, lengths, shape.ids - 1), shape.window)
