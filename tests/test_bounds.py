@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexivec import rng, storage
 from lexivec.functions import text as T
-from lexivec.operators import features, training
+from lexivec.operators import features, quantization, training
 from lexivec.operators.vocabulary import Vocabulary
 from lexivec.params import Params
 from lexivec.plans import queries
@@ -72,3 +72,24 @@ def test_a_wave_fills_rounds_of_cores(spark, monkeypatch):
         monkeypatch.setattr(training.Waves, "read", lambda self, name, at=None: spark.createDataFrame([], self._SCHEMAS[name]))
         w = training.Waves(lines, Vocabulary(lines, 1, 1, 1, p), parts, None)
         assert w.size % cores == 0 and w.size >= thread and w.count <= training.MOST_WAVES and (w.count - 1) * w.size < parts <= w.count * w.size
+
+
+def test_a_loaded_dictionary_isnt_held_by_the_driver(spark, sf, tmp_path, monkeypatch):
+    """Its entries and pairs were a list of the driver's, 300 bytes a word, and the file was written row by row there."""
+    docs = spark.createDataFrame([(k, f"__label__{k % 3} w{k} w{k} ü{k}x") for k in range(200)], "doc_id long, text string")
+    path = str(tmp_path / "m.bin")
+    m = training.train(docs, Params.supervised(dim=4, epoch=0, min_count=1, minn=2, maxn=3, bucket=500))
+    pruned = quantization.quantize(m, 2, cutoff=150)
+    monkeypatch.setattr(binary, "READ_ROWS", 64)
+    model_format.write_model(pruned, path)
+    with monkeypatch.context() as own:
+        own.setattr(type(spark), "createDataFrame", None)
+        back = binary.load_binary(spark, path).model.vocabulary
+        entries, pairs = back.entries.orderBy("id").collect(), back.prune.orderBy("bucket").collect()
+    want = pruned.model.vocabulary
+    assert entries == want.entries.orderBy("id").collect() and back.entries.rdd.getNumPartitions() == -(-want.size // 64) > 1
+    assert pairs == want.prune.select("bucket", "new_id").orderBy("bucket").collect() and len(pairs) > 64
+    assert (back.nwords, back.nlabels, back.ntokens) == (want.nwords, want.nlabels, want.ntokens)
+    monkeypatch.setattr(binary, "save_binary", None)
+    monkeypatch.setattr(queries, "_trained", lambda *_, **__: m)
+    assert queries.model_round_trip(spark, sf).count() == 3
