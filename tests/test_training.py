@@ -254,3 +254,21 @@ def test_many_negatives_are_never_rows(spark):
         n = sum(found[key].values())
         assert set(found[key]) == {0, 1, 2 * training.DRAW_BLOCK} and abs(found[key][0] / n - 0.5) < few and abs(found[key][1] / n - 0.25) < few
     assert listed(training.draw_negatives(chances, asked, 3), "step", "part", "row", "n") == sorted((str(s), str(p), str(r), str(n)) for (s, p), v in found.items() for r, n in v.items())
+
+
+def test_a_table_beyond_what_is_held_goes_by_blocks(spark, monkeypatch):
+    """A vector for each different id of each part was shuffled, more than a disk has; now a sum a line and block."""
+    rng = np.random.default_rng(5)
+    n, dim = 90, 4
+    table = spark.createDataFrame([(k, rng.normal(size=dim).astype(np.float32).tolist()) for k in range(n)], "fid long, vec array<float>")
+    rows = [(k, rng.integers(0, n + 5, rng.integers(0, 30)).tolist()) for k in range(150)] + [(None, [1, 1, 89]), (None, [1, 1, 89]), (None, [2]), (3, None), (3, [40, 95]), (7, [500])]
+    lines = spark.createDataFrame(rows, "doc_id long, fids array<bigint>").repartition(3)
+    made = lambda: sorted((str(r.doc_id), [round(x, 9) + 0.0 for x in r.hidden]) for r in scoring.hidden(lines, table, dim, rows=n).collect())
+    small = made()
+    monkeypatch.setattr(features, "by_parts", None)
+    for most in (n * dim // 2, n * dim // 3 + dim, n * dim // 8 + dim):
+        monkeypatch.setattr(scoring, "BROADCAST_NUMBERS", most)
+        assert scoring.hold(table, n * dim, dim) is None and len(scoring.hold_blocks(table, n, dim)) == -(-n // (most // dim))
+        assert made() == small and len(small) == len(rows)
+    monkeypatch.setattr(scoring, "BROADCAST_NUMBERS", n * dim // 8 - dim)
+    assert scoring.hold_blocks(table, n, dim) is None
