@@ -272,3 +272,79 @@ def test_a_table_beyond_what_is_held_goes_by_blocks(spark, monkeypatch):
         assert made() == small and len(small) == len(rows)
     monkeypatch.setattr(scoring, "BROADCAST_NUMBERS", n * dim // 8 - dim)
     assert scoring.hold_blocks(table, n, dim) is None
+
+
+def test_texts_taken_apart_in_tasks_are_those_of_the_engine(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lexivec.functions import text as T
+
+    rng = random.Random(4)
+    pieces = [" ", "\n", "\t", "\x0b", "\x0c", "\r", "a", "ü", "</s>", "</s> b", " c", "　", "x</s>", "__label__z "]
+    texts = [None, "", " ", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(300))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = [r.t for r in docs.select(T.tokens("text").alias("t")).collect()]
+    whole = pa.array(["cut off", *texts]).slice(1)
+    assert T.token_lists(whole).to_pylist() == want
+    assert T.token_lists(whole, "always").to_pylist() == [t + ["</s>"] for t in want]
+    assert T.token_lists(whole, "unless").to_pylist() == [t if "</s>" in t else t + ["</s>"] for t in want]
+    ended = vocabulary.explode_tokens(docs, tokenizer=lambda c: F.concat(T.tokens(c), F.array(F.lit("</s>"))))
+    counts = listed(vocabulary.count_tokens(ended), "token", "count", "entry_type")
+    # no row a token
+    monkeypatch.setattr(vocabulary, "explode_tokens", None)
+    assert listed(vocabulary.count_lines(docs), "token", "count", "entry_type") == counts
+    monkeypatch.setattr(vocabulary, "COUNTED", 3)
+    assert listed(vocabulary.count_lines(docs.repartition(2)), "token", "count", "entry_type") == counts
+    assert vocabulary.build(docs, Params.supervised()).size == len(counts)
+
+
+@pytest.mark.parametrize("loss", [LossKind.NS, LossKind.SOFTMAX])
+def test_weights_are_filed_by_blocks(spark, lines, monkeypatch, loss):
+    """A row of a matrix was a row of its own in every step; the model doesn't depend on how many are together."""
+    monkeypatch.setattr(training, "PART_TOKENS", 600)
+    p = Params.supervised(dim=4, epoch=2, lr=0.2, thread=1, loss=loss, min_count=1, minn=2, maxn=3, bucket=300)
+    given = spark.createDataFrame([("w1", [0.5, 0.25, -0.5, 0.0]), ("w40", [1.0, 2.0, 3.0, 4.0]), ("none", [9.0] * 4)], "token string, vec array<float>")
+    filed, made = [], []
+    put = training.Waves.put
+
+    def count(self, step, changed):
+        filed.append((self.blocks("weights", step).count(), self.read("weights", step).count()))
+        put(self, step, changed)
+
+    monkeypatch.setattr(training.Waves, "put", count)
+    for numbers in (1 << 15, 40):
+        monkeypatch.setattr(training, "BLOCK_NUMBERS", numbers)
+        m = training.train(lines, p, pretrained=given)
+        made.append([{r[k]: r.vec for r in t.collect()} for t, k in ((m.input, "fid"), (m.output, "row"))])
+        again = training.train(lines, p, start=m)
+        assert again.input.count() == m.input.count() == m.vocabulary.nwords + 300 and again.losses[-1] < m.losses[0]
+    assert all(n <= 20 < rows for n, rows in filed[:2])
+    for a, b in zip(*made, strict=True):
+        assert a.keys() == b.keys() and all(x == pytest.approx(b[k], abs=1e-6) for k, x in a.items())
+
+
+def test_tables_and_sums_of_a_step():
+    from lexivec.functions.vectors import grid_sigmoid
+    from lexivec.operators import kernels
+
+    for kind in (np.float32, np.float64):
+        x = np.concatenate((np.linspace(-9, 9, 4001), [-8, 8, np.nextafter(8, 9), np.nextafter(-8, -9), 0, 1e30, -1e30])).astype(kind)
+        assert np.allclose(kernels.sigmoid(x), grid_sigmoid(x), rtol=1e-6, atol=0) and kernels.sigmoid(x).dtype == kind
+    w = np.zeros((5, 3), np.float32)
+    kernels.scatter_add(w, np.array([4, 1, 4, 4]), np.arange(12, dtype=np.float32).reshape(4, 3))
+    assert w.tolist() == [[0] * 3, [3, 4, 5], [0] * 3, [0] * 3, [15, 18, 21]]
+    # of two groups the first has two examples; all by hand
+    wi, wo = np.array([[0.1, 0.2], [0.3, -0.1], [0.2, 0.2]]), np.array([[0.1, 0.0], [0.0, 0.3]])
+    a, b = wi.copy(), wo.copy()
+    step = kernels.Step(wi, wo, LossKind.NS, False, (0,), 1, np.array([1, 1]))
+    step.batch(np.array([0, 2, 3]), np.array([0, 1, 2]), np.array([0, 0, 1]), np.array([0, 0, 0]), 0.5)
+    h = np.array([(a[0] + a[1]) / 2, a[2]])
+    for g in (0, 0, 1):
+        up, down = 0.5 * (1 - grid_sigmoid(h[g] @ b[0])), 0.5 * (0 - grid_sigmoid(h[g] @ b[1]))
+        a[[0, 1] if g == 0 else [2]] += up * b[0] + down * b[1]
+        wo[0] -= up * h[g]
+        wo[1] -= down * h[g]
+    assert np.allclose(wi, a) and np.allclose(wo, b) and step.n == 3 and step.total > 0
+    bad = kernels.Step(np.array([[np.nan, 1.0]]), np.ones((2, 2)), LossKind.NS, False, (0,), 1, np.array([1, 1]))
+    bad.batch(np.array([0, 1]), np.array([0]), np.array([0]), np.array([0]), 0.5)
+    assert np.isnan(bad.wi).any() and np.isnan(bad.wo).any()
